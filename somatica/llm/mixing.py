@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("level"), F.col("cap"))).alias("target"))
 
 
-def balance(cells: DataFrame, targets: DataFrame, most: float = 2.0, rounds: int = 60, close: float = 1e-9) -> DataFrame:
+def balance(cells: DataFrame, targets: DataFrame, most: float = 2.0, rounds: int = 60, close: float = 1e-7) -> DataFrame:
     """Tilt of each source: ``source``, ``tilt``.
 
     ``cells``: source, size, n (documents of that size). Among rates between 0 and ``most`` whose words meet the
@@ -72,13 +74,32 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = 2.0, rounds: int
     return state.select("source", "mean", F.when(F.col("capped"), F.lit(1.7976931348623157e308)).otherwise(F.col("tilt")).alias("tilt"))
 
 
+def _dealer(most: int):
+    """Whole copies for the sizes of one source, one row per size: from the largest down, the words given follow the words
+    that the rates want, so that what is over or short at the end is about half of the smallest document."""
+
+    def deal(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("size", ascending=False)
+        wanted = given = 0.0
+        give = []
+        for size, n, rate in zip(cells["size"].tolist(), cells["n"].tolist(), cells["rate"].tolist(), strict=True):
+            wanted += size * n * rate
+            k = min(max(round((wanted - given) / size), 0), most * n) if size else 0
+            given += k * size
+            give.append(k)
+        return cells.assign(_give=np.array(give, np.int64))
+
+    return deal
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """How often each document of ``docs`` goes into the mix.
 
     Returns doc_id, text_hash (with doc_id it names the row), size (words), source, source_size, target (of the source),
-    rate (tilted, 0 to ``most``), copies and taken (copies * size). Copies are whole: the rates of a source are summed by
-    size, the running sum is rounded, and the copies a size gets are dealt to its documents by hash, so that the words taken
-    miss the target by about one document at most and reruns agree.
+    rate (tilted, 0 to ``most``), copies and taken (copies * size). Copies are whole: a source's sizes are rounded one after
+    the other with what is over carried on, and the copies a size gets are dealt to its documents by hash, so that the
+    words taken miss the target by less than a small document and reruns agree. (A task sees one row for each size that
+    occurs in a source, whatever the number of documents.)
     A null source is a source of its own, last in order; null and blank texts have size 0 and take 0 words. Rows that
     share doc_id and text are dealt in turn. An empty table gives no rows; other columns are ignored.
     """
@@ -92,9 +113,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     x = F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(700.0))
     rate = F.when(F.col("size") == 0, 0.0).when(full, float(most)).otherwise(most / (1 + F.exp(-F.greatest(x, F.lit(-700.0)))))
     c = cells.withColumnRenamed("source", "_s").join(known, F.col("_s").eqNullSafe(F.col("source"))).drop("_s").withColumn("rate", rate)
-    c = prefix_sums(c.withColumn("_want", F.col("n") * F.col("rate")), ["source"], "size", "_want", "_before", 1024)
-    give = F.round(F.col("_before") + F.col("_want")) - F.round("_before")
-    c = c.withColumn("_give", F.least(give.cast("long"), F.col("n") * most)).withColumn("_parts", F.ceil(F.col("n") / _RANKED))
+    dealt = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.schema) + ", _give long"
+    c = c.groupBy("source").applyInPandas(_dealer(most), dealt).withColumn("_parts", F.ceil(F.col("n") / _RANKED))
     c = c.select("source", "size", "n", "source_size", "target", "rate", "_parts", F.floor(F.col("_give") / F.col("n")).alias("_each"), (F.col("_give") % F.col("n")).alias("_extra"))
     c = materialise(c, "copies")
     key = ["source", "size"]
