@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from somatica.llm import langid, media, mixing, packing, pii, simhash, substring
+from somatica.llm import embed_dedup, langid, license_scan, media, mixing, packing, pii, simhash, substring, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_read(spark, sf_dir, "documents"))
 
 
+def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_components(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_language(_read(spark, sf_dir, "documents"))
 
@@ -29,6 +34,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"), F.array_join("sentences", ",").alias("sentences"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_read(spark, sf_dir, "documents"))
 
@@ -41,14 +51,26 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(_read(spark, sf_dir, "documents"))
 
 
+#: Host, path and verdict of the rules.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, URL_RULES, urlfilter.flooding_hosts(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_embedding": op2_embedding,
     "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
+    "op6_license": op6_license,
     "op7_media": op7_media,
     "op8_substring": op8_substring,
     "op9_pii": op9_pii,
+    "op10_urlfilter": op10_urlfilter,
 }
 
 ORACLE_SQL: dict[str, str] = {}
