@@ -138,6 +138,14 @@ def near_pairs(points: DataFrame, distance: int = 4, chunk: int = 512) -> DataFr
     return dealt.mapInArrow(_links(distance), "a long, b long").distinct()
 
 
+def _classes(docs: DataFrame, distance: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprint ``f`` of each document (doc_id, text_hash), and each fingerprint's ``label`` and number of ``copies``."""
+    prints = materialise(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_udf(shingle)(F.col("text")).alias("f")), "prints")
+    nodes = materialise(prints.groupBy("f").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "nodes")
+    labels = connected_components(near_pairs(nodes.select("f"), distance)).select(F.col("node").alias("f"), "label")
+    return prints, nodes.join(labels, "f", "left").withColumn("label", F.coalesce("label", "f"))
+
+
 def simhash_components(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """Near-duplicate classes of whole texts.
 
@@ -150,25 +158,24 @@ def simhash_components(docs: DataFrame, distance: int = 4, shingle: int = 4) ->
     and gets the class's smallest id, null if the class has no other; repeated rows come back as often as they came.
     An empty table gives no rows. Other columns of ``docs`` are ignored.
     """
-    prints = materialise(docs.select("doc_id", fingerprint_udf(shingle)(F.col("text")).alias("f")), "prints")
-    nodes = prints.groupBy("f").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
-    nodes = materialise(nodes, "nodes")
-    labels = connected_components(near_pairs(nodes.select("f"), distance)).select(F.col("node").alias("f"), "label")
-    nodes = nodes.join(labels, "f", "left").withColumn("label", F.coalesce("label", "f"))
+    prints, nodes = _classes(docs, distance, shingle)
     low = nodes.groupBy("label").agg(F.min("low").alias("component_id"))
     nodes = nodes.join(low, "label").select("f", "copies", "component_id")
     return prints.join(nodes, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
 def simhash_dedup(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
-    """``docs`` with one document of each near-duplicate class: the one with the smallest doc_id, all columns kept.
+    """``docs`` with one document of each near-duplicate class, all columns kept.
 
-    Of rows that share that id one stays: the first in order of text. Rows whose class has no id at all stay one per class
-    and fingerprint. The texts are not shuffled for documents that are alone in their class.
+    The document with the smallest doc_id stays (ids that are null come last; of equal ids, the one with the smaller hash
+    of the text). Of rows that share doc_id and text one stays.
     """
-    keyed = docs.withColumn("_f", fingerprint_udf(shingle)(F.col("text")))
-    classes = simhash_components(docs, distance, shingle)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_p")).distinct()
-    hexed = F.lower(F.lpad(F.hex("_f"), 16, "0"))
-    out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (hexed == F.col("_p"))).drop("_f", "_p", "_id")
-    return out.dropDuplicates(["doc_id"])
+    prints, nodes = _classes(docs, distance, shingle)
+    named = prints.join(nodes.select("f", "label"), "f").groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "rows")).alias("k")
+    kept = materialise(named.groupBy("label").agg(first).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_h"), F.col("k.rows").alias("_rows")), "kept")
+    d, columns = docs.withColumn("_t", F.xxhash64("text")), docs.columns
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h"))
+    once = d.join(kept.where("_rows = 1"), same, "left_semi").select(columns)
+    again = d.join(kept.where("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "_t"]).select(columns)
+    return once.unionByName(again)
