@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from somatica.llm.common import materialise, prefix_sums
 
 #: Rows of one (source, size) cell that are ranked in one task.
-_RANKED = 20_000
+_RANKED = 1_000
 
 
 def words():
