@@ -97,6 +97,19 @@ def _groups(values: list[bytes], most: int = 4_000_000):
 
 
 _CHUNKS = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32())]))
+_LISTED = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("shared", pa.bool_())]))
+_STORE = "kind string, key binary, chunks array<struct<digest:binary,size:int,shared:boolean>>, data binary"
+
+
+def _chunked(texts: list[bytes | None], how: Chunking):
+    """Payloads of the texts with their ordered chunk lists."""
+    payloads = [payload_of(t) for t in texts]
+    for p, sizes in zip(payloads, chunk_lengths(payloads, how), strict=True):
+        at, own = 0, []
+        for n in sizes:
+            own.append({"digest": hashlib.blake2b(p[at : at + n], digest_size=16).digest(), "size": n})
+            at += n
+        yield p, own
 
 
 def _manifests(how: Chunking):
@@ -106,62 +119,82 @@ def _manifests(how: Chunking):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for i, j in _groups([t or b"" for t in texts]):
-                payloads = [payload_of(t) for t in texts[i:j]]
-                chunks = []
-                for p, sizes in zip(payloads, chunk_lengths(payloads, how), strict=True):
-                    at, own = 0, []
-                    for n in sizes:
-                        own.append({"digest": hashlib.blake2b(p[at : at + n], digest_size=16).digest(), "size": n})
-                        at += n
-                    chunks.append(own)
-                digests = [hashlib.sha256(p).digest() for p in payloads]
+                found = list(_chunked(texts[i:j], how))
+                digests, chunks = [hashlib.sha256(p).digest() for p, _ in found], [c for _, c in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(t or b"") for t in texts[i:j]], pa.int64()), pa.array(digests, pa.binary()), pa.array(chunks, _CHUNKS)], ["doc_id", "n_bytes", "payload", "chunks"])
 
     return run
 
 
-def _packed_payloads():
-    """Texts to compressed payloads, each once per task."""
+def _probes(digest: bytes, bits: int) -> tuple[int, int, int]:
+    return tuple(int.from_bytes(digest[k : k + 4], "big") % bits for k in (0, 4, 8))
+
+
+def repeat_filter(repeated: DataFrame) -> np.ndarray:
+    """Bloom filter of the digests in ``repeated``: 16 bits for each, 8 MB at most, as an array of bytes.
+
+    Where it is full it lets more digests pass, which only sends more payloads the longer way.
+    """
+    bits = 1 << min(26, max(10, (16 * repeated.count()).bit_length()))
+    at = F.explode(F.array(*[F.conv(F.hex(F.substring("digest", 4 * k + 1, 4)), 16, 10).cast("long") % bits for k in range(3)]))
+    found = repeated.select(at.alias("at")).groupBy(F.shiftright("at", 3).cast("int").alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("at") % 8).cast("int"))).alias("set")).toPandas()
+    out = np.zeros(bits // 8, np.uint8)
+    out[found["byte"].to_numpy()] = found["set"].to_numpy()
+    return out
+
+
+def _payloads(how: Chunking, repeats, alone: bool):
+    """Texts to compressed payloads with their chunk lists: those without any repeated chunk (``alone``), or the others, each
+    of these once per task."""
 
     def run(batches):
-        seen, pack = set(), zstandard.ZstdCompressor(level=3)
+        table, pack, seen = repeats.value, zstandard.ZstdCompressor(level=3), set()
+        bits = 8 * len(table)
         for batch in batches:
-            keys, data = [], []
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                p = payload_of(t)
-                key = hashlib.sha256(p).digest()
-                if key not in seen:
-                    if len(seen) >= 300_000:  # bounds memory; what is sent twice is dropped later
-                        seen.clear()
-                    seen.add(key)
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            for i, j in _groups([t or b"" for t in texts]):
+                keys, data, lists = [], [], []
+                for p, chunks in _chunked(texts[i:j], how):
+                    repeated = any(all(table[k >> 3] >> (k & 7) & 1 for k in _probes(c["digest"], bits)) for c in chunks)
+                    if repeated == alone:
+                        continue
+                    key = hashlib.sha256(p).digest()
+                    if not alone:
+                        if key in seen:
+                            continue
+                        if len(seen) >= 300_000:  # bounds memory; what is sent twice is dropped later
+                            seen.clear()
+                        seen.add(key)
                     keys.append(key)
                     data.append(pack.compress(p))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["payload", "data"])
+                    lists.append([c | {"shared": False} for c in chunks])
+                yield pa.RecordBatch.from_arrays([pa.array(["pack"] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array(lists, _LISTED), pa.array(data, pa.binary())], ["kind", "key", "chunks", "data"])
 
     return run
 
 
 def _stored(batches):
-    """Payloads with their marked chunk lists to rows of the store: one pack each, and the shared chunks that it owns."""
+    """Payloads, their chunk lists and what is known of shared chunks (place, whether the payload owns it) to rows of the
+    store: one pack each, and the shared chunks that it owns."""
     unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
     for batch in batches:
         rows = []
-        for payload, data, chunks in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            whole = raw = None
-            if any(c["shared"] for c in chunks):
+        for payload, data, chunks, marks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if marks:
+                shared = {m["at"]: m["owner"] for m in marks}
                 whole, at, own = unpack.decompress(data), 0, []
-                for c in chunks:
+                for k, c in enumerate(chunks):
                     raw = whole[at : at + c["size"]]
                     at += c["size"]
-                    if not c["shared"]:
+                    c["shared"] = k in shared
+                    if k not in shared:
                         own.append(raw)
-                    elif c["owner"]:
+                    elif shared[k]:
                         rows.append(("chunk", c["digest"], None, pack.compress(raw)))
                 data = pack.compress(b"".join(own))
-            rows.append(("pack", payload, [{k: c[k] for k in ("digest", "size", "shared")} for c in chunks], data))
+            rows.append(("pack", payload, chunks, data))
         kinds, keys, lists, data = zip(*rows, strict=True) if rows else ((), (), (), ())
-        listed = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("shared", pa.bool_())]))
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.binary()), pa.array(lists, listed), pa.array(data, pa.binary())], ["kind", "key", "chunks", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.binary()), pa.array(lists, _LISTED), pa.array(data, pa.binary())], ["kind", "key", "chunks", "data"])
 
 
 def _rebuilt(batches):
@@ -194,18 +227,23 @@ def store_media(docs: DataFrame, how: Chunking = Chunking()) -> tuple[DataFrame,
 
     The list: doc_id, n_bytes, payload (SHA-256), one row per document. The store: kind (pack or chunk), key (SHA-256 of
     the payload, or the chunk's digest), chunks (the pack's ordered list) and data (zstd). Equal payloads have one pack; a
-    chunk that occurs more than once is kept once, by the payload that comes first.
+    chunk that occurs more than once is kept once, by the payload that comes first. Digests travel first; of the payloads
+    themselves only those with a chunk that may be repeated are shuffled.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     listed = docs.select("doc_id", "text").mapInArrow(_manifests(how), f"doc_id {kind}, n_bytes long, payload binary, chunks array<struct<digest:binary,size:int>>")
     listed = materialise(listed, "media-list")
-    uses = listed.select("payload", "chunks").dropDuplicates(["payload"]).select("payload", F.posexplode("chunks").alias("at", "c")).select("payload", "at", "c.digest", "c.size")
-    shared = uses.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("payload", "at")).alias("head")).where("n > 1").select("digest", "head")
-    marked = uses.join(shared, "digest", "left").withColumn("shared", F.col("head").isNotNull()).withColumn("owner", F.coalesce(F.col("head") == F.struct("payload", "at"), F.lit(False)))
-    lists = marked.groupBy("payload").agg(F.sort_array(F.collect_list(F.struct("at", "digest", "size", "shared", "owner"))).alias("chunks"))
-    payloads = docs.select("text").mapInArrow(_packed_payloads(), "payload binary, data binary").dropDuplicates(["payload"])
-    store = payloads.join(lists, "payload").select("payload", "data", "chunks")
-    store = store.mapInArrow(_stored, "kind string, key binary, chunks array<struct<digest:binary,size:int,shared:boolean>>, data binary")
+    uses = listed.select("payload", F.posexplode("chunks").alias("at", "c")).select("payload", "at", "c.digest")
+    heads = uses.groupBy("digest").agg(F.min(F.struct("payload", "at")).alias("head"), F.max(F.struct("payload", "at")).alias("tail"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = materialise(heads, "media-repeats")
+    repeats = docs.sparkSession.sparkContext.broadcast(repeat_filter(heads.select("digest")))
+    place = F.struct("payload", "at")
+    marks = uses.join(heads.where("head <> tail").select("digest", "head"), "digest").select("payload", F.struct("at", (F.col("head") == place).alias("owner")).alias("m"))
+    marks = marks.groupBy("payload").agg(F.collect_set("m").alias("marks")).withColumnRenamed("payload", "key")
+    text = docs.select("text")
+    alone = text.mapInArrow(_payloads(how, repeats, True), _STORE)
+    others = text.mapInArrow(_payloads(how, repeats, False), _STORE).dropDuplicates(["key"]).join(marks, "key", "left").select("key", "data", "chunks", "marks")
+    store = alone.unionByName(others.mapInArrow(_stored, _STORE))
     return materialise(store, "media-store", ["kind"]), listed.select("doc_id", "n_bytes", "payload")
 
 
