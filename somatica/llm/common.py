@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
@@ -39,6 +39,23 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(values: list, most: int = 1_000_000):
+    """Bounds of runs of ``values`` (texts or byte strings) with about ``most`` characters in all; bounds a batch's memory."""
+    i = size = 0
+    for j, v in enumerate(values):
+        size += len(v)
+        if size >= most:
+            yield i, j + 1
+            i, size = j + 1, 0
+    if i < len(values):
+        yield i, len(values)
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """``df`` as one column ``row``, so that helper columns beside it cannot clash with names in it (undo: ``row.*``)."""
+    return df.select(F.struct("*").alias("row"))
+
+
 def _edge_digest(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], int(row["h"] or 0)
@@ -88,3 +105,27 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, value: str, out: str
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     rows = b.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0)))
     return rows.join(sums, same).select(*df.columns, (F.col("_own") + F.col("_base")).alias(out))
+
+
+def bloom_bit(key: Column, seed: int, probe: int, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(seed), F.lit(probe)), F.lit(bits))
+
+
+def bloom_words(keys: DataFrame, seed: int, probes: int, bits: int) -> DataFrame:
+    """One row: the Bloom filter of ``keys`` (column ``key``) as ``words``, an array of ``bits / 64`` longs."""
+    at = keys.select(F.explode(F.array(*[bloom_bit(F.col("key"), seed, i, bits) for i in range(probes)])).alias("at"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
+    word = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(one).alias("set"))
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w")).join(word, "w", "left")
+    listed = F.array_sort(F.collect_list(F.struct("w", F.coalesce("set", F.lit(0).cast("long")).alias("set"))))
+    return every.agg(F.transform(listed, lambda x: x["set"]).alias("words"))
+
+
+def bloom_passes(key: Column, words: Column, seed: int, probes: int, bits: int) -> Column:
+    """Whether all probed bits of ``key`` are set in the filter ``words``."""
+    out = F.lit(True)
+    for i in range(probes):
+        at = bloom_bit(key, seed, i, bits)
+        word = F.element_at(words, (F.shiftright(at, 6) + 1).cast("int"))
+        out = out & (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))) != 0)
+    return out

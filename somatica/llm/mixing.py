@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from somatica.llm.common import materialise, prefix_sums
+from somatica.llm.common import materialise, prefix_sums, whole_rows
 
 #: Rows of one (source, size) cell that are ranked in one task.
 _RANKED = 1_000
@@ -41,6 +41,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("level"), F.col("cap"))).alias("target"))
 
 
+def exact_sum(term):
+    """Sum that does not depend on the order of the rows, so that reruns agree to the last bit."""
+    return F.sum(term.cast("decimal(38,6)")).cast("double")
+
+
 def balance(cells: DataFrame, targets: DataFrame, most: float = 2.0, rounds: int = 60, close: float = 1e-7) -> DataFrame:
     """Tilt of each source: ``source``, ``tilt``.
 
@@ -60,7 +65,7 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = 2.0, rounds: int
         here = cells.withColumnRenamed("source", "_s").join(state.where(F.col("off") > close), F.col("_s").eqNullSafe(F.col("source")))
         x = F.col("size") / F.col("mean")
         p = 1 / (1 + F.exp(-F.greatest(F.least(F.col("tilt") * x, F.lit(700.0)), F.lit(-700.0))))
-        sums = here.groupBy("_s").agg(F.sum(F.col("n") * F.col("size") * p * F.lit(float(most))).alias("got"), F.sum(F.col("n") * F.col("size") * x * p * (1 - p) * F.lit(float(most))).alias("slope"))
+        sums = here.groupBy("_s").agg(exact_sum(F.col("n") * F.col("size") * p * F.lit(float(most))).alias("got"), exact_sum(F.col("n") * F.col("size") * x * p * (1 - p) * F.lit(float(most))).alias("slope"))
         s = state.join(sums, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
         gap = F.col("got") - F.col("target")
         s = s.withColumn("low", F.when(gap < 0, F.col("tilt")).otherwise(F.col("low"))).withColumn("high", F.when(gap > 0, F.col("tilt")).otherwise(F.col("high")))
@@ -137,6 +142,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns and texts stay as they are."""
     copies = mix(docs, **how).where("copies > 0").groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
     copies = copies.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t"), "_sum", "_rows")
-    d = docs.withColumn("_h", F.xxhash64("text")).join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")))
+    d = whole_rows(docs).withColumn("h", F.xxhash64("row.text"))
+    d = d.join(copies, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_t")))
     # rows that share id and text are the same document: each brings its even share, rounded up
-    return d.withColumn("_i", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_sum") / F.col("_rows")).cast("int")))).select(*docs.columns)
+    return d.select("row", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_sum") / F.col("_rows")).cast("int")))).select("row.*")

@@ -10,7 +10,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from somatica.llm.common import materialise
+from somatica.llm.common import materialise, whole_rows
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -153,13 +153,15 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
     """
     spans = find_spans(docs, **how).where("size(base) > 0 or size(added) > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.array_sort(F.concat("base", "added")).alias("_spans"))
     spans = spans.dropDuplicates(["_id", "_h"])
-    d = docs.withColumn("_t", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left")
+    d = whole_rows(docs).withColumn("hash", F.xxhash64("row.text"))
+    d = d.join(spans, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_h")), "left")
 
     def step(s: Column, p: Column) -> Column:
-        gap = F.substring("text", s["at"] + 1, p["start"] - s["at"])
+        gap = F.substring("row.text", s["at"] + 1, p["start"] - s["at"])
         over = p["start"] < s["at"]
         return F.struct(F.greatest(s["at"], p["end"]).alias("at"), F.when(over, s["out"]).otherwise(F.concat(s["out"], gap, F.lit("<"), F.upper(p["kind"]), F.lit(">"))).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text"))))
-    return d.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring("row.text", s["at"] + 1, F.length("row.text"))))
+    text = F.when(F.col("_spans").isNull(), F.col("row.text")).otherwise(clean)
+    return d.select(*[text.alias("text") if c == "text" else F.col(f"row.{c}") for c in docs.columns])

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from somatica.llm.common import materialise
+from somatica.llm.common import bloom_passes, bloom_words, materialise
 
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
@@ -42,29 +42,6 @@ def best_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Co
     return name, verdict
 
 
-def _bit(key: Column, level: int, probe: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(level), F.lit(probe)), F.lit(bits))
-
-
-def _passes(key: Column, words: Column, level: int, probes: int, bits: int) -> Column:
-    """Whether all probed bits are set in the filter, given as an array of 64-bit words."""
-    out = F.lit(True)
-    for i in range(probes):
-        at = _bit(key, level, i, bits)
-        word = F.element_at(words, (F.shiftright(at, 6) + 1).cast("int"))
-        out = out & (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))) != 0)
-    return out
-
-
-def _filter_of(keys: DataFrame, level: int, probes: int, bits: int) -> DataFrame:
-    """One row: the filter of ``keys`` (column ``key``) as an array of ``bits / 64`` words."""
-    spark = keys.sparkSession
-    at = keys.select(F.explode(F.array(*[_bit(F.col("key"), level, i, bits) for i in range(probes)])).alias("at"))
-    word = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("set"))
-    every = spark.range(bits // 64).select(F.col("id").alias("w")).join(word, "w", "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("set", F.lit(0).cast("long")).alias("set")))), lambda x: x["set"]).alias("words"))
-
-
 class Cascade:
     """Levels of Bloom filters: a table ``level``, ``words`` on disk, and how to look a key up in it.
 
@@ -91,10 +68,10 @@ class Cascade:
             rate = min(0.5, max(n / max(m, 1), 1e-3)) if not shape else 0.5
             probes = max(1, round(-math.log2(rate)))
             bits = max(64, 64 * math.ceil(n * probes / math.log(2) / 64))
-            level = materialise(_filter_of(inside, len(shape), probes, bits).select(F.lit(len(shape)).alias("level"), "words"), "filter")
+            level = materialise(bloom_words(inside, len(shape), probes, bits).select(F.lit(len(shape)).alias("level"), "words"), "filter")
             levels = level if levels is None else levels.unionByName(level)
             shape.append((probes, bits))
-            wrong = materialise(outside.where(_passes(F.col("key"), level.select("words").scalar(), len(shape) - 1, probes, bits)), "wrong")
+            wrong = materialise(outside.where(bloom_passes(F.col("key"), level.select("words").scalar(), len(shape) - 1, probes, bits)), "wrong")
             inside, outside = wrong, inside
             n, m = wrong.count(), n
         if n:
@@ -106,7 +83,7 @@ class Cascade:
         out = F.lit(len(self.shape) % 2 == 1)
         for level in reversed(range(len(self.shape))):
             words = self.levels.where(F.col("level") == level).select("words").scalar()
-            out = F.when(_passes(key, words, level, *self.shape[level]), out).otherwise(F.lit(level % 2 == 1))
+            out = F.when(bloom_passes(key, words, level, *self.shape[level]), out).otherwise(F.lit(level % 2 == 1))
         return F.coalesce(out & key.isNotNull(), F.lit(False))
 
 
