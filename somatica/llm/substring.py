@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from somatica.llm.common import materialise
+from somatica.llm.common import bloom_passes, bloom_words, materialise
 
 #: What ends a sentence: . ! ? or the like (and closing quotes or brackets) with the white space behind, a line break, or,
 #: for text pasted in behind an open sentence, white space before a capital letter.
@@ -106,15 +106,20 @@ def repeated_runs(docs: DataFrame, run: int = 2, least_words: int = 20, long_wor
     """Every non-first occurrence of a repeated run: doc_id, text_hash (they name the document), first, last (sentences).
 
     Of the occurrences of a run the first stays, by doc_id (null last), hash of the text and place. A run's
-    occurrences are counted with a map-side combine and never gathered.
+    occurrences are counted with a map-side combine and never gathered. Most runs occur once: a Bloom filter of the hashes
+    that occur more often (8 MB at most; a full one only lets more runs pass) keeps them out of the join, which is exact.
     """
     named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     runs = named.mapInArrow(_runs(run, least_words, long_words), f"doc_id {kind}, text_hash long, first int, last int, h1 long, h2 long")
     runs = materialise(runs, "runs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "first")
-    heads = runs.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "head")
-    return runs.join(heads, ["h1", "h2"]).where(place != F.col("head")).select("doc_id", "text_hash", "first", "last")
+    often = materialise(runs.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h1").alias("key")), "often")
+    bits = 1 << min(26, max(10, (16 * often.count()).bit_length()))
+    words = materialise(bloom_words(often, 8, 3, bits), "often-filter").scalar()
+    some = runs.where(bloom_passes(F.col("h1"), words, 8, 3, bits))
+    heads = some.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "head")
+    return some.join(materialise(heads, "heads"), ["h1", "h2"]).where(place != F.col("head")).select("doc_id", "text_hash", "first", "last")
 
 
 def drop_repeats(docs: DataFrame, run: int = 2, least_words: int = 20, long_words: int = 40) -> DataFrame:
