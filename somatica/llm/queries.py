@@ -73,4 +73,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_urlfilter": op10_urlfilter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # all pairs of a label: the query finds its pairs by hashing, so on larger tables it may miss about one in a hundred
+    "op2_embedding": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+ r AS (SELECT vec_id AS n, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.n),
+ c AS (SELECT n AS vec_id, min(root) AS component_id FROM r GROUP BY 1), k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+ SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e LEFT JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)""",
+    "op10_urlfilter": """WITH p AS (SELECT page_id, url, strpos(url, '://') AS pos FROM pages),
+ h AS (SELECT page_id, CASE WHEN pos > 0 THEN translate(regexp_extract(substr(url, pos + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+   CASE WHEN pos > 0 THEN regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM p),
+ r(rh, rp, rv) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+ b AS (SELECT page_id, rh || rp AS rule, rv FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) = 1),
+ f AS (SELECT host FROM h WHERE host <> '' GROUP BY 1 HAVING count(*) >= greatest(1, 0.05 * (SELECT count(*) FROM h WHERE host <> '')))
+ SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN host IN (SELECT host FROM f) THEN 'block' ELSE 'allow' END) AS verdict FROM h LEFT JOIN b USING (page_id)""",
+}
