@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from somatica.functions.cells import significance
@@ -47,34 +47,39 @@ def chi_square(table: DataFrame, row: str, column: str = "phenotype") -> DataFra
     return found.withColumn("p", p_value("statistic", "df"))
 
 
+def ln_factorial(n: Column) -> Column:
+    """ln n! of a whole number: exact logarithms up to 20, Stirling's series beyond (within 1e-13 of itself)."""
+    small = F.array(*[F.lit(math.log(math.factorial(k))) for k in range(21)])
+    x = F.greatest(n.cast("double"), F.lit(1.0))
+    series = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n <= 20, F.element_at(small, F.least(n, F.lit(20)).cast("int") + 1)).otherwise(series)
+
+
 def fisher_pairs(table: DataFrame, row: str = "treatment", column: str = "phenotype") -> DataFrame:
     """Two-sided exact test of every level of ``column`` against the rest, for every pair of levels of ``row``.
 
     ``table``: counts ``n``. Returns the level, group_a < group_b, a, b (cells of the level), ra, rb (all cells), odds
-    ratio of the sample, p and its stars. p adds up the tables no likelier than the observed one. Log-factorials come from
-    a running sum over the whole numbers up to the largest margin, so no row needs a Python function.
+    ratio of the sample, p and its stars. p adds up the tables no likelier than the observed one. Tables over 40 standard
+    deviations from the mean weigh nothing in double precision and are not listed, so a test lists as many tables as the root
+    of the number of cells. Log-factorials are expressions, so there is no join but that of the pairs.
     """
     sums = table.groupBy(row).agg(F.sum("n").alias("all"))
     t = table.groupBy(row, column).agg(F.sum("n").alias("n")).join(sums, row)
     a = t.select(F.col(column), F.col(row).alias("group_a"), F.col("n").alias("a"), F.col("all").alias("ra"))
     b = t.select(F.col(column).alias("_c"), F.col(row).alias("group_b"), F.col("n").alias("b"), F.col("all").alias("rb"))
     pairs = a.join(b, (F.col(column) == F.col("_c")) & (F.col("group_a") < F.col("group_b"))).drop("_c")
-    top = sums.agg(F.sum("all").alias("m"))
-    numbers = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("i"))
-    block = F.floor(F.col("i") / 65536)
-    steps = numbers.withColumn("blk", block).withColumn("ln", F.when(F.col("i") > 0, F.ln("i")).otherwise(0.0))
-    bases = steps.groupBy("blk").agg(F.sum("ln").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("blk", "base")
-    logs = steps.join(bases, "blk").select("i", (F.sum("ln").over(Window.partitionBy("blk").orderBy("i")) + F.col("base")).alias("lf"))
-    k = pairs.withColumn("k1", F.col("a") + F.col("b")).withColumn("k", F.explode(F.sequence(F.greatest(F.lit(0), F.col("k1") - F.col("rb")), F.least("ra", "k1"))))
-    terms = {"t1": F.col("k"), "t2": F.col("ra") - F.col("k"), "t3": F.col("k1") - F.col("k"), "t4": F.col("rb") - F.col("k1") + F.col("k")}
-    for name, at in terms.items():
-        k = k.withColumn("_i", at).join(logs.select(F.col("i").alias("_i"), F.col("lf").alias(name)), "_i").drop("_i")
+    k1, ra, rb = F.col("a") + F.col("b"), F.col("ra"), F.col("rb")
+    whole = (ra + rb).cast("double")
+    mean = ra * k1 / whole
+    reach = 40 * F.sqrt(mean * rb / whole * (whole - k1) / F.greatest(whole - 1, F.lit(1.0))) + 40
+    low = F.greatest(F.lit(0).cast("long"), k1 - rb, F.floor(mean - reach))
+    high = F.least(ra, k1, F.ceil(mean + reach))
+    log = lambda k: -(ln_factorial(k) + ln_factorial(ra - k) + ln_factorial(k1 - k) + ln_factorial(rb - k1 + k))
     key = [column, "group_a", "group_b", "a", "b", "ra", "rb"]
-    k = k.withColumn("lp", -(F.col("t1") + F.col("t2") + F.col("t3") + F.col("t4")))
-    w = Window.partitionBy(*key)
-    k = k.withColumn("lp", F.col("lp") - F.max("lp").over(w))  # the common factor drops out of the ratio
-    k = k.withColumn("seen", F.max(F.when(F.col("k") == F.col("a"), F.col("lp"))).over(w))
-    p = F.sum(F.when(F.col("lp") <= F.col("seen") + F.log1p(F.lit(1e-7)), F.exp("lp"))) / F.sum(F.exp("lp"))
+    k = pairs.withColumn("seen", log(F.col("a"))).withColumn("k", F.explode(F.sequence(low, high))).select(*key, "seen", log(F.col("k")).alias("lp"))
+    top = F.max("lp").over(Window.partitionBy(*key))  # the common factor drops out of the ratio
+    k = k.withColumns({"seen": F.col("seen") - top, "lp": F.col("lp") - top})
+    p = F.coalesce(F.sum(F.when(F.col("lp") <= F.col("seen") + math.log1p(1e-7), F.exp("lp"))), F.lit(0.0)) / F.sum(F.exp("lp"))
     out = k.groupBy(*key).agg(F.least(p, F.lit(1.0)).alias("p"))
     odds = F.when((F.col("b") > 0) & (F.col("ra") > F.col("a")), F.col("a") * (F.col("rb") - F.col("b")) / (F.col("b") * (F.col("ra") - F.col("a"))))
     return out.withColumn("sample_odds_ratio", odds).withColumn("stars", significance(F.col("p")))
