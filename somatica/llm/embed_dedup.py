@@ -83,20 +83,16 @@ def tables_for(width: int, hashes: int, probes: int, cosine: float, recall: floa
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(p, 0.999))))
 
 
-def _bucketed(flips: np.ndarray, probes: int):
-    """(id, label, n, vector) to one row per table and bucket looked in, with the unit vector and all its codes."""
+def _coded(flips: np.ndarray, probes: int):
+    """(id, label, n, vector) with the vector's codes, those of one table after those of another."""
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column(3).to_pylist(), np.float64)
-            if not len(x):
-                continue
-            c = codes(x / np.linalg.norm(x, axis=1, keepdims=True), flips, probes)
-            rows, tables, many = c.shape
-            flat = pa.array(list(c.reshape(rows, -1)), pa.list_(pa.int64()))
-            vectors = batch.column(3)
-            for t, k in itertools.product(range(tables), range(many)):
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), vectors, flat, pa.array(np.full(rows, t, np.int32)), pa.array(c[:, t, k]), pa.array(np.full(rows, k > 0))], ["id", "label", "n", "vector", "codes", "t", "code", "probe"])
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                x = np.array(part.column(3).to_pylist(), np.float64)
+                c = codes(x / np.linalg.norm(x, axis=1, keepdims=True), flips, probes)
+                flat = pa.array(list(c.reshape(len(x), -1)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, flat], ["id", "label", "n", "vector", "codes"])
 
     return run
 
@@ -202,17 +198,20 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.93, probes: int =
     shapes = classes.groupBy("width", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("width").agg(F.max("n").alias("n")).orderBy("width").limit(1001).collect()
     if len(shapes) > 1000:
         raise ValueError("more than 1000 different widths")
-    found = None
+    found, single = None, vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     for width, largest in ((r["width"], r["n"]) for r in shapes):
         wide = max(2, 1 << (width - 1).bit_length())
         hashes = max(1, math.ceil(math.log(max(largest / bucket, 1)) / math.log(2 * wide)))
         tables = tables_for(wide, hashes, probes, cosine, recall)
         flips = signs(wide, tables, hashes)
         kind = classes.schema["label"].dataType.simpleString()
-        b = classes.where(F.col("width") == width).select("id", "label", "n", "vector").mapInArrow(_bucketed(flips, probes), f"id long, label {kind}, n long, vector array<double>, codes array<long>, t int, code long, probe boolean")
-        b = b.select("id", "label", "n", F.col("vector").cast("array<float>").alias("vector") if _single(vectors) else "vector", "codes", "t", "code", "probe")
+        vector = "array<float>" if single else "array<double>"
+        own = classes.where(F.col("width") == width).select("id", "label", "n", F.col("vector").cast(vector).alias("vector"))
+        own = materialise(own.mapInArrow(_coded(flips, probes), f"id long, label {kind}, n long, vector {vector}, codes array<long>"), "codes")
         key = ["label", "t", "code"]
-        sizes = b.groupBy(*key).agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+        place = {"t": F.floor(F.col("at") / (1 + probes)).cast("int"), "probe": F.col("at") % (1 + probes) > 0}
+        sizes = own.select("label", F.posexplode("codes").alias("at", "code")).withColumns(place).groupBy(*key).agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+        b = own.select("*", F.posexplode("codes").alias("at", "code")).withColumns(place).drop("at")
         b = b.join(sizes, key).withColumn("pieces", F.ceil(F.col("many") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
         b = b.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         b = b.withColumns({"ca": F.least("chunk", "other"), "cb": F.greatest("chunk", "other")})
@@ -228,7 +227,3 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.93, probes: int =
     out = rows.select("vec_id", "sound", "h1", "h2").join(classes, ["h1", "h2"], "left")
     out = out.select("vec_id", F.when(F.col("sound"), F.col("links") + F.col("n") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(F.col("sound"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
-
-def _single(vectors: DataFrame) -> bool:
-    return vectors.schema["embedding"].dataType.simpleString() == "array<float>"

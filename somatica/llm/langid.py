@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from somatica.llm.common import slices, whole_rows
+
 UNDETERMINED = "und"
 #: More distinct labels than this are taken for a mistake in the label column.
 MAX_LANGUAGES = 2000
@@ -65,10 +67,11 @@ def _counts(orders: tuple[int, ...], buckets: int):
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(langs):
-                grams, _ = gram_buckets([t for g, t in zip(langs, texts, strict=True) if g == lang], orders, buckets)
-                grams = grams[grams >= 0]
-                total.setdefault(lang, np.zeros(buckets, np.int64))
-                total[lang] += np.bincount(grams, minlength=buckets)
+                own = [t for g, t in zip(langs, texts, strict=True) if g == lang]
+                counts = total.setdefault(lang, np.zeros(buckets, np.int64))
+                for i, j in slices(own):
+                    grams, _ = gram_buckets(own[i:j], orders, buckets)
+                    counts += np.bincount(grams[grams >= 0], minlength=buckets)
         for lang, c in total.items():
             at = np.flatnonzero(c)
             for i in range(0, len(at), 50_000):
@@ -107,12 +110,8 @@ def predict_batch(texts: list[str | None], model: LanguageModel) -> tuple[list[s
     """Language and posterior probability of each text."""
     lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
     at = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-    chunk, size = [], 0
-    for k, i in enumerate(at):
-        chunk.append(i)
-        size += len(texts[i])
-        if size < 1_000_000 and k < len(at) - 1:
-            continue
+    for first, last in slices([texts[i] for i in at]):
+        chunk = at[first:last]
         grams, starts = gram_buckets([texts[j] for j in chunk], model.orders, len(model.logp))
         weight = model.prior + np.zeros((len(chunk), 1))
         for g in grams.T:
@@ -123,12 +122,11 @@ def predict_batch(texts: list[str | None], model: LanguageModel) -> tuple[list[s
         p = 1 / np.exp(weight - weight.max(axis=1, keepdims=True)).sum(axis=1)
         for j, b, s in zip(chunk, best.tolist(), p.tolist(), strict=True):
             lang[j], score[j] = model.languages[b], s
-        chunk, size = [], 0
     return lang, score
 
 
-def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to ``docs``; any column but text is passed on.
+def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
+    """Add ``lang_pred`` and ``score`` to ``docs``, found from the column ``text``; all others are passed on.
 
     A text that is null or has no letter gets ``und`` and score 0, and so does every text where there is no model.
     The model (buckets x languages floats) is broadcast. Equal weights go to the first language in order.
@@ -144,7 +142,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         lang, score = predict_batch(texts.to_pylist(), shared.value)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
-    return docs.withColumn("_p", predict(F.col("text"))).select(*docs.columns, "_p.lang_pred", "_p.score")
+    return docs.select("*", predict(F.col(text)).alias("predicted")).select(*docs.columns, "predicted.lang_pred", "predicted.score")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -164,4 +162,5 @@ def accepted(docs: DataFrame, least: float = 0.5, **training) -> DataFrame:
     Rejects null texts, texts without letters and texts that no language explains better than the others together.
     """
     model = train(docs.where(~held_out()).select("text", "lang"), **training)
-    return identify(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+    found = identify(whole_rows(docs), model, "row.text")
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somatica.llm.common import materialise
+from somatica.llm.common import materialise, slices
 
 _RATE = 8000
 _GEAR = np.random.default_rng(20240601).integers(0, 1 << 32, 256, np.uint32)
@@ -85,17 +85,6 @@ def features(samples: bytes) -> str:
     return f"samples={len(x)};mean={x.mean():.6f};rms={np.sqrt((x * x).mean()):.6f};crossings={crossings}"
 
 
-def _groups(values: list[bytes], most: int = 4_000_000):
-    i = size = 0
-    for j, v in enumerate(values):
-        size += len(v)
-        if size >= most:
-            yield i, j + 1
-            i, size = j + 1, 0
-    if i < len(values):
-        yield i, len(values)
-
-
 _CHUNKS = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32())]))
 _LISTED = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("shared", pa.bool_())]))
 _STORE = "kind string, key binary, chunks array<struct<digest:binary,size:int,shared:boolean>>, data binary"
@@ -118,7 +107,7 @@ def _manifests(how: Chunking):
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for i, j in _groups([t or b"" for t in texts]):
+            for i, j in slices([t or b"" for t in texts]):
                 found = list(_chunked(texts[i:j], how))
                 digests, chunks = [hashlib.sha256(p).digest() for p, _ in found], [c for _, c in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(t or b"") for t in texts[i:j]], pa.int64()), pa.array(digests, pa.binary()), pa.array(chunks, _CHUNKS)], ["doc_id", "n_bytes", "payload", "chunks"])
@@ -152,7 +141,7 @@ def _payloads(how: Chunking, repeats, alone: bool):
         bits = 8 * len(table)
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for i, j in _groups([t or b"" for t in texts]):
+            for i, j in slices([t or b"" for t in texts]):
                 keys, data, lists = [], [], []
                 for p, chunks in _chunked(texts[i:j], how):
                     repeated = any(all(table[k >> 3] >> (k & 7) & 1 for k in _probes(c["digest"], bits)) for c in chunks)

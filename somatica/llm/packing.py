@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somatica.llm.common import materialise, prefix_sums
+from somatica.llm.common import materialise, prefix_sums, slices
 
 #: Fixed value: the pattern by which byte-level BPE files of this kind cut a text into words.
 _BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -76,7 +76,7 @@ def _encode(path: str, end_id: int):
         encode = _tokenizer(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in _slices(texts, 2_000_000):
+            for i, j in slices(texts):
                 ids = [np.append(encode(t), np.uint32(end_id)) for t in texts[i:j]]
                 n = np.array([len(x) for x in ids], np.int64)
                 at = start + np.cumsum(n) - n
@@ -88,23 +88,11 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def _slices(texts: list[str], most: int):
-    """Bounds of runs of texts with about ``most`` characters."""
-    i = size = 0
-    for j, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield i, j + 1
-            i, size = j + 1, 0
-    if i < len(texts):
-        yield i, len(texts)
-
-
 def _cut(length: int, with_ids: bool):
     """Documents with their first global position to the pieces that fixed windows cut."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):  # small steps bound the memory
             out = [[] for _ in range(8)]
             for doc_id, first, n, width, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 ids = np.frombuffer(raw, np.uint16 if width == 2 else np.uint32).astype("<u4")

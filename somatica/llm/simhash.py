@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somatica.llm.common import connected_components, materialise
+from somatica.llm.common import connected_components, materialise, whole_rows
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -38,7 +38,7 @@ def fingerprint_bytes(text: bytes, shingle: int = 4) -> int:
 def fingerprint_udf(shingle: int = 4):
     @F.arrow_udf("long")
     def fingerprint(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint_bytes(t, shingle) if t else 0 for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
+        return pa.array([fingerprint_bytes(t.as_py(), shingle) if t.is_valid else 0 for t in texts.cast(pa.binary())], pa.int64())
 
     return fingerprint
 
@@ -174,8 +174,8 @@ def simhash_dedup(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataF
     named = prints.join(nodes.select("f", "label"), "f").groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "rows")).alias("k")
     kept = materialise(named.groupBy("label").agg(first).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_h"), F.col("k.rows").alias("_rows")), "kept")
-    d, columns = docs.withColumn("_t", F.xxhash64("text")), docs.columns
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h"))
-    once = d.join(kept.where("_rows = 1"), same, "left_semi").select(columns)
-    again = d.join(kept.where("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "_t"]).select(columns)
+    d = whole_rows(docs).withColumns({"id": F.col("row.doc_id"), "h": F.xxhash64("row.text")})
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    once = d.join(kept.where("_rows = 1"), same, "left_semi").select("row.*")
+    again = d.join(kept.where("_rows > 1"), same, "left_semi").dropDuplicates(["id", "h"]).select("row.*")
     return once.unionByName(again)

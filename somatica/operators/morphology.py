@@ -54,10 +54,19 @@ def open_(mask: DataFrame, offsets: Offsets) -> DataFrame:
     return dilate(erode(mask, offsets), offsets)
 
 
+def neighbour_sums(mask: DataFrame, weights: list[tuple[tuple[int, int], int]]) -> DataFrame:
+    """``mask`` with ``s``: the sum of the weights of its neighbours in the mask.
+
+    Each pixel is sent to its neighbours and, marked, to itself; one aggregation adds up and keeps the marked, so no join.
+    """
+    o = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(w).alias("w"), F.lit(0).alias("own")) for (a, b), w in [*weights]], F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx"), F.lit(0).alias("w"), F.lit(1).alias("own"))))
+    d = mask.select(*AT, o.alias("_o")).select("image", (F.col("y") - F.col("_o.dy")).alias("y"), (F.col("x") - F.col("_o.dx")).alias("x"), F.col("_o.w").alias("w"), F.col("_o.own").alias("own"))
+    return d.groupBy(AT).agg(F.sum("w").alias("s"), F.max("own").alias("own")).where("own = 1").drop("own")
+
+
 def degrees(mask: DataFrame, offsets: Offsets = EIGHT) -> DataFrame:
     """``mask`` with ``degree``: how many of its neighbours are in the mask."""
-    sent = shifted(mask, offsets).groupBy(AT).agg(F.count(F.lit(1)).alias("degree"))
-    return mask.select(AT).join(sent, AT, "left").na.fill(0, ["degree"])
+    return neighbour_sums(mask, [(o, 1) for o in offsets]).withColumnRenamed("s", "degree")
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
