@@ -139,11 +139,14 @@ def near_pairs(points: DataFrame, distance: int = 4, chunk: int = 512) -> DataFr
 
 
 def _classes(docs: DataFrame, distance: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Fingerprint ``f`` of each document (doc_id, text_hash), and each fingerprint's ``label`` and number of ``copies``."""
+    """Fingerprint ``f`` of each document (doc_id, text_hash), and each fingerprint's ``label`` and number of ``copies``.
+
+    Both are written tables: a fingerprint that very many documents share is joined as a plain equi-join, which can be split.
+    """
     prints = materialise(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_udf(shingle)(F.col("text")).alias("f")), "prints")
     nodes = materialise(prints.groupBy("f").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "nodes")
     labels = connected_components(near_pairs(nodes.select("f"), distance)).select(F.col("node").alias("f"), "label")
-    return prints, nodes.join(labels, "f", "left").withColumn("label", F.coalesce("label", "f"))
+    return prints, materialise(nodes.join(labels, "f", "left").withColumn("label", F.coalesce("label", "f")), "labelled")
 
 
 def simhash_components(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
@@ -160,7 +163,7 @@ def simhash_components(docs: DataFrame, distance: int = 4, shingle: int = 4) ->
     """
     prints, nodes = _classes(docs, distance, shingle)
     low = nodes.groupBy("label").agg(F.min("low").alias("component_id"))
-    nodes = nodes.join(low, "label").select("f", "copies", "component_id")
+    nodes = materialise(nodes.join(low, "label").select("f", "copies", "component_id"), "components")
     return prints.join(nodes, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
