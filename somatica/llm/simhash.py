@@ -174,6 +174,11 @@ def simhash_dedup(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataF
     of the text). Of rows that share doc_id and text one stays.
     """
     prints, nodes = _classes(docs, distance, shingle)
+    return first_of_class(docs, prints, nodes)
+
+
+def first_of_class(docs: DataFrame, prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The documents that ``simhash_dedup`` keeps, given ``prints`` (doc_id, text_hash, f) and ``nodes`` (f, label)."""
     named = prints.join(nodes.select("f", "label"), "f").groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "rows")).alias("k")
     kept = materialise(named.groupBy("label").agg(first).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_h"), F.col("k.rows").alias("_rows")), "kept")
