@@ -47,7 +47,7 @@ class Cascade:
 
     The filters hold about two bytes for each listed key in all, whatever the universe's size. Every look-up reads them as
     a scalar subquery, so they reach the tasks once and no table is joined. ``most_keys`` bounds them (16 MB by
-    default); for longer lists ``build`` raises ValueError and the list belongs in an ordinary join.
+    default); for longer lists ``build`` raises ValueError: ``Cascades`` deals such a list to several cascades.
     """
 
     def __init__(self, levels: DataFrame, shape: list[tuple[int, int]]):
@@ -87,6 +87,37 @@ class Cascade:
         return F.coalesce(out & key.isNotNull(), F.lit(False))
 
 
+class Cascades:
+    """Exact membership for lists of any length: keys are dealt by hash to as many cascades as keep each under ``most_keys``."""
+
+    def __init__(self, parts: list[Cascade]):
+        self.parts = parts
+
+    @classmethod
+    def build(cls, listed: DataFrame, universe: DataFrame, most_keys: int = 8_000_000) -> Cascades:
+        """``listed``, ``universe``: as for ``Cascade.build``."""
+        yes = materialise(listed.where("key is not null").select("key").distinct(), "listed")
+        sizes, parts = [yes.count()], 1
+        while max(sizes) > most_keys:
+            parts = max(parts + 1, -(-sum(sizes) * 11 // (10 * most_keys)))
+            sizes = [r["count"] for r in yes.groupBy(part_of(F.col("key"), parts)).count().collect()]
+        if parts == 1:
+            return cls([Cascade.build(yes, universe, most_keys)])
+        of = part_of(F.col("key"), parts)
+        return cls([Cascade.build(yes.where(of == i), universe.where(of == i), most_keys) for i in range(parts)])
+
+    def holds(self, key: Column) -> Column:
+        """Whether a key of the universe is listed; for a null key false."""
+        out, of = F.lit(False), part_of(key, len(self.parts))
+        for i, cascade in enumerate(self.parts):
+            out = F.when(of == i, cascade.holds(key)).otherwise(out)
+        return out
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts)) if parts > 1 else F.lit(0)
+
+
 def host_shares(pages: DataFrame) -> DataFrame:
     """host, pages: number of pages of each host, from the column url."""
     return pages.select(url_host(F.col("url")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
@@ -99,16 +130,16 @@ def flooding_hosts(pages: DataFrame, share: float = 0.05) -> DataFrame:
     return hosts.where(F.col("pages") >= max(1.0, share * total)).select(F.col("host").alias("key"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, most_keys: int = 8_000_000) -> DataFrame:
     """Verdict on each url: the longest fitting rule's, else ``block`` if the host is listed and ``allow`` if not.
 
-    ``listed``: column ``key``, hosts. Returns page_id, host, path, rule (null if none fits) and verdict. A null url, or one
+    ``listed``: column ``key``, hosts, however many (over ``most_keys`` they go to several cascades). Returns page_id, host, path, rule (null if none fits) and verdict. A null url, or one
     without ``://``, has an empty host and path and is allowed. Repeated rows and null ids come back as they came; an empty
     table gives no rows; other columns are ignored.
     """
     p = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     p = p.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
-    cascade = Cascade.build(listed, p.select(F.col("host").alias("key")))
+    cascade = Cascades.build(listed, p.select(F.col("host").alias("key")), most_keys)
     name, verdict = best_rule(F.col("host"), F.col("path"), rules)
     own = F.when(cascade.holds(F.col("host")), "block").otherwise("allow")
     return p.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
