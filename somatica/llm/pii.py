@@ -77,23 +77,28 @@ def base_spans(docs: DataFrame) -> DataFrame:
 _WORD = r"\p{L}++"
 
 
-def disclosing_terms(docs: DataFrame, based: DataFrame, near: int = 3, support: int = 5, threshold: float = 0.95) -> DataFrame:
+def _nearest(text: Column, near: int) -> Column:
+    """The first ``near`` words of a text, however far off."""
+    return F.regexp_extract_all(F.regexp_extract(text, rf"^(?:\P{{L}}*+{_WORD}){{0,{near}}}", 0), F.lit(_WORD), 0)
+
+
+def disclosing_terms(docs: DataFrame, based: DataFrame, near: int = 3, prior: float = 0.06, threshold: float = 0.95) -> DataFrame:
     """Terms that give a protected entity away: ``term``, ``kind``, ``disclosure``.
 
     ``based``: text and base of the documents with spans. An entity is the value of a base span. Its contexts are the
-    ``near`` words before and after each of its spans. With counts over the whole corpus of N words, an entity e informs as
-    much as IC(e) = log2(N / n(e)), and a term t tells PMI(e; t) = log2(n(e, t) N / (n(e) n(t))) of it. The term is disclosing
-    if that is ``threshold`` of IC(e) or more and ``support`` different contexts show the pair (copies of a context count once).
+    ``near`` words before and after each of its spans, taken from the whole text. With counts over the whole corpus of N
+    words, an entity e informs as much as IC(e) = log2(N / n(e)), and a term t tells PMI(e; t) = log2(n(e, t) N / (n(e) n(t)))
+    of it. Their ratio, 1 at most, is smoothed by d / (d + ``prior``), where d different texts show the pair (copies of a text count
+    once, a template in different texts counts each time). The term is disclosing if that is ``threshold`` or more: with the
+    defaults a term seen nowhere else needs two texts, one met elsewhere more.
     """
-    one = based.select("text", F.explode("base").alias("s"))
-    left = F.substring("text", F.greatest(F.col("s.start") - 79, F.lit(1)), F.least(F.col("s.start"), F.lit(80)))
-    right = F.substring("text", F.col("s.end") + 1, F.lit(80))
-    before = F.slice(F.reverse(F.regexp_extract_all(left, F.lit(_WORD), 0)), 1, near)
-    after = F.slice(F.regexp_extract_all(right, F.lit(_WORD), 0), 1, near)
-    contexts = one.select(F.col("s.value").alias("entity"), F.col("s.kind").alias("kind"), F.array_distinct(F.transform(F.concat(before, after), F.lower)).alias("terms"))
-    pairs = contexts.select("entity", "kind", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term"))
-    seen = pairs.groupBy("entity", "kind", "term", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "kind", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("contexts"))
-    seen = seen.where(F.col("contexts") >= support)
+    one = based.select("text", F.xxhash64("text").alias("text_hash"), F.explode("base").alias("s"))
+    left = F.reverse(F.substring("text", F.lit(1), F.col("s.start")))
+    right = F.substring("text", F.col("s.end") + 1, F.length("text"))
+    before = F.transform(_nearest(left, near), F.reverse)
+    contexts = one.select("text_hash", F.col("s.value").alias("entity"), F.col("s.kind").alias("kind"), F.array_distinct(F.transform(F.concat(before, _nearest(right, near)), F.lower)).alias("terms"))
+    pairs = contexts.select("entity", "kind", "text_hash", F.explode("terms").alias("term"))
+    seen = pairs.groupBy("entity", "kind", "term", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "kind", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts"))
     entities = contexts.groupBy("entity", "kind").agg(F.count(F.lit(1)).alias("n_entity"))
     words = docs.select(F.explode(F.split(F.lower("text"), r"\P{L}++")).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     words = materialise(words, "words")
@@ -101,11 +106,11 @@ def disclosing_terms(docs: DataFrame, based: DataFrame, near: int = 3, support:
     told = seen.join(entities, ["entity", "kind"]).join(words, "term")
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     pmi = F.log2(F.col("both") * F.lit(float(total)) / F.col("n_entity") / F.col("n_term"))
-    told = told.withColumn("disclosure", pmi / information).where((information > 0) & (F.col("disclosure") >= threshold))
+    told = told.withColumn("disclosure", F.least(pmi / information, F.lit(1.0)) * F.col("texts") / (F.col("texts") + F.lit(float(prior)))).where((information > 0) & (F.col("disclosure") >= threshold))
     return materialise(told.groupBy("term").agg(F.max_by("kind", F.struct("disclosure", "kind")).alias("kind"), F.max("disclosure").alias("disclosure")), "terms")
 
 
-def find_spans(docs: DataFrame, near: int = 3, support: int = 5, threshold: float = 0.95) -> DataFrame:
+def find_spans(docs: DataFrame, near: int = 3, prior: float = 0.06, threshold: float = 0.95) -> DataFrame:
     """Personal data of whole texts: base spans, and the words that disclose an entity (kind ``term``).
 
     Returns doc_id, text_hash (with doc_id it names the document), base and added: arrays of (start, rank, end, kind,
@@ -116,7 +121,7 @@ def find_spans(docs: DataFrame, near: int = 3, support: int = 5, threshold: floa
     """
     d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     found = materialise(base_spans(d).select("doc_id", "text_hash", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "spans")
-    terms = disclosing_terms(d, found.where("text is not null").select("text", "base"), near, support, threshold).select("term")
+    terms = disclosing_terms(d, found.where("text is not null").select("text", "base"), near, prior, threshold).select("term")
     spoken = d.select("doc_id", "text_hash", F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}++"))).alias("term")).join(terms, "term")
     hits = spoken.groupBy("doc_id", "text_hash").agg(F.collect_set("term").alias("terms"))
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "terms")
