@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +17,14 @@ _LOCAL_SCRATCH: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """Folder shared by driver and executors: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests in local mode), one temporary folder per application.
+    Where a local session has none (tests), one temporary folder per application. On a cluster it must be set: executors
+    would write to their own disks, and what they wrote would be missing without a sign.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="somatica-")
@@ -39,16 +45,20 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(values: list, most: int = 1_000_000):
-    """Bounds of runs of ``values`` (texts or byte strings) with about ``most`` characters in all; bounds a batch's memory."""
-    i = size = 0
-    for j, v in enumerate(values):
-        size += len(v)
-        if size >= most:
-            yield i, j + 1
-            i, size = j + 1, 0
-    if i < len(values):
-        yield i, len(values)
+def slices(column: pa.Array, most: int = 1_000_000):
+    """Cuts an Arrow column of texts or byte strings into runs of about ``most`` bytes: first row, last row + 1, and the run's
+    values as a list. So a task's Python objects stay few, whatever the size of Arrow's batches; unused memory is given back."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = np.cumsum(sizes) // most
+    starts = np.flatnonzero(np.diff(block, prepend=-1)).tolist() if len(block) else []
+    for i, j in zip(starts, [*starts[1:], len(sizes)], strict=True):
+        yield i, j, column.slice(i, j - i).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names (points in them too)."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def whole_rows(df: DataFrame) -> DataFrame:
@@ -111,16 +121,20 @@ def bloom_bit(key: Column, seed: int, probe: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed), F.lit(probe)), F.lit(bits))
 
 
-def bloom_words(keys: DataFrame, seed: int, probes: int, bits: int) -> DataFrame:
-    """One row: the Bloom filter of ``keys`` (column ``key``) as ``words``, an array of ``bits / 64`` longs."""
-    at = keys.select(F.explode(F.array(*[bloom_bit(F.col("key"), seed, i, bits) for i in range(probes)])).alias("at"))
+def bit_words(at: DataFrame, bits: int) -> DataFrame:
+    """One row: ``words``, an array of ``bits / 64`` longs in which the bits listed in ``at`` are set."""
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
     word = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(one).alias("set"))
-    every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w")).join(word, "w", "left")
+    every = at.sparkSession.range(bits // 64).select(F.col("id").alias("w")).join(word, "w", "left")
     listed = F.array_sort(F.collect_list(F.struct("w", F.coalesce("set", F.lit(0).cast("long")).alias("set"))))
     return every.agg(F.transform(listed, lambda x: x["set"]).alias("words"))
 
 
+def bloom_words(keys: DataFrame, seed: int, probes: int, bits: int) -> DataFrame:
+    """One row: the Bloom filter of ``keys`` (column ``key``) as ``words``, an array of ``bits / 64`` longs."""
+    return bit_words(keys.select(F.explode(F.array(*[bloom_bit(F.col("key"), seed, i, bits) for i in range(probes)])).alias("at")), bits)
+
+
 def bloom_passes(key: Column, words: Column, seed: int, probes: int, bits: int) -> Column:
     """Whether all probed bits of ``key`` are set in the filter ``words``."""
     out = F.lit(True)
@@ -129,3 +143,23 @@ def bloom_passes(key: Column, words: Column, seed: int, probes: int, bits: int)
         word = F.element_at(words, (F.shiftright(at, 6) + 1).cast("int"))
         out = out & (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))) != 0)
     return out
+
+
+#: Bits of the largest Bloom filter that is sent to every task (8 MB).
+MOST_BITS = 1 << 26
+
+
+class KeyFilter:
+    """Bloom filter of a written table of keys (column ``key``), bounded by ``MOST_BITS``, to tell rows apart before a join.
+
+    A key of the table always passes; of other keys few do, until the filter is full. So it may thin out what a join has to
+    move, and the join stays exact. The filter reaches the tasks as a scalar subquery of a written row.
+    """
+
+    def __init__(self, keys: DataFrame, each: int = 16, probes: int = 4, seed: int = 8):
+        self.bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (each * keys.count()).bit_length()))
+        self.seed, self.probes = seed, probes
+        self.words = materialise(bloom_words(keys, seed, probes, self.bits), "key-filter")
+
+    def passes(self, key: Column) -> Column:
+        return bloom_passes(key, self.words.scalar(), self.seed, self.probes, self.bits)

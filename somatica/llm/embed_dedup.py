@@ -185,7 +185,7 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.93, probes: int =
     Returns vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable), kept (vec_id is the
     component_id), one row per row of ``vectors``. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows with a null label or vec_id, link with nothing (component_id is then their own id). Vectors of
-    different widths do not link. Rows that share a vec_id are one node but counted singly. An empty table gives no
+    different widths do not link; over 1000 different widths raise ValueError. Rows that share a vec_id are one node but counted singly. An empty table gives no
     rows; other columns are ignored.
     """
     e = F.col("embedding")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from somatica.llm.common import slices
+
 # Names under which licenses are cited, and their identifiers.
 NAMES = {
     "MIT": ("MIT License", "MIT license", "Expat License", "MIT"),
@@ -60,11 +62,29 @@ SENTENCES = {
     "gpl2-grant": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl3-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "unlicense-grant": "This is free and unencumbered software released into the public domain.",
+    "unlicense-use": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "lgpl2-grant": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-grant": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl2-only-grant": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "mpl-grant": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "epl-grant": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "wtfpl-grant": "You just DO WHAT THE FUCK YOU WANT TO.",
+    "cc0-waiver": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "reserved": "All rights reserved.",
 }
-#: License and the sentence identifiers that must follow each other (sentences that are not known may lie between). Rules
-#: with more sentences come first and use theirs up, so that a three-clause text is not also a two-clause one.
+#: License and the sentence identifiers that must follow each other (other sentences may lie between). Of the rules of a kind of
+#: text, those with more sentences come first and use theirs up, so that a three-clause text is not also a two-clause one.
 RULES = (
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("MIT", ("mit-grant", "mit-notice", "mit-as-is")),
@@ -74,59 +94,84 @@ RULES = (
     ("ISC", ("isc-grant",)),
     ("GPL-2.0-or-later", ("gpl2-grant",)),
     ("GPL-3.0-or-later", ("gpl3-grant",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("LGPL-2.1-or-later", ("lgpl2-grant",)),
+    ("LGPL-3.0-or-later", ("lgpl3-grant",)),
+    ("AGPL-3.0-or-later", ("agpl3-grant",)),
+    ("GPL-2.0-only", ("gpl2-only-grant",)),
+    ("MPL-2.0", ("mpl-grant",)),
+    ("EPL-2.0", ("epl-grant",)),
+    ("WTFPL", ("wtfpl-grant",)),
+    ("CC0-1.0", ("cc0-waiver",)),
+    ("Unlicense", ("unlicense-grant", "unlicense-use")),
     ("Unlicense", ("unlicense-grant",)),
     ("LicenseRef-all-rights-reserved", ("reserved",)),
     *((name, (f"named:{name}",)) for name in NAMES),
 )
 
-_CUT = re.compile(r"(?<=[.:;!?])\s+|\n+")
-_NOISE = re.compile(r"[^0-9a-z.]+|\.(?!\d)")
-
-
-def normalised(sentence: str) -> str:
-    """Lower case; every run of anything but letters, digits and points inside numbers is one blank."""
-    return _NOISE.sub(" ", sentence.lower()).strip()
+#: Words: letters and digits, with points inside numbers. Everything else parts them.
+_WORD = re.compile(r"[0-9a-z]+(?:\.(?=[0-9])[0-9a-z]+)*")
+#: Signs between two words behind which a sentence may begin, or before which one may end.
+_SIGN = re.compile(r"[.:;!?\n\r()\[\]{}<>*#|/\u2022\u3002\uff01\uff1f]")
+def sentence_words(sentence: str) -> list[str]:
+    """A sentence in normal form: its words in lower case, without marks, brackets and line breaks."""
+    return _WORD.findall(sentence.lower())
 
 
 @dataclass(frozen=True)
 class Scanner:
-    """``known``: normalised sentence to identifier; ``starts``: the known sentences by their first eight characters."""
+    """``tree``: the known sentences word by word; the identifier stands at the end of each, under the empty word. ``begins``
+    finds the first two words of any of them."""
 
-    known: dict[str, str]
-    starts: dict[str, list[str]]
+    tree: dict
+    begins: re.Pattern
+
+    @classmethod
+    def of(cls, known: dict[str, str]) -> Scanner:
+        """``known``: sentence (two words at least) to identifier."""
+        tree: dict = {}
+        for sentence, key in known.items():
+            node = tree
+            for word in sentence_words(sentence):
+                node = node.setdefault(word, {})
+            node[""] = key
+        firsts = "|".join(f"{re.escape(one)}[^0-9a-z]+(?:{'|'.join(map(re.escape, sorted(two, reverse=True)))})" for one, two in sorted(tree.items()))
+        return cls(tree, re.compile(f"(?<![0-9a-z])(?:{firsts})(?![0-9a-z])"))
 
     @classmethod
     def default(cls) -> Scanner:
-        known = {}
-        for name, shown in NAMES.items():
-            for notice in NOTICES:
-                for s in shown:
-                    for the in ("the ", ""):
-                        known[normalised(notice.format(name=s, the=the))] = f"named:{name}"
-        for key, sentence in SENTENCES.items():
-            known[normalised(sentence)] = key
-        starts: dict[str, list[str]] = {}
-        for k in known:
-            starts.setdefault(k[:8], []).append(k)
-        return cls(known, starts)
+        notices = {notice.format(name=s, the=the): f"named:{name}" for name, shown in NAMES.items() for notice in NOTICES for s in shown for the in ("the ", "")}
+        return cls.of(notices | {sentence: key for key, sentence in SENTENCES.items()})
 
     def identifiers(self, text: str) -> list[str]:
-        """Identifiers of the known sentences of ``text``, in order; a sentence may be broken over several lines."""
-        pieces = [p for p in map(normalised, _CUT.split(text)) if p]
-        out, i = [], 0
-        while i < len(pieces):
-            step = 1
-            found = self.known.get(pieces[i])
-            if found is None and any(k.startswith(pieces[i][:60]) for k in self.starts.get(pieces[i][:8], ())):
-                line = pieces[i]
-                for j in range(i + 1, min(i + 12, len(pieces))):
-                    line += " " + pieces[j]
-                    if line in self.known:
-                        found, step = self.known[line], j - i + 1
-                        break
+        """Identifiers of the known sentences of ``text``, in order.
+
+        A known sentence is found where its words follow each other from the beginning of a sentence (of a line, behind a
+        sign) to the end of one, whatever stands between the words: it may be broken over lines anywhere. Of two that
+        begin alike the longer counts.
+        """
+        low, out, at = text.lower(), [], 0
+        while begin := self.begins.search(low, at):
+            first = begin.start()
+            at = first + 1
+            before = first
+            while before and not (low[before - 1].isascii() and low[before - 1].isalnum()):
+                before -= 1
+            if before and not _SIGN.search(low, before, first):
+                continue
+            node, found = self.tree, None
+            for m in _WORD.finditer(low, first):
+                node = node.get(m.group())
+                if node is None:
+                    break
+                if "" in node:
+                    after = _WORD.search(low, m.end())
+                    if after is None or _SIGN.search(low, m.end(), after.start()):
+                        found, at = node[""], m.end()
             if found:
                 out.append(found)
-            i += step
         return out
 
     def licenses(self, identifiers: list[str]) -> list[str]:
@@ -161,7 +206,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf(_KIND)
     def scan(texts: pa.Array) -> pa.Array:
-        sentences = [scanner.identifiers(t) if t else [] for t in texts.to_pylist()]
+        sentences = [scanner.identifiers(t) if t else [] for _, _, values in slices(texts) for t in values]
         licenses = [scanner.licenses(s) if s else [] for s in sentences]
         return pa.StructArray.from_arrays([pa.array(sentences, pa.list_(pa.string())), pa.array(licenses, pa.list_(pa.string()))], ["sentences", "licenses"])
 

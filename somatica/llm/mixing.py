@@ -50,8 +50,10 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = 2.0, rounds: int
     """Tilt of each source: ``source``, ``tilt``.
 
     ``cells``: source, size, n (documents of that size). Among rates between 0 and ``most`` whose words meet the
-    target, those of largest entropy (relative to even rates) are ``most / (1 + exp(-tilt * size / mean size))``;
-    ``tilt`` solves the source's convex dual. Each round is one Spark job over the cells: per-source sums of the
+    target, those of largest entropy are ``most / (1 + exp(-tilt * size / mean size))``: a rate r takes the share r / ``most`` of
+    a document's possible copies and leaves the rest, and maximising the sum of both shares' entropies under the one
+    constraint sum(size * r) = target gives log(r / (most - r)) = tilt * size: exponential tilting of the odds, since
+    rates are bounded on both sides (for small rates it is the plain exponential tilt). ``tilt`` solves the source's convex dual. Each round is one Spark job over the cells: per-source sums of the
     gradient and the curvature, then a Newton step for every source, halved into the bracket where it would leave it.
     A source at its cap has no finite tilt; its row holds the largest double.
     """
@@ -139,10 +141,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; columns and texts stay as they are."""
-    copies = mix(docs, **how).where("copies > 0").groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t"), "_sum", "_rows")
-    d = whole_rows(docs).withColumn("h", F.xxhash64("row.text"))
-    d = d.join(copies, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_t")))
-    # rows that share id and text are the same document: each brings its even share, rounded up
-    return d.select("row", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_sum") / F.col("_rows")).cast("int")))).select("row.*")
+    """``docs`` with each row as often as the mix takes it; columns and texts stay as they are.
+
+    Exactly the copies that ``mix`` decides. Rows that share doc_id, text and source are counted together and take their
+    copies in turn: each as many as the next, give or take one; rows that are alike in all columns are never gathered,
+    only counted. Null and blank texts take no words and are left out; null sources and ids are kept as such; an empty
+    table gives no rows.
+    """
+    took = mix(docs, **how).where("copies > 0").groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("_sum"))
+    took = materialise(took.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t"), F.col("source").alias("_s"), "_sum"), "taken")
+    every = mix_keys(docs).groupBy("id", "h", "source").agg(F.count(F.lit(1)).alias("_rows"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s"))
+    took = materialise(every.join(took, same).select("_id", "_t", "_s", "_sum", "_rows"), "shares")
+    d = mix_keys(docs).join(took, same)
+    once = d.where("_rows = 1").select("row", F.col("_sum").alias("times"))
+    kinds = d.where("_rows > 1").groupBy("id", "h", "source", F.xxhash64("row").alias("v")).agg(F.first("row").alias("row"), F.first("_sum").alias("_sum"), F.first("_rows").alias("_rows"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("id", "h", "source").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each, extra = F.floor(F.col("_sum") / F.col("_rows")), F.col("_sum") % F.col("_rows")
+    times = F.col("n") * each + F.greatest(F.lit(0), F.least(extra - before, F.col("n")))
+    like = kinds.select("row", times.cast("long").alias("times"))
+    return once.unionByName(like).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+
+
+def mix_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` as column ``row`` with what names a document in the mix: id, h (hash of the text), source."""
+    return whole_rows(docs).withColumns({"id": F.col("row.doc_id"), "h": F.xxhash64("row.text"), "source": F.col("row.source")})

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
 import json
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,10 @@ from somatica.llm.common import materialise, prefix_sums, slices
 
 #: Fixed value: the pattern by which byte-level BPE files of this kind cut a text into words.
 _BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_PROBE = "It's  a test,\n\n\tof 1234 words\u2014na\u00efve \u00fcber \u4f60\u597d \U0001f600 e\u0301 don't I'LL   \u00a0 x\r\n"
+#: Characters on whose kind all versions of Unicode agree: texts with others are encoded as a whole.
+_OLD = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*+")
+#: Words that a worker remembers before it forgets all.
+_MEMO = 250_000
 
 _loaded: dict = {}
 
@@ -27,44 +31,45 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_level_ranks(spec: dict) -> dict[bytes, int] | None:
-    """Byte strings of a plain byte-level BPE vocabulary with their ids, if these are in order of the merges; else None."""
-    model, pre = spec.get("model", {}), spec.get("pre_tokenizer") or {}
-    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-    if model.get("type") != "BPE" or not plain or spec.get("normalizer") or model.get("dropout"):
-        return None
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in such a file
-    letter = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
-    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
-    ids = [vocab.get(m, -1) for m in merged]
-    if len(vocab) != len(merged) + 256 or any(a >= b for a, b in itertools.pairwise([255, *ids])):
-        return None
-    return {bytes(letter[c] for c in t): i for t, i in vocab.items()}
-
-
-def _tokenizer(path: str):
-    """A function from a text to its ids as by ``tokenizers`` for the file at ``path``, without added special tokens.
-
-    For plain byte-level BPE files the same ids come from ``tiktoken``, which runs the same merges several times faster; a
-    probe compares the two when the file is loaded. Strings of special tokens in a text become their ids in both.
+class Encoder:
+    """Ids by ``tokenizers`` for the file at ``path``, without added special tokens, as byte strings of 4-byte numbers.
+
+    A plain byte-level BPE encodes the words of a text one by one, so each word need be encoded once: its ids are remembered
+    (``_MEMO`` words at most) and put together. Texts for which that may not hold, those with a special token or with
+    characters beyond Latin, and all texts where the file is of another kind, are encoded whole.
     """
-    if path not in _loaded:
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of work
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        _loaded[path] = encode = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
+        self.own, self.memo = Tokenizer.from_file(path), {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if ranks := _byte_level_ranks(spec):
-            import tiktoken
-
-            special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-            fast = tiktoken.Encoding("own", pat_str=_BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            quick = lambda text: fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
-            if all(np.array_equal(quick(t), encode(t)) for t in (_PROBE, *special, f"a {next(iter(special), '')} b")):
-                _loaded[path] = quick
+        model, pre = spec.get("model", {}), spec.get("pre_tokenizer") or {}
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.by_word = by_word and model.get("type") == "BPE" and not spec.get("normalizer") and not model.get("dropout") and not spec.get("truncation") and not spec.get("padding")
+        self.cut = regex.compile(_BYTE_LEVEL_PATTERN).findall
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        plain = [self.by_word and _OLD.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
+        words = [self.cut(t) if p else () for t, p in zip(texts, plain, strict=True)]
+        if len(self.memo) > _MEMO:
+            self.memo.clear()
+        new = list(set().union(*words) - self.memo.keys())
+        self.memo.update(zip(new, self._whole(new), strict=True))
+        whole = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [b"".join(map(self.memo.__getitem__, w)) if p else next(whole) for w, p in zip(words, plain, strict=True)]
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a file, loaded once."""
+    if path not in _loaded:
+        _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
@@ -73,16 +78,15 @@ def _encode(path: str, end_id: int):
 
     def run(batches):
         part, start = TaskContext.get().partitionId(), 0
-        encode = _tokenizer(path)
+        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in slices(texts):
-                ids = [np.append(encode(t), np.uint32(end_id)) for t in texts[i:j]]
+            for i, j, texts in slices(batch.column(1)):
+                ids = [np.frombuffer(raw + end, "<u4") for raw in encode([t or "" for t in texts])]
                 n = np.array([len(x) for x in ids], np.int64)
                 at = start + np.cumsum(n) - n
                 start += int(n.sum())
                 wide = max(int(x.max()) for x in ids) >= 1 << 16
-                raw = [x.tobytes() if wide else x.astype(np.uint16).tobytes() for x in ids]
+                raw = [x.tobytes() if wide else x.astype("<u2").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([part] * (j - i), pa.int64()), pa.array(at), pa.array(n), pa.array([4 if wide else 2] * (j - i), pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "part", "at", "n", "width", "ids"])
 
     return run
@@ -92,10 +96,10 @@ def _cut(length: int, with_ids: bool):
     """Documents with their first global position to the pieces that fixed windows cut."""
 
     def run(batches):
-        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):  # small steps bound the memory
-            out = [[] for _ in range(8)]
-            for doc_id, first, n, width, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                ids = np.frombuffer(raw, np.uint16 if width == 2 else np.uint32).astype("<u4")
+        for whole, (i, j, raws) in ((b, x) for b in batches for x in slices(b.column(4))):  # small steps bound the memory
+            batch, out = whole.slice(i, j - i), [[] for _ in range(8)]
+            for doc_id, first, n, width, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), raws, strict=True):
+                ids = np.frombuffer(raw, "<u2" if width == 2 else "<u4").astype("<u4")
                 start = 0
                 while start < n:
                     seq, offset = divmod(first + start, length)

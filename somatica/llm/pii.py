@@ -10,7 +10,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from somatica.llm.common import materialise, whole_rows
+from somatica.llm.common import KeyFilter, columns, materialise, whole_rows
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -66,12 +66,12 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
     A text without the sign that every match of a kind has is not scanned for it.
     """
-    columns, text = docs.columns, F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<string>")
     d = docs.withColumns({f"_m_{k}": F.when(F.contains(text, F.lit(_SIGNS[k])), F.regexp_extract_all(text, F.lit(PATTERNS[k]), 0)).otherwise(none) if k in _SIGNS else F.regexp_extract_all(text, F.lit(PATTERNS[k]), 0) for k in KINDS})
     d = d.withColumns({f"_g_{k}": F.when(F.size(f"_m_{k}") > 0, F.split(text, PATTERNS[k], -1)) for k in KINDS})
     spans = F.concat(*[_placed(k, i, f"_m_{k}", f"_g_{k}", functools.partial(_holds, k)) for i, k in enumerate(KINDS)])
-    return d.select(*columns, F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))).alias("base"))
+    return d.select(*columns(docs), F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))).alias("base"))
 
 
 _WORD = r"\p{L}++"
@@ -82,21 +82,24 @@ def _nearest(text: Column, near: int) -> Column:
     return F.regexp_extract_all(F.regexp_extract(text, rf"^(?:\P{{L}}*+{_WORD}){{0,{near}}}", 0), F.lit(_WORD), 0)
 
 
-def disclosing_terms(docs: DataFrame, based: DataFrame, near: int = 3, prior: float = 0.06, threshold: float = 0.95) -> DataFrame:
+def disclosing_terms(docs: DataFrame, based: DataFrame, near: int = 3, threshold: float = 0.95) -> DataFrame:
     """Terms that give a protected entity away: ``term``, ``kind``, ``disclosure``.
 
-    ``based``: text and base of the documents with spans. An entity is the value of a base span. Its contexts are the
-    ``near`` words before and after each of its spans, taken from the whole text. With counts over the whole corpus of N
-    words, an entity e informs as much as IC(e) = log2(N / n(e)), and a term t tells PMI(e; t) = log2(n(e, t) N / (n(e) n(t)))
-    of it. Their ratio, 1 at most, is smoothed by d / (d + ``prior``), where d different texts show the pair (copies of a text count
-    once, a template in different texts counts each time). The term is disclosing if that is ``threshold`` or more: with the
-    defaults a term seen nowhere else needs two texts, one met elsewhere more.
+    ``based``: text and base of the documents with spans. An entity e is the value of a base span; its contexts are the
+    ``near`` words before and after each of its spans, taken from the whole text. With n(e) spans in a corpus of N words, e
+    carries IC(e) = log2(N / n(e)) bits. Of these a term t, n(t) words of the corpus, tells PMI(e; t) = IC(e) - log2(1 / p(e | t)),
+    where p(e | t) is the share of the t that stand near e, n(e, t) / n(t), with one text more in which t stands without e:
+    1 / p(e | t) = n(t) / n(e, t) + 1 / d, where d different texts show the pair (copies of a text are one text; a template in
+    different texts counts each time). The term is disclosing if PMI(e; t) / IC(e) is ``threshold`` or more. With the default,
+    a word seen nowhere else needs one text if e carries 20 bits or more, two texts from 12 bits on; one that is common
+    elsewhere never gets there.
     """
-    one = based.select("text", F.xxhash64("text").alias("text_hash"), F.explode("base").alias("s"))
+    one = based.select(F.xxhash64("text").alias("text_hash"), "text", F.explode("base").alias("s"))
     left = F.reverse(F.substring("text", F.lit(1), F.col("s.start")))
     right = F.substring("text", F.col("s.end") + 1, F.length("text"))
     before = F.transform(_nearest(left, near), F.reverse)
     contexts = one.select("text_hash", F.col("s.value").alias("entity"), F.col("s.kind").alias("kind"), F.array_distinct(F.transform(F.concat(before, _nearest(right, near)), F.lower)).alias("terms"))
+    contexts = materialise(contexts, "contexts")
     pairs = contexts.select("entity", "kind", "text_hash", F.explode("terms").alias("term"))
     seen = pairs.groupBy("entity", "kind", "term", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "kind", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts"))
     entities = contexts.groupBy("entity", "kind").agg(F.count(F.lit(1)).alias("n_entity"))
@@ -105,12 +108,12 @@ def disclosing_terms(docs: DataFrame, based: DataFrame, near: int = 3, prior: fl
     total = words.agg(F.sum("n_term")).first()[0] or 1
     told = seen.join(entities, ["entity", "kind"]).join(words, "term")
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    pmi = F.log2(F.col("both") * F.lit(float(total)) / F.col("n_entity") / F.col("n_term"))
-    told = told.withColumn("disclosure", F.least(pmi / information, F.lit(1.0)) * F.col("texts") / (F.col("texts") + F.lit(float(prior)))).where((information > 0) & (F.col("disclosure") >= threshold))
+    missing = F.log2(F.col("n_term") / F.col("both") + 1 / F.col("texts"))
+    told = told.withColumn("disclosure", F.least(1 - missing / information, F.lit(1.0))).where((information > 0) & (F.col("disclosure") >= threshold))
     return materialise(told.groupBy("term").agg(F.max_by("kind", F.struct("disclosure", "kind")).alias("kind"), F.max("disclosure").alias("disclosure")), "terms")
 
 
-def find_spans(docs: DataFrame, near: int = 3, prior: float = 0.06, threshold: float = 0.95) -> DataFrame:
+def find_spans(docs: DataFrame, near: int = 3, threshold: float = 0.95) -> DataFrame:
     """Personal data of whole texts: base spans, and the words that disclose an entity (kind ``term``).
 
     Returns doc_id, text_hash (with doc_id it names the document), base and added: arrays of (start, rank, end, kind,
@@ -118,15 +121,20 @@ def find_spans(docs: DataFrame, near: int = 3, prior: float = 0.06, threshold: f
     ip at most 255, a card's digits passing the Luhn check, a phone's 9 to 15 digits. Added spans never touch them. A
     null text counts as empty. Rows that share doc_id and text are alike and come back as often as they came. An empty
     table gives no rows; other columns are ignored.
+
+    Every text is looked through for the terms with a Bloom filter of them; only words that seem to be one are joined with the
+    terms, and only texts that seem to hold one are joined with what was found, so the corpus is never shuffled.
     """
     d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     found = materialise(base_spans(d).select("doc_id", "text_hash", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "spans")
-    terms = disclosing_terms(d, found.where("text is not null").select("text", "base"), near, prior, threshold).select("term")
-    spoken = d.select("doc_id", "text_hash", F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}++"))).alias("term")).join(terms, "term")
-    hits = spoken.groupBy("doc_id", "text_hash").agg(F.collect_set("term").alias("terms"))
-    hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "terms")
+    terms = disclosing_terms(d, found.where("text is not null").select("text", "base"), near, threshold).select("term")
+    seem = KeyFilter(terms.select(F.col("term").alias("key")), each=20, probes=8)
+    spoken = d.select("doc_id", "text_hash", F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}++"))).alias("term")).where(seem.passes(F.col("term")))
+    hits = spoken.join(terms, "term").groupBy("doc_id", "text_hash").agg(F.collect_set("term").alias("terms"))
+    hits = materialise(hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "terms"), "speaking")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_h"))
-    marked = d.join(hits, same).withColumns({"_m": F.regexp_extract_all("text", F.lit(_WORD), 0), "_g": F.split("text", _WORD, -1)})
+    speaking = KeyFilter(hits.select(F.xxhash64("_id", "_h").alias("key"))).passes(F.xxhash64("doc_id", "text_hash"))
+    marked = d.where(speaking).join(hits, same).withColumns({"_m": F.regexp_extract_all("text", F.lit(_WORD), 0), "_g": F.split("text", _WORD, -1)})
     marked = marked.withColumn("added", _placed("term", len(KINDS), "_m", "_g", lambda m: F.array_contains("terms", F.lower(m))))
     marked = marked.groupBy("_id", "_h").agg(F.first("added").alias("added"))
     out = found.select("doc_id", "text_hash", "base").join(marked, same, "left")
@@ -154,12 +162,16 @@ def span_digests(docs: DataFrame, **how) -> DataFrame:
 def sanitise(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with personal data generalised: base spans become ``<EMAIL>`` and the like, disclosing terms ``<TERM>``.
 
-    Where spans overlap, the one that starts first (then the kind listed first) stands for all. Other columns stay.
+    Where spans overlap, the one that starts first (then the kind listed first) stands for all. Other columns stay, whatever
+    their names. Null texts stay null and empty ones empty; repeated rows and null ids come back as they came, each cleaned;
+    an empty table gives no rows. Only rows that a Bloom filter takes for documents with spans are joined with the spans.
     """
     spans = find_spans(docs, **how).where("size(base) > 0 or size(added) > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.array_sort(F.concat("base", "added")).alias("_spans"))
-    spans = spans.dropDuplicates(["_id", "_h"])
-    d = whole_rows(docs).withColumn("hash", F.xxhash64("row.text"))
-    d = d.join(spans, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_h")), "left")
+    spans = materialise(spans.dropDuplicates(["_id", "_h"]), "document-spans")
+    named = KeyFilter(spans.select(F.xxhash64("_id", "_h").alias("key")))
+    d = whole_rows(docs).withColumns({"id": F.col("row.doc_id"), "hash": F.xxhash64("row.text")})
+    seem = named.passes(F.xxhash64("id", "hash"))
+    some = d.where(seem).join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_h")), "left")
 
     def step(s: Column, p: Column) -> Column:
         gap = F.substring("row.text", s["at"] + 1, p["start"] - s["at"])
@@ -169,4 +181,5 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring("row.text", s["at"] + 1, F.length("row.text"))))
     text = F.when(F.col("_spans").isNull(), F.col("row.text")).otherwise(clean)
-    return d.select(*[text.alias("text") if c == "text" else F.col(f"row.{c}") for c in docs.columns])
+    rest = d.where(~seem).select("row.*")
+    return rest.unionByName(some.select(F.col("row").withField("text", text).alias("row")).select("row.*"))

@@ -57,7 +57,7 @@ URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net"
 
 def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
-    return urlfilter.judge(pages, URL_RULES, urlfilter.flooding_hosts(pages))
+    return urlfilter.judge(pages, URL_RULES, urlfilter.queried_addresses(pages), by="address")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -85,6 +85,6 @@ ORACLE_SQL: dict[str, str] = {
    CASE WHEN pos > 0 THEN regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM p),
  r(rh, rp, rv) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
  b AS (SELECT page_id, rh || rp AS rule, rv FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) = 1),
- f AS (SELECT host FROM h WHERE host <> '' GROUP BY 1 HAVING count(*) >= greatest(1, 0.05 * (SELECT count(*) FROM h WHERE host <> '')))
- SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN host IN (SELECT host FROM f) THEN 'block' ELSE 'allow' END) AS verdict FROM h LEFT JOIN b USING (page_id)""",
+ f AS (SELECT DISTINCT h.host || h.path AS k FROM h JOIN p USING (page_id) WHERE pos > 0 AND h.host || h.path <> '' AND regexp_matches(substr(url, pos + 3), '^[^#]*\\?'))
+ SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN host || path IN (SELECT k FROM f) THEN 'block' ELSE 'allow' END) AS verdict FROM h LEFT JOIN b USING (page_id)""",
 }

@@ -130,16 +130,30 @@ def flooding_hosts(pages: DataFrame, share: float = 0.05) -> DataFrame:
     return hosts.where(F.col("pages") >= max(1.0, share * total)).select(F.col("host").alias("key"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, most_keys: int = 8_000_000) -> DataFrame:
-    """Verdict on each url: the longest fitting rule's, else ``block`` if the host is listed and ``allow`` if not.
+def address(host: Column, path: Column) -> Column:
+    """Key of a page whatever its scheme, query and fragment: host and path; null where both are empty."""
+    return F.nullif(F.concat(host, path), F.lit(""))
 
-    ``listed``: column ``key``, hosts, however many (over ``most_keys`` they go to several cascades). Returns page_id, host, path, rule (null if none fits) and verdict. A null url, or one
-    without ``://``, has an empty host and path and is allowed. Repeated rows and null ids come back as they came; an empty
-    table gives no rows; other columns are ignored.
+
+def queried_addresses(pages: DataFrame) -> DataFrame:
+    """Addresses (column ``key``, each once) that some page was fetched under with a query: pages made on demand, whose
+    variants a crawl repeats. The list grows with the crawl."""
+    asked = F.coalesce((F.instr("url", "://") > 0) & F.substr(F.col("url"), F.instr("url", "://") + 3).rlike(r"^[^#]*\?"), F.lit(False))
+    return pages.where(asked).select(address(url_host(F.col("url")), url_path(F.col("url"))).alias("key")).where("key is not null").distinct()
+
+
+def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, by: str = "host", most_keys: int = 8_000_000) -> DataFrame:
+    """Verdict on each url: the longest fitting rule's, else ``block`` if its key is listed and ``allow`` if not.
+
+    ``listed``: column ``key``, hosts or (``by`` address) addresses, however many (over ``most_keys`` they go to several
+    cascades). Returns page_id, host, path, rule (null if none fits) and verdict. A null url, or one without ``://``, has an empty
+    host and path and is allowed. Repeated rows and null ids come back as they came; an empty table gives no rows; other
+    columns are ignored.
     """
     p = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     p = p.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
-    cascade = Cascades.build(listed, p.select(F.col("host").alias("key")), most_keys)
+    key = F.col("host") if by == "host" else address(F.col("host"), F.col("path"))
+    cascade = Cascades.build(listed, p.select(key.alias("key")), most_keys)
     name, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    own = F.when(cascade.holds(F.col("host")), "block").otherwise("allow")
+    own = F.when(cascade.holds(key), "block").otherwise("allow")
     return p.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"))

@@ -24,7 +24,7 @@ AWKWARD = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns of names that operators use inside.
-CLASHES = ["f", "label", "part", "text_hash", "score", "lang_pred", "copies", "size", "payload", "base", "at", "n", "key", "a", "b", "_id", "_h", "_t"]
+CLASHES = ["f", "label", "part", "text_hash", "score", "lang_pred", "copies", "size", "payload", "base", "at", "n", "key", "a", "b", "_id", "_h", "_t", "predicted", "a.b", "p", "h", "id", "row", "times", "v", "hash", "fit"]
 
 
 def words(text):

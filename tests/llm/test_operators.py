@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -160,6 +162,36 @@ def test_language(spark):
     assert {r.doc_id for r in rows(langid.accepted(d))} >= set(lang) and langid.accepted(d).where("doc_id in (9001, 9002)").count() == 0
 
 
+def test_language_plain(spark):
+    """Naive Bayes from dictionaries of grams; so few grams hardly share buckets."""
+    rng = random.Random(5)
+    data = [(i, " ".join("".join(rng.choices(p, k=4)) for _ in range(rng.randint(1, 12))), g) for i in range(120) for g, p in [rng.choice([("x", "abcd"), ("y", "cdef")])]]
+    train = [(t, g) for i, t, g in data if zlib.crc32(str(i).encode()) % 5]
+    grams = lambda t: Counter(s[k : k + n] for s in [f" {t} "] for n in (1, 2, 3) for k in range(len(s) - n + 1))
+    counts = {g: sum((grams(t) for t in {t for t, h in train if h == g}), Counter()) for g in ("x", "y")}
+    prior = Counter(g for _, g in train)
+
+    def posterior(t):
+        w = {g: math.log(prior[g] / len(train)) + sum(n * math.log((counts[g][k] + 0.5) / (counts[g].total() + 0.5 * 65536)) for k, n in grams(t).items()) for g in counts}
+        top = max(w.values())
+        return max(w, key=w.get), 1 / sum(math.exp(v - top) for v in w.values())
+
+    got = {r.doc_id: r for r in rows(langid.held_out_language(spark.createDataFrame(data, "doc_id long, text string, lang string")))}
+    for i, t, _ in data:
+        lang, score = posterior(t)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=2e-3), t
+
+
+def test_language_noise(spark):
+    rng = random.Random(6)
+    parts = {"en": ["the", "ing", "tion", "and", "er", "sh"], "de": ["sch", "ung", "und", "ein", "\u00e4", "\u00fc"]}
+    text = lambda g, n: " ".join("".join(rng.choices(parts[g], k=rng.randint(1, 3))) for _ in range(n))
+    data = [(i, text(g, rng.randint(1, 80)), g) for i in range(300) for g in [rng.choice(["en", "de"])]]
+    noise = [(1000 + i, "".join(rng.choices("bcdfghjklmnpqrstvwxyz ", k=300)), None) for i in range(20)] + [(2000, "\u4f60\u597d\u4e16\u754c" * 40, None)]
+    kept = {r.doc_id for r in rows(langid.accepted(spark.createDataFrame(data + noise, "doc_id long, text string, lang string")))}
+    assert kept == set(range(300))
+
+
 def test_language_awkward(awkward, empty):
     got = langid.held_out_language(awkward)
     assert got.count() == len(plain.AWKWARD) and langid.accepted(awkward).columns == awkward.columns
@@ -182,6 +214,29 @@ def test_mixing(prose):
     assert Counter(map(tuple, got)) == Counter(map(tuple, rows(mixing.mix(prose.repartition(3)))))
     copies = Counter(r.doc_id for r in rows(mixing.mixed(prose)))
     assert copies == Counter({r.doc_id: r.copies for r in got if r.copies})
+    for s in want:  # the tilt of each source by bisection over its documents, from the plain formula
+        own = [r for r in got if source[r.doc_id] == s and r.size]
+        mean, low, high = sum(r.size for r in own) / len(own), -200.0, 200.0
+        rate = lambda r, tilt, mean=mean: 2 / (1 + math.exp(-max(-700, min(700, tilt * r.size / mean))))
+        for _ in range(200):
+            tilt = (low + high) / 2
+            low, high = (tilt, high) if sum(rate(r, tilt) * r.size for r in own) < want[s] else (low, tilt)
+        if want[s] < 2 * sizes[s] * (1 - 1e-9):
+            assert all(r.rate == pytest.approx(rate(r, low), abs=1e-4) for r in own)
+
+
+def test_mixed_repeated_rows(spark):
+    rng = random.Random(14)
+    data = [(i // 2 if i < 60 else i, " ".join("w" * rng.randint(1, 4) for _ in range(9 + (i // 2 if i < 60 else i) % 40)), f"s{i % 2 if i < 60 else i % 3}", i) for i in range(120)]
+    data = [(i, data[2 * i][1] if i < 30 else t, s, k) for i, t, s, k in data]
+    data += [data[0]] * 30 + [(None, "one two", None, 1)] * 3
+    d = spark.createDataFrame(data, "doc_id long, text string, source string, k long")
+    took, got = Counter(), Counter()
+    for r in rows(mixing.mix(d)):
+        took[r.doc_id, r.source] += r.copies
+    for r in rows(mixing.mixed(d)):
+        got[r.doc_id, r.source] += 1
+    assert got == +took and {(r.doc_id, r.k) for r in rows(mixing.mixed(d))} <= {(x[0], x[3]) for x in data}
 
 
 def test_mixing_hot_cell(spark):
@@ -244,18 +299,62 @@ def test_licenses(spark, awkward, empty):
     assert license_scan.scan_licenses(awkward).count() == len(plain.AWKWARD) and license_scan.scan_licenses(empty).count() == 0
 
 
+def plain_sentences(known, text):
+    """Longest known sentence at every place where one may begin, with words, beginnings and ends found letter by letter."""
+    low, words = text.lower(), []
+    for m in license_scan._WORD.finditer(low):
+        words.append((m.group(), m.start(), m.end()))
+    gaps = [low[(words[k - 1][2] if k else 0) : (words[k][1] if k < len(words) else len(low))] for k in range(len(words) + 1)]
+    sign = [k in (0, len(words)) or any(c in ".:;!?\n\r()[]{}<>*#|/\u2022\u3002\uff01\uff1f" for c in g) for k, g in enumerate(gaps)]
+    out, i = [], 0
+    while i < len(words):
+        ends = [j for j in range(i + 1, min(len(words), i + 90) + 1) if sign[i] and sign[j] and tuple(w for w, *_ in words[i:j]) in known]
+        if ends:
+            out.append(known[tuple(w for w, *_ in words[i : ends[-1]])])
+        i = ends[-1] if ends else i + 1
+    return out
+
+
+def test_licenses_plain():
+    scanner = license_scan.Scanner.default()
+    notices = [(n.format(name=s, the=the), name) for name, shown in license_scan.NAMES.items() for n in license_scan.NOTICES for s in shown for the in ("the ", "")]
+    for text, name in notices:
+        assert scanner.licenses(scanner.identifiers(f"Some words. {text}\nand more")) == [name], text
+    for key, text in license_scan.SENTENCES.items():
+        words = text.split(" ")
+        for k in range(1, len(words)):
+            assert key in scanner.identifiers("Intro\n" + " ".join(words[:k]) + "\n" + " ".join(words[k:])), (key, k)
+        assert key in scanner.identifiers("\n * ".join(words)) and scanner.identifiers("so " + text) != [key]
+    known = {tuple(license_scan.sentence_words(t)): f"named:{n}" for t, n in notices} | {tuple(license_scan.sentence_words(t)): k for k, t in license_scan.SENTENCES.items()}
+    rng = random.Random(23)
+    parts = [t for t, _ in rng.sample(notices, 40)] + list(license_scan.SENTENCES.values()) + ["word", "The License", "a.", "2.0", "\n", "Licensed", "under", "the", "(MIT)", "//", "MIT License"]
+    for _ in range(150):
+        text = rng.choice([" ", "\n", ". "]).join(rng.choices(parts, k=rng.randint(1, 12)))
+        assert scanner.identifiers(text) == plain_sentences(known, text), text
+
+
 def test_media(prose, awkward, empty):
+    import io
+    import wave
+
     for d in (prose, awkward):
-        text = [r.text for r in rows(d)]
         got = rows(media.media_digests(d))
         want = Counter()
-        for t in text:
+        for t in (r.text for r in rows(d)):
             raw = (t or "").encode()
             p = raw + bytes(-len(raw) % 64 or (64 if not raw else 0))
-            want[len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
-        assert Counter((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
-        assert len({r.payload_sha256 for r in got}) == len({(r.payload_sha256, r.media_sha256, r.feature, r.media_bytes) for r in got})
+            with wave.open(file := io.BytesIO(), "wb") as w:
+                w.setnchannels(1)
+                w.setsampwidth(1)
+                w.setframerate(8000)
+                w.writeframes(p)
+            x = [b - 128 for b in p]
+            feature = f"samples={len(x)};mean={sum(x) / len(x):.6f};rms={(sum(v * v for v in x) / len(x)) ** 0.5:.6f};crossings={sum((a < 0) != (b < 0) for a, b in itertools.pairwise(x))}"
+            want[len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(file.getvalue()), hashlib.sha256(file.getvalue()).hexdigest(), feature] += 1
+        assert Counter((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in got) == want
     assert media.media_digests(empty).count() == 0
+    with pytest.raises(ValueError):
+        media.samples_of(media.wave_header(64) + bytes(62))
 
 
 def test_media_chunks(spark):
@@ -276,11 +375,13 @@ def test_substring(spark, awkward, empty):
     sentence = lambda: (" ".join(word() for _ in range(12)) + ".").capitalize()
     passage = " ".join(sentence() for _ in range(5))
     own = [[sentence() for _ in range(6)] for _ in range(8)]
-    texts = [" ".join(s[:3]) + f" Open {word()} clause then " + passage + " " + " ".join(s[3:]) if k % 2 else " ".join(s) for k, s in enumerate(own)]
+    texts = [" ".join(s[:3]) + " " + passage + " " + " ".join(s[3:]) if k % 2 else " ".join(s) for k, s in enumerate(own)]
+    inner = passage.split(". ", 1)[1].rsplit(". ", 1)[0] + "."  # the sentences that lie whole in a broken one
+    texts += [f"{s[0]} Open {word()} clause then {passage} and goes {word()} on. {s[1]}" for s in own[:2]]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r for r in rows(substring.drop_repeats(d))}
-    assert got[1].text == texts[1] and all(passage not in got[i].text and passage.split(". ")[0] not in got[i].text for i in (3, 5, 7))
-    assert all(got[i].text == texts[i].replace(passage + " ", "") for i in (3, 5, 7)) and all(got[i].text == texts[i] for i in (0, 2, 4, 6))
+    assert got[1].text == texts[1] and all(got[i].text == texts[i].replace(passage + " ", "") for i in (3, 5, 7)) and all(got[i].text == texts[i] for i in (0, 2, 4, 6))
+    assert all(inner not in got[i].text and got[i].n_removed >= 3 for i in (8, 9))
     for i in (3, 5, 7):
         a, b = map(int, got[i].spans.split(":"))
         assert texts[i][a:b].strip() == passage
@@ -289,6 +390,35 @@ def test_substring(spark, awkward, empty):
     assert substring.drop_repeats(empty).count() == 0
 
 
+def test_substring_plain(spark):
+    """Every run of two or more sentences and ten or more words, all of them looked up, against the operator."""
+    rng = random.Random(19)
+    sentences = [" ".join(rng.choices("abcdef", k=rng.randint(1, 7))).capitalize() + rng.choice([". ", "! ", "?\n", "\n"]) for _ in range(60)]
+    texts = ["".join(rng.choices(sentences, k=rng.randint(1, 14))) for _ in range(40)]
+    at = [rng.randrange(50) for _ in range(30)]
+    texts += ["".join(sentences[k : k + rng.randint(2, 9)]) for k in at]
+    texts += ["Das ist New York City. Der Hund lief im Garten.", "\u6211\u4eec\u5728\u8fd9\u91cc\u5199\u4e00\u53e5\u8bdd\u3002" * 3, None, ""]
+    runs, spans = {}, {}
+    for i, t in enumerate(texts):
+        spans[i] = substring.sentence_spans(t or "")
+        words = [(k, w) for k, (a, b) in enumerate(spans[i]) if (w := t[a:b].lower().split())]
+        for x, y in itertools.combinations(range(len(words)), 2):
+            if sum(substring.n_words(w) for _, w in words[x : y + 1]) >= 10:
+                runs.setdefault(tuple(" ".join(w) for _, w in words[x : y + 1]), []).append((i, words[x][0], words[y][0]))
+    gone = {i: set() for i in range(len(texts))}
+    for places in runs.values():
+        for i, a, b in sorted(places)[1:]:
+            gone[i] |= set(range(a, b + 1))
+    blank = {i: {k for k, (a, b) in enumerate(s) if not texts[i][a:b].split()} for i, s in spans.items()}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in rows(substring.drop_repeats(d, least_words=10))}
+    assert len(got) == len(texts) and sum(map(bool, gone.values())) > 20
+    for i, t in enumerate(texts):
+        removed = {k for k, (a, b) in enumerate(spans[i]) for x in filter(None, got[i].spans.split(",")) if int(x.split(":")[0]) <= a and b <= int(x.split(":")[1])}
+        assert removed - blank[i] == gone[i] - blank[i], (i, t)
+    assert [len(substring.sentence_spans(t)) for t in texts[-4:-2]] == [2, 3]
+
+
 def test_sentences():
     rng = random.Random(1)
     for _ in range(300):
@@ -319,6 +449,43 @@ def test_personal_data(spark, awkward, empty):
     assert pii.sanitise(awkward).columns == awkward.columns
 
 
+def test_disclosure_plain(spark):
+    """Counts and measure of the disclosing terms, from the texts with plain loops."""
+    rng = random.Random(27)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(900)]
+    entities = [f"u{k}@host{k % 3}.example" for k in range(12)] + ["10.0.0.7", "+49 30 1234567"]
+    texts = []
+    for _ in range(260):
+        w = rng.choices(vocabulary, k=rng.randint(20, 90))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            e = rng.choice(entities)
+            w.insert(rng.randrange(len(w)), f"Name{chr(97 + entities.index(e)) * 3} {e}," if rng.random() < 0.6 else e)
+        texts.append(" ".join(w))
+    texts += texts[:15]
+    letters = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    total, n_term = 0, Counter()
+    n_entity, both, shown = Counter(), Counter(), {}
+    for t in texts:
+        n_term.update(letters(t))
+        total += len(letters(t))
+        for span in filter(None, plain.base_spans(t).split(",")):
+            kind, a, b = span.split(":")
+            e = t[int(a) : int(b)]
+            n_entity[e] += 1
+            for term in {*letters(t[: int(a)])[-3:], *letters(t[int(b) :])[:3]}:
+                both[e, term] += 1
+                shown.setdefault((e, term), set()).add(t)
+    want = {}
+    for (e, term), n in both.items():
+        x = 1 - math.log2(n_term[term] / n + 1 / len(shown[e, term])) / math.log2(total / n_entity[e])
+        if min(x, 1) >= 0.9:
+            want[term] = max(want.get(term, 0), min(x, 1))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    based = pii.base_spans(d).where("size(base) > 0").select("text", "base")
+    got = {r.term: r.disclosure for r in rows(pii.disclosing_terms(d, based, threshold=0.9))}
+    assert len(want) > 5 and got == pytest.approx(want)
+
+
 def test_disclosing_terms(spark):
     rng = random.Random(13)
     word = lambda: "".join(rng.choices("abcdefghij", k=4))
@@ -351,5 +518,7 @@ def test_url_rules(spark):
     by = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got}
     assert by[0] == ("a.example.com", "/en/5", "com/en/", "block") and by[1] == ("example.com", "/en/77", "example.com/en/7", "allow") and by[2] == ("x.net", "/de/8", "net/de/", "allow")
     assert by[3] == ("b.example.net", "/de/81", "example.net/de/8", "block") and by[4] == ("noexample.com", "/en/7", "com/en/", "block") and by[5] == ("flood.io", "/a", None, "block")
+    asked = {r.page_id: r.verdict for r in rows(urlfilter.judge(d, [], urlfilter.queried_addresses(d), by="address")) if r.page_id is not None}
+    assert {i for i, v in asked.items() if v == "block"} == {1, 5, 9, 10} - ({10} if "?" not in urls[10].split("#")[0] else set())
     assert by[6] == ("q", "", None, "allow") and by[7] == by[8] == by[11] == ("", "", None, "allow") and by[9] == ("h", "", None, "allow") and by[10] == ("b", "/c d/e", None, "allow") and len(got) == 14
     assert urlfilter.judge(d.where("false"), rules, spark.createDataFrame([("x",)], "key string")).count() == 0

@@ -11,6 +11,7 @@ import corpus_pipeline
 from somatica.llm import packing
 
 from . import plain
+from .test_neardup import jaccard
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +25,7 @@ def folder(spark, tmp_path_factory):
         w[rng.randrange(len(w))] = "changed"
         texts.append((" ".join(w), texts[k][1]))
     texts += texts[:20] + [("12 34 !!", "en"), (None, "en"), ("", "de")]
-    texts += [(f"{texts[60 + k][0]} mail user{k}@host.example or call +49 30 12345{k:02d} now {word('en')}", "en") for k in range(12)]
+    texts += [(f"{' '.join(word('en') for _ in range(40))} mail user{k}@host.example or call +49 30 12345{k:02d} now {word('en')}", "en") for k in range(12)]
     path = tmp_path_factory.mktemp("corpus")
     rows = [(i, t, g, f"s{i % 3}", len(t or "")) for i, (t, g) in enumerate(texts)]
     spark.createDataFrame(rows, plain.SCHEMA).repartition(4).write.parquet(f"{path}/documents.parquet")
@@ -43,10 +44,9 @@ def test_stages(spark, folder):
 
     alone = by_name["near duplicates"](spark, kept, path)
     order = sorted(ids)
-    prints = [plain.fingerprint(text[i]) for i in order]
-    links = [(a, b) for a in range(len(order)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    links = [(a, b) for a in range(len(order)) for b in range(a) if jaccard(text[order[a]], text[order[b]]) >= 0.8]
     want = {order[c] for c in plain.components(len(order), links)}
-    assert alone.columns == docs.columns and {r.doc_id for r in alone.collect()} == want
+    assert alone.columns == docs.columns and {r.doc_id for r in alone.collect()} == want and len(want) < len(order) - 20
 
     clean = by_name["personal data"](spark, alone, path)
     got = {r.doc_id: r for r in clean.collect()}
@@ -80,3 +80,11 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert out.count() > 100 and out.agg({"length": "max"}).first()[0] <= 1024
+
+
+def test_empty_and_awkward(spark, tmp_path):
+    d = spark.createDataFrame(plain.AWKWARD, plain.SCHEMA)
+    for name, rows in (("empty", d.where("false")), ("awkward", d)):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.where("length > 1024").count() == 0 and (out.count() > 0) == (name == "awkward")
