@@ -171,7 +171,8 @@ def simhash_dedup(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataF
     """``docs`` with one document of each near-duplicate class, all columns kept.
 
     The document with the smallest doc_id stays (ids that are null come last; of equal ids, the one with the smaller hash
-    of the text). Of rows that share doc_id and text one stays.
+    of the text). Of rows that share doc_id and text one stays. Null, empty and blank texts are one class. An empty table gives
+    no rows; names of other columns do not matter.
     """
     prints, nodes = _classes(docs, distance, shingle)
     return first_of_class(docs, prints, nodes)
