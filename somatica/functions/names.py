@@ -46,11 +46,8 @@ def image_key(name: Column) -> Column:
 
 
 def clean_cell_name(name: Column) -> Column:
-    """Mask file name without its area and mask endings."""
-    out = name
-    for ending in (r"_area[3-8]\d\d_mask\.tif", r"_area\d+_mask\.tif", r"_mask\.tif"):
-        out = F.regexp_replace(out, ending, "")
-    return out
+    """Mask file name without the area and mask ending that it may end in."""
+    return F.regexp_replace(name, r"(?:_area\d+)?_mask\.tif$", "")
 
 
 def area_key(value: Column) -> Column:

@@ -11,14 +11,24 @@ from somatica.operators.pixels import AT
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     """Euclidean distance ``d`` from each pixel of ``points`` to the nearest of ``targets``; no row where the image has none.
 
-    First the nearest target of every row band (targets of one row, found by place in a sorted array), then the least over
-    the rows: work per pixel follows the image's height, not the number of targets.
+    One group per image: the exact distance transform of the frame that holds both, so the work follows the image's size and
+    not the number of pairs. Images may differ in size.
     """
-    rows = targets.groupBy("image", F.col("y").alias("ty")).agg(F.sort_array(F.collect_set("x")).alias("xs"))
-    t = rows.groupBy("image").agg(F.collect_list(F.struct("ty", "xs")).alias("rows"))
-    gap = lambda xs: F.array_min(F.transform(xs, lambda x: F.abs(x - F.col("x"))))
-    d2 = F.array_min(F.transform("rows", lambda r: F.pow(gap(r["xs"]).cast("double"), 2) + F.pow((r["ty"] - F.col("y")).cast("double"), 2)))
-    return points.select(AT).join(t, "image").select(*AT, F.sqrt(d2).alias("d"))
+
+    def run(left, right):
+        import numpy as np
+
+        if not len(left) or not len(right):
+            return left[AT].assign(d=0.0).iloc[:0]
+        y0, x0 = min(left["y"].min(), right["y"].min()), min(left["x"].min(), right["x"].min())
+        on = np.zeros((max(left["y"].max(), right["y"].max()) - y0 + 1, max(left["x"].max(), right["x"].max()) - x0 + 1), bool)
+        on[right["y"] - y0, right["x"] - x0] = True
+        return left[AT].assign(d=np.sqrt(squared_distances(on)[left["y"] - y0, left["x"] - x0]))
+
+    kind = points.schema["image"].dataType.simpleString()
+    at = [F.col("image"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")]
+    both = points.select(*at).groupBy("image").cogroup(targets.select(*at).groupBy("image"))
+    return both.applyInPandas(run, f"image {kind}, y int, x int, d double")
 
 
 def to_background(mask: DataFrame, height: int, width: int) -> DataFrame:

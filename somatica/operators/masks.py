@@ -13,13 +13,16 @@ from somatica.operators.pixels import AT
 TARGETS_UM2 = (200, 300, 400, 500, 600, 700, 800)
 
 
-def nest(masks: DataFrame) -> DataFrame:
+def nest(masks: DataFrame, areas: tuple[int, ...] | None = None) -> DataFrame:
     """Masks (image, area, y, x) made to hold each other: a pixel of one area is in all larger ones.
 
-    In sparse form a running union is the area at which a pixel first appears, joined to the areas that are not smaller.
+    In sparse form a running union is the area at which a pixel first appears, and all that are not smaller: those of
+    ``areas``, if given (one pass), else those that the image's masks have.
     """
-    areas = masks.groupBy("image").agg(F.collect_set("area").alias("_areas"))
     first = masks.groupBy(AT).agg(F.min("area").alias("first"))
+    if areas is not None:
+        return first.select("image", F.explode(F.filter(F.array(*map(F.lit, areas)), lambda a: a >= F.col("first"))).alias("area"), "y", "x")
+    areas = masks.groupBy("image").agg(F.collect_set("area").alias("_areas"))
     each = F.explode(F.filter("_areas", lambda a: a >= F.col("first")))
     return first.join(areas, "image").select("image", each.alias("area"), "y", "x")
 
@@ -38,7 +41,7 @@ def nested_masks(roi: DataFrame, centres: DataFrame, pixel_size: float, targets_
     masks = found.select("image", F.round(F.col("target") * float(pixel_size) ** 2).cast("int").alias("area"), "y", "x")
     if soma is not None:
         masks = masks.unionByName(soma.select(AT).withColumn("area", F.lit(min(targets_um2))))
-    return nest(masks)
+    return nest(masks, tuple(sorted(targets_um2)))
 
 
 def review_queue(masks: DataFrame) -> DataFrame:

@@ -48,9 +48,10 @@ def rescale(px: DataFrame, by: list[str] | None = None, top: float = 255.0) -> D
 
 
 def luminance(rgb: DataFrame, scale: float = 255.0) -> DataFrame:
-    """Channels 0 to 2 (0..1) to one grey channel, cut to whole numbers; further channels do not count."""
+    """Channels 0 to 2 (0..1) to one grey channel, cut to whole numbers (after rounding to a millionth, so that a whole sum stays
+    whole); further channels do not count."""
     weight = F.when(F.col("c") == 0, 0.2125).when(F.col("c") == 1, 0.7154).when(F.col("c") == 2, 0.0721)
-    return rgb.where("c < 3").groupBy(AT).agg(F.floor(F.sum(F.col("v") * weight) * scale).cast("int").alias("v"))
+    return rgb.where("c < 3").groupBy(AT).agg(F.floor(F.round(F.sum(F.col("v") * weight) * scale, 6)).cast("int").alias("v"))
 
 
 def unmix_magenta(rgb: DataFrame) -> DataFrame:
@@ -79,10 +80,11 @@ def display(px: DataFrame, brightness: float, contrast: float, by: list[str] | N
 
 
 def composite(px: DataFrame, channel: int, processed: DataFrame, shown: list[int]) -> DataFrame:
-    """``px`` with one channel taken from ``processed`` (image, y, x, v) where that has the pixel; channels not shown are 0."""
-    new = processed.select(*AT, F.col("v").alias("_new"))
-    out = px.join(new, AT, "left")
-    v = F.when(~F.col("c").isin(shown), 0.0).when(F.col("c") == channel, F.coalesce("_new", "v")).otherwise(F.col("v"))
+    """``px`` with one channel taken from ``processed`` (image, y, x, v) where that has the pixel, also where ``px`` has none;
+    channels not shown are 0."""
+    new = processed.select(*AT, F.lit(channel).alias("c"), F.col("v").alias("_new"))
+    out = px.join(new, [*AT, "c"], "full")
+    v = F.when(~F.col("c").isin(shown), 0.0).otherwise(F.coalesce("_new", "v"))
     return out.select("image", "c", "y", "x", v.alias("v"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from somatica.operators.morphology import component_roots
 from somatica.operators.pixels import AT
 
 
@@ -38,44 +37,86 @@ def area_targets(roi: DataFrame, targets: DataFrame, rounds: int = 30, tolerance
     """
 
     def run(key, left, right):
-        import numpy as np
-
-        frames = []
-        for t in right.itertuples(index=False):
-            keep = _pick(left["y"].to_numpy(np.int64), left["x"].to_numpy(np.int64), left["v"].to_numpy(float), t, rounds, tolerance) if len(left) else np.zeros(0, bool)
-            frames.append(left.loc[keep, ["image", "y", "x"]].assign(target=t.target))
         import pandas as pd
 
-        return pd.concat(frames)[["image", "target", "y", "x"]] if frames else left.assign(target=0.0)[["image", "target", "y", "x"]].iloc[:0]
+        y, x, v = left["y"].to_numpy(), left["x"].to_numpy(), left["v"].to_numpy(float)
+        frames = [left.assign(target=0.0)[["image", "target", "y", "x"]].iloc[:0]]
+        widths: dict = {}  # centre to the widest paths from it, shared by all targets
+        for t in right.itertuples(index=False):
+            if len(left):
+                least = v.min() if t.floor is None or t.floor != t.floor else t.floor
+                keep = _mask_of_area(y, x, v, (int(t.cy), int(t.cx)), max(t.start, least) if least == t.floor else t.start, t.target, least, rounds, tolerance, widths)
+                frames.append(left.loc[keep, ["image", "y", "x"]].assign(target=t.target))
+        return pd.concat(frames)[["image", "target", "y", "x"]]
 
     kind = roi.schema["image"].dataType.simpleString()
     wanted = targets.select(F.col("image").alias("_image"), "cy", "cx", "start", "target", "floor")
     return roi.select(*AT, "v").groupBy("image").cogroup(wanted.groupBy("_image")).applyInPandas(run, f"image {kind}, target double, y int, x int")
 
 
-def _pick(y, x, v, t, rounds: int, tolerance: float):
+#: Fixed value: a move of the threshold below this ends the search.
+LEAST_MOVE = 0.1
+
+
+def widest_paths(y, x, v, seed: int):
+    """For each pixel the largest level at which it still hangs together (8 neighbours) with the pixel ``seed``: over all paths
+    between them, the largest of the paths' smallest values. The component of the seed above a threshold is then the
+    pixels whose width lies above it, at every threshold at once."""
+    import heapq
+
+    import numpy as np
+
+    place = {p: k for k, p in enumerate(zip(y.tolist(), x.tolist(), strict=True))}
+    at, value = list(place), v.tolist()
+    width = [-np.inf] * len(at)
+    width[seed] = value[seed]
+    open_ = [(-value[seed], seed)]
+    while open_:
+        w, k = heapq.heappop(open_)
+        if -w < width[k]:
+            continue
+        cy, cx = at[k]
+        for ny in (cy - 1, cy, cy + 1):
+            for nx in (cx - 1, cx, cx + 1):
+                n = place.get((ny, nx))
+                if n is not None and (reach := min(-w, value[n])) > width[n]:
+                    width[n] = reach
+                    heapq.heappush(open_, (-reach, n))
+    return np.array(width)
+
+
+def _mask_of_area(y, x, v, centre, start: float, target: float, least: float, rounds: int, tolerance: float, widths: dict):
+    """The component at the centre, above the threshold at which its area comes closest to ``target``.
+
+    Areas are read off the sorted widths of the paths from the centre, or from the pixel nearest to it among those above the
+    threshold, so nothing is labelled again when the threshold moves.
+    """
     import numpy as np
 
-    floor = t.floor if t.floor == t.floor and t.floor is not None else None
-    level = max(t.start, floor) if floor is not None else t.start
-    low, high = v.min() if floor is None else floor, v.max()
-    best, error = np.zeros(len(v), bool), np.inf
-    place = y * 65536 + x
-    order = np.argsort(place)
-    for k in range(rounds):
-        on = order[v[order] > level]
-        mask = np.zeros(len(v), bool)
-        if len(on):
-            root = component_roots(place[on], [1, 65535, 65536, 65537])
-            at = (y[on] - int(t.cy)) ** 2 + (x[on] - int(t.cx)) ** 2
-            mask[on[root == root[at.argmin()]]] = True
-        area = int(mask.sum())
-        if abs(area - t.target) < error:
-            best, error = mask, abs(area - t.target)
-        if abs(area - t.target) <= tolerance:
-            return mask
-        move = level * (area - t.target) / (k + 1) / t.target
-        level = min(max(level + move, low), high)
-        if abs(move) < 0.1:
+    by_distance = widths.setdefault(("near", centre), np.lexsort((x, y, (y - centre[0]) ** 2 + (x - centre[1]) ** 2)))
+
+    def component(level: float):
+        above = v[by_distance] > level
+        if not above.any():
+            return None
+        seed = int(by_distance[above.argmax()])
+        if seed not in widths:
+            w = widest_paths(y, x, v, seed)
+            widths[seed] = w, np.sort(w)
+        return widths[seed]
+
+    def area(level: float) -> int:
+        found = component(level)
+        return 0 if found is None else len(v) - int(np.searchsorted(found[1], level, "right"))
+
+    tried, level = [], start
+    for n in range(1, rounds + 1):
+        miss = area(level) - target
+        tried.append((abs(miss), n, level))
+        move = level * miss / (n * target)
+        if abs(miss) <= tolerance or abs(move) < LEAST_MOVE:
             break
-    return best
+        level = float(np.clip(level + move, least, v.max()))
+    best = min(tried)[2]
+    found = component(best)
+    return np.zeros(len(v), bool) if found is None else found[0] > best

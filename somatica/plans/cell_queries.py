@@ -87,16 +87,12 @@ def contingency_table(spark, sf_dir):
     return phenotype.contingency(classified(spark, sf_dir), "treatment")
 
 
-_THREE = "('BUILDING', 'MACHINERY', 'FURNITURE')"
-
-
-@query(f"""WITH {b.CLASSIFIED}, n AS (SELECT treatment, phenotype, count(*)::DOUBLE AS n FROM classified WHERE treatment IN {_THREE} GROUP BY ALL),
+@query(f"""WITH {b.CLASSIFIED}, n AS (SELECT treatment, phenotype, count(*)::DOUBLE AS n FROM classified GROUP BY ALL),
  p AS (SELECT n, sum(n) OVER (PARTITION BY treatment) AS r, sum(n) OVER (PARTITION BY phenotype) AS c, sum(n) OVER () AS t FROM n),
  s AS (SELECT max(t) * (sum(n * n / r / c) - 1) AS x FROM p), d AS (SELECT (count(DISTINCT treatment) - 1) * (count(DISTINCT phenotype) - 1) AS df FROM n)
  SELECT round(x, 6) AS statistic, CAST(df AS INTEGER) AS df, round(exp(-x / 2) * list_sum(list_transform(range(0, df // 2), lambda k: pow(x / 2, k) / gamma(k + 1))), 6) AS p FROM s, d""")
 def chi_square_treatments(spark, sf_dir):
-    some = classified(spark, sf_dir).where(F.col("treatment").isin("BUILDING", "MACHINERY", "FURNITURE"))
-    return rounded(statistics.chi_square(phenotype.contingency(some, "treatment"), "treatment"))
+    return rounded(statistics.chi_square(phenotype.contingency(classified(spark, sf_dir), "treatment"), "treatment"))
 
 
 @query(f"""WITH {b.CLASSIFIED}, n AS (SELECT treatment, phenotype, count(*) AS n FROM classified GROUP BY ALL), s AS (SELECT treatment, sum(n) AS r FROM n GROUP BY 1),
@@ -126,7 +122,7 @@ def mask_name_parts(spark, sf_dir):
     return b.mask_names(spark, sf_dir).withColumns(names.mask_parts(F.col("filename")))
 
 
-@query(f"WITH {b.MASK_NAMES} SELECT filename, replace(filename, '_mask.tif', '') AS series, regexp_replace(filename, '_area[0-9]+_mask\\.tif', '') AS cell, regexp_replace(filename, '\\.[^.]*$', '') AS stem, CAST(regexp_extract(filename, 'area(\\d+)', 1) AS INTEGER) AS area FROM (SELECT DISTINCT filename FROM names)")
+@query(f"WITH {b.MASK_NAMES} SELECT filename, replace(filename, '_mask.tif', '') AS series, CASE WHEN filename LIKE '%.tif' AND contains(filename, '_area') THEN left(filename, length(filename) - length(regexp_extract(filename, '_area[0-9]+_mask\\.tif$'))) ELSE filename END AS cell, regexp_replace(filename, '\\.[^.]*$', '') AS stem, CAST(regexp_extract(filename, 'area(\\d+)', 1) AS INTEGER) AS area FROM (SELECT DISTINCT filename FROM names)")
 def cleaned_names(spark, sf_dir):
     d = b.mask_names(spark, sf_dir).distinct()
     return d.select("filename", F.regexp_replace("filename", r"_mask\.tif", "").alias("series"), names.clean_cell_name(F.col("filename")).alias("cell"), names.stem(F.col("filename")).alias("stem"), names.area_key(F.regexp_extract("filename", r"area(\d+)", 1)).alias("area"))
@@ -265,13 +261,11 @@ def qa_counts(spark, sf_dir):
     return qa.review_counts(qa.replay(b.qa_masks(spark, sf_dir), b.qa_events(spark, sf_dir)), ["cell"])
 
 
-@query(f"""WITH {b.QA}, first AS (SELECT * FROM ev WHERE seq % 50 = 0), s AS (SELECT m.cell, m.area, max_by(e.op = 'approve', e.seq) AS approved FROM masks m LEFT JOIN first e ON e.cell = m.cell AND e.area = m.area AND e.op IN ('approve', 'reject') GROUP BY ALL),
- q AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY area DESC) - 1 AS idx FROM s)
+@query(f"""WITH {b.QA}, {_STATE}, q AS (SELECT cell, area, approved, row_number() OVER (PARTITION BY cell ORDER BY area DESC) - 1 AS idx FROM state)
  SELECT cell, area, approved, CAST(idx AS INTEGER) AS idx, CAST(coalesce(lead(idx) OVER w, idx) AS INTEGER) AS following, CAST(coalesce(lag(idx) OVER w, idx) AS INTEGER) AS preceding,
  CAST(min(CASE WHEN approved IS NULL THEN idx END) OVER (PARTITION BY cell ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS INTEGER) AS next_open FROM q WINDOW w AS (PARTITION BY cell ORDER BY idx)""")
 def qa_navigation(spark, sf_dir):
-    e = b.qa_events(spark, sf_dir).where("seq % 50 = 0 and op in ('approve', 'reject')")
-    s = b.qa_masks(spark, sf_dir).join(e, ["cell", "area"], "left").groupBy("cell", "area").agg(F.max_by(F.col("op") == "approve", F.col("seq")).alias("approved"))
+    s = qa.replay(b.qa_masks(spark, sf_dir), b.qa_events(spark, sf_dir)).select("cell", "area", "approved")
     q = s.withColumn("idx", F.row_number().over(Window.partitionBy("cell").orderBy(F.col("area").desc())) - 1)
     return qa.next_unreviewed(q)
 

@@ -56,10 +56,9 @@ def _rgb(spark, sf_dir) -> DataFrame:
 _RGB = f"{b.PX_BIG}, rgb AS (SELECT image, y, x, CAST(floor(v) AS BIGINT) % 200 AS r, CAST(floor(v) AS BIGINT) % 90 AS g, CAST(floor(v) AS BIGINT) % 256 AS b FROM px)"
 
 
-@query(f"WITH {_RGB} SELECT image, y, x, CAST(floor(r * 0.2125 + g * 0.7154 + b * 0.0721 + 1e-9) AS INTEGER) AS v FROM rgb")
+@query(f"WITH {_RGB} SELECT image, y, x, CAST(floor(round(r * 0.2125 + g * 0.7154 + b * 0.0721, 6)) AS INTEGER) AS v FROM rgb")
 def px_luminance(spark, sf_dir):
-    nudge = F.when(F.col("c") == 0, 1e-9 / 0.2125).otherwise(0.0)  # keeps whole sums from falling below themselves
-    return pixels.luminance(_rgb(spark, sf_dir).withColumn("v", (F.col("v") + nudge) / 255.0))
+    return pixels.luminance(_rgb(spark, sf_dir).withColumn("v", F.col("v") / 255.0))
 
 
 @query(f"WITH {_RGB}, u AS (SELECT *, least(r, b) AS f FROM rgb) SELECT image, y, x, unnest([0, 1, 2, 3]) AS c, unnest([greatest(b - f, 0), g, greatest(r - f, 0), f]) AS v FROM u")

@@ -1,6 +1,6 @@
 """Queries that go through files and streams: a table is written, read back by a source or a stream, and measured.
 
-They write to the shared folder that ``spark.checkpoint.dir`` names, or where that is unset to a temporary one.
+They write to the shared folder that ``spark.checkpoint.dir`` names, or, in a local session where that is unset, to a temporary one.
 """
 
 from __future__ import annotations
@@ -33,20 +33,23 @@ def query(sql: str | None = None):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="somatica-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="somatica-")
     return f"{base.rstrip('/')}/queries-{uuid.uuid4().hex}"
 
 
 def _written_masks(spark: SparkSession, sf_dir: str) -> str:
     """Small masks as TIFF files in a folder of the local driver or cluster; returns the folder."""
     folder = shared_folder(spark)
-    p = b.px_small(spark, sf_dir).where("v > 0 and image % 25 = 0")
+    p = b.px_small(spark, sf_dir).where("v > 0")
     m = p.select(F.concat(F.lit("img"), (F.col("image") % 7).cast("string"), F.lit(".tif")).alias("image_name"), F.concat(F.lit("soma_1_"), F.col("image").cast("string")).alias("soma_id"), (200 + F.col("image") % 7 * 100).cast("int").alias("area"), F.lit(True).alias("approved"), "y", "x", F.lit(8).alias("height"), F.lit(8).alias("width"))
     tables.mask_files(m, 0.316).write.parquet(f"{folder}/files")
     return folder
 
 
-_FILES = f"""WITH {b.PX_SMALL}, m AS (SELECT image, y, x FROM px WHERE v > 0 AND image % 25 = 0), f AS (SELECT 'img' || (image % 7) AS image_name, 'soma_1_' || image AS soma_id, CAST(200 + image % 7 * 100 AS INTEGER) AS area, y, x FROM m)"""
+_FILES = f"""WITH {b.PX_SMALL}, m AS (SELECT image, y, x FROM px WHERE v > 0), f AS (SELECT 'img' || (image % 7) AS image_name, 'soma_1_' || image AS soma_id, CAST(200 + image % 7 * 100 AS INTEGER) AS area, y, x FROM m)"""
 
 
 @query(f"{_FILES} SELECT image_name, soma_id, area, count(*) AS n, round(count(*) * 0.316 * 0.316, 6) AS area_um2, 8 AS height, 8 AS width FROM f GROUP BY ALL")
@@ -108,10 +111,10 @@ def phenotype_sheet(spark, sf_dir):
     return tables.read_strings(spark, path).groupBy("phenotype").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {b.MASK_NAMES} SELECT image_name, soma_id, count(*) AS n FROM (SELECT regexp_extract(filename, '^(.+?)_soma', 1) AS image_name, regexp_extract(filename, 'soma_\\d+_\\d+') AS soma_id FROM names WHERE filename LIKE '%area800%') GROUP BY ALL UNION ALL SELECT 'odd.tif', 'unknown', 1")
+@query(f"WITH {b.MASK_NAMES} SELECT image_name, soma_id, count(*) AS n FROM (SELECT regexp_extract(filename, '^(.+?)_soma', 1) AS image_name, regexp_extract(filename, 'soma_\\d+_\\d+') AS soma_id FROM names) GROUP BY ALL UNION ALL SELECT 'odd.tif', 'unknown', 1")
 def listed_masks(spark, sf_dir):
     """Listing with names that do not match kept as unknown cells."""
-    d = b.mask_names(spark, sf_dir).where(F.contains("filename", F.lit("area800"))).unionByName(spark.range(1).select(F.lit("odd.tif").alias("filename")))
+    d = b.mask_names(spark, sf_dir).unionByName(spark.range(1).select(F.lit("odd.tif").alias("filename")))
     return images.list_masks(d, keep_unknown=True).groupBy("image_name", "soma_id").agg(F.count(F.lit(1)).alias("n"))
 
 

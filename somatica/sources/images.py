@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,15 +34,19 @@ def decoded(files: DataFrame, default_pixel_size: float = 0.104, pixel_size: flo
     wins over the file's, and the default stands in for a missing one.
     """
 
-    @F.udf(_KIND)
-    def decode(content: bytes):
+    @F.arrow_udf(_KIND)
+    def decode(contents: pa.Array) -> pa.Array:
         from somatica.sources import tiff
 
-        try:
-            a = tiff.channels_last(tiff.decode(bytes(content)))
-            return (*a.shape, a.ravel().tolist(), tiff.resolution(bytes(content)), None)
-        except Exception as e:  # noqa: BLE001  the message goes to the row
-            return (None, None, None, None, None, str(e)[:200])
+        rows = []
+        for content in contents:
+            try:
+                a = tiff.channels_last(tiff.decode(content.as_py()))
+                rows.append((*a.shape, a.ravel(), tiff.resolution(content.as_py()), None))
+            except Exception as e:  # noqa: BLE001  the message goes to the row
+                rows.append((None, None, None, None, None, str(e)[:200]))
+        kinds = {"height": pa.int32(), "width": pa.int32(), "channels": pa.int32(), "data": pa.list_(pa.float64()), "pixel_size": pa.float64(), "error": pa.string()}
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
 
     out = files.withColumn("_d", decode("content")).select(*[c for c in files.columns if c != "content"], "_d.*")
     return out.withColumn("pixel_size", F.coalesce(F.lit(pixel_size).cast("double"), "pixel_size", F.lit(default_pixel_size)))

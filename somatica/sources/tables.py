@@ -13,6 +13,17 @@ from somatica.functions import names
 #: Column orders of the written tables.
 ID_COLUMNS = ("image_name", "animal_id", "treatment", "soma_id", "soma_idx")
 METADATA_COLUMNS = ("image_name", "animal_id", "treatment", "soma_id", "soma_idx", "soma_row", "soma_col", "area_um2", "mask_filename", "pixel_size_um", "mask_area", "perimeter", "eccentricity", "roundness", "average_centroid_distance", "soma_area")
+#: Column orders of the two result sheets.
+FRACTAL_COLUMNS = (
+    "cell_name", "image_name", "soma_id", "mask_area_um2", "mask_file", "fractal_dimension", "fractal_r_squared", "fractal_lacunarity_mean", "fractal_lacunarity_small",
+    "fractal_lacunarity_large", "fractal_num_scales", "fractal_foreground_pixels", "fractal_foreground_area_um2", "hull_area_px", "hull_area_um2", "hull_perimeter_px",
+    "hull_perimeter_um", "hull_circularity", "hull_density", "hull_max_span_px", "hull_max_span_um", "hull_span_ratio",
+)
+SKELETON_COLUMNS = (
+    "cell_name", "mask_file", "skeleton_file", "pixel_size_um", "upscale_factor", "mask_area_um2", "mask_perimeter_um", "mask_circularity", "mask_aspect_ratio", "mask_roundness",
+    "mask_solidity", "num_branches", "num_junctions", "num_end_points", "num_junction_voxels", "num_slab_voxels", "num_triple_points", "num_quadruple_points",
+    "max_branch_length_um", "avg_branch_length_um", "longest_shortest_path_um", "total_skeleton_length_um", "skeleton_area_um2", "branching_density",
+)
 
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
@@ -49,6 +60,11 @@ def mask_metadata(results: DataFrame, pixel_size: float) -> DataFrame:
     return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in METADATA_COLUMNS])
 
 
+def result_sheet(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``df`` in the fixed order of a result sheet: what it lacks is empty, what is not in the sheet is left out."""
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+
 def write_csv(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """CSV with a header; missing values are empty. One folder per value of ``partition_by`` if given."""
     writer = df.write.mode("errorifexists").option("header", True).option("nullValue", "")
@@ -61,16 +77,42 @@ def derived_path(path: str, ending: str) -> str:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write ``df``, which may read from ``path``, in its place: first to a sibling, then by renaming."""
+    """Write ``df``, which may read from ``path``, in its place: first to a sibling; then the old one is put aside, the new one
+    takes its name, and the old one goes. At no time is there neither."""
     spark = df.sparkSession
     fresh = f"{path}.{uuid.uuid4().hex}"
     write_csv(df, fresh)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     old, new = hadoop(path), hadoop(fresh)
     fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
+    aside = hadoop(f"{fresh}.old")
+    if fs.exists(old) and not fs.rename(old, aside):
+        raise OSError(f"could not put {path} aside")
     if not fs.rename(new, old):
-        raise OSError(f"could not rename {fresh}")
+        raise OSError(f"could not rename {fresh}; the former table is {fresh}.old")
+    fs.delete(aside, True)
+
+
+def raster_files(px: DataFrame, ending: str, kind: str = "u2", pixel_size: float | None = None) -> DataFrame:
+    """Dense or sparse pixels (image, y, x, v) to rows of filename (image and ``ending``) and TIFF content, one per image.
+
+    Values are cut to the range of ``kind`` (u1, u2, or f4 as they are) and to whole numbers; pixels without a row are 0.
+    Processed rasters end in ``_processed.tif``, soma masks (image ``<image>_<soma>``) in ``_soma.tif``. One group per image.
+    """
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        from somatica.sources import tiff
+
+        image = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1))
+        image[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf["v"].to_numpy()
+        if kind != "f4":
+            image = np.floor(np.clip(image, 0, np.iinfo(kind).max))
+        return pd.DataFrame({"filename": [f"{pdf['image'].iloc[0]}{ending}"], "content": [tiff.encode(image.astype(kind), pixel_size)]})
+
+    return px.select(F.col("image").cast("string").alias("image"), "y", "x", F.col("v").cast("double").alias("v")).groupBy("image").applyInPandas(run, "filename string, content binary")
 
 
 def mask_files(masks: DataFrame, pixel_size: float = 0.316) -> DataFrame:

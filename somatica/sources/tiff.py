@@ -1,8 +1,9 @@
-"""Baseline TIFF: bytes to arrays and back (uncompressed strips, 8 and 16 bits and floats, several pages)."""
+"""Baseline TIFF: bytes to arrays and back (strips, plain or as LZW, Deflate or PackBits; 8 and 16 bits and floats; several pages)."""
 
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 
@@ -44,34 +45,55 @@ def decode(data: bytes) -> np.ndarray:
     """Pixels of a file, full depth: (height, width), with samples last and pages first where there are several."""
     frames = []
     for tags in pages(data):
-        if tags.get(259, (1,))[0] != 1:
-            raise ValueError("compressed TIFF files are not read")
+        unpack = _UNPACK.get(tags.get(259, (1,))[0])
+        if unpack is None:
+            raise ValueError(f"compression {tags[259][0]} is not read")
         bits, form = tags.get(258, (1,))[0], tags.get(339, (1,))[0]
         kind = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (16, 2): "i2", (32, 3): "f4", (64, 3): "f8"}.get((bits, form))
         if kind is None:
             raise ValueError(f"{bits} bits of sample format {form} are not read")
-        raw = b"".join(data[a : a + n] for a, n in zip(tags[273], tags[279], strict=True))
+        if 322 in tags:
+            raise ValueError("tiled TIFF files are not read")
+        raw = b"".join(unpack(data[a : a + n]) for a, n in zip(tags[273], tags[279], strict=True))
         height, width, samples = tags[257][0], tags[256][0], tags.get(277, (1,))[0]
         flat = np.frombuffer(raw, np.dtype(kind).newbyteorder(tags[0][0]))[: height * width * samples]
+        if tags.get(317, (1,))[0] == 2:  # differences along the row
+            step = samples if tags.get(284, (1,))[0] == 1 else 1
+            flat = np.cumsum(flat.reshape(-1, width, step), axis=1, dtype=kind).ravel()
         planes = tags.get(284, (1,))[0] == 2
         frames.append(flat.reshape((samples, height, width) if planes and samples > 1 else (height, width, samples)).squeeze())
     return np.stack(frames) if len(frames) > 1 else frames[0]
 
 
-def encode(image: np.ndarray, pixel_size: float | None = None) -> bytes:
-    """One-page TIFF of a (height, width) array; the resolution tag holds pixels per micrometre."""
-    image = np.ascontiguousarray(image)
+def encode(image: np.ndarray, pixel_size: float | None = None, compressed: bool = False) -> bytes:
+    """TIFF of a (height, width) array, or of a (pages, height, width) stack; the resolution tag holds pixels per micrometre.
+
+    ``compressed``: strips are deflated."""
+    stack = np.ascontiguousarray(image if np.ndim(image) == 3 else np.asarray(image)[None])
+    out = b"II*\0" + struct.pack("<I", 8)
+    for k, page in enumerate(stack):
+        head, strip, rational = _page(page, pixel_size, compressed, len(out), k + 1 < len(stack))
+        out += head + strip + rational
+    return out
+
+
+def _page(image: np.ndarray, pixel_size: float | None, compressed: bool, at: int, more: bool) -> tuple[bytes, bytes, bytes]:
+    """One page at offset ``at``: its directory, its strip, its resolution."""
     height, width = image.shape
     kind = image.dtype.str[1:]
     bits, form = {"u1": (8, 1), "u2": (16, 1), "f4": (32, 3)}[kind]
     raw = image.astype(image.dtype.newbyteorder("<")).tobytes()
+    raw = zlib.compress(raw) if compressed else raw
+    raw += bytes(len(raw) % 2)
     rational = struct.pack("<II", *(round(1e6 / pixel_size), 1_000_000)) if pixel_size else b""
-    tags = [(256, 4, width), (257, 4, height), (258, 3, bits), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, height), (279, 4, len(raw))]
+    data = at + 6 + 12 * (13 if pixel_size else 10)
+    tags = [(256, 4, width), (257, 4, height), (258, 3, bits), (259, 3, 8 if compressed else 1), (262, 3, 1), (273, 4, data), (277, 3, 1), (278, 4, height), (279, 4, len(raw))]
     if pixel_size:
-        tags += [(282, 5, 8 + len(raw)), (283, 5, 8 + len(raw)), (296, 3, 1)]
+        tags += [(282, 5, data + len(raw)), (283, 5, data + len(raw)), (296, 3, 1)]
     tags.append((339, 3, form))
     body = b"".join(struct.pack("<HHI", t, k, 1) + (struct.pack("<HH", v, 0) if k == 3 else struct.pack("<I", v)) for t, k, v in tags)
-    return b"II*\0" + struct.pack("<I", 8 + len(raw) + len(rational)) + raw + rational + struct.pack("<H", len(tags)) + body + b"\0\0\0\0"
+    following = data + len(raw) + len(rational) if more else 0
+    return struct.pack("<H", len(tags)) + body + struct.pack("<I", following), raw, rational
 
 
 def resolution(data: bytes) -> float | None:
@@ -83,17 +105,57 @@ def resolution(data: bytes) -> float | None:
 
 
 def channels_last(array: np.ndarray, most: int = 8) -> np.ndarray:
-    """Any stack as (height, width, channels): single planes get one channel; of three axes the smallest is the channels' if
-    it has at most ``most`` entries, else the first is projected; of more axes the first small one is the channels'."""
+    """Any stack as (height, width, channels), largest values over what is neither.
+
+    An axis of at most ``most`` entries holds the channels: of three axes only the smallest may, of more the first such one.
+    Without one, there is a single channel.
+    """
     a = np.asarray(array, np.float64).squeeze()
-    if a.ndim == 2:
-        return a[:, :, None]
-    if a.ndim == 3:
-        k = int(np.argmin(a.shape))
-        return np.moveaxis(a, k, -1) if a.shape[k] <= most else a.max(axis=0)[:, :, None]
-    small = [k for k, n in enumerate(a.shape) if n <= most]
-    if small:
-        a = np.moveaxis(a, small[0], -1)
-    while a.ndim > (3 if small else 2):
-        a = a.max(axis=0)
-    return a if small else a[:, :, None]
+    a = a.reshape((1,) * (2 - a.ndim) + a.shape)
+    few = [(n if a.ndim == 3 else 0, k) for k, n in enumerate(a.shape) if n <= most] if a.ndim > 2 else []
+    if a.ndim == 3 and few and min(few)[0] > min(a.shape):
+        few = []
+    a = np.moveaxis(a, min(few)[1], -1) if few else a[..., None]
+    return a.reshape(-1, *a.shape[-3:]).max(axis=0)
+
+
+def _unpacked_bits(data: bytes) -> bytes:
+    """PackBits: a count and that many bytes, or a count of one byte repeated."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += data[at + 1 : at + 2] * (257 - n) if n > 128 else b""
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def _unpacked_lzw(data: bytes) -> bytes:
+    """LZW as in TIFF: codes of 9 to 12 bits, high bits first; 256 clears the table, 257 ends."""
+    first = [bytes([b]) for b in range(256)] + [b"", b""]
+    table, out, last, width, held, bits = first[:], [], None, 9, 0, 0
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        code = held >> (bits - width) & (1 << width) - 1
+        bits -= width
+        if code == 257:
+            break
+        if code == 256:
+            table, last, width = first[:], None, 9
+            continue
+        word = table[code] if code < len(table) else last + last[:1]
+        out.append(word)
+        if last is not None:
+            table.append(last + word[:1])
+        last = word
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+    return b"".join(out)
+
+
+#: Compression codes of the format.
+_UNPACK = {1: bytes, 5: _unpacked_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpacked_bits}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from somatica.functions import names
-from somatica.operators import merge, phenotype, qa, statistics
+from somatica.operators import merge, phenotype, qa, session, statistics
 from somatica.sources import images, tables, tiff
 from somatica.streaming import review
 
@@ -116,3 +116,53 @@ def test_stream_of_reviews(spark, tmp_path):
     q.awaitTermination()
     last = {(r.cell, r.area): r.a for r in spark.read.parquet(f"{tmp_path}/out").groupBy("cell", "area").agg(F.max_by("approved", "seq").alias("a")).collect()}
     assert last[7, 200] and last[7, 300] and last[7, 500] is None and all(last[8, a] for a in range(200, 900, 100))
+
+
+def test_tiff_compressions():
+    rng = np.random.default_rng(3)
+    for a in (rng.integers(0, 5, (40, 50)).astype("u1"), rng.integers(0, 60000, (3, 7, 9)).astype("u2"), rng.random((4, 5)).astype("f4")):
+        for compressed in (False, True):
+            assert np.array_equal(tiff.decode(tiff.encode(a, 0.3, compressed)), a) and abs(tiff.resolution(tiff.encode(a, 0.3)) - 0.3) < 1e-6
+    assert tiff._unpacked_bits(bytes([2, 7, 8, 9, 254, 5, 128, 0, 1])) == bytes([7, 8, 9, 5, 5, 5, 1])
+
+    def packed(data):  # LZW by the book, codes as TIFF writes them
+        table, word, bits = {bytes([b]): b for b in range(256)}, b"", f"{256:09b}"
+        size = 258
+        width = 9
+        for b in data:
+            if word + bytes([b]) in table:
+                word += bytes([b])
+                continue
+            bits += f"{table[word]:0{width}b}"
+            table[word + bytes([b])] = size
+            size += 1
+            width = size.bit_length() if size + 1 < 4096 else 12
+            word = bytes([b])
+            if size >= 4094:
+                bits += f"{table[word]:0{width}b}{256:0{width}b}"
+                table, word, size, width = {bytes([b]): b for b in range(256)}, b"", 258, 9
+        bits += (f"{table[word]:0{width}b}" if word else "") + f"{257:0{width}b}"
+        return bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+
+    for n in (0, 1, 300, 3000):
+        data = rng.integers(0, 6, n).astype("u1").tobytes()
+        assert tiff._unpacked_lzw(packed(data)) == data
+
+
+def test_session(spark):
+    e = spark.createDataFrame([("i", 1, "add"), ("i", 2, "undo"), ("i", 3, "undo"), ("i", 4, "add"), ("i", 5, "add"), ("i", 6, "undo"), ("k", 1, "add")], "image string, seq int, op string")
+    assert {(r.image, r.seq) for r in session.after_undo(e, ["image"]).collect()} == {("i", 4), ("k", 1)}
+    images = spark.createDataFrame([("a",), ("b",)], "image_name string")
+    edits = spark.createDataFrame([(1, "clear", None), (2, "check", "a")], "seq int, op string, image_name string")
+    assert {r.image_name: r.selected for r in session.selection(images, edits).collect()} == {"a": True, "b": False}
+    assert all(r.selected for r in session.selection(images, edits.where("false")).collect())
+
+
+def test_clean_names(spark):
+    d = spark.createDataFrame([("a_area300_mask.tif",), ("a_area300_mask.tiff",), ("a_mask.tif",), ("a_mask.tif.bak",)], "n string")
+    assert [r[0] for r in d.select(names.clean_cell_name(F.col("n"))).collect()] == ["a", "a_area300_mask.tiff", "a", "a_mask.tif.bak"]
+
+
+def test_result_sheets(spark):
+    d = spark.createDataFrame([("c", 1.0, 2)], "cell_name string, hull_density double, other int")
+    assert tables.result_sheet(d, tables.FRACTAL_COLUMNS).columns == list(tables.FRACTAL_COLUMNS) and len(tables.FRACTAL_COLUMNS) == 22 and len(tables.SKELETON_COLUMNS) == 24
