@@ -4,23 +4,25 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from somatica.llm.common import materialise, prefix_sums, slices
 
-#: Fixed value: the pattern by which byte-level BPE files of this kind cut a text into words.
-_BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on whose kind all versions of Unicode agree: texts with others are encoded as a whole.
-_OLD = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*+")
+_OLD = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*+")
+#: Letters, numbers and white space among them.
+_LETTER, _NUMBER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\r "
+#: Fixed value: the pattern by which byte-level BPE files of this kind cut a text into words, for these characters.
+_WORDS = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Words that a worker remembers before it forgets all.
-_MEMO = 250_000
+_MEMO = 600_000
 
 _loaded: dict = {}
 
@@ -50,14 +52,13 @@ class Encoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.by_word = by_word and model.get("type") == "BPE" and not spec.get("normalizer") and not model.get("dropout") and not spec.get("truncation") and not spec.get("padding")
-        self.cut = regex.compile(_BYTE_LEVEL_PATTERN).findall
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         plain = [self.by_word and _OLD.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        words = [self.cut(t) if p else () for t, p in zip(texts, plain, strict=True)]
+        words = [_WORDS.findall(t) if p else () for t, p in zip(texts, plain, strict=True)]
         if len(self.memo) > _MEMO:
             self.memo.clear()
         new = list(set().union(*words) - self.memo.keys())

@@ -281,6 +281,17 @@ def test_packing(spark, prose, awkward, empty):
     assert packing.pack(awkward).groupBy("doc_id").count().count() > 5 and packing.pack(empty).count() == 0
 
 
+def test_encoder_by_words():
+    """Ids put together from words equal those of whole texts, for every character and many ways to stand beside others."""
+    encode = packing.encoder(packing.default_vocabulary())
+    letters = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x250))]
+    rng = random.Random(8)
+    texts = [f"a{c}b {c} 1{c}2  {c}{c}\n{c}'s {c}" for c in letters] + ["".join(rng.choices(letters[:98] + [" ", "\n", "'s", "'ll", " the", "12"] * 9, k=80)) for _ in range(600)]
+    assert all(packing._OLD.fullmatch(t) for t in texts) and encode(texts) == encode._whole(texts)
+    others = ["\u4f60\u597d \x1c\x85\xa0 x", "x <|endoftext|> y", ""]
+    assert encode(others) == encode._whole(others)
+
+
 def test_licenses(spark, awkward, empty):
     s = license_scan.SENTENCES
     texts = {
