@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from somatica.functions.cells import cosine
@@ -24,24 +24,28 @@ class BulbRules:
     most_connections: int = 1
     distal_px: int = 4
     distal_cosine: float = -0.2
+    soma_dilation_px: int = 3
+    half_width_fallback: float = 2.0
 
 
-def detect(mask: DataFrame, height: int, width: int, pixel_size: float, rules: BulbRules = BulbRules(), open_radius: int | None = None) -> tuple[DataFrame, DataFrame]:
+def detect(mask: DataFrame, height: int | Column, width: int | Column, pixel_size: float, rules: BulbRules = BulbRules(), open_radius: int | None = None, outlines: DataFrame | None = None, areas: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Bulbs (image, label, cy, cx, diameter_um) and one row of counts per image (num_bulbous_endings, mean_bulb_diameter_um,
-    beading_index), for cells without a traced soma: the soma is the disk around the thickest place.
+    beading_index).
+
+    The soma of a cell is its traced one (``outlines``: image, y, x), grown a little. Without, it is a disk around the thickest place,
+    as large as its known area (``areas``: image, soma_area_um2) or as the cell is thick there.
 
     A bulb is a blob left by opening the mask, thick enough, away from the soma, touched by at most one long process, and with no
     process that goes on beyond it. Built from joins on the pixel relation; thinning and distances are per-image groups.
     """
     d = distance.to_background(mask, height, width)
-    skel = skeleton.thin(mask, height, width).join(d, AT)
-    soma = d.groupBy("image").agg(F.max_by(F.struct("y", "x", "d"), F.struct("d", -F.col("y"), -F.col("x"))).alias("s")).select("image", F.col("s.y").alias("sy"), F.col("s.x").alias("sx"), F.col("s.d").alias("sr"))
-    out_of_soma = F.hypot(F.col("y") - F.col("sy"), F.col("x") - F.col("sx")) > F.col("sr") * rules.soma_margin
-    processes = skel.join(soma, "image").where(out_of_soma)
+    skel = skeleton.thin(mask).join(d, AT)
+    soma, tagged = _somas(d, pixel_size, rules, outlines, areas)
+    processes = tagged(skel).where("not in_soma")
     if open_radius is None:
         half = processes.groupBy("image").agg(F.percentile("d", F.lit(0.25)).alias("p25"))
         ceiling = max(3, int(rules.least_diameter_um / pixel_size / 2) - 1)
-        radius = soma.join(half, "image", "left").select("image", F.least(F.greatest(F.round(F.coalesce("p25", F.lit(2.0)) + 2), F.lit(3)), F.lit(ceiling)).cast("int").alias("r"))
+        radius = soma.join(half, "image", "left").select("image", F.least(F.greatest(F.bround(F.coalesce("p25", F.lit(rules.half_width_fallback)) + 2), F.lit(3)), F.lit(ceiling)).cast("int").alias("r"))
         opened = None
         for r in range(3, ceiling + 1):
             part = morphology.open_(mask.join(radius.where(F.col("r") == r).select("image"), "image", "left_semi"), morphology.disk(r))
@@ -50,7 +54,8 @@ def detect(mask: DataFrame, height: int, width: int, pixel_size: float, rules: B
         opened = morphology.open_(mask, morphology.disk(open_radius))
     blobs = morphology.components(opened).join(d, AT, "left")
     key = ["image", "label"]
-    inside = blobs.join(soma, "image").where(~out_of_soma).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(((F.col("y") == F.col("sy")) & (F.col("x") == F.col("sx"))).cast("int")).alias("centre"))
+    centre = (F.col("y") == F.bround("sy")) & (F.col("x") == F.bround("sx"))
+    inside = tagged(blobs).groupBy(key).agg(F.count_if("in_soma").alias("n"), F.max(centre.cast("int")).alias("centre")).where("n > 0 or centre = 1")
     own = inside.groupBy("image").agg(F.max_by("label", F.struct("centre", "n", -F.col("label"))).alias("own"))
     b = blobs.groupBy(key).agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.max("d").alias("thick")).join(soma, "image").join(own, "image", "left")
     far = F.hypot(F.col("cy") - F.col("sy"), F.col("cx") - F.col("sx")) >= rules.least_tip_factor * F.col("sr")
@@ -68,3 +73,20 @@ def detect(mask: DataFrame, height: int, width: int, pixel_size: float, rules: B
     counts = mask.select("image").distinct().join(n, "image", "left").join(tips, "image", "left").na.fill(0, ["num_bulbous_endings"]).na.fill(0.0, ["mean_bulb_diameter_um"])
     index = F.when(F.col("tips") > 0, F.round(F.col("num_bulbous_endings") / F.col("tips"), 4)).otherwise(0.0)
     return bulbs, counts.select("image", "num_bulbous_endings", "mean_bulb_diameter_um", index.alias("beading_index"))
+
+
+def _somas(d: DataFrame, pixel_size: float, rules: BulbRules, outlines: DataFrame | None, areas: DataFrame | None):
+    """Centre and radius of each image's soma (image, sy, sx, sr), and a function that adds them and ``in_soma`` to pixels."""
+    soma = d.groupBy("image").agg(F.max_by(F.struct("y", "x", "d"), F.struct("d", -F.col("y"), -F.col("x"))).alias("s"))
+    soma = soma.select("image", F.col("s.y").cast("double").alias("sy"), F.col("s.x").cast("double").alias("sx"), F.col("s.d").alias("sr"))
+    if areas is not None:
+        known = areas.where("soma_area_um2 > 0").groupBy("image").agg((F.sqrt(F.max("soma_area_um2") / math.pi) / pixel_size).alias("_r"))
+        soma = soma.join(known, "image", "left").withColumn("sr", F.coalesce("_r", "sr")).drop("_r")
+    disk = F.hypot(F.col("y") - F.col("sy"), F.col("x") - F.col("sx")) <= F.col("sr") * rules.soma_margin
+    if outlines is None:
+        return soma, lambda px: px.join(soma, "image").withColumn("in_soma", disk)
+    traced = outlines.groupBy("image").agg(F.avg("y").alias("_y"), F.avg("x").alias("_x"), F.sqrt(F.count(F.lit(1)) / math.pi).alias("_r"))
+    soma = soma.join(traced, "image", "left").select("image", F.coalesce("_y", "sy").alias("sy"), F.coalesce("_x", "sx").alias("sx"), F.coalesce("_r", "sr").alias("sr"), F.isnotnull("_r").alias("traced"))
+    grown = morphology.dilate(outlines, morphology.cross(rules.soma_dilation_px)).withColumn("_grown", F.lit(True))
+    flag = F.when(F.col("traced"), F.coalesce("_grown", F.lit(False))).otherwise(disk)
+    return soma, lambda px: px.join(soma, "image").join(grown, AT, "left").withColumn("in_soma", flag).drop("_grown")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from somatica.operators.pixels import AT
@@ -31,23 +31,25 @@ def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     return both.applyInPandas(run, f"image {kind}, y int, x int, d double")
 
 
-def to_background(mask: DataFrame, height: int, width: int) -> DataFrame:
+def to_background(mask: DataFrame, height: int | Column, width: int | Column) -> DataFrame:
     """``mask`` with ``d``: exact distance to the nearest pixel of the frame that is not in the mask (null: there is none).
 
-    One group per image; the squared distances along columns are widened row by row until nothing can become smaller.
+    ``height`` and ``width`` are numbers, or columns of ``mask`` where images differ in size. One group per image; the squared
+    distances along columns are widened row by row until nothing can become smaller.
     """
 
     def run(pdf):
         import numpy as np
 
-        on = np.zeros((height, width), bool)
+        on = np.zeros((pdf["_h"].iloc[0], pdf["_w"].iloc[0]), bool)
         y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
         on[y, x] = True
         d2 = squared_distances(~on)[y, x]
         return type(pdf)({"image": pdf["image"].iloc[0], "y": y, "x": x, "d": np.where(np.isfinite(d2), np.sqrt(d2), np.nan)})
 
     kind = mask.schema["image"].dataType.simpleString()
-    out = mask.select(AT).groupBy("image").applyInPandas(run, f"image {kind}, y int, x int, d double")
+    framed = mask.select(*AT, F.lit(height).alias("_h"), F.lit(width).alias("_w"))
+    out = framed.groupBy("image").applyInPandas(run, f"image {kind}, y int, x int, d double")
     return out.withColumn("d", F.nanvl("d", F.lit(None).cast("double")))
 
 

@@ -7,13 +7,17 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from somatica.operators import regions
 
-def vertices(mask: DataFrame) -> DataFrame:
-    """Corners of each image's convex hull over pixel centres: image, seq, y, x, counter-clockwise.
+
+def vertices(mask: DataFrame, pixel_corners: bool = False) -> DataFrame:
+    """Corners of each image's convex hull over pixel centres, or the corners of pixels: image, seq, y, x, counter-clockwise.
 
     Only the outermost pixels of each row reach the per-image group (two per row at most).
     """
     ends = mask.groupBy("image", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    if pixel_corners:
+        ends = ends.select("image", F.explode(F.array("y", F.col("y") + 1)).alias("y"), "a", (F.col("b") + 1).alias("b"))
 
     def run(pdf):
         import pandas as pd
@@ -36,8 +40,11 @@ def half_hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def measure(corners: DataFrame, mask: DataFrame) -> DataFrame:
-    """Area, perimeter, circularity, density, largest span and width across it, and their ratio; none where the area is 0."""
+def measure(corners: DataFrame, mask: DataFrame, pixel_size: float = 1.0) -> DataFrame:
+    """Area, perimeter, circularity, density, largest span and width across it, and their ratio; none where the area is 0.
+
+    Lengths and areas are in the unit of ``pixel_size``.
+    """
     w = Window.partitionBy("image").orderBy("seq")
     c = corners.withColumns({"y2": F.coalesce(F.lead("y").over(w), F.first("y").over(w)), "x2": F.coalesce(F.lead("x").over(w), F.first("x").over(w))})
     m = c.groupBy("image").agg((F.abs(F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y"))) / 2).alias("hull_area"), F.sum(F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))).alias("hull_perimeter"))
@@ -50,4 +57,17 @@ def measure(corners: DataFrame, mask: DataFrame) -> DataFrame:
     n = mask.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
     out = m.join(width, "image").join(n, "image").where("hull_area > 0")
     p2 = F.col("hull_perimeter") * F.col("hull_perimeter")
-    return out.select("image", "hull_area", "hull_perimeter", (4 * math.pi * F.col("hull_area") / p2).alias("hull_circularity"), (F.col("n") / F.col("hull_area")).alias("density"), "span", "width", F.when(F.col("width") > 0, F.col("span") / F.col("width")).alias("span_ratio"))
+    scaled = [(F.col("hull_area") * pixel_size**2).alias("hull_area"), (F.col("hull_perimeter") * pixel_size).alias("hull_perimeter")]
+    across_it = [(F.col(c) * pixel_size).alias(c) for c in ("span", "width")]
+    return out.select("image", *scaled, (4 * math.pi * F.col("hull_area") / p2).alias("hull_circularity"), (F.col("n") / F.col("hull_area")).alias("density"), *across_it, F.when(F.col("width") > 0, F.col("span") / F.col("width")).alias("span_ratio"))
+
+
+def mask_shapes(mask: DataFrame, pixel_size: float = 1.0) -> DataFrame:
+    """Shape set of each image's mask: area, perimeter, circularity, aspect ratio, roundness (4 area over pi times the squared
+    major axis) and solidity (area over the hull's, both of whole pixels)."""
+    w = Window.partitionBy("image").orderBy("seq")
+    c = vertices(mask, pixel_corners=True).withColumns({"y2": F.coalesce(F.lead("y").over(w), F.first("y").over(w)), "x2": F.coalesce(F.lead("x").over(w), F.first("x").over(w))})
+    area = c.groupBy("image").agg((F.abs(F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y"))) / 2).alias("_hull"))
+    d = regions.descriptors(mask, pixel_size).join(area, "image")
+    round_ = F.when(F.col("major") > 0, 4 * F.col("n_px") / (math.pi * F.col("major") * F.col("major"))).otherwise(0.0)
+    return d.select("image", F.col("area_um2").alias("mask_area"), F.col("perimeter").alias("mask_perimeter"), F.col("circularity").alias("mask_circularity"), F.col("aspect_ratio").alias("mask_aspect_ratio"), round_.alias("mask_roundness"), (F.col("n_px") / F.col("_hull")).alias("mask_solidity"))

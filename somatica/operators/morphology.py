@@ -28,15 +28,13 @@ def shifted(mask: DataFrame, offsets: Offsets, keep: list[str] | None = None) ->
     return mask.select(*AT, *rest, o.alias("_o")).select("image", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"), *rest)
 
 
-def _inside(height: int | None, width: int | None) -> Column:
-    ok = F.lit(True)
-    if height is not None:
-        ok = F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
-    return ok
-
-
-def dilate(mask: DataFrame, offsets: Offsets, height: int | None = None, width: int | None = None) -> DataFrame:
-    return shifted(mask, offsets).where(_inside(height, width)).distinct()
+def dilate(mask: DataFrame, offsets: Offsets, height: int | Column | None = None, width: int | Column | None = None) -> DataFrame:
+    """Pixels that some offset reaches; with a size (numbers, or columns of ``mask``) those inside the frame."""
+    if height is None or width is None:
+        return shifted(mask, offsets).distinct()
+    framed = mask.select(*AT, F.lit(height).alias("_h"), F.lit(width).alias("_w"))
+    inside = F.col("y").between(0, F.col("_h") - 1) & F.col("x").between(0, F.col("_w") - 1)
+    return shifted(framed, offsets, ["_h", "_w"]).where(inside).select(AT).distinct()
 
 
 def erode(mask: DataFrame, offsets: Offsets) -> DataFrame:
@@ -46,7 +44,7 @@ def erode(mask: DataFrame, offsets: Offsets) -> DataFrame:
     return n.where(F.col("n") == len(offsets)).select(AT)
 
 
-def close(mask: DataFrame, offsets: Offsets, height: int | None = None, width: int | None = None) -> DataFrame:
+def close(mask: DataFrame, offsets: Offsets, height: int | Column | None = None, width: int | Column | None = None) -> DataFrame:
     return erode(dilate(mask, offsets, height, width), offsets)
 
 

@@ -7,19 +7,23 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somatica.operators.morphology import EIGHT, component_sizes, components, degrees, shifted
+from somatica.operators.morphology import EIGHT, component_roots, component_sizes, components, degrees, shifted
 from somatica.operators.pixels import AT
 
 
-def thin(mask: DataFrame, height: int, width: int) -> DataFrame:
-    """Skeleton of each image's mask by thinning in two sub-steps (Zhang and Suen, 1984). One group per image."""
+def thin(mask: DataFrame) -> DataFrame:
+    """Skeleton of each image's mask by thinning in two sub-steps (Zhang and Suen, 1984).
+
+    One group per image, which works on the mask's bounding box: what lies beyond a mask is empty, whatever the frame's size.
+    """
 
     def run(pdf):
         import numpy as np
         import pandas as pd
 
-        on = np.zeros((height + 2, width + 2), bool)
-        on[pdf["y"].to_numpy() + 1, pdf["x"].to_numpy() + 1] = True
+        y0, x0 = pdf["y"].min(), pdf["x"].min()
+        on = np.zeros((pdf["y"].max() - y0 + 3, pdf["x"].max() - x0 + 3), bool)
+        on[pdf["y"].to_numpy() - y0 + 1, pdf["x"].to_numpy() - x0 + 1] = True
         while True:
             size = on.sum()
             for first in (True, False):
@@ -27,7 +31,7 @@ def thin(mask: DataFrame, height: int, width: int) -> DataFrame:
             if on.sum() == size:
                 break
         y, x = np.nonzero(on[1:-1, 1:-1])
-        return pd.DataFrame({"image": [pdf["image"].iloc[0]] * len(y), "y": y, "x": x})
+        return pd.DataFrame({"image": np.full(len(y), pdf["image"].iloc[0], object), "y": y + y0, "x": x + x0})
 
     kind = mask.schema["image"].dataType.simpleString()
     return mask.select(AT).groupBy("image").applyInPandas(run, f"image {kind}, y int, x int")
@@ -74,6 +78,76 @@ def graph_metrics(skeleton: DataFrame, pixel_size: float = 1.0) -> DataFrame:
     return out.na.fill(0, ["junctions", "triple_points", "quadruple_points", "branches"]).na.fill(0.0, ["mean_branch_length", "max_branch_length", "total_length"])
 
 
+def longest_path(skeleton: DataFrame, pixel_size: float = 1.0) -> DataFrame:
+    """Longest of the shortest ways between ends and junctions of each image's first skeleton, the one with the first pixel.
+
+    One group per image: distances from all those points are relaxed along the skeleton together until none changes.
+    """
+
+    def run(pdf):
+        import numpy as np
+
+        at = np.unique(pdf["y"].to_numpy(np.int64) * 65536 + pdf["x"].to_numpy(np.int64))
+        at = at[component_roots(at, [1, 65535, 65536, 65537]) == 0]
+        steps = [(dy * 65536 + dx, math.hypot(dy, dx)) for dy, dx in EIGHT]
+        place = np.stack([np.searchsorted(at, at + s) for s, _ in steps])
+        place[place == len(at)] = 0
+        near = np.where(at[place] == at + np.array([[s] for s, _ in steps]), place, len(at))
+        degree = (near < len(at)).sum(axis=0)
+        begin = np.flatnonzero(degree != 2)
+        begin = begin if len(begin) else np.array([0])
+        far = np.full((len(begin), len(at) + 1), np.inf)
+        far[np.arange(len(begin)), begin] = 0.0
+        while True:
+            new = far.copy()
+            for k, (_, length) in enumerate(steps):
+                new[:, :-1] = np.minimum(new[:, :-1], far[:, near[k]] + length)
+            if (new == far).all():
+                break
+            far = new
+        return type(pdf)({"image": [pdf["image"].iloc[0]], "d": [far[:, begin].max() * pixel_size]})
+
+    kind = skeleton.schema["image"].dataType.simpleString()
+    return skeleton.select(AT).groupBy("image").applyInPandas(run, f"image {kind}, d double").withColumnRenamed("d", "longest_shortest_path")
+
+
+def without_loops(skeleton: DataFrame) -> DataFrame:
+    """``skeleton`` with every loop opened at its shortest branch.
+
+    Branches are taken from the longest on; one whose junctions are linked already closes a loop and goes, as does one without an
+    end that meets a single junction. Only branches and their junctions, not pixels, reach the per-image group.
+    """
+    p = points(skeleton)
+    junctions = components(p.where("kind = 'junction'").select(AT))
+    branches = components(p.where("kind <> 'junction'").select(AT))
+    touch = shifted(branches, EIGHT, ["label"]).withColumnRenamed("label", "branch").join(junctions, AT)
+    met = touch.groupBy("image", "branch").agg(F.array_sort(F.collect_set("label")).alias("junctions"))
+    ends = p.where("kind = 'end'").join(branches, AT).groupBy("image", "label").agg(F.lit(True).alias("ended"))
+    size = component_sizes(branches).join(ends, ["image", "label"], "left").withColumnRenamed("label", "branch")
+
+    def run(pdf):
+        root: dict[int, int] = {}
+
+        def top(k):
+            while root.setdefault(k, k) != k:
+                k = root[k]
+            return k
+
+        gone = []
+        for row in pdf.sort_values(["size", "branch"], ascending=[False, True]).itertuples(index=False):
+            tops = [top(k) for k in row.junctions]
+            if len(set(tops)) < len(tops) or (len(tops) == 1 and not row.ended):
+                gone.append(row.branch)
+            else:
+                root.update(dict.fromkeys(tops, min(tops)))
+        return pdf.loc[pdf["branch"].isin(gone), ["image", "branch"]].rename(columns={"branch": "label"})
+
+    kind = skeleton.schema["image"].dataType.simpleString()
+    rows = size.join(met, ["image", "branch"]).select("image", "branch", "size", F.coalesce("ended", F.lit(False)).alias("ended"), "junctions")
+    gone = rows.groupBy("image").applyInPandas(run, f"image {kind}, label long")
+    return skeleton.select(AT).join(branches.join(gone, ["image", "label"]).select(AT), AT, "left_anti")
+
+
 def upscale(mask: DataFrame, k: int = 2) -> DataFrame:
     """Every pixel as ``k`` x ``k`` pixels."""
     o = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in range(k) for b in range(k)]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from somatica.operators import distance, morphology, thresholds
@@ -59,10 +59,13 @@ def exposure(cell_px: DataFrame, px: DataFrame, vessel: DataFrame, soma: DataFra
     return m.join(near, key, "left").select(*key, (F.col("d") * pixel_size).alias("dist_to_vessel_um"), "exposure_mean", "vessel_contact_fraction")
 
 
-def network(vessel: DataFrame, skeleton: DataFrame, height: int, width: int, pixel_size: float) -> DataFrame:
-    """Area share, skeleton length and branch points per area, and mean diameter of each image's vessels."""
-    area = height * width * pixel_size**2
+def network(vessel: DataFrame, skeleton: DataFrame, height: int | Column, width: int | Column, pixel_size: float) -> DataFrame:
+    """Area share, skeleton length and branch points per area, and mean diameter of each image's vessels.
+
+    ``height`` and ``width`` are numbers, or columns of ``vessel`` where images differ in size.
+    """
+    area = F.col("frame") * pixel_size**2
     d = distance.to_background(vessel, height, width)
     s = morphology.degrees(skeleton).join(d, AT, "left").groupBy("image").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("degree") >= 3).alias("branches"), F.avg("d").alias("d"))
-    v = vessel.groupBy("image").agg((F.count(F.lit(1)) / float(height * width)).alias("vessel_area_fraction"))
+    v = vessel.groupBy("image").agg(F.count(F.lit(1)).alias("n_px"), F.max(F.lit(height) * F.lit(width)).cast("double").alias("frame")).withColumn("vessel_area_fraction", F.col("n_px") / F.col("frame"))
     return v.join(s, "image", "left").select("image", "vessel_area_fraction", (F.coalesce("n", F.lit(0)) * pixel_size / area).alias("length_density"), (F.coalesce("branches", F.lit(0)) / (area / 1e6)).alias("branchpoint_density"), (F.coalesce("d", F.lit(0.0)) * 2 * pixel_size).alias("mean_diameter"))

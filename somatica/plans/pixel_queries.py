@@ -327,20 +327,44 @@ def nested_masks(spark, sf_dir):
 @query()
 def vessel_network(spark, sf_dir):
     v = vessels.vessel_mask(b.px_big(spark, sf_dir), 32, 32, 1.0)
-    return rounded(vessels.network(v, skeleton.thin(v, 32, 32), 32, 32, 1.0))
+    return rounded(vessels.network(v, skeleton.thin(v), 32, 32, 1.0))
 
 
-@query()
+def _hull_sql(points: str) -> str:
+    """Hull edges ``e`` (from p to q, nothing to the right of them) and numbered corners ``h`` of the points (image, y, x)."""
+    return f"""pt AS ({points}), e AS (SELECT p.image, p.y AS py, p.x AS px, q.y AS qy, q.x AS qx FROM pt p JOIN pt q ON p.image = q.image AND (p.y, p.x) <> (q.y, q.x) JOIN pt r ON r.image = p.image GROUP BY ALL
+  HAVING bool_and((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) > 0 OR ((q.x - p.x) * (r.y - p.y) = (q.y - p.y) * (r.x - p.x) AND (r.x - p.x) * (r.x - q.x) + (r.y - p.y) * (r.y - q.y) <= 0))),
+ c AS (SELECT image, py AS y, px AS x, avg(py) OVER w AS my, avg(px) OVER w AS mx, row_number() OVER (PARTITION BY image ORDER BY px, py) = 1 AS fst FROM e WINDOW w AS (PARTITION BY image)),
+ g AS (SELECT *, atan2(y - my, x - mx) AS angle, max(CASE WHEN fst THEN atan2(y - my, x - mx) END) OVER (PARTITION BY image) AS a0 FROM c),
+ h AS (SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY CASE WHEN fst THEN -1 WHEN angle < a0 THEN angle - a0 + 2 * pi() ELSE angle - a0 END) - 1 AS INTEGER) AS seq, y, x FROM g)"""
+
+
+_HULL = f"WITH {BIG}, {_hull_sql('SELECT image, y, min(x) AS x FROM m GROUP BY image, y UNION SELECT image, y, max(x) FROM m GROUP BY image, y')}"
+
+
+@query(f"{_HULL} SELECT * FROM h")
 def hull_vertices(spark, sf_dir):
     return hull.vertices(big_mask(spark, sf_dir))
 
 
-@query()
+@query(f"""{_HULL}, a AS (SELECT image, sum(px * qy - qx * py) / 2 AS area, sum(sqrt((qx - px) ** 2 + (qy - py) ** 2)) AS perimeter FROM e GROUP BY 1),
+ f AS (SELECT i.image, i.y AS ya, i.x AS xa, j.y AS yb, j.x AS xb, sqrt((i.x - j.x) ** 2 + (i.y - j.y) ** 2) AS d FROM h i JOIN h j ON i.image = j.image AND i.seq < j.seq QUALIFY row_number() OVER (PARTITION BY i.image ORDER BY (i.x - j.x) ** 2 + (i.y - j.y) ** 2 DESC, i.seq, j.seq) = 1),
+ w AS (SELECT image, any_value(d) AS span, max((y * (xb - xa) - x * (yb - ya)) / d) - min((y * (xb - xa) - x * (yb - ya)) / d) AS width FROM h JOIN f USING (image) GROUP BY 1), n AS (SELECT image, count(*) AS n FROM m GROUP BY 1)
+ SELECT image, round(area, 6) AS hull_area, round(perimeter, 6) AS hull_perimeter, round(4 * pi() * area / perimeter ** 2, 6) AS hull_circularity, round(n / area, 6) AS density, round(span, 6) AS span, round(width, 6) AS width, round(span / nullif(width, 0), 6) AS span_ratio
+ FROM a JOIN w USING (image) JOIN n USING (image) WHERE area > 0""")
 def hull_metrics(spark, sf_dir):
     m = big_mask(spark, sf_dir)
     return rounded(hull.measure(hull.vertices(m), m))
 
 
+_WHOLE = _hull_sql("SELECT image, y + dy AS y, min(x) AS x FROM m, (VALUES (0), (1)) o(dy) GROUP BY ALL UNION SELECT image, y + dy, max(x) + 1 FROM m, (VALUES (0), (1)) o(dy) GROUP BY ALL")
+
+
+@query(f"WITH {BIG}, {_WHOLE}, a AS (SELECT image, sum(px * qy - qx * py) / 2 AS area FROM e GROUP BY 1), n AS (SELECT image, count(*) AS n FROM m GROUP BY 1) SELECT image, round(n * 0.09, 6) AS mask_area, round(n / area, 6) AS mask_solidity FROM n JOIN a USING (image)")
+def mask_solidity(spark, sf_dir):
+    return rounded(hull.mask_shapes(big_mask(spark, sf_dir), 0.3).select("image", "mask_area", "mask_solidity"))
+
+
 def _sholl_centres(spark, sf_dir) -> DataFrame:
     return big_mask(spark, sf_dir).select("image").distinct().select("image", F.lit(16).alias("cy"), F.lit(16).alias("cx"), F.lit(2.0).alias("r0"))
 
@@ -376,7 +400,8 @@ def sholl_regressions_p10_p90(spark, sf_dir):
     return rounded(sholl.regressions(_profiles(spark, sf_dir), (10, 90)))
 
 
-@query()
+@query(f"""{_SHOLL}, c AS (SELECT image, n - avg(n) OVER (PARTITION BY image) AS d FROM pr), s AS (SELECT image, avg(d * d) AS s2, avg(d * d * d) AS s3, avg(d * d * d * d) AS s4 FROM c GROUP BY 1)
+ SELECT image, round(s3 / nullif(s2, 0) ** 1.5, 6) AS skewness, round(s4 / nullif(s2, 0) ** 2 - 3, 6) AS kurtosis FROM s""")
 def sholl_shape(spark, sf_dir):
     return rounded(sholl.sampled_metrics(_profiles(spark, sf_dir)).select("image", "skewness", "kurtosis"))
 
@@ -388,12 +413,17 @@ def sholl_polynomial(spark, sf_dir):
 
 @query()
 def skeleton_pixels(spark, sf_dir):
-    return skeleton.thin(big_mask(spark, sf_dir), 32, 32)
+    return skeleton.thin(big_mask(spark, sf_dir))
 
 
 @query()
 def skeleton_metrics(spark, sf_dir):
-    return rounded(skeleton.graph_metrics(skeleton.thin(big_mask(spark, sf_dir), 32, 32), 0.3))
+    return rounded(skeleton.graph_metrics(skeleton.thin(big_mask(spark, sf_dir)), 0.3))
+
+
+@query()
+def skeleton_longest_path(spark, sf_dir):
+    return rounded(skeleton.longest_path(skeleton.without_loops(skeleton.thin(big_mask(spark, sf_dir))), 0.3))
 
 
 @query(f"WITH {SMALL} SELECT image, y * 2 + dy AS y, x * 2 + dx AS x FROM m, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx)")
@@ -406,6 +436,15 @@ def terminal_bulbs(spark, sf_dir):
     return bulbs.detect(morphology.close(big_mask(spark, sf_dir), morphology.disk(1), 32, 32), 32, 32, 0.5, open_radius=1)[1]
 
 
+@query()
+def terminal_bulbs_traced(spark, sf_dir):
+    """Bulbs of cells with a traced soma, or a known soma area where the outline is missing; automatic opening."""
+    m = morphology.close(big_mask(spark, sf_dir), morphology.disk(1), 32, 32)
+    centre = (F.abs(F.col("y") - 16) <= 3) & (F.abs(F.col("x") - 16) <= 3)
+    areas = m.groupBy("image").agg((F.count(F.lit(1)) / 20.0).alias("soma_area_um2"))
+    return bulbs.detect(m, 32, 32, 0.3, outlines=m.where(centre & (F.col("image") % 2 == 0)), areas=areas)[1]
+
+
 @query(f"WITH {b.PX_SMALL}, {_off(morphology.disk(2))} SELECT p.image, p.y, p.x, round(greatest(0.0, least(255.0, p.v - min(k.v + 2 - sqrt(4 - dy ** 2 - dx ** 2)))), 6) AS v FROM px p CROSS JOIN o JOIN px k ON k.image = p.image AND k.y = p.y + dy AND k.x = p.x + dx GROUP BY p.image, p.y, p.x, p.v")
 def rolling_ball(spark, sf_dir):
     return rounded(background.rolling_ball(b.px_small(spark, sf_dir), 2, 8, 8))

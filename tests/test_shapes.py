@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from somatica.operators import background, boxes, bulbs, distance, hull, masks, morphology, pixels, regions, sholl, skeleton, thresholds, vessels
 
@@ -96,11 +97,12 @@ def test_hull(spark, shapes):
 
 
 def test_skeleton(spark, shapes):
-    s = skeleton.thin(mask(spark, shapes), 32, 32)
+    s = skeleton.thin(mask(spark, shapes))
     m = by_image(skeleton.graph_metrics(s))
     assert m["line"]["end_points"] == 2 and m["line"]["junctions"] == 0 and m["line"]["total_length"] == 9
     assert m["plus"]["end_points"] == 4 and m["plus"]["junctions"] == 1 and m["plus"]["branches"] == 4
     assert s.where("image = 'dot'").count() == 1
+    assert skeleton.thin(mask(spark, {"block": np.ones((2, 2), bool)})).count() <= 1  # thinning in sub-steps may use up a block of two by two
 
 
 def test_sholl(spark, shapes):
@@ -138,6 +140,59 @@ def test_dumbbell_has_one_bulb(spark):
     assert none.first()["num_bulbous_endings"] == 0
 
 
+def test_bulbs_with_known_somas(spark):
+    cell = disk(64, 9, 20, 20) | disk(64, 5, 20, 52)
+    cell[19:22, 20:52] = True
+    m = mask(spark, {"traced": cell, "area": cell, "wide": cell, "lobe": cell})
+    outlines = mask(spark, {"traced": disk(64, 8, 20, 20), "lobe": disk(64, 5, 20, 52)})
+    areas = spark.createDataFrame([("area", math.pi * (9 * 0.2) ** 2), ("wide", math.pi * (25 * 0.2) ** 2)], "image string, soma_area_um2 double")
+    found, counts = bulbs.detect(m, 64, 64, 0.2, outlines=outlines, areas=areas)
+    at = {r["image"]: round(r["cx"]) for r in found.collect()}
+    assert abs(at["traced"] - 52) < 2 and abs(at["area"] - 52) < 2
+    assert abs(at["lobe"] - 20) < 3  # the lobe is the soma: what is left is the other swelling
+    assert "wide" not in at  # a soma so large that the swelling is within reach of it
+    assert {r["image"]: r["num_bulbous_endings"] for r in counts.collect()} == {"traced": 1, "area": 1, "wide": 0, "lobe": 1}
+
+
+def test_sizes_as_columns(spark):
+    small, large = disk(16, 5), disk(48, 16)
+    m = mask(spark, {"small": small, "large": large})
+    m = m.withColumn("side", F.when(F.col("image") == "small", 16).otherwise(48))
+    for name, shape in (("small", small), ("large", large)):
+        one, n = mask(spark, {name: shape}), len(shape)
+        side = F.col("side")
+        rows = lambda df: sorted(map(tuple, df.where(F.col("image") == name).collect()))  # noqa: B023, E731
+        assert rows(distance.to_background(m, side, side)) == rows(distance.to_background(one, n, n))
+        assert rows(morphology.close(m, morphology.disk(3), side, side)) == rows(morphology.close(one, morphology.disk(3), n, n))
+        assert rows(boxes.box_counts(m, side, side)) == rows(boxes.box_counts(one, n, n)) != []
+        assert rows(skeleton.thin(m)) == rows(skeleton.thin(one))
+        assert rows(vessels.network(m, skeleton.thin(m), side, side, 1.0)) == rows(vessels.network(one, skeleton.thin(one), n, n, 1.0))
+
+
+def test_longest_path_and_loops(spark, shapes):
+    loop = canvas()
+    loop[4:14, 4] = loop[4:14, 20] = loop[4, 4:21] = loop[13, 4:21] = True  # a box with two tails
+    loop[13, 20:30] = loop[4, 1:5] = True
+    two = canvas()
+    two[2, 2:8] = two[20, 2:30] = True
+    s = mask(spark, {"plus": shapes["plus"], "line": shapes["line"], "loop": loop, "two": two, "dot": shapes["dot"]})
+    d = {k: r["longest_shortest_path"] for k, r in by_image(skeleton.longest_path(s)).items()}
+    assert d["plus"] == 20 and d["line"] == 9 and d["dot"] == 0 and d["two"] == 5  # the first skeleton alone counts
+    opened = skeleton.without_loops(s)
+    n = lambda df: {r["image"]: r["count"] for r in df.groupBy("image").count().collect()}
+    before, after = n(s), n(opened)
+    assert all(before[k] == after[k] for k in ("plus", "line", "two", "dot")) and before["loop"] - 24 <= after["loop"] < before["loop"]
+    assert skeleton.longest_path(opened).where("image = 'loop'").first()[1] >= d["loop"]
+
+
+def test_solidity(spark, shapes):
+    m = by_image(hull.mask_shapes(mask(spark, shapes), 0.5))
+    assert m["square"]["mask_solidity"] == 1 and m["line"]["mask_solidity"] == 1 and m["dot"]["mask_solidity"] == 1
+    assert m["square"]["mask_area"] == 25 and m["ring"]["mask_solidity"] < 0.75 < 0.9 < m["disk"]["mask_solidity"] < 1
+    h = by_image(hull.measure(hull.vertices(mask(spark, shapes), pixel_corners=True), mask(spark, shapes), 0.5))
+    assert h["square"]["hull_area"] == 25 and h["square"]["density"] == 1 and h["square"]["hull_perimeter"] == 20
+
+
 def test_background(spark):
     img = np.add.outer(np.arange(16.0), np.arange(16.0))
     img[8, 8] += 50
@@ -156,7 +211,7 @@ def test_vessels(spark):
     img[18:23, :] = 200.0
     px = spark.createDataFrame([("a", y, x, float(img[y, x])) for y in range(40) for x in range(40)], "image string, y int, x int, v double")
     v = vessels.vessel_mask(px, 40, 40, 1.0)
-    n = vessels.network(v, skeleton.thin(v, 40, 40), 40, 40, 1.0).first()
+    n = vessels.network(v, skeleton.thin(v), 40, 40, 1.0).first()
     assert 0.08 < n["vessel_area_fraction"] < 0.13 and n["branchpoint_density"] == 0
     leak = vessels.leakage(px, v).first()
     assert leak["leakage_index"] < 0.2 and leak["extravascular_area_fraction"] == 0
