@@ -52,6 +52,32 @@ def decoded(files: DataFrame, default_pixel_size: float = 0.104, pixel_size: flo
     return out.withColumn("pixel_size", F.coalesce(F.lit(pixel_size).cast("double"), "pixel_size", F.lit(default_pixel_size)))
 
 
+def pictures(spark: SparkSession, folder: str, pattern: str = "*.{png,jpg,jpeg,PNG,JPG,JPEG}", pixel_size: float = 0.104) -> DataFrame:
+    """PNG and JPEG files of a folder as ``decoded`` gives TIFF files: red, green and blue (and alpha) of 8 bits, or one grey channel.
+
+    Spark's image source decodes them; it stores colours as blue, green, red. A file that cannot be read has null data and an error.
+    """
+    d = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", pattern).load(folder).select("image.*")
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def samples(data: pa.Array, channels: pa.Array) -> pa.Array:
+        import numpy as np
+
+        rows = []
+        for content, n in zip(data, channels.to_pylist(), strict=True):
+            a = np.frombuffer(content.as_py() or b"", np.uint8)
+            rows.append(a.reshape(-1, n)[:, [2, 1, 0, 3][:n]].ravel().astype(float) if n in (3, 4) else a.astype(float))
+        return pa.array(rows, pa.list_(pa.float64()))
+
+    good = F.col("height") > 0
+    known = lambda c: F.when(good, c)
+    name = F.url_decode(F.replace(F.element_at(F.split("origin", "/"), -1), F.lit("+"), F.lit("%2B")))
+    return d.select(
+        F.col("origin").alias("path"), name.alias("filename"), names.stem(name).alias("stem"), known(F.col("height")).alias("height"), known(F.col("width")).alias("width"), known(F.col("nChannels")).alias("channels"),
+        known(samples("data", "nChannels")).alias("data"), F.lit(pixel_size).alias("pixel_size"), F.when(~good, "not a readable picture").alias("error"),
+    )
+
+
 def pixels(images: DataFrame, key: str = "filename") -> DataFrame:
     """Decoded images to pixels: image, c, y, x, v."""
     d = images.where("data is not null").select(F.col(key).alias("image"), "width", "channels", F.posexplode("data").alias("i", "v"))

@@ -166,3 +166,24 @@ def test_clean_names(spark):
 def test_result_sheets(spark):
     d = spark.createDataFrame([("c", 1.0, 2)], "cell_name string, hull_density double, other int")
     assert tables.result_sheet(d, tables.FRACTAL_COLUMNS).columns == list(tables.FRACTAL_COLUMNS) and len(tables.FRACTAL_COLUMNS) == 22 and len(tables.SKELETON_COLUMNS) == 24
+
+
+def test_pictures(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(rows, kind):
+        part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+        width = len(rows[0]) // (3 if kind == 2 else 1)
+        head = struct.pack(">IIBBBBB", width, len(rows), 8, kind, 0, 0, 0)
+        return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))) + part(b"IEND", b"")
+
+    (tmp_path / "colour a.png").write_bytes(png([[255, 10, 20, 1, 2, 3], [4, 5, 6, 7, 8, 9]], 2))
+    (tmp_path / "grey.png").write_bytes(png([[1, 2, 3]], 0))
+    (tmp_path / "broken.png").write_bytes(b"no picture")
+    found = {r["filename"]: r for r in images.pictures(spark, str(tmp_path)).collect()}
+    assert found["colour a.png"]["data"] == [255, 10, 20, 1, 2, 3, 4, 5, 6, 7, 8, 9] and found["colour a.png"]["channels"] == 3
+    assert (found["grey.png"]["height"], found["grey.png"]["width"], found["grey.png"]["data"]) == (1, 3, [1, 2, 3])
+    assert found["broken.png"]["data"] is None and found["broken.png"]["error"]
+    px = images.pixels(images.pictures(spark, str(tmp_path)))
+    assert {tuple(r)[1:] for r in px.where("image = 'grey.png'").collect()} == {(0, 0, 0, 1.0), (0, 0, 1, 2.0), (0, 0, 2, 3.0)}
