@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from somatica.llm.common import slices, whole_rows
 
 UNDETERMINED = "und"
 #: More distinct labels than this are refused: it bounds the model (buckets x languages floats, 52 MB) and what the driver gets.
 MAX_LANGUAGES = 200
+#: Bytes of text that become grams at once; each takes about 150 bytes of memory.
+_SLICE = 250_000
 
 
 @dataclass
@@ -67,7 +69,7 @@ def _counts(orders: tuple[int, ...], buckets: int):
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, j, texts in slices(batch.column(1)):
+            for i, j, texts in slices(batch.column(1), _SLICE):
                 langs = batch.column(0).slice(i, j - i).to_numpy()
                 for lang in np.unique(langs).tolist():
                     grams, _ = gram_buckets([texts[k] for k in np.flatnonzero(langs == lang)], orders, buckets)
@@ -148,7 +150,7 @@ def _predicted(spark, model: LanguageModel):
 
     @F.arrow_udf("struct<lang_pred string, score double, fit double, grams long>")
     def predict(texts: pa.Array) -> pa.Array:
-        parts = [predict_batch(values, shared.value) for _, _, values in slices(texts)]
+        parts = [predict_batch(values, shared.value) for _, _, values in slices(texts, _SLICE)]
         lang = [x for p in parts for x in p[0]]
         rest = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (1, 2, 3)]
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(rest[0]), pa.array(rest[1]), pa.array(rest[2].astype(np.int64))], ["lang_pred", "score", "fit", "grams"])
@@ -185,25 +187,38 @@ def held_out_language(docs: DataFrame, **training) -> DataFrame:
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-@F.arrow_udf(T.StringType())
-def _scrambled(texts: pa.Array) -> pa.Array:
-    rng = np.random.default_rng(5)
-    return pa.array(["".join(rng.permutation(list(t))) for _, _, values in slices(texts) for t in values], pa.string())
+def shuffled(text: str) -> str:
+    """The characters of a text in an order that depends on nothing but the text."""
+    return "".join(np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass"))).permutation(list(text)))
+
+
+def _fits(spark, model: LanguageModel):
+    """Column of texts to mean log-probability and number of their grams, as they are and shuffled."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<fit double, grams long, shuffled_fit double, shuffled_grams long>")
+    def fits(texts: pa.Array) -> pa.Array:
+        parts = []
+        for _, _, values in slices(texts, _SLICE):
+            parts.append([*predict_batch(values, shared.value)[2:], *predict_batch([t and shuffled(t) for t in values], shared.value)[2:]])
+        both = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(4)]
+        return pa.StructArray.from_arrays([pa.array(x.astype(np.int64) if k % 2 else x) for k, x in enumerate(both)], ["fit", "grams", "shuffled_fit", "shuffled_grams"])
+
+    return fits
 
 
 def usual_fit(labelled: DataFrame, model: LanguageModel, max_docs: int = 4_000) -> list[float]:
     """For each language of the model, the least mean log-probability of a gram that still looks like it.
 
     It lies half-way between the mean over different labelled texts (about ``max_docs`` in all, as in ``train``) and the mean
-    over the same texts with their characters shuffled: texts that have the language's letters, but not its order.
+    over the same texts with their characters shuffled: texts that have the language's letters, but not its order. Both are
+    found by one function, so that a task needs one Python worker.
     """
     sample, _ = _sample(labelled, max_docs)
-    predict = _predicted(labelled.sparkSession, model)
-    both = sample.select("lang", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), _scrambled("text").alias("text")))).alias("t")).select("lang", "t.kind", "t.text")
-    scored = both.withColumn("p", predict("text")).where("p.grams > 0")
-    found = scored.groupBy("lang", "kind").agg((F.sum(F.col("p.fit") * F.col("p.grams")) / F.sum("p.grams")).alias("fit")).collect()
-    fit = {(r["lang"], r["kind"]): r["fit"] for r in found}
-    return [(fit[x, 0] + fit[x, 1]) / 2 if (x, 1) in fit else -np.inf for x in model.languages]
+    scored = sample.select("lang", _fits(labelled.sparkSession, model)(F.col("text")).alias("p"))
+    weighed = [(F.sum(F.col(f"p.{x}fit") * F.col(f"p.{x}grams")) / F.nullif(F.sum(f"p.{x}grams"), F.lit(0))).alias(f"{x}fit") for x in ("", "shuffled_")]
+    fit = {r["lang"]: (r["fit"], r["shuffled_fit"]) for r in scored.groupBy("lang").agg(*weighed).collect()}
+    return [sum(fit[x]) / 2 if None not in fit.get(x, (None,)) else -np.inf for x in model.languages]
 
 
 def accepted(docs: DataFrame, least: float = 0.5, spread: float = 12.0, **training) -> DataFrame:
