@@ -43,14 +43,14 @@ def best_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Co
 
 
 class Cascade:
-    """Levels of Bloom filters: a table ``level``, ``words`` on disk, and how to look a key up in it.
+    """Levels of Bloom filters, each a written row ``words``, and how to look a key up in them.
 
-    The filters hold about two bytes for each listed key in all, whatever the universe's size. Every look-up reads them as
-    a scalar subquery, so they reach the tasks once and no table is joined. ``most_keys`` bounds them (16 MB by
+    The filters hold about three bytes for each listed key in all, whatever the universe's size. Every look-up reads them as
+    a scalar subquery, so they reach the tasks once and no table is joined. ``most_keys`` bounds them (24 MB by
     default); for longer lists ``build`` raises ValueError: ``Cascades`` deals such a list to several cascades.
     """
 
-    def __init__(self, levels: DataFrame, shape: list[tuple[int, int]]):
+    def __init__(self, levels: list[DataFrame], shape: list[tuple[int, int]]):
         self.levels, self.shape = levels, shape
 
     @classmethod
@@ -61,17 +61,17 @@ class Cascade:
         n_yes, n_no = yes.count(), no.count()
         if n_yes > most_keys:
             raise ValueError(f"{n_yes} keys are listed, over the bound of {most_keys}")
-        inside, outside, shape, levels = yes, no, [], None
+        inside, outside, shape, levels = yes, no, [], []
         n, m = n_yes, n_no
         while n and len(shape) < most_levels:
-            # enough bits that few of the other side pass: at first as many as there are listed keys, then half of them
-            rate = min(0.5, max(n / max(m, 1), 1e-3)) if not shape else 0.5
+            # enough bits that few of the other side pass: at first as many as there are listed keys, then one in 64, so that few levels follow
+            rate = min(0.5, max(n / max(m, 1), 1e-3)) if not shape else 1 / 64
             probes = max(1, round(-math.log2(rate)))
             bits = max(64, 64 * math.ceil(n * probes / math.log(2) / 64))
-            level = materialise(bloom_words(inside, len(shape), probes, bits).select(F.lit(len(shape)).alias("level"), "words"), "filter")
-            levels = level if levels is None else levels.unionByName(level)
+            level = materialise(bloom_words(inside, len(shape), probes, bits), "filter")
+            levels.append(level)
             shape.append((probes, bits))
-            wrong = materialise(outside.where(bloom_passes(F.col("key"), level.select("words").scalar(), len(shape) - 1, probes, bits)), "wrong")
+            wrong = materialise(outside.where(bloom_passes(F.col("key"), level.scalar(), len(shape) - 1, probes, bits)), "wrong")
             inside, outside = wrong, inside
             n, m = wrong.count(), n
         if n:
@@ -82,7 +82,7 @@ class Cascade:
         """Whether a key of the universe is listed; for a null key false."""
         out = F.lit(len(self.shape) % 2 == 1)
         for level in reversed(range(len(self.shape))):
-            words = self.levels.where(F.col("level") == level).select("words").scalar()
+            words = self.levels[level].scalar()
             out = F.when(bloom_passes(key, words, level, *self.shape[level]), out).otherwise(F.lit(level % 2 == 1))
         return F.coalesce(out & key.isNotNull(), F.lit(False))
 
