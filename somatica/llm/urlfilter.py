@@ -42,6 +42,13 @@ def best_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Co
     return name, verdict
 
 
+def marked_keys(listed: DataFrame, universe: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """Each key of the universe and of the list once, with ``listed``, as a written table, and how many are listed and are not."""
+    both = universe.select("key", F.lit(False).alias("listed")).unionByName(listed.select("key", F.lit(True).alias("listed")))
+    keys = materialise(both.where("key is not null").groupBy("key").agg(F.max("listed").alias("listed")), "keys")
+    return keys, tuple(keys.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first())
+
+
 class Cascade:
     """Levels of Bloom filters, each a written row ``words``, and how to look a key up in them.
 
@@ -54,23 +61,31 @@ class Cascade:
         self.levels, self.shape = levels, shape
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame, most_keys: int = 8_000_000, most_levels: int = 40) -> Cascade:
+    def build(cls, listed: DataFrame, universe: DataFrame, most_keys: int = 8_000_000) -> Cascade:
         """``listed``, ``universe``: column ``key``. Nulls and repeats do not count; listed keys join the universe."""
-        yes = materialise(listed.where("key is not null").select("key").distinct(), "listed")
-        no = materialise(universe.where("key is not null").select("key").distinct().join(yes, "key", "left_anti"), "unlisted")
-        n_yes, n_no = yes.count(), no.count()
+        keys, (n_yes, n_no) = marked_keys(listed, universe)
         if n_yes > most_keys:
             raise ValueError(f"{n_yes} keys are listed, over the bound of {most_keys}")
-        inside, outside, shape, levels = yes, no, [], []
+        return cls.of(keys, n_yes, n_no)
+
+    @classmethod
+    def of(cls, keys: DataFrame, n_yes: int, n_no: int, most_levels: int = 40) -> Cascade:
+        """``keys``: a written table of the universe, each key once, with ``listed``; ``n_yes`` and ``n_no``: how many are and are not."""
+        inside, outside = (keys.where("listed").select("key"), keys.where("not listed").select("key"))
+        shape: list[tuple[int, int]] = []
+        levels: list[DataFrame] = []
         n, m = n_yes, n_no
         while n and len(shape) < most_levels:
-            # enough bits that few of the other side pass: at first as many as there are listed keys, then one in 64, so that few levels follow
-            rate = min(0.5, max(n / max(m, 1), 1e-3)) if not shape else 1 / 64
+            # enough bits that few of the other side pass: at first as many as there are listed keys, then one in 1,024, so that few levels follow
+            rate = min(0.5, max(n / max(m, 1), 1e-3)) if not shape else 1 / 1024
             probes = max(1, round(-math.log2(rate)))
             bits = max(64, 64 * math.ceil(n * probes / math.log(2) / 64))
             level = materialise(bloom_words(inside, len(shape), probes, bits), "filter")
             levels.append(level)
             shape.append((probes, bits))
+            if not m:
+                n = 0
+                break
             wrong = materialise(outside.where(bloom_passes(F.col("key"), level.scalar(), len(shape) - 1, probes, bits)), "wrong")
             inside, outside = wrong, inside
             n, m = wrong.count(), n
@@ -95,16 +110,15 @@ class Cascades:
 
     @classmethod
     def build(cls, listed: DataFrame, universe: DataFrame, most_keys: int = 8_000_000) -> Cascades:
-        """``listed``, ``universe``: as for ``Cascade.build``."""
-        yes = materialise(listed.where("key is not null").select("key").distinct(), "listed")
-        sizes, parts = [yes.count()], 1
-        while max(sizes) > most_keys:
-            parts = max(parts + 1, -(-sum(sizes) * 11 // (10 * most_keys)))
-            sizes = [r["count"] for r in yes.groupBy(part_of(F.col("key"), parts)).count().collect()]
-        if parts == 1:
-            return cls([Cascade.build(yes, universe, most_keys)])
+        """``listed``, ``universe``: column ``key``. Nulls and repeats do not count; listed keys join the universe."""
+        keys, total = marked_keys(listed, universe)
+        counts, parts = {0: total}, 1
+        while max(c[0] for c in counts.values()) > most_keys:
+            parts = max(parts + 1, -(-sum(c[0] for c in counts.values()) * 11 // (10 * most_keys)))
+            dealt = keys.groupBy(part_of(F.col("key"), parts).alias("part")).agg(F.count_if("listed"), F.count_if(~F.col("listed")))
+            counts = {r["part"]: r[1:] for r in dealt.collect()}
         of = part_of(F.col("key"), parts)
-        return cls([Cascade.build(yes.where(of == i), universe.where(of == i), most_keys) for i in range(parts)])
+        return cls([Cascade.of(keys.where(of == i) if parts > 1 else keys, *counts.get(i, (0, 0))) for i in range(parts)])
 
     def holds(self, key: Column) -> Column:
         """Whether a key of the universe is listed; for a null key false."""
