@@ -40,7 +40,7 @@ NEAR = 5
 
 _ASCII = bytes(32 if chr(k) in " \t\n\r\x0b\x0c!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789" else k for k in range(256))
 _MARKS = np.array([chr(k) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for k in range(256)])
-_OBFUSCATED = re.compile(r"(?<![^\W_])[^\W\d_]{1,12}(?:[0-9@$!|*._-]{1,3}[^\W\d_]{1,12}){1,6}(?![^\W_])")
+_OBFUSCATED = re.compile(r"(?<![^\W_])(?:[0-9@$!|][^\W\d_]|[^\W\d_]++[0-9@$!|*._-])(?:[0-9@$!|*._-]{0,3}[^\W\d_]){1,14}(?![^\W_])")
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]{1,2}){3,14}[^\W\d_](?![^\W_])")
 
 
@@ -111,16 +111,19 @@ def with_features(docs: DataFrame, learned: dict[str, float]) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
-    """text, toxic (0 or 1) and part (0 to 3) of about ``max_docs`` different labelled texts, or of all if there are fewer.
+    """text, toxic (0 or 1) and part (0 to 3) of about ``max_docs`` labelled documents, or of all if there are fewer; copies of a text
+    are one, with the larger label.
 
-    Rows of ``labels`` without toxic do not count; of contradicting ones the majority counts, and a tie is toxic. Texts are chosen and
-    dealt to parts by their hash, so copies of a text are one, with the larger label.
+    Rows of ``labels`` without toxic do not count; of contradicting ones the majority counts, and a tie is toxic. Documents are chosen by the
+    hash of their id, texts dealt to parts by theirs. The chosen ids, 16 bytes each, are sent to the tasks that read the documents, so
+    no text but theirs is moved.
     """
     sure = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    sure = materialise(sure, "labels")
     share = min(1.0, max_docs / max(sure.count(), 1))
-    key = F.xxhash64("text", F.lit("sample"))
-    some = docs.where("doc_id is not null and text is not null").where(F.pmod(key, F.lit(1_000_000)) < share * 1_000_000)
-    joined = some.select("doc_id", "text").join(sure, "doc_id").groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    chosen = sure.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
+    joined = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    joined = joined.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     return joined.select("text", "toxic", F.pmod(F.xxhash64("key", F.lit("part")), F.lit(4)).alias("part"))
 
 
@@ -143,7 +146,7 @@ def learned_words(sample: DataFrame, least_gain: float = 6.0, most: int = 5_000)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 40_000, rounds: int = 12, depth: int = 3, seed: int = 13) -> ToxicityModel:
-    """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), over about ``max_docs`` different labelled texts.
+    """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), over about ``max_docs`` labelled documents.
 
     Half of them show which words are abusive, a quarter grows the trees, a quarter calibrates them. Only the texts of the
     sample are read again; the driver gets counts, at most 5,000 words and the trees.
