@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -80,6 +81,24 @@ SENTENCES = {
     "wtfpl-grant": "You just DO WHAT THE FUCK YOU WANT TO.",
     "cc0-waiver": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "reserved": "All rights reserved.",
+    "apache-copyright": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    "apache-redistribution": "You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions:",
+    "gpl2-preamble": "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    "gpl2-copying": "You may copy and distribute verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice and disclaimer of warranty; keep intact all the notices that refer to this License and to the absence of any warranty; and give any other recipients of the Program a copy of this License along with the Program.",
+    "gpl3-preamble": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "gpl3-copying": "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice; keep intact all notices stating that this License and any non-permissive terms added in accord with section 7 apply to the code; keep intact all notices of the absence of any warranty; and give all recipients a copy of this License along with the Program.",
+    "agpl3-preamble": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "lgpl2-preamble": "By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    "lgpl3-terms": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "mpl-contributor": "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license:",
+    "mpl-source": "All distribution of Covered Software in Source Code Form, including any Modifications that You create or to which You contribute, must be under the terms of this License.",
+    "epl2-terms": 'THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT").',
+    "cc0-purpose": "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an \"owner\") of an original work of authorship and/or a database (each, a \"Work\").",
+}
+#: Opening sentence of the texts of one family, which differ by their name only.
+SENTENCES |= {
+    f"text:{name}": f'By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this {shown} Public License ("Public License").'
+    for name, shown in ((k, v[1].removesuffix(" License")) for k, v in NAMES.items() if k.startswith("CC-BY"))
 }
 #: License and the sentence identifiers that must follow each other (other sentences may lie between). Of the rules of a kind of
 #: text, those with more sentences come first and use theirs up, so that a three-clause text is not also a two-clause one.
@@ -107,6 +126,16 @@ RULES = (
     ("CC0-1.0", ("cc0-waiver",)),
     ("Unlicense", ("unlicense-grant", "unlicense-use")),
     ("Unlicense", ("unlicense-grant",)),
+    ("Apache-2.0", ("apache-copyright", "apache-redistribution")),
+    ("GPL-2.0-only", ("gpl2-preamble", "gpl2-copying")),
+    ("AGPL-3.0-only", ("agpl3-preamble", "gpl3-copying")),
+    ("GPL-3.0-only", ("gpl3-preamble", "gpl3-copying")),
+    ("LGPL-2.1-only", ("lgpl2-preamble",)),
+    ("LGPL-3.0-only", ("lgpl3-terms",)),
+    ("MPL-2.0", ("mpl-contributor", "mpl-source")),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("CC0-1.0", ("cc0-purpose",)),
+    *((key.removeprefix("text:"), (key,)) for key in SENTENCES if key.startswith("text:")),
     ("LicenseRef-all-rights-reserved", ("reserved",)),
     *((name, (f"named:{name}",)) for name in NAMES),
 )
@@ -175,19 +204,31 @@ class Scanner:
         return out
 
     def licenses(self, identifiers: list[str]) -> list[str]:
-        """Licenses of the rules that match, in order of their first sentence."""
-        left, found = list(enumerate(identifiers)), []
+        """Licenses of the rules that match, in order of their first sentence.
+
+        A rule takes its sentences as they come: each goes to the oldest match that waits for it. What whole matches took is not
+        there for later rules. One pass over the places of a rule's sentences, however many matches there are.
+        """
+        places: dict[str, list[int]] = {}
+        for k, s in enumerate(identifiers):
+            places.setdefault(s, []).append(k)
+        found = []
         for name, sequence in RULES:
-            while True:
-                at, picked = 0, []
-                for k, (_, s) in enumerate(left):
-                    if at < len(sequence) and s == sequence[at]:
-                        picked.append(k)
-                        at += 1
-                if at < len(sequence):
-                    break
-                found.append((left[picked[0]][0], name))
-                left = [x for k, x in enumerate(left) if k not in picked]
+            waiting: list[deque] = [deque() for _ in sequence]
+            taken: dict[str, set[int]] = {s: set() for s in sequence}
+            for k, at in sorted((k, at) for at, s in enumerate(sequence) for k in places.get(s, ())) if all(s in places for s in sequence) else ():
+                if at and not waiting[at]:
+                    continue
+                picked = (*waiting[at].popleft(), k) if at else (k,)
+                if len(picked) < len(sequence):
+                    waiting[at + 1].append(picked)
+                    continue
+                found.append((picked[0], name))
+                for s, place in zip(sequence, picked, strict=True):
+                    taken[s].add(place)
+            for s, gone in taken.items():
+                if gone:
+                    places[s] = [k for k in places[s] if k not in gone]
         return list(dict.fromkeys(name for _, name in sorted(found)))
 
 
