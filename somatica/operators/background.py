@@ -1,29 +1,14 @@
-"""Background removal: rolling ball, white top-hat, tubeness."""
+"""Background removal: rolling ball, white top-hat, tubeness. Tile by tile with a halo."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
+from somatica.operators import tiles
 from somatica.operators.morphology import disk
-from somatica.operators.pixels import AT
-
-
-def _per_image(px: DataFrame, height: int, width: int, work) -> DataFrame:
-    """Dense images through ``work`` (array to array), one group per image; missing pixels count as 0."""
-
-    def run(pdf):
-        import numpy as np
-
-        img = np.zeros((height, width))
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        img[y, x] = pdf["v"].to_numpy()
-        return pdf.assign(v=work(img)[y, x])[["image", "y", "x", "v"]]
-
-    kind = px.schema["image"].dataType.simpleString()
-    return px.select(*AT, "v").groupBy("image").applyInPandas(run, f"image {kind}, y int, x int, v double")
+from somatica.operators.pixels import blurred
 
 
 def shifted_extreme(img, offsets, lift, least: bool):
@@ -40,45 +25,54 @@ def shifted_extreme(img, offsets, lift, least: bool):
     return out
 
 
-def rolling_ball(px: DataFrame, radius: int, height: int, width: int, top: float = 255.0) -> DataFrame:
-    """Value less the highest place a ball of that radius reaches below the surface, clipped to 0..``top``."""
+def rolling_ball(px: DataFrame, radius: int, height: int | Column, width: int | Column, top: float = 255.0, tile: int = 512) -> DataFrame:
+    """Value less the highest place a ball of that radius reaches below the surface, clipped to 0..``top``. What lies beyond the frame does
+    not hold the ball; missing pixels count as 0. ``height`` and ``width`` are numbers, or columns of ``px``; so in all that follow."""
     offsets = disk(radius)
     lift = [radius - math.sqrt(radius * radius - a * a - b * b) for a, b in offsets]
 
-    def work(img):
+    def work(block, inside):
         import numpy as np
 
-        return np.clip(img - shifted_extreme(img, offsets, lift, True), 0, top)
+        return np.clip(block - shifted_extreme(np.where(inside, block, np.inf), offsets, lift, True), 0, top)
 
-    return _per_image(px, height, width, work)
+    return tiles.filter_pixels(px, radius, work, height, width, tile)
 
 
-def white_top_hat(px: DataFrame, radius: int, height: int, width: int) -> DataFrame:
+def white_top_hat(px: DataFrame, radius: int, height: int | Column, width: int | Column, tile: int = 512) -> DataFrame:
     """Value less its opening with a disk."""
     offsets, flat = disk(radius), [0.0] * len(disk(radius))
 
-    def work(img):
-        return img - shifted_extreme(shifted_extreme(img, offsets, flat, True), offsets, flat, False)
+    def work(block, inside):
+        import numpy as np
+
+        eroded = shifted_extreme(np.where(inside, block, np.inf), offsets, flat, True)
+        return block - shifted_extreme(np.where(inside, eroded, -np.inf), offsets, flat, False)
+
+    return tiles.filter_pixels(px, 2 * radius, work, height, width, tile)
 
-    return _per_image(px, height, width, work)
 
+#: Scales of the vessel filter.
+SIGMAS = (1.0, 2.0, 3.0, 4.0, 6.0)
 
-def tubeness(px: DataFrame, height: int, width: int, sigmas: tuple[float, ...] = (1, 2, 3, 4, 6)) -> DataFrame:
-    """Largest over scales of the scaled negative smaller eigenvalue of the Hessian: bright ridges; 0 elsewhere."""
-    from somatica.operators.pixels import gaussian
 
-    best = None
-    for s in sigmas:
-        soft = gaussian(px, s, height, width)
+def ridges(block, sigma: float):
+    """Scaled negative smaller eigenvalue of the Hessian of the blurred array, 0 where it is negative."""
+    import numpy as np
+
+    gy, gx = np.gradient(blurred(block, sigma))
+    yy, yx = np.gradient(gy)
+    xx = np.gradient(gx, axis=1)
+    return np.maximum(0.0, -sigma * sigma * ((yy + xx) / 2 - np.sqrt(((yy - xx) / 2) ** 2 + yx**2)))
 
-        def work(img, s=s):
-            import numpy as np
 
-            gy, gx = np.gradient(img)
-            yy, yx = np.gradient(gy)
-            _, xx = np.gradient(gx)
-            return np.maximum(0.0, -s * s * ((yy + xx) / 2 - np.sqrt(((yy - xx) / 2) ** 2 + yx**2)))
+def tubeness(px: DataFrame, height: int | Column, width: int | Column, sigmas: tuple[float, ...] = SIGMAS, tile: int = 512) -> DataFrame:
+    """Bright ridges: the largest over scales of ``ridges``; all scales in one pass over the tiles."""
+    reach = int(4.0 * max(sigmas) + 0.5) + 2
+
+    def work(block, inside):
+        import numpy as np
+
+        return np.maximum.reduce([ridges(block, s) for s in sigmas])
 
-        scale = _per_image(soft, height, width, work)
-        best = scale if best is None else best.unionByName(scale)
-    return best.groupBy(AT).agg(F.max("v").alias("v"))
+    return tiles.filter_pixels(px, reach, work, height, width, tile)

@@ -46,12 +46,9 @@ def detect(mask: DataFrame, height: int | Column, width: int | Column, pixel_siz
         half = processes.groupBy("image").agg(F.percentile("d", F.lit(0.25)).alias("p25"))
         ceiling = max(3, int(rules.least_diameter_um / pixel_size / 2) - 1)
         radius = soma.join(half, "image", "left").select("image", F.least(F.greatest(F.bround(F.coalesce("p25", F.lit(rules.half_width_fallback)) + 2), F.lit(3)), F.lit(ceiling)).cast("int").alias("r"))
-        opened = None
-        for r in range(3, ceiling + 1):
-            part = morphology.open_(mask.join(radius.where(F.col("r") == r).select("image"), "image", "left_semi"), morphology.disk(r))
-            opened = part if opened is None else opened.unionByName(part)
+        opened = distance.opened(mask.select(AT).join(radius, "image"), F.col("r"))
     else:
-        opened = morphology.open_(mask, morphology.disk(open_radius))
+        opened = distance.opened(mask, open_radius)
     blobs = morphology.components(opened).join(d, AT, "left")
     key = ["image", "label"]
     centre = (F.col("y") == F.bround("sy")) & (F.col("x") == F.bround("sx"))

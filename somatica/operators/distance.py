@@ -53,6 +53,26 @@ def to_background(mask: DataFrame, height: int | Column, width: int | Column) ->
     return out.withColumn("d", F.nanvl("d", F.lit(None).cast("double")))
 
 
+def opened(mask: DataFrame, radius: int | Column) -> DataFrame:
+    """``mask`` opened with a disk whose radius is a number or a column of ``mask`` (one value an image).
+
+    A pixel stays in the erosion if nothing outside the mask is within the radius, and is in the dilation if something of the erosion
+    is: two exact distance transforms, whatever the radius. One group per image, on the mask's bounding box.
+    """
+
+    def run(pdf):
+        import numpy as np
+
+        y0, x0, r = pdf["y"].min(), pdf["x"].min(), int(pdf["_r"].iloc[0])
+        on = np.zeros((pdf["y"].max() - y0 + 3, pdf["x"].max() - x0 + 3), bool)
+        on[pdf["y"] - y0 + 1, pdf["x"] - x0 + 1] = True
+        y, x = np.nonzero(squared_distances(squared_distances(~on) > r * r) <= r * r)
+        return type(pdf)({"image": np.full(len(y), pdf["image"].iloc[0], object), "y": y + y0 - 1, "x": x + x0 - 1})
+
+    kind = mask.schema["image"].dataType.simpleString()
+    return mask.select(*AT, F.lit(radius).cast("int").alias("_r")).groupBy("image").applyInPandas(run, f"image {kind}, y int, x int")
+
+
 def squared_distances(targets):
     """Squared distance of every cell of a boolean array to the nearest true one; infinite if there is none."""
     import numpy as np
@@ -65,7 +85,8 @@ def squared_distances(targets):
         steps[i] = np.minimum(steps[i], steps[i + 1] + 1)
     column = steps * steps
     best = column.copy()
-    for k in range(1, w):
+    reachable = column[:, column.min(axis=0) < np.inf]
+    for k in range(1, w if reachable.size else 0):
         if k * k >= best.max():
             break
         best[:, k:] = np.minimum(best[:, k:], column[:, :-k] + k * k)

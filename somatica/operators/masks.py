@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from somatica.functions.cells import floor_scale
-from somatica.operators import thresholds
+from somatica.operators import thresholds, tiles
 from somatica.operators.pixels import AT
 
 #: Target areas in square micrometres.
@@ -44,6 +44,58 @@ def nested_masks(roi: DataFrame, centres: DataFrame, pixel_size: float, targets_
     return nest(masks, tuple(sorted(targets_um2)))
 
 
+def cell_masks(
+    raster: DataFrame, centres: DataFrame, pixel_size: float, targets_um2: tuple[int, ...] = TARGETS_UM2, floor_percent: float | None = 30.0, soma: DataFrame | None = None,
+    tolerance: float = 100.0, rounds: int = 30, half: int = 200, nested: bool = True, size: int = tiles.SIZE,
+) -> DataFrame:
+    """Masks of every target area around many cells of an image: image, cell, area, y, x.
+
+    ``raster``: tiles; ``centres``: image, cell, cy, cx; ``soma``: image, cell, y, x, which is in every mask of its cell. Each cell is
+    grown in its own window, up to 2 ``half`` x 2 ``half`` pixels cut out of the tiles it touches, with Otsu's level of that window; masks
+    come back in places of the image. Cells may share pixels (``contested`` gives each to one). The older way is
+    ``targets_um2=TARGETS_UM2[1:], nested=False``: no smallest area, no soma, masks as found.
+    """
+    kind, cell = raster.schema["image"].dataType.simpleString(), centres.schema["cell"].dataType.simpleString()
+    scale = float(pixel_size) ** 2
+
+    def run(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        window, y0, x0 = tiles.whole_window(pdf)
+        search = thresholds.Window2D(window, int(pdf["cy"].iloc[0]) - y0, int(pdf["cx"].iloc[0]) - x0)
+        frames = []
+        for area in targets_um2:
+            floor = None if floor_percent is None or not len(search.values) else floor_percent / 100 * search.values[-1] * least_share(area)
+            y, x = search.mask(search.otsu() if len(search.values) else 0.0, area / scale, floor, rounds, tolerance)
+            frames.append(pd.DataFrame({"area": np.full(len(y), area), "y": y + y0, "x": x + x0}))
+        out = pd.concat(frames)
+        return out.assign(image=pd.Series([key[0]] * len(out), index=out.index, dtype=pdf["image"].dtype), cell=pd.Series([key[1]] * len(out), index=out.index, dtype=pdf["cell"].dtype))[["image", "cell", "area", "y", "x"]]
+
+    pieces = tiles.windows(raster, centres, half, size)
+    found = pieces.groupBy("image", "cell").applyInPandas(run, f"image {kind}, cell {cell}, area int, y int, x int")
+    if not nested:
+        return found
+    if soma is not None:
+        found = found.unionByName(soma.select("image", "cell", F.lit(min(targets_um2)).alias("area"), "y", "x"))
+    first = found.groupBy("image", "cell", "y", "x").agg(F.min("area").alias("first"))
+    larger = F.filter(F.array(*map(F.lit, sorted(targets_um2))), lambda a: a >= F.col("first"))
+    return first.select("image", "cell", F.explode(larger).alias("area"), "y", "x")
+
+
+def least_share(area_um2: int) -> float:
+    """Share of the least brightness that a mask of an area has to keep: all up to 300, 0.3 from 800 on, a line between."""
+    return min(1.0, max(0.3, 1 - 0.7 * (area_um2 - 300) / 500))
+
+
+def contested(masks: DataFrame, centres: DataFrame) -> DataFrame:
+    """``masks`` (image, cell, area, y, x) with every pixel of an area left to one cell: the one with the nearest centre, of equally
+    near ones the first. One aggregation by pixel."""
+    at = centres.select("image", "cell", "cy", "cx")
+    off = F.struct(((F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")) + (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx"))).alias("d"), F.col("cell").alias("cell"))
+    return masks.join(at, ["image", "cell"]).groupBy("image", "area", "y", "x").agg(F.min(off).alias("n")).select("image", F.col("n.cell").alias("cell"), "area", "y", "x")
+
+
 def review_queue(masks: DataFrame) -> DataFrame:
     """Masks in review order: by image and cell, largest first, with the index in the whole queue of the image."""
     w = Window.partitionBy("image_name").orderBy("soma_id", F.col("area").desc())

@@ -84,19 +84,30 @@ def boundary(mask: DataFrame) -> DataFrame:
     return degrees(mask, FOUR).where("degree < 4").select(AT)
 
 
+#: Raster places are y times a stride plus x: the first stride for images up to 65,535 columns, the second for wider ones.
+NEAR, FAR = 1 << 16, 1 << 32
+
+
+def stride_of(x) -> int:
+    """Stride of a mask's raster places, from its columns; no pixel may have a neighbour by place that is none by row and column."""
+    return NEAR if not len(x) or int(x.max()) < NEAR - 1 else FAR
+
+
 def components(mask: DataFrame, diagonal: bool = True) -> DataFrame:
-    """``mask`` with ``label``: the smallest raster place (y * 65536 + x) of its connected component.
+    """``mask`` with ``label``: the smallest raster place of its connected component (y * 65,536 + x; in an image with a pixel beyond
+    column 65,534, y * 2**32 + x).
 
-    One group per image; inside, sparse min-label hooking with pointer jumping.
+    One group per image; inside, sparse min-label hooking with pointer jumping. ``tiles.components`` does the same tile by tile.
     """
     steps = [(0, 1), (1, -1), (1, 0), (1, 1)] if diagonal else [(0, 1), (1, 0)]
 
     def run(pdf):
         import numpy as np
 
-        at = np.unique(pdf["y"].to_numpy(np.int64) * 65536 + pdf["x"].to_numpy(np.int64))
-        root = component_roots(at, [dy * 65536 + dx for dy, dx in steps])
-        return type(pdf)({"image": pdf["image"].iloc[0], "y": at // 65536, "x": at % 65536, "label": at[root]})
+        stride = stride_of(pdf["x"])
+        at = np.unique(pdf["y"].to_numpy(np.int64) * stride + pdf["x"].to_numpy(np.int64))
+        root = component_roots(at, [dy * stride + dx for dy, dx in steps])
+        return type(pdf)({"image": pdf["image"].iloc[0], "y": at // stride, "x": at % stride, "label": at[root]})
 
     kind = mask.schema["image"].dataType.simpleString()
     return mask.select(AT).groupBy("image").applyInPandas(run, f"image {kind}, y int, x int, label long")
@@ -113,8 +124,14 @@ def component_roots(at, steps: list[int]):
         hit = np.flatnonzero(at[i] == at + s)
         a.append(hit)
         b.append(i[hit])
-    a, b = np.concatenate(a), np.concatenate(b)
-    root = np.arange(len(at))
+    return hooked(np.concatenate(a), np.concatenate(b), len(at))
+
+
+def hooked(a, b, n: int):
+    """Smallest node reachable from each of ``n`` nodes over the links ``a`` to ``b``."""
+    import numpy as np
+
+    root = np.arange(n)
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -126,6 +143,24 @@ def component_roots(at, steps: list[int]):
         root = new
 
 
+def run_labels(on):
+    """8-connected components of a boolean array by its horizontal runs: first and last + 1 place of each run (in an array with an empty
+    column at both sides) and the first run of its component."""
+    import numpy as np
+
+    w = on.shape[1] + 2
+    flat = np.zeros((on.shape[0], w), np.int8)
+    flat[:, 1:-1] = on
+    turn = np.diff(flat.ravel())
+    starts, ends = np.flatnonzero(turn == 1) + 1, np.flatnonzero(turn == -1) + 1
+    # runs of the next row that a run touches: the first that ends behind its left neighbour, up to the last that begins before its right one
+    first, last = np.searchsorted(ends, starts - 1 + w, "right"), np.searchsorted(starts, ends + 1 + w, "left")
+    n = np.maximum(last - first, 0)
+    a = np.repeat(np.arange(len(starts)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    return starts, ends, hooked(a, b, len(starts))
+
+
 def component_sizes(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("image", "label").agg(F.count(F.lit(1)).alias("size"))
 

@@ -79,6 +79,19 @@ def display(px: DataFrame, brightness: float, contrast: float, by: list[str] | N
     return px.withColumn("v", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))).cast("int"))
 
 
+def display_colour(px: DataFrame, brightness: float, contrast: float, channels: dict[int, float] | None = None) -> DataFrame:
+    """Colour pictures (image, c, y, x, v): each channel stretched to 0..255 on its own (a constant one stays as it is) and made
+    brighter by its entry in ``channels``, then brightness and contrast of the whole picture, clip, whole numbers."""
+    w = Window.partitionBy("image", "c")
+    low, high = F.min("v").over(w), F.max("v").over(w)
+    own = F.lit(0.0)
+    for c, add in (channels or {}).items():
+        own = F.when(F.col("c") == c, F.lit(1.5 * add)).otherwise(own)
+    v = F.when(high > low, (F.col("v") - low) / (high - low) * 255.0).otherwise(F.col("v")) + own + 1.5 * brightness
+    v = (v - 127.5) * contrast_factor(contrast) + 127.5
+    return px.withColumn("v", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))).cast("int"))
+
+
 def composite(px: DataFrame, channel: int, processed: DataFrame, shown: list[int]) -> DataFrame:
     """``px`` with one channel taken from ``processed`` (image, y, x, v) where that has the pixel, also where ``px`` has none;
     channels not shown are 0."""
@@ -95,49 +108,65 @@ def crop(px: DataFrame, centres: DataFrame, half: int = 200) -> DataFrame:
     return px.join(c, "image").where(inside).drop("cy", "cx")
 
 
-def median_filter(px: DataFrame, size: int, height: int, width: int) -> DataFrame:
-    """Median over ``size`` x ``size`` windows of dense images; borders are mirrored. (An odd window, so an order statistic.)"""
+def median_filter(px: DataFrame, size: int, height: int | Column, width: int | Column, tile: int = 512) -> DataFrame:
+    """Median over ``size`` x ``size`` windows of dense images; borders are mirrored. (An odd window, so an order statistic.)
+
+    Tile by tile with a halo (``tiles.filtered``), a few rows at a time. ``height`` and ``width`` are numbers, or columns of ``px``
+    where images differ in size; so in all filters.
+    """
+    from somatica.operators import tiles
+
     r = size // 2
-    near = spread(px, [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)], height, width)
-    return near.groupBy(AT).agg(F.percentile("v", F.lit(0.5)).alias("v"))
 
+    def work(block, inside):
+        import numpy as np
+
+        seen = np.lib.stride_tricks.sliding_window_view(block, (2 * r + 1, 2 * r + 1))
+        out = np.zeros_like(block)
+        some = max(1, 4_000_000 // (seen.shape[1] * (2 * r + 1) ** 2))
+        for k in range(0, len(seen), some):
+            out[r + k : r + k + len(seen[k : k + some]), r : r + seen.shape[1]] = np.median(seen[k : k + some], axis=(2, 3))
+        return out
 
-def gaussian(px: DataFrame, sigma: float, height: int, width: int, reach: float = 4.0) -> DataFrame:
-    """Separable Gaussian blur of dense images, borders mirrored: one pass along y, one along x."""
+    return tiles.filter_pixels(px, r, work, height, width, tile)
+
+
+def _weights(sigma: float, reach: float) -> list[float]:
     r = int(reach * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
-    weights = [w / sum(raw) for w in raw]
-    for along in (0, 1):
-        offsets = [(k, 0) if along == 0 else (0, k) for k in range(-r, r + 1)]
-        px = spread(px, offsets, height, width, weights).groupBy(AT).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    return px
+    return [w / sum(raw) for w in raw]
 
 
-def unsharp(px: DataFrame, amount: float, height: int, width: int, sigma: float = 2.0, top: float = 255.0) -> DataFrame:
-    """Value plus ``amount`` times its difference from the blurred image, clipped to 0..``top``."""
-    soft = gaussian(px, sigma, height, width).withColumnRenamed("v", "_soft")
-    v = F.col("v") + amount * (F.col("v") - F.col("_soft"))
-    return px.join(soft, AT).select(*AT, F.greatest(F.lit(0.0), F.least(F.lit(float(top)), v)).alias("v"))
+def blurred(block, sigma: float, reach: float = 4.0):
+    """Separable Gaussian blur of an array; what lies within the kernel's reach of its border is not to be used."""
+    import numpy as np
 
+    weights = _weights(sigma, reach)
+    r = len(weights) // 2
+    for axis in (0, 1):
+        wide = np.pad(block, [(r, r) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+        n = block.shape[axis]
+        block = sum(w * np.take(wide, np.arange(k, k + n), axis) for k, w in enumerate(weights))
+    return block
 
-def _mirrored(at: Column, n: int) -> list[Column]:
-    """Places of the padded axis that show the row ``at``: itself, and its mirror images beyond both borders (edge repeated)."""
-    return [at, -1 - at, 2 * n - 1 - at]
 
+def gaussian(px: DataFrame, sigma: float, height: int | Column, width: int | Column, reach: float = 4.0, tile: int = 512) -> DataFrame:
+    """Separable Gaussian blur of dense images, borders mirrored: tile by tile with a halo."""
+    from somatica.operators import tiles
 
-def spread(px: DataFrame, offsets: list[tuple[int, int]], height: int, width: int, weights: list[float] | None = None) -> DataFrame:
-    """Every pixel value sent to the pixels that have it under one of ``offsets``, with ``w`` if weights are given.
+    return tiles.filter_pixels(px, int(reach * sigma + 0.5), lambda block, inside: blurred(block, sigma, reach), height, width, tile)
 
-    Beyond the border images are mirrored. One explode and no join: each pixel appears once for each window it is in.
-    """
-    ys, xs = _mirrored(F.col("y"), height), _mirrored(F.col("x"), width)
-    places = F.array(*[F.struct(a.alias("py"), b.alias("px")) for a in ys for b in xs])
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for (dy, dx), w in zip(offsets, weights or [1.0] * len(offsets), strict=True)])
-    r = max(max(abs(a), abs(b)) for a, b in offsets)
-    near = F.filter(places, lambda p: (p["py"] >= -r) & (p["py"] < height + r) & (p["px"] >= -r) & (p["px"] < width + r))
-    d = px.select("image", "v", F.explode(near).alias("p")).select("image", "v", "p", F.explode(steps).alias("o"))
-    d = d.select("image", (F.col("p.py") - F.col("o.dy")).alias("y"), (F.col("p.px") - F.col("o.dx")).alias("x"), "v", F.col("o.w").alias("w"))
-    return d.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width))
+
+def unsharp(px: DataFrame, amount: float, height: int | Column, width: int | Column, sigma: float = 2.0, top: float = 255.0, tile: int = 512) -> DataFrame:
+    """Value plus ``amount`` times its difference from the blurred image, clipped to 0..``top``; one pass over the tiles."""
+    from somatica.operators import tiles
+
+    def work(block, inside):
+        import numpy as np
+
+        return np.clip(block + amount * (block - blurred(block, sigma)), 0.0, float(top))
+
+    return tiles.filter_pixels(px, int(4.0 * sigma + 0.5), work, height, width, tile)
 
 
 def in_polygon(px: DataFrame, polygons: DataFrame) -> DataFrame:

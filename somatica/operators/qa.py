@@ -61,6 +61,68 @@ def replay_with_undo(masks: DataFrame, events: DataFrame) -> DataFrame:
     return masks.select("cell", "area").groupBy("cell").cogroup(events.select("cell", "seq", "area", "op").groupBy("cell")).applyInPandas(run, f"cell {kind}, area int, approved boolean")
 
 
+def undone(events: DataFrame, block: int = 4096) -> DataFrame:
+    """Which decision each undo of a session takes back: undo (its seq) and seq (the decision's).
+
+    ``events``: seq (whole numbers, each once), op; one stack for the whole session, in which every other op is a decision. An undo takes the
+    last decision back that is still there, and none where there is none. The stack's height is a running sum less its running
+    minimum, worked out in blocks of seq; a decision and the undo that meets its height first belong together. Pairs are found
+    inside the blocks, and what is left of those, two rows for each height and block at most, across them.
+    """
+    e = events.select("seq", F.when(F.col("op") == "undo", -1).otherwise(1).alias("step"), F.floor(F.col("seq") / block).alias("block"))
+    inside, so_far = Window.partitionBy("block").orderBy("seq"), Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("run", F.sum("step").over(inside)).withColumns({"low": F.min("run").over(inside), "low_before": F.min("run").over(inside.rowsBetween(Window.unboundedPreceding, -1))})
+    blocks = e.groupBy("block").agg(F.sum("step").alias("sum"), F.min("run").alias("least"))
+    blocks = blocks.withColumn("base", F.coalesce(F.sum("sum").over(so_far), F.lit(0)))
+    blocks = blocks.select(F.col("block").alias("_block"), "base", F.least(F.coalesce(F.min(F.col("base") + F.col("least")).over(so_far), F.lit(0)), F.lit(0)).alias("floor"))
+    e = e.join(blocks, F.col("block") == F.col("_block"))
+    at = F.col("base") + F.col("run")
+    now, before = F.least("floor", F.col("base") + F.col("low")), F.least("floor", F.coalesce(F.col("base") + F.col("low_before"), F.col("floor")))
+    e = e.where((F.col("step") == 1) | (at >= before)).select("seq", "step", "block", (at - now + F.when(F.col("step") == -1, 1).otherwise(0)).alias("height"))
+
+    def paired(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+        w = Window.partitionBy(*by).orderBy("seq")
+        d = rows.withColumns({"_next": F.lead("step").over(w), "_undo": F.lead("seq").over(w), "_last": F.lag("step").over(w)})
+        met = (F.col("step") == 1) & F.coalesce(F.col("_next") == -1, F.lit(False))
+        closed = (F.col("step") == -1) & F.coalesce(F.col("_last") == 1, F.lit(False))
+        return d.where(met).select(F.col("_undo").alias("undo"), "seq"), d.where(~met & ~closed).select(*rows.columns)
+
+    own, rest = paired(e, ["block", "height"])
+    return own.unionByName(paired(rest, ["height"])[0])
+
+
+def replay_session(masks: DataFrame, events: DataFrame) -> DataFrame:
+    """Decision on each mask after a whole session, in which undo takes back the last decision on any cell: cell, area, approved.
+
+    Undone, a decision's mask and those it cascaded to are unreviewed again. Decisions on masks that are not there do not count. The
+    decision that each undo means is found first (``undone``); then every cell's own events are folded over its masks in an expression,
+    where a mask remembers the decision that set it.
+    """
+    own = masks.select("cell", "area").distinct()
+    e = events.where("op in ('approve', 'reject', 'undo')").select("seq", "cell", F.col("area").cast("int").alias("area"), "op")
+    decisions = e.where("op <> 'undo'").join(own.withColumn("area", F.col("area").cast("int")), ["cell", "area"], "left_semi")
+    pairs = undone(decisions.select("seq", "op").unionByName(e.where("op = 'undo'").select("seq", "op")))
+    back = pairs.join(decisions.select("seq", "cell"), "seq").select("cell", F.col("undo").alias("at"), F.lit(0).alias("area"), F.lit(None).cast("boolean").alias("yes"), F.col("seq").alias("of"))
+    steps = decisions.select("cell", F.col("seq").alias("at"), "area", (F.col("op") == "approve").alias("yes"), F.col("seq").alias("of")).unionByName(back)
+    steps = steps.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("at", "area", "yes", "of"))).alias("steps"))
+    state = own.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct(F.col("area").cast("int").alias("area"), F.lit(None).cast("boolean").alias("approved"), F.lit(None).cast("long").alias("by")))).alias("state"))
+
+    def step(s, e):
+        def after(m):
+            hit = (m["area"] == e["area"]) | (m["approved"].isNull() & F.when(e["yes"], m["area"] < e["area"]).otherwise(m["area"] > e["area"]))
+            taken = e["yes"].isNull() & (m["by"] == e["of"])
+            return F.struct(
+                m["area"].alias("area"),
+                F.when(taken, F.lit(None)).when(e["yes"].isNotNull() & hit, e["yes"]).otherwise(m["approved"]).alias("approved"),
+                F.when(taken, F.lit(None)).when(e["yes"].isNotNull() & hit, e["of"].cast("long")).otherwise(m["by"]).alias("by"),
+            )
+
+        return F.transform(s, after)
+
+    done = state.join(steps, "cell", "left").select("cell", F.explode(F.when(F.col("steps").isNull(), F.col("state")).otherwise(F.aggregate("steps", F.col("state"), step))).alias("m"))
+    return done.select("cell", "m.area", "m.approved")
+
+
 def review_counts(decisions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Approved, rejected and open masks, and whether all are reviewed."""
     return decisions.groupBy(*(by or [])).agg(F.count_if("approved").alias("approved"), F.count_if(~F.col("approved")).alias("rejected"), F.count_if(F.col("approved").isNull()).alias("open"), F.bool_and(F.col("approved").isNotNull()).alias("reviewed"))

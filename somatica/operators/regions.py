@@ -16,8 +16,9 @@ def axes(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
     return 4 * F.sqrt(F.greatest(mid + half, F.lit(0.0))), 4 * F.sqrt(F.greatest(mid - half, F.lit(0.0)))
 
 
-#: Rows and columns are packed into one whole number, so that extremes with ties need no struct and aggregate by hash.
-_SPAN = 65536
+#: Rows and columns (31 bits each) are packed into one whole number, so that extremes with ties need no struct and aggregate by hash.
+_BITS = 31
+_SPAN = 1 << _BITS
 
 
 def _sums() -> list[Column]:
@@ -41,7 +42,7 @@ def _shape(m: DataFrame, pixel_size: float) -> DataFrame:
 
 
 def _spread(pixel_size: float) -> Column:
-    high, low = lambda c: F.floor(F.col(c) / _SPAN), lambda c: F.col(c) % _SPAN
+    high, low = lambda c: F.shiftright(F.col(c), _BITS), lambda c: F.col(c).bitwiseAND(F.lit(_SPAN - 1))
     ends = [(high("_top"), low("_top")), (high("_bottom"), _SPAN - 1 - low("_bottom")), (low("_left"), high("_left")), (_SPAN - 1 - low("_right"), high("_right"))]
     return sum(F.hypot(y - F.col("cy"), x - F.col("cx")) for y, x in ends) / 4 * pixel_size
 

@@ -27,15 +27,54 @@ def profile(mask: DataFrame, centres: DataFrame, step: float = 1.0) -> DataFrame
     return every.join(n.select("image", "k", "n"), ["image", "k"], "left").select("image", (F.col("r0") + F.col("k") * step).alias("radius"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def soma_centres(soma: DataFrame) -> DataFrame:
+    """Where the circles begin: image, cy, cx (the soma's centroid in whole pixels) and r0 (radius of a disk of its area, in pixels)."""
+    return soma.groupBy("image").agg(F.round(F.avg("y")).cast("int").alias("cy"), F.round(F.avg("x")).cast("int").alias("cx"), F.sqrt(F.count(F.lit(1)) / math.pi).alias("r0"))
+
+
+def continuous(mask: DataFrame, centres: DataFrame) -> DataFrame:
+    """Intersections of every circle around the soma: image, from_radius, to_radius, n, trimmed to the circles that meet the mask.
+
+    Pixels are unit squares; n is the number of arcs that a circle shares with them. Every arc begins and ends at a side between a
+    pixel of the mask and one outside, so n is half the crossings of such sides, which change only where a circle reaches or leaves
+    one: a running sum over those radii, each side counted once. A circle that lies in the mask all around counts as one.
+    Four times the squared radius is a whole number at every change, so nothing is lost to rounding. ``centres``: image, cy, cx (whole
+    pixels), r0; smaller circles are left out.
+    """
+    d = mask.select("image", "y", "x").join(centres.select("image", "cy", "cx", "r0"), "image")
+    sides = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]))
+    d = d.select("image", "y", "x", "cy", "cx", "r0", sides.alias("o")).withColumns({"y": F.col("y") + F.col("o.dy"), "x": F.col("x") + F.col("o.dx")})
+    open_ = d.join(mask.select("image", "y", "x"), ["image", "y", "x"], "left_anti")
+    # the side lies half a pixel back; along it runs the other coordinate, from u - 1 to u + 1 in half pixels
+    y, x = (2 * (F.col("y") - F.col("cy")) - F.col("o.dy")).cast("long"), (2 * (F.col("x") - F.col("cx")) - F.col("o.dx")).cast("long")
+    across, along = F.when(F.col("o.dy") != 0, y).otherwise(x), F.when(F.col("o.dy") != 0, x).otherwise(y)
+    both = F.when(along == 0, 2).otherwise(1)
+    near, far = across * across + F.when(along == 0, F.lit(0)).otherwise((F.abs(along) - 1) * (F.abs(along) - 1)), across * across + (F.abs(along) + 1) * (F.abs(along) + 1)
+    events = open_.select("image", "cy", "cx", "r0", F.explode(F.array(F.struct(near.alias("q"), both.alias("n")), F.struct(far.alias("q"), (-both).alias("n")))).alias("e"))
+    steps = events.groupBy("image", "cy", "cx", "r0", "e.q").agg(F.sum("e.n").alias("n"))
+    order = Window.partitionBy("image").orderBy("q")
+    runs = steps.select("image", "cy", "cx", "r0", F.col("q").alias("a"), F.lead("q").over(order).alias("b"), (F.sum("n").over(order) / 2).cast("long").alias("n")).where("b is not null")
+    first = steps.groupBy("image", "cy", "cx", "r0").agg(F.lit(0).cast("long").alias("a"), F.min("q").alias("b"), F.lit(0).cast("long").alias("n")).where("b > 0")
+    runs = runs.unionByName(first).withColumn("a", F.greatest(F.col("a").cast("double"), 4 * F.col("r0") * F.col("r0"))).where("a < b")
+    # a circle between two changes either lies in the mask or outside of it: one pixel of it tells
+    at = runs.withColumns({"y": F.col("cy"), "x": (F.col("cx") + F.round(F.sqrt((F.col("a") + F.col("b")) / 2) / 2)).cast("int")})
+    inside = mask.select("image", "y", "x", F.lit(1).alias("in"))
+    n = F.when(F.col("n") > 0, F.col("n")).otherwise(F.coalesce("in", F.lit(0))).cast("long")
+    every = at.join(inside, ["image", "y", "x"], "left").select("image", F.col("a").alias("qa"), F.col("b").alias("qb"), n.alias("n"))
+    w = Window.partitionBy("image")
+    met = every.withColumns({"_lo": F.min(F.when(F.col("n") > 0, F.col("qa"))).over(w), "_hi": F.max(F.when(F.col("n") > 0, F.col("qb"))).over(w)}).where("qa >= _lo and qb <= _hi")
+    return met.select("image", (F.sqrt("qa") / 2).alias("from_radius"), (F.sqrt("qb") / 2).alias("to_radius"), "n")
+
+
 def sampled_metrics(profiles: DataFrame) -> DataFrame:
-    """Metrics of the sampled profile of each image."""
+    """Metrics of the sampled profile of each image; the centroid (radius, value) is that of the area below the profile."""
     first = F.min_by("n", "radius")
     top = F.max("n")
     return profiles.groupBy("image").agg(
         first.alias("primary_branches"), F.count_if(F.col("n") > 0).alias("intersecting_radii"), F.sum("n").alias("sum_intersections"), F.avg("n").alias("mean_intersections"),
         F.percentile("n", F.lit(0.5)).alias("median_intersections"), F.skewness("n").alias("skewness"), F.kurtosis("n").alias("kurtosis"), top.alias("max_intersections"),
         F.min_by("radius", F.struct(-F.col("n"), "radius")).alias("max_radius"), (top / F.nullif(first, F.lit(0))).alias("ramification_index"),
-        (F.sum(F.col("radius") * F.col("n")) / F.sum("n")).alias("centroid_radius"), F.max(F.when(F.col("n") > 0, F.col("radius"))).alias("enclosing_radius"),
+        (F.sum(F.col("radius") * F.col("n")) / F.sum("n")).alias("centroid_radius"), (F.sum(F.col("n") * F.col("n")) / F.sum("n") / 2).alias("centroid_value"), F.max(F.when(F.col("n") > 0, F.col("radius"))).alias("enclosing_radius"),
     )
 
 

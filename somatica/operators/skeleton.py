@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somatica.operators.morphology import EIGHT, component_roots, component_sizes, components, degrees, shifted
+from somatica.operators.morphology import EIGHT, component_roots, component_sizes, components, degrees, shifted, stride_of
 from somatica.operators.pixels import AT
 
 
@@ -81,36 +81,80 @@ def graph_metrics(skeleton: DataFrame, pixel_size: float = 1.0) -> DataFrame:
 def longest_path(skeleton: DataFrame, pixel_size: float = 1.0) -> DataFrame:
     """Longest of the shortest ways between ends and junctions of each image's first skeleton, the one with the first pixel.
 
-    One group per image: distances from all those points are relaxed along the skeleton together until none changes.
+    One group per image: runs of pixels with two neighbours become edges with a length, and the shortest ways are found on the small
+    graph of ends and junctions.
     """
 
     def run(pdf):
         import numpy as np
 
-        at = np.unique(pdf["y"].to_numpy(np.int64) * 65536 + pdf["x"].to_numpy(np.int64))
-        at = at[component_roots(at, [1, 65535, 65536, 65537]) == 0]
-        steps = [(dy * 65536 + dx, math.hypot(dy, dx)) for dy, dx in EIGHT]
-        place = np.stack([np.searchsorted(at, at + s) for s, _ in steps])
-        place[place == len(at)] = 0
-        near = np.where(at[place] == at + np.array([[s] for s, _ in steps]), place, len(at))
-        degree = (near < len(at)).sum(axis=0)
-        begin = np.flatnonzero(degree != 2)
-        begin = begin if len(begin) else np.array([0])
-        far = np.full((len(begin), len(at) + 1), np.inf)
-        far[np.arange(len(begin)), begin] = 0.0
-        while True:
-            new = far.copy()
-            for k, (_, length) in enumerate(steps):
-                new[:, :-1] = np.minimum(new[:, :-1], far[:, near[k]] + length)
-            if (new == far).all():
-                break
-            far = new
-        return type(pdf)({"image": [pdf["image"].iloc[0]], "d": [far[:, begin].max() * pixel_size]})
+        stride = stride_of(pdf["x"])
+        at = np.unique(pdf["y"].to_numpy(np.int64) * stride + pdf["x"].to_numpy(np.int64))
+        at = at[component_roots(at, [1, stride - 1, stride, stride + 1]) == 0]
+        return type(pdf)({"image": [pdf["image"].iloc[0]], "d": [longest_way(*skeleton_graph(at, stride)) * pixel_size]})
 
     kind = skeleton.schema["image"].dataType.simpleString()
     return skeleton.select(AT).groupBy("image").applyInPandas(run, f"image {kind}, d double").withColumnRenamed("d", "longest_shortest_path")
 
 
+def skeleton_graph(at, stride: int):
+    """Graph of a skeleton (sorted raster places): number of its nodes, ends and junctions, and edges (node, node, length).
+
+    A pixel with two neighbours lies on a simple path, so such pixels hang together as paths; each is an edge between the nodes at its
+    ends, as are two nodes side by side.
+    """
+    import numpy as np
+
+    from somatica.operators.morphology import hooked
+
+    a, b, length = [], [], []
+    for dy, dx in [(0, 1), (1, -1), (1, 0), (1, 1)]:
+        i = np.searchsorted(at, at + dy * stride + dx)
+        i[i == len(at)] = 0
+        hit = np.flatnonzero(at[i] == at + dy * stride + dx)
+        a.append(hit)
+        b.append(i[hit])
+        length.append(np.full(len(hit), math.hypot(dy, dx)))
+    a, b, length = np.concatenate(a), np.concatenate(b), np.concatenate(length)
+    node = np.bincount(a, minlength=len(at)) + np.bincount(b, minlength=len(at)) != 2
+    number = np.cumsum(node) - 1
+    slab = ~node[a] & ~node[b]
+    path = hooked(a[slab], b[slab], len(at))
+    along = np.bincount(path[a[slab]], length[slab], len(at))
+    direct = node[a] & node[b]
+    edges = list(zip(number[a[direct]].tolist(), number[b[direct]].tolist(), length[direct].tolist(), strict=True))
+    ends: dict[int, list] = {}
+    for x, y, n in ((a, b, length), (b, a, length)):
+        some = node[x] & ~node[y]
+        for u, k, w in zip(number[x[some]].tolist(), path[y[some]].tolist(), n[some].tolist(), strict=True):
+            ends.setdefault(k, []).append((u, w))
+    edges += [(e[0][0], e[1][0], e[0][1] + e[1][1] + float(along[k])) for k, e in ends.items() if len(e) == 2]
+    return int(node.sum()), edges
+
+
+def longest_way(nodes: int, edges: list[tuple[int, int, float]]) -> float:
+    """Longest of the shortest ways between any two nodes of a graph that hangs together."""
+    import heapq
+
+    near: list[dict[int, float]] = [{} for _ in range(nodes)]
+    for u, v, w in edges:
+        if u != v and w < near[u].get(v, math.inf):
+            near[u][v] = near[v][u] = w
+    longest = 0.0
+    for begin in range(nodes):
+        far, open_ = {begin: 0.0}, [(0.0, begin)]
+        while open_:
+            d, u = heapq.heappop(open_)
+            if d > far[u]:
+                continue
+            longest = max(longest, d)
+            for v, w in near[u].items():
+                if d + w < far.get(v, math.inf):
+                    far[v] = d + w
+                    heapq.heappush(open_, (d + w, v))
+    return longest
+
+
 def without_loops(skeleton: DataFrame) -> DataFrame:
     """``skeleton`` with every loop opened at its shortest branch.
 

@@ -37,16 +37,21 @@ def area_targets(roi: DataFrame, targets: DataFrame, rounds: int = 30, tolerance
     """
 
     def run(key, left, right):
+        import numpy as np
         import pandas as pd
 
-        y, x, v = left["y"].to_numpy(), left["x"].to_numpy(), left["v"].to_numpy(float)
         frames = [left.assign(target=0.0)[["image", "target", "y", "x"]].iloc[:0]]
-        widths: dict = {}  # centre to the widest paths from it, shared by all targets
-        for t in right.itertuples(index=False):
-            if len(left):
-                least = v.min() if t.floor is None or t.floor != t.floor else t.floor
-                keep = _mask_of_area(y, x, v, (int(t.cy), int(t.cx)), max(t.start, least) if least == t.floor else t.start, t.target, least, rounds, tolerance, widths)
-                frames.append(left.loc[keep, ["image", "y", "x"]].assign(target=t.target))
+        if len(left):
+            y0, x0 = left["y"].min(), left["x"].min()
+            window = np.full((left["y"].max() - y0 + 1, left["x"].max() - x0 + 1), np.nan)
+            window[left["y"] - y0, left["x"] - x0] = left["v"]
+            grown: dict = {}
+            for t in right.itertuples(index=False):
+                floor = None if t.floor is None or t.floor != t.floor else t.floor
+                if (t.cy, t.cx) not in grown:
+                    grown[t.cy, t.cx] = Window2D(window, int(t.cy) - y0, int(t.cx) - x0)
+                y, x = grown[t.cy, t.cx].mask(t.start, t.target, floor, rounds, tolerance)
+                frames.append(pd.DataFrame({"image": [left["image"].iloc[0]] * len(y), "target": t.target, "y": y + y0, "x": x + x0}))
         return pd.concat(frames)[["image", "target", "y", "x"]]
 
     kind = roi.schema["image"].dataType.simpleString()
@@ -58,65 +63,68 @@ def area_targets(roi: DataFrame, targets: DataFrame, rounds: int = 30, tolerance
 LEAST_MOVE = 0.1
 
 
-def widest_paths(y, x, v, seed: int):
-    """For each pixel the largest level at which it still hangs together (8 neighbours) with the pixel ``seed``: over all paths
-    between them, the largest of the paths' smallest values. The component of the seed above a threshold is then the
-    pixels whose width lies above it, at every threshold at once."""
-    import heapq
-
-    import numpy as np
-
-    place = {p: k for k, p in enumerate(zip(y.tolist(), x.tolist(), strict=True))}
-    at, value = list(place), v.tolist()
-    width = [-np.inf] * len(at)
-    width[seed] = value[seed]
-    open_ = [(-value[seed], seed)]
-    while open_:
-        w, k = heapq.heappop(open_)
-        if -w < width[k]:
-            continue
-        cy, cx = at[k]
-        for ny in (cy - 1, cy, cy + 1):
-            for nx in (cx - 1, cx, cx + 1):
-                n = place.get((ny, nx))
-                if n is not None and (reach := min(-w, value[n])) > width[n]:
-                    width[n] = reach
-                    heapq.heappush(open_, (-reach, n))
-    return np.array(width)
-
-
-def _mask_of_area(y, x, v, centre, start: float, target: float, least: float, rounds: int, tolerance: float, widths: dict):
-    """The component at the centre, above the threshold at which its area comes closest to ``target``.
-
-    Areas are read off the sorted widths of the paths from the centre, or from the pixel nearest to it among those above the
-    threshold, so nothing is labelled again when the threshold moves.
-    """
-    import numpy as np
-
-    by_distance = widths.setdefault(("near", centre), np.lexsort((x, y, (y - centre[0]) ** 2 + (x - centre[1]) ** 2)))
-
-    def component(level: float):
-        above = v[by_distance] > level
-        if not above.any():
-            return None
-        seed = int(by_distance[above.argmax()])
-        if seed not in widths:
-            w = widest_paths(y, x, v, seed)
-            widths[seed] = w, np.sort(w)
-        return widths[seed]
-
-    def area(level: float) -> int:
-        found = component(level)
-        return 0 if found is None else len(v) - int(np.searchsorted(found[1], level, "right"))
-
-    tried, level = [], start
-    for n in range(1, rounds + 1):
-        miss = area(level) - target
-        tried.append((abs(miss), n, level))
-        move = level * miss / (n * target)
-        if abs(miss) <= tolerance or abs(move) < LEAST_MOVE:
-            break
-        level = float(np.clip(level + move, least, v.max()))
-    best = min(tried)[2]
-    found = component(best)
-    return np.zeros(len(v), bool) if found is None else found[0] > best
+class Window2D:
+    """The surroundings of a cell (NaN: no pixel), and its components above any level; what was labelled once is remembered."""
+
+    def __init__(self, window, cy: int, cx: int):
+        import numpy as np
+
+        self.window, self.values = window, np.sort(window[~np.isnan(window)])
+        y, x = np.nonzero(~np.isnan(window))
+        near = np.lexsort((x, y, (y - cy) ** 2 + (x - cx) ** 2))
+        self.near = y[near], x[near]
+        self.found: dict = {}
+
+    def otsu(self, bins: int = 256) -> float:
+        """As ``otsu``: centre of the lowest of the best bins; the value less one where all are equal."""
+        import numpy as np
+
+        lo, hi = self.values[0], self.values[-1]
+        if hi <= lo:
+            return float(lo - 1)
+        n = np.bincount(np.minimum(bins - 1, np.floor((self.values - lo) / (hi - lo) * bins)).astype(int), minlength=bins)
+        w1, m1 = np.cumsum(n), np.cumsum(n * (2 * np.arange(bins) + 1))
+        w2, m2 = w1[-1] - w1, m1[-1] - m1
+        with np.errstate(invalid="ignore", divide="ignore"):
+            between = np.where((w1 > 0) & (w2 > 0) & (n > 0), w1 * w2 * (m1 / w1 - m2 / w2) ** 2, -1.0)
+        return float(lo + (int(between.argmax()) + 0.5) * (hi - lo) / bins)
+
+    def component(self, level: float):
+        """Runs (starts, ends) of the component above ``level`` at the centre, or at the pixel above it that is nearest to the centre."""
+        import numpy as np
+
+        from somatica.operators.morphology import run_labels
+
+        # all levels between two values give the same pixels
+        rank = int(np.searchsorted(self.values, level, "right"))
+        if rank not in self.found:
+            on = self.window > level
+            starts, ends, root = run_labels(on)
+            y, x = self.near
+            first = int(on[y, x].argmax())
+            at = np.searchsorted(starts, y[first] * (on.shape[1] + 2) + x[first] + 1, "right") - 1 if len(starts) else 0
+            same = root == root[at] if len(starts) else np.zeros(0, bool)
+            self.found[rank] = starts[same], ends[same]
+        return self.found[rank]
+
+    def mask(self, start: float, target: float, floor: float | None, rounds: int, tolerance: float):
+        """Rows and columns of the component whose area comes closest to ``target``, or first within ``tolerance`` of it."""
+        import numpy as np
+
+        if not len(self.values):
+            return np.zeros(0, int), np.zeros(0, int)
+        least, top = self.values[0] if floor is None else floor, self.values[-1]
+        tried, level = [], start if floor is None else max(start, floor)
+        for n in range(1, rounds + 1):
+            starts, ends = self.component(level)
+            miss = int((ends - starts).sum()) - target
+            tried.append((abs(miss), n, level))
+            move = level * miss / (n * target)
+            if abs(miss) <= tolerance or abs(move) < LEAST_MOVE:
+                break
+            level = float(np.minimum(np.maximum(level + move, least), top))
+        starts, ends = self.component(min(tried)[2])
+        n = ends - starts
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
+        w = self.window.shape[1] + 2
+        return at // w, at % w - 1

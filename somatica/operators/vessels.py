@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from somatica.operators import distance, morphology, thresholds
+from somatica.operators import background, distance, morphology, thresholds
 from somatica.operators.pixels import AT
 
 
-def vessel_mask(px: DataFrame, height: int, width: int, pixel_size: float, least_um2: float = 5.0) -> DataFrame:
-    """Pixels over Otsu's threshold of the positive values, closed with a disk of 2, small specks dropped."""
-    level = thresholds.otsu(px.where("v > 0"))
-    bright = px.join(level, "image").where(F.col("v") > F.col("threshold")).select(AT)
+def vessel_mask(px: DataFrame, height: int | Column, width: int | Column, pixel_size: float, least_um2: float = 5.0, tubes: bool = False, sigmas: tuple[float, ...] = background.SIGMAS) -> DataFrame:
+    """Pixels over Otsu's threshold of the positive values, closed with a disk of 2, small specks dropped.
+
+    With ``tubes`` the threshold is taken of the ridges of the image (``background.tubeness``, at the scales ``sigmas``, brightness as a
+    share of its largest), which keeps lines and drops blobs. An image without a positive value has no vessels.
+    """
+    if tubes:
+        top = px.groupBy("image").agg(F.max("v").alias("_top")).where("_top > 0")
+        sized = px.join(top, "image").select(*AT, (F.col("v") / F.col("_top")).alias("v"), F.lit(height).alias("_h"), F.lit(width).alias("_w"))
+        base = background.tubeness(sized, F.col("_h"), F.col("_w"), sigmas)
+    else:
+        base = px
+    level = thresholds.otsu(base.where("v > 0"))
+    bright = base.join(level, "image").where(F.col("v") > F.col("threshold")).select(AT)
     closed = morphology.close(bright, morphology.disk(2), height, width)
     return morphology.despeckle(closed, max(int(least_um2 / pixel_size**2), 1))
 
@@ -45,12 +55,16 @@ def soma_disk(centres: DataFrame, height: int, width: int, pixel_size: float, ra
     return d.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
 
 
-def exposure(cell_px: DataFrame, px: DataFrame, vessel: DataFrame, soma: DataFrame, pixel_size: float) -> DataFrame:
-    """Per cell (image, cell): distance of its soma to the vessels, mean tracer outside of them, share of it on them.
+def exposure(cell_px: DataFrame, px: DataFrame, vessel: DataFrame, soma: DataFrame, pixel_size: float, marker: DataFrame | None = None) -> DataFrame:
+    """Per cell (image, cell): distance of its soma to the vessels, mean tracer outside of them, share of it on them, and the
+    mean of the vessel ``marker`` (image, y, x, v) over all of it, if given.
 
     A cell without soma pixels is measured by all its pixels, and one that lies wholly on vessels is averaged as a whole.
     """
     key = ["image", "cell"]
+    if marker is not None:
+        mean = cell_px.join(marker.select(*AT, F.col("v").alias("_marker")), AT).groupBy(key).agg(F.avg("_marker").alias("cd31_exposure_mean"))
+        return exposure(cell_px, px, vessel, soma, pixel_size).join(mean, key, "left")
     tagged = cell_px.join(px, AT, "left").join(vessel.select(*AT, F.lit(1).alias("on")), AT, "left").na.fill(0, ["on"])
     m = tagged.groupBy(key).agg(F.coalesce(F.avg(F.when(F.col("on") == 0, F.col("v"))), F.avg("v")).alias("exposure_mean"), F.avg("on").alias("vessel_contact_fraction"))
     region = soma.select("image", "cell", "y", "x", F.lit(True).alias("soma")).unionByName(cell_px.select("image", "cell", "y", "x", F.lit(False).alias("soma")))

@@ -385,7 +385,7 @@ def sholl_profile(spark, sf_dir):
 
 
 @query(f"""{_SHOLL}, f AS (SELECT *, first_value(n) OVER (PARTITION BY image ORDER BY radius) AS fst FROM pr) SELECT image, max(fst) AS primary_branches, count(*) FILTER (n > 0) AS intersecting_radii, CAST(sum(n) AS BIGINT) AS sum_intersections, round(avg(n), 6) AS mean_intersections, round(median(n), 6) AS median_intersections,
- max(n) AS max_intersections, arg_min(radius, -n * 1000 + radius) AS max_radius, round(max(n) / nullif(max(fst), 0), 6) AS ramification_index, round(sum(radius * n) / sum(n), 6) AS centroid_radius, max(radius) FILTER (n > 0) AS enclosing_radius FROM f GROUP BY 1""")
+ max(n) AS max_intersections, arg_min(radius, -n * 1000 + radius) AS max_radius, round(max(n) / nullif(max(fst), 0), 6) AS ramification_index, round(sum(radius * n) / sum(n), 6) AS centroid_radius, round(sum(n * n) / sum(n) / 2, 6) AS centroid_value, max(radius) FILTER (n > 0) AS enclosing_radius FROM f GROUP BY 1""")
 def sholl_metrics(spark, sf_dir):
     return rounded(sholl.sampled_metrics(_profiles(spark, sf_dir)).drop("skewness", "kurtosis"))
 
@@ -453,8 +453,3 @@ def rolling_ball(spark, sf_dir):
 @query(f"WITH {b.PX_SMALL}, {_off(morphology.disk(1))}, e AS (SELECT p.image, p.y, p.x, min(k.v) AS v FROM px p CROSS JOIN o JOIN px k ON k.image = p.image AND k.y = p.y + dy AND k.x = p.x + dx GROUP BY ALL) SELECT p.image, p.y, p.x, round(p.v - max(k.v), 6) AS v FROM px p CROSS JOIN o JOIN e k ON k.image = p.image AND k.y = p.y + dy AND k.x = p.x + dx GROUP BY p.image, p.y, p.x, p.v")
 def top_hat(spark, sf_dir):
     return rounded(background.white_top_hat(b.px_small(spark, sf_dir), 1, 8, 8))
-
-
-@query()
-def tubeness(spark, sf_dir):
-    return rounded(background.tubeness(b.px_small(spark, sf_dir), 8, 8, (1,)))

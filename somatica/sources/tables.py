@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from somatica.functions import names
@@ -61,8 +61,13 @@ def mask_metadata(results: DataFrame, pixel_size: float) -> DataFrame:
 
 
 def result_sheet(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """``df`` in the fixed order of a result sheet: what it lacks is empty, what is not in the sheet is left out."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    """``df`` in the fixed order of a result sheet; columns that are not in the sheet are left out, and one that is missing is an error.
+
+    ``operators.sheets`` makes the rows of both sheets."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"the sheet needs {', '.join(missing)}")
+    return df.select(*columns)
 
 
 def write_csv(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -93,11 +98,13 @@ def replace_table(df: DataFrame, path: str) -> None:
     fs.delete(aside, True)
 
 
-def raster_files(px: DataFrame, ending: str, kind: str = "u2", pixel_size: float | None = None) -> DataFrame:
+def raster_files(px: DataFrame, ending: str, kind: str = "u2", pixel_size: float | None = None, height: int | Column | None = None, width: int | Column | None = None) -> DataFrame:
     """Dense or sparse pixels (image, y, x, v) to rows of filename (image and ``ending``) and TIFF content, one per image.
 
-    Values are cut to the range of ``kind`` (u1, u2, or f4 as they are) and to whole numbers; pixels without a row are 0.
-    Processed rasters end in ``_processed.tif``, soma masks (image ``<image>_<soma>``) in ``_soma.tif``. One group per image.
+    Values are cut to the range of ``kind`` (u1, u2, or f4 as they are) and to whole numbers; pixels without a row are 0. ``height`` and
+    ``width`` of the frame are numbers, or columns of ``px``; without them the picture ends at the last row and column that has a
+    pixel, which suits dense rasters only. A pixel outside the frame is an error. Several channels (column ``c``) or planes become
+    pages. Processed rasters end in ``_processed.tif``, soma masks (image ``<image>_<soma>``) in ``_soma.tif``. One group per image.
     """
 
     def run(pdf):
@@ -106,13 +113,16 @@ def raster_files(px: DataFrame, ending: str, kind: str = "u2", pixel_size: float
 
         from somatica.sources import tiff
 
-        image = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1))
-        image[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf["v"].to_numpy()
+        frame = [int(pdf[a].iloc[0]) if pdf[a].notna().all() else int(pdf[b].max()) + 1 for a, b in (("_h", "y"), ("_w", "x"))]
+        image = np.zeros((int(pdf["c"].max()) + 1, *frame))
+        image[pdf["c"].to_numpy(), pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf["v"].to_numpy()
         if kind != "f4":
             image = np.floor(np.clip(image, 0, np.iinfo(kind).max))
         return pd.DataFrame({"filename": [f"{pdf['image'].iloc[0]}{ending}"], "content": [tiff.encode(image.astype(kind), pixel_size)]})
 
-    return px.select(F.col("image").cast("string").alias("image"), "y", "x", F.col("v").cast("double").alias("v")).groupBy("image").applyInPandas(run, "filename string, content binary")
+    page = F.col("c").cast("int") if "c" in px.columns else F.lit(0)
+    framed = [F.lit(n).cast("int").alias(a) for n, a in ((height, "_h"), (width, "_w"))]
+    return px.select(F.col("image").cast("string").alias("image"), page.alias("c"), "y", "x", F.col("v").cast("double").alias("v"), *framed).groupBy("image").applyInPandas(run, "filename string, content binary")
 
 
 def mask_files(masks: DataFrame, pixel_size: float = 0.316) -> DataFrame:

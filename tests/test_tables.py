@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from somatica.functions import names
-from somatica.operators import merge, phenotype, qa, session, statistics
+from somatica.operators import merge, phenotype, qa, session, sheets, statistics
 from somatica.sources import images, tables, tiff
 from somatica.streaming import review
 
@@ -164,8 +164,24 @@ def test_clean_names(spark):
 
 
 def test_result_sheets(spark):
-    d = spark.createDataFrame([("c", 1.0, 2)], "cell_name string, hull_density double, other int")
-    assert tables.result_sheet(d, tables.FRACTAL_COLUMNS).columns == list(tables.FRACTAL_COLUMNS) and len(tables.FRACTAL_COLUMNS) == 22 and len(tables.SKELETON_COLUMNS) == 24
+    """A sheet that lacks a column is refused; the operators fill both sheets."""
+    assert len(tables.FRACTAL_COLUMNS) == 22 and len(tables.SKELETON_COLUMNS) == 24
+    with pytest.raises(ValueError, match="image_name"):
+        tables.result_sheet(spark.createDataFrame([("c", 1.0, 2)], "cell_name string, hull_density double, other int"), tables.FRACTAL_COLUMNS)
+    rows = [("img1_soma_5_6_area400_mask.tif", y, x) for y in range(2, 30) for x in range(4, 28)] + [("odd.tif", 3, x) for x in range(20)]
+    mask = spark.createDataFrame(rows, "image string, y int, x int")
+    f = {r.mask_file: r for r in sheets.fractal_sheet(mask, 32, 32, 0.5).collect()}
+    one = f["img1_soma_5_6_area400_mask.tif"]
+    assert sheets.fractal_sheet(mask, 32, 32, 0.5).columns == list(tables.FRACTAL_COLUMNS)
+    assert (one.cell_name, one.image_name, one.soma_id, one.mask_area_um2) == ("img1_soma_5_6", "img1", "soma_5_6", 400)
+    assert (one.fractal_foreground_pixels, one.fractal_foreground_area_um2, one.hull_area_px, one.hull_area_um2) == (28 * 24, 28 * 24 / 4, 27 * 23.0, 27 * 23 / 4)
+    assert f["odd.tif"].soma_id == "unknown" and f["odd.tif"].hull_area_px is None and f["odd.tif"].fractal_dimension == pytest.approx(0.95, abs=0.15)
+    for upscale in (1, 2):
+        s = {r.mask_file: r for r in sheets.skeleton_sheet(mask, 0.5, upscale).collect()}
+        line = s["odd.tif"]
+        assert list(line.asDict()) == list(tables.SKELETON_COLUMNS) and line.skeleton_file == "odd.tif_skeleton.tif" and line.upscale_factor == upscale
+        assert (line.num_branches, line.num_junctions, line.num_end_points) == (1, 0, 2) and line.longest_shortest_path_um == pytest.approx(9.5, abs=0.6)
+        assert line.total_skeleton_length_um == pytest.approx(line.longest_shortest_path_um) and line.branching_density == pytest.approx(line.skeleton_area_um2 / line.mask_area_um2)
 
 
 def test_pictures(spark, tmp_path):
