@@ -251,7 +251,16 @@ def qa_replay(spark, sf_dir):
     return qa.replay(b.qa_masks(spark, sf_dir), b.qa_events(spark, sf_dir))
 
 
-@query()
+#: One stack of decisions a cell: every mask remembers the decision that set it and whether one ever did.
+UNDO_STATE = """o AS (SELECT cell, seq, area, op, row_number() OVER (PARTITION BY cell ORDER BY seq) AS k FROM ev WHERE op IN ('approve', 'reject', 'undo')),
+ f AS (SELECT cell, 0::BIGINT AS k, []::BIGINT[] AS stack, list_transform(range(200, 801, 100), lambda a: {'area': a, 'yes': NULL::BOOLEAN, 'of': NULL::BIGINT, 'ever': FALSE}) AS m FROM (SELECT DISTINCT cell FROM masks) UNION ALL
+  SELECT f.cell, o.k, CASE WHEN o.op = 'undo' THEN stack[1:greatest(len(stack) - 1, 0)] ELSE list_append(stack, o.seq::BIGINT) END,
+   list_transform(m, lambda x: CASE WHEN o.op = 'undo' AND x.of = stack[len(stack)] THEN {'area': x.area, 'yes': NULL::BOOLEAN, 'of': NULL::BIGINT, 'ever': TRUE}
+    WHEN o.op <> 'undo' AND (x.area = o.area OR (x.yes IS NULL AND CASE WHEN o.op = 'approve' THEN x.area < o.area ELSE x.area > o.area END)) THEN {'area': x.area, 'yes': o.op = 'approve', 'of': o.seq::BIGINT, 'ever': TRUE} ELSE x END) FROM f JOIN o ON o.cell = f.cell AND o.k = f.k + 1),
+ l AS (SELECT cell, unnest(m) AS m FROM f QUALIFY row_number() OVER (PARTITION BY cell ORDER BY k DESC) = 1)"""
+
+
+@query(f"WITH RECURSIVE {b.QA}, {UNDO_STATE} SELECT cell, CAST(m.area AS INTEGER) AS area, m.yes AS approved FROM l")
 def qa_replay_undo(spark, sf_dir):
     return qa.replay_with_undo(b.qa_masks(spark, sf_dir), b.qa_events(spark, sf_dir))
 

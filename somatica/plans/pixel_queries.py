@@ -201,7 +201,9 @@ def despeckled(spark, sf_dir):
     return morphology.despeckle(small_mask(spark, sf_dir), 4)
 
 
-@query()
+# labels sink to the smallest of the neighbourhood, 160 times; no shortest way in a 32 x 32 image of this density is longer
+@query(f"""WITH RECURSIVE {BIG}, r AS (SELECT image, y, x, y * 65536 + x AS label, 0 AS i FROM m UNION ALL SELECT m.image, m.y, m.x, min(r.label), max(r.i) + 1 FROM r JOIN m ON m.image = r.image AND m.y BETWEEN r.y - 1 AND r.y + 1 AND m.x BETWEEN r.x - 1 AND r.x + 1 WHERE i < 160 GROUP BY m.image, m.y, m.x)
+ SELECT image, CAST(label AS BIGINT) AS label, count(*) AS size FROM r WHERE i = 160 GROUP BY ALL""")
 def components_big(spark, sf_dir):
     return morphology.component_sizes(morphology.components(big_mask(spark, sf_dir)))
 
@@ -229,7 +231,16 @@ def region_perimeter(spark, sf_dir):
     return rounded(regions.perimeter(small_mask(spark, sf_dir), 0.3))
 
 
-@query()
+@query(f"""WITH {BIG}, {_MOMENTS}, c AS (SELECT image, avg(y) AS cy, avg(x) AS cx, arg_min([y, x], y * 100 + x) AS t, arg_min([y, x], -y * 100 + x) AS u, arg_min([y, x], x * 100 + y) AS l, arg_min([y, x], -x * 100 + y) AS r FROM m GROUP BY 1),
+ sp AS (SELECT image, (sqrt((t[1] - cy) ** 2 + (t[2] - cx) ** 2) + sqrt((u[1] - cy) ** 2 + (u[2] - cx) ** 2) + sqrt((l[1] - cy) ** 2 + (l[2] - cx) ** 2) + sqrt((r[1] - cy) ** 2 + (r[2] - cx) ** 2)) / 4 * 0.3 AS spread FROM c),
+ fo(dy, dx, w) AS (VALUES (-1, 0, 2), (0, -1, 2), (0, 1, 2), (1, 0, 2), (-1, -1, 10), (-1, 1, 10), (1, -1, 10), (1, 1, 10)),
+ nb AS (SELECT m.image, m.y, m.x, count(k.y) AS n FROM m JOIN fo ON w = 2 LEFT JOIN m k ON k.image = m.image AND k.y = m.y + dy AND k.x = m.x + dx GROUP BY ALL), bo AS (SELECT image, y, x FROM nb WHERE n < 4),
+ cd AS (SELECT bo.image, bo.y, bo.x, 1 + sum(CASE WHEN k.y IS NOT NULL THEN w ELSE 0 END) AS code FROM bo CROSS JOIN fo LEFT JOIN bo k ON k.image = bo.image AND k.y = bo.y + dy AND k.x = bo.x + dx GROUP BY ALL),
+ pe AS (SELECT image, 0.3 * sum(CASE WHEN code IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN code IN (21, 33) THEN sqrt(2) WHEN code IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END) AS perimeter FROM cd GROUP BY 1)
+ SELECT image, n_px, round(q.cy, 6) AS cy, round(q.cx, 6) AS cx, round(major, 6) AS major, round(minor, 6) AS minor, round(n_px * 0.09::DOUBLE, 6) AS area_um2, round(coalesce(sqrt(greatest(1 - (minor / nullif(major, 0)) ** 2, 0)), 0), 6) AS eccentricity,
+  round(coalesce((minor / nullif(major, 0)) ** 2, 0), 6) AS roundness, round(CASE WHEN minor > 0 THEN major / minor ELSE 0 END, 6) AS aspect_ratio, round(spread, 6) AS average_centroid_distance, round(perimeter, 6) AS perimeter,
+  round(CASE WHEN perimeter ** 2 > 0 THEN 4 * pi() * n_px * 0.09 / perimeter ** 2 ELSE 0 END, 6) AS circularity, round(CASE WHEN n_px > 0 THEN perimeter ** 2 / (4 * pi() * n_px * 0.09) ELSE 0 END, 6) AS transformation_index
+ FROM q JOIN sp USING (image) LEFT JOIN pe USING (image)""")
 def region_descriptors(spark, sf_dir):
     return rounded(regions.descriptors(big_mask(spark, sf_dir)))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from somatica.functions import names
 from somatica.operators import phenotype, qa
 from somatica.plans import bindings as b
-from somatica.plans.cell_queries import _RANGES, classified, rounded
+from somatica.plans.cell_queries import _RANGES, UNDO_STATE, classified, rounded
 from somatica.sources import images, tables
 from somatica.streaming import review
 
@@ -143,18 +143,27 @@ def _drained(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out")
 
 
-def _source(spark: SparkSession, df: DataFrame, files: int = 4) -> DataFrame:
-    folder = shared_folder(spark)
-    df.repartitionByRange(files, df.columns[0]).sortWithinPartitions(df.columns[0]).write.parquet(folder)
+def _source(spark: SparkSession, df: DataFrame, files: int = 4, by: str | None = None) -> DataFrame:
+    """``df`` as a stream of files in order of its first column: ranges of it, or, with ``by``, all rows of a key in one file."""
+    folder, order = shared_folder(spark), df.columns[0]
+    dealt = df.repartition(files, by) if by else df.repartitionByRange(files, order)
+    dealt.sortWithinPartitions(order).write.parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(folder)
 
 
-@query()
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@query(f"WITH RECURSIVE {b.QA}, {UNDO_STATE} SELECT cell, CAST(m.area AS INTEGER) AS area, m.yes AS approved FROM l WHERE m.ever")
 def stream_review(spark, sf_dir):
     """The review state machine fed by a stream; the last decision on every mask that ever changed."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    e = b.qa_events(spark, sf_dir).select("seq", "cell", "area", "op")
-    changed = _drained(review.review_stream(_source(spark, e, 1)), spark, "append")
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        e = b.qa_events(spark, sf_dir).select("seq", "cell", "area", "op")
+        changed = _drained(review.review_stream(_source(spark, e, by="cell")), spark, "append")
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
     return changed.groupBy("cell", "area").agg(F.max_by("approved", "seq").alias("approved"))
 
 
@@ -173,7 +182,7 @@ def stream_windows(spark, sf_dir):
     return done.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("SELECT user_id AS cell, CAST(200 AS INTEGER) AS area, NULL::BOOLEAN AS approved, NULL::BOOLEAN AS live FROM events WHERE FALSE")
 def review_agrees(spark, sf_dir):
     """Masks on which the stream's last decision and the batch replay differ: none."""
     batch = qa.replay_with_undo(b.qa_masks(spark, sf_dir), b.qa_events(spark, sf_dir))
