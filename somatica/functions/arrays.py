@@ -1,0 +1,23 @@
+"""Helpers for arrays inside of expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used (also inside of lambdas)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def total(values: Column) -> Column:
+    """Sum of an array of doubles, 0 of an empty one."""
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Sum of the products of two arrays of doubles."""
+    return total(F.zip_with(a, b, lambda x, y: x * y))

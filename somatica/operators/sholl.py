@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from somatica.functions.arrays import dot, let, total
+from somatica.operators.statistics import ln_factorial
+
 
 def profile(mask: DataFrame, centres: DataFrame, step: float = 1.0) -> DataFrame:
     """Intersections at every radius: image, radius, n, trimmed to the radii from the first to the last crossing.
@@ -93,24 +96,107 @@ def regressions(profiles: DataFrame, percentiles: tuple[float, float] | None = N
     return p.groupBy("image").agg(F.regr_slope(y, F.col("radius")).alias("semi_log_slope"), F.regr_intercept(y, F.col("radius")).alias("semi_log_intercept"), F.regr_slope(y, x).alias("log_log_slope"), F.regr_intercept(y, x).alias("log_log_intercept"))
 
 
-def best_polynomial(profiles: DataFrame, degrees: int = 30, least_r2: float = 0.7) -> DataFrame:
-    """Lowest degree whose least-squares polynomial reaches ``least_r2``, with the peak of the curve; nulls if none does."""
+_FIT = "array<struct<degree:int,alpha:double,beta:double,c:double,r2:double>>"
+
+
+def polynomial_fits(profiles: DataFrame, degrees: int = 30) -> DataFrame:
+    """Least-squares polynomials of every degree up to ``degrees`` (two less than the radii at most): image, mean, lo, hi and ``fits``, an
+    array of degree, r2, p and the coefficients.
+
+    The polynomials are built to be orthogonal over the profile's own radii (three-term recurrence, from sums over them), so each degree adds
+    one term and nothing is solved again. p is the tail of the F test of the fit against a constant. Array expressions only.
+    """
+    point = F.struct(F.col("radius").cast("double").alias("r"), F.col("n").cast("double").alias("n"))
+    d = profiles.groupBy("image").agg(F.sort_array(F.collect_list(point)).alias("points")).where("size(points) >= 3")
+    d = d.select("image", "points", F.get("points", F.lit(0))["r"].alias("lo"), F.element_at("points", -1)["r"].alias("hi"), (total(F.transform("points", lambda p: p["n"])) / F.size("points")).alias("mean"))
+
+    def built(xy: Column) -> Column:
+        x, y = xy["x"], xy["y"]
+        spread = dot(y, y)
+        ones, zeros = F.transform(x, lambda _: F.lit(1.0)), F.transform(x, lambda _: F.lit(0.0))
+        begin = F.struct(zeros.alias("before"), ones.alias("now"), F.lit(0.0).alias("last"), F.size(x).cast("double").alias("norm"), F.lit(0.0).alias("explained"), F.array().cast(_FIT).alias("fits"))
+
+        def step(s: Column, k: Column) -> Column:
+            alpha = total(F.zip_with(x, s["now"], lambda u, p: u * p * p)) / s["norm"]
+            beta = F.when(s["last"] > 0, s["norm"] / s["last"]).otherwise(0.0)
+
+            def grown(ab: Column) -> Column:
+                after = F.zip_with(F.zip_with(x, s["now"], lambda u, p: (u - ab["a"]) * p), s["before"], lambda u, q: u - ab["b"] * q)
+                return let(after, lambda p: let(dot(p, p), lambda norm: let(dot(y, p) / norm, lambda c: F.struct(
+                    s["now"].alias("before"), p.alias("now"), s["norm"].alias("last"), norm.alias("norm"), (s["explained"] + c * c * norm).alias("explained"),
+                    F.concat(s["fits"], F.array(F.struct(k.cast("int").alias("degree"), ab["a"].alias("alpha"), ab["b"].alias("beta"), c.alias("c"), F.when(spread > 0, (s["explained"] + c * c * norm) / spread).otherwise(0.0).alias("r2")))).alias("fits"),
+                ))))
+
+            return let(F.struct(alpha.alias("a"), beta.alias("b")), grown)
+
+        most = F.least(F.lit(degrees), F.size(x) - 2)
+        return F.aggregate(F.sequence(F.lit(1), most), begin, step, lambda s: s["fits"])
+
+    scaled = F.struct(F.transform("points", lambda p: (2 * p["r"] - F.col("lo") - F.col("hi")) / (F.col("hi") - F.col("lo"))).alias("x"), F.transform("points", lambda p: p["n"] - F.col("mean")).alias("y"))
+    out = d.select("image", "lo", "hi", "mean", F.size("points").alias("radii"), F.when(F.size("points") >= 3, let(scaled, built)).alias("fits"))
+    tested = F.transform("fits", lambda f: F.struct(f["degree"].alias("degree"), f["alpha"].alias("alpha"), f["beta"].alias("beta"), f["c"].alias("c"), f["r2"].alias("r2"), beta_tail(F.greatest(1 - f["r2"], F.lit(0.0)), F.col("radii") - f["degree"] - 1, f["degree"]).alias("p")))
+    return out.withColumn("fits", tested)
+
+
+def _ln_gamma_half(m: Column) -> Column:
+    """ln of the gamma function at m / 2, for whole m of 1 or more."""
+    n = F.floor(m / 2)
+    odd = ln_factorial(2 * n) - n * math.log(4) - ln_factorial(n) + 0.5 * math.log(math.pi)
+    return F.when(m % 2 == 0, ln_factorial(F.greatest(n - 1, F.lit(0)))).otherwise(odd)
+
+
+def beta_tail(x: Column, m: Column, n: Column, terms: int = 200) -> Column:
+    """Regularised incomplete beta function at x with the parameters m / 2 and n / 2: the chance of an F statistic of n and m degrees of
+    freedom that explains a share of 1 - x or more. By its continued fraction, from the side on which that converges."""
+
+    def fraction(v: Column) -> Column:
+        a, b, z = v["a"], v["b"], v["z"]
+        tiny = lambda u: F.when(F.abs(u) < 1e-30, 1e-30).otherwise(u)
+        d0 = 1 / tiny(1 - (a + b) * z / (a + 1))
+
+        def step(s: Column, k: Column) -> Column:
+            def both(s: Column, c: Column) -> Column:
+                return let(F.struct((1 / tiny(1 + c * s["d"])).alias("d"), tiny(1 + c / s["c"]).alias("c")), lambda u: F.struct(u["c"].alias("c"), u["d"].alias("d"), (s["h"] * u["c"] * u["d"]).alias("h")))
+
+            even, odd = k * (b - k) * z / ((a + 2 * k - 1) * (a + 2 * k)), -(a + k) * (a + b + k) * z / ((a + 2 * k) * (a + 2 * k + 1))
+            return let(both(s, even), lambda t: both(t, odd))
+
+        begin = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+        h = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda k: k.cast("double")), begin, step, lambda s: s["h"])
+        return F.exp(v["front"] + a * F.ln(z) + b * F.ln(1 - z)) * h / a
+
+    a, b = m / 2, n / 2
+    front = _ln_gamma_half(m + n) - _ln_gamma_half(m) - _ln_gamma_half(n)
+    straight = x < (a + 1) / (a + b + 2)
+    one = F.struct(F.when(straight, a).otherwise(b).cast("double").alias("a"), F.when(straight, b).otherwise(a).cast("double").alias("b"), F.when(straight, x).otherwise(1 - x).alias("z"), front.alias("front"))
+    tail = let(one, fraction)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(straight, tail).otherwise(1 - tail)
+
+
+def fit_quality(profiles: DataFrame, degrees: int = 30) -> DataFrame:
+    """image, degree, r2 and p of every polynomial."""
+    return polynomial_fits(profiles, degrees).select("image", F.explode("fits").alias("f")).select("image", "f.degree", "f.r2", "f.p")
+
+
+def best_polynomial(profiles: DataFrame, degrees: int = 30, least_r2: float = 0.7, most_p: float = 0.05) -> DataFrame:
+    """Lowest degree whose least-squares polynomial explains ``least_r2`` of the profile with an F test of ``most_p`` or less: image,
+    degree, r2, p, and the peak of the curve on 1,001 radii (critical_value, critical_radius). Nulls if none does, also for
+    profiles of fewer than three radii."""
+    good = F.filter("fits", lambda f: (f["r2"] >= least_r2) & (f["p"] <= most_p))
+    d = polynomial_fits(profiles, degrees).withColumn("best", F.get(good, F.lit(0)))
+    fine = F.transform(F.sequence(F.lit(0), F.lit(1000)), lambda i: i / 500.0 - 1)
+
+    def curve(x: Column) -> Column:
+        begin = F.struct(F.transform(x, lambda _: F.lit(0.0)).alias("before"), F.transform(x, lambda _: F.lit(1.0)).alias("now"), F.transform(x, lambda _: F.col("mean")).alias("sum"))
 
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
+        def step(s: Column, f: Column) -> Column:
+            after = F.zip_with(F.zip_with(x, s["now"], lambda u, p: (u - f["alpha"]) * p), s["before"], lambda u, q: u - f["beta"] * q)
+            return let(after, lambda p: F.struct(s["now"].alias("before"), p.alias("now"), F.zip_with(s["sum"], p, lambda t, u: t + f["c"] * u).alias("sum")))
 
-        r, n = pdf["radius"].to_numpy(float), pdf["n"].to_numpy(float)
-        row = {"image": pdf["image"].iloc[0], "degree": None, "r2": None, "critical_value": None, "critical_radius": None}
-        spread = ((n - n.mean()) ** 2).sum()
-        for k in range(1, min(degrees, len(r) - 2) + 1):
-            fit = np.polynomial.Polynomial.fit(r, n, k)
-            r2 = 1 - ((n - fit(r)) ** 2).sum() / spread if spread else 0.0
-            if r2 >= least_r2:
-                fine = np.linspace(r.min(), r.max(), 1001)
-                row |= {"degree": k, "r2": r2, "critical_value": fit(fine).max(), "critical_radius": fine[fit(fine).argmax()]}
-                break
-        return pd.DataFrame([row])
+        return F.aggregate(F.slice("fits", F.lit(1), F.col("best.degree")), begin, step, lambda s: s["sum"])
 
-    kind = profiles.schema["image"].dataType.simpleString()
-    return profiles.groupBy("image").applyInPandas(run, f"image {kind}, degree int, r2 double, critical_value double, critical_radius double")
+    d = d.withColumn("curve", F.when(F.col("best").isNotNull(), let(fine, curve)))
+    top = F.array_max("curve")
+    at = F.col("lo") + (F.array_position("curve", top) - 1) / 1000.0 * (F.col("hi") - F.col("lo"))
+    found = d.select("image", "best.degree", "best.r2", "best.p", top.alias("critical_value"), at.alias("critical_radius"))
+    return profiles.select("image").distinct().join(found, "image", "left")

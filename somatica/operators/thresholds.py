@@ -26,6 +26,34 @@ def otsu(px: DataFrame, bins: int = 256) -> DataFrame:
     return best.select("image", F.when(F.col("hi") > F.col("lo"), F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins).otherwise(F.col("lo") - 1).alias("threshold"))
 
 
+def percentiles(px: DataFrame, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Exact percentiles of whole values from 0 to 65,535 without a sort: per image (or group) a column for each of ``shares``, the
+    smallest value that at least that share of the pixels does not exceed.
+
+    Two rounds of 256 bins: the first finds the bin of high bytes that holds the percentile, the second counts low bytes in it alone.
+    Both are sums, so parts of an image can be counted apart and added, and a group leaves 256 rows at most.
+    """
+    keys = by or ["image"]
+    v = F.col("v").cast("int")
+    d = px.select(*keys, F.shiftright(v, 8).alias("high"), v.bitwiseAND(F.lit(255)).alias("low"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("share")) for n, q in shares.items()]))
+    first = d.groupBy(*keys, "high").agg(F.count(F.lit(1)).alias("n"))
+    all_, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("high")
+    first = first.withColumns({"total": F.sum("n").over(all_), "until": F.sum("n").over(upto)}).select("*", wanted.alias("w"))
+    # with a share of the whole, which a product in doubles may miss by a trifle, nothing above is asked for
+    rank = F.greatest(F.lit(1), F.ceil(F.round(F.col("w.share") * F.col("total"), 6)))
+    bins = first.withColumn("rank", rank).where((F.col("until") >= F.col("rank")) & (F.col("until") - F.col("n") < F.col("rank")))
+    bins = bins.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("high").alias("_high"), F.col("w.name").alias("name"), (F.col("rank") - F.col("until") + F.col("n")).alias("left"))
+    same = F.col("high") == F.col("_high")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    second = d.groupBy(*keys, "high", "low").agg(F.count(F.lit(1)).alias("n")).join(bins, same)
+    w = Window.partitionBy(*keys, "name").orderBy("low")
+    found = second.withColumn("until", F.sum("n").over(w)).where((F.col("until") >= F.col("left")) & (F.col("until") - F.col("n") < F.col("left")))
+    value = F.col("high") * 256 + F.col("low")
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in shares])
+
+
 def area_targets(roi: DataFrame, targets: DataFrame, rounds: int = 30, tolerance: float = 100.0) -> DataFrame:
     """Masks of wanted areas around a point, by moving a threshold.
 

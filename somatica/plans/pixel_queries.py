@@ -417,6 +417,17 @@ def sholl_shape(spark, sf_dir):
     return rounded(sholl.sampled_metrics(_profiles(spark, sf_dir)).select("image", "skewness", "kurtosis"))
 
 
+# R2 by orthogonal steps; the F tail I(1 - R2; (n - k - 1) / 2, k / 2) by finite sums from its two starting values
+@query(f"""{_SHOLL}, a1 AS (SELECT image, radius AS x, n AS y, radius ** 2 AS x2, radius ** 3 AS x3 FROM pr), a2 AS (SELECT *, x2 - regr_slope(x2, x) OVER w * x AS p2 FROM a1 WINDOW w AS (PARTITION BY image)),
+ a3 AS (SELECT *, x3 - regr_slope(x3, x) OVER w * x - regr_slope(x3, p2) OVER w * p2 AS p3 FROM a2 WINDOW w AS (PARTITION BY image)), r AS (SELECT image, count(*) AS m, regr_r2(y, x) AS r1, regr_r2(y, p2) AS r2, regr_r2(y, p3) AS r3 FROM a3 GROUP BY 1),
+ q AS (SELECT image, m, unnest([1, 2, 3]) AS k, unnest([r1, r1 + r2, r1 + r2 + r3]) AS r2 FROM r), t AS (SELECT *, (m - k - 1) / 2.0 AS a, CASE WHEN (m - k - 1) % 2 = 0 THEN 1.0 ELSE 0.5 END AS a0, 1 - r2 AS x FROM q),
+ h AS (SELECT *, CASE WHEN a0 = 1 THEN 1 - sqrt(1 - x) ELSE 2 / pi() * asin(sqrt(x)) END - coalesce(list_sum(list_transform(range(CAST(a - a0 AS BIGINT)), lambda j: exp((a0 + j) * ln(x) + 0.5 * ln(1 - x) - ln(a0 + j) - lgamma(a0 + j) - lgamma(0.5) + lgamma(a0 + j + 0.5)))), 0) AS half FROM t)
+ SELECT image, CAST(k AS INTEGER) AS degree, round(r2, 6) AS r2, round(CASE k WHEN 1 THEN half WHEN 2 THEN x ** a ELSE half + exp(a * ln(x) + 0.5 * ln(1 - x) - ln(0.5) - lgamma(a) - lgamma(0.5) + lgamma(a + 0.5)) END, 6) AS p FROM h""")
+def sholl_fits(spark, sf_dir):
+    """R2 and significance of the first three degrees."""
+    return rounded(sholl.fit_quality(_profiles(spark, sf_dir), 3))
+
+
 @query()
 def sholl_polynomial(spark, sf_dir):
     return rounded(sholl.best_polynomial(_profiles(spark, sf_dir)), 4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somatica.operators import background, distance, masks, morphology, pixels, qa, sheets, sholl, statistics, tiles, vessels
+from somatica.operators import background, distance, masks, morphology, pixels, qa, sheets, sholl, statistics, thresholds, tiles, vessels
 from somatica.plans import bindings as b
 from somatica.plans.cell_queries import classified, rounded
 from somatica.plans.pixel_queries import _BOXES, _EIGHT, _HULL, _RGB, BIG, SMALL, _centres, _off, _reach, _rgb, big_mask, small_mask
@@ -205,3 +205,10 @@ def px_display_channels(spark, sf_dir):
 def tubeness(spark, sf_dir):
     """All scales, image by image."""
     return rounded(background.tubeness(b.px_small(spark, sf_dir), 8, 8))
+
+
+@query(f"WITH {b.PX_BIG}, q AS (SELECT image, CAST(floor(v / 2) AS INTEGER) AS v FROM px) SELECT image, quantile_disc(v, 0.25) AS p25, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.99) AS p99, min(v) AS p0, max(v) AS p100 FROM q GROUP BY 1")
+def px_percentiles(spark, sf_dir):
+    """Percentiles by two rounds of histograms."""
+    p = b.px_big(spark, sf_dir).withColumn("v", F.floor(F.col("v") / 2))
+    return thresholds.percentiles(p, {"p25": 0.25, "p50": 0.5, "p99": 0.99, "p0": 0.0, "p100": 1.0})

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
-
-from somatica.operators.qa import apply_event
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 OUTPUT = "cell long, seq long, area int, approved boolean"
 
 
 class Review(StatefulProcessor):
-    """State of a cell: decision on each mask and the stack of decisions that can be undone, as one JSON string.
+    """State of a cell: its masks with their decision and the seq of the event that made it, and the stack of decisions that can be undone, one
+    entry each, so an event reads and writes the masks and the top of the stack only.
 
     Emits the masks that an event changed, with their new decision (null: open again).
     """
@@ -25,21 +22,35 @@ class Review(StatefulProcessor):
         self.areas = areas
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("review", StructType([StructField("json", StringType())]))
+        number = lambda name: StructType([StructField(name, LongType())])
+        self.masks = handle.getMapState("masks", number("area"), StructType([StructField("approved", BooleanType()), StructField("by", LongType())]))
+        self.stack, self.depth = handle.getMapState("stack", number("place"), number("seq")), handle.getValueState("depth", number("n"))
 
     def handleInputRows(self, key, rows, timer_values):  # noqa: N802  name set by Spark
-        state: dict[int, bool | None] = dict.fromkeys(self.areas)
-        stack: list[list[int]] = []
-        if self.value.exists():
-            kept = json.loads(self.value.get()[0])
-            state, stack = {int(a): s for a, s in kept["state"]}, kept["stack"]
-        out = []
+        held = {int(k[0]): (v[0], v[1]) for k, v in self.masks.iterator()}
+        state = {a: held.get(a, (None, None)) for a in self.areas}
+        depth, out = int(self.depth.get()[0]) if self.depth.exists() else 0, []
         events = pd.concat(list(rows)).sort_values("seq")
         for seq, area, op in events[["seq", "area", "op"]].itertuples(index=False, name=None):
-            before = dict(state)
-            apply_event(state, stack, int(area), op)
-            out += [(key[0], seq, a, s) for a, s in state.items() if s is not before[a] and s != before[a]]
-        self.value.update((json.dumps({"state": list(state.items()), "stack": stack}),))
+            if op == "undo":
+                if not depth:
+                    continue
+                taken = int(self.stack.getValue((depth - 1,))[0])
+                self.stack.removeKey((depth - 1,))
+                depth -= 1
+                changed = {a: (None, None) for a, (_, by) in state.items() if by == taken}
+            elif area in state and op in ("approve", "reject"):
+                yes = op == "approve"
+                changed = {a: (yes, int(seq)) for a, (s, _) in state.items() if a == area or (s is None and (a < area if yes else a > area))}
+                self.stack.updateValue((depth,), (int(seq),))
+                depth += 1
+            else:
+                continue
+            out += [(key[0], seq, a, new[0]) for a, new in changed.items() if new[0] != state[a][0]]
+            state |= changed
+            for a, new in changed.items():
+                self.masks.updateValue((a,), new)
+        self.depth.update((depth,))
         frame = pd.DataFrame(out, columns=["cell", "seq", "area", "approved"])
         yield frame.astype({"cell": "int64", "seq": "int64", "area": "int32"}).assign(approved=frame["approved"].astype("object"))
 

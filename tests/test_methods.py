@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from somatica.operators import distance, morphology, pixels, qa, regions, sholl, skeleton, statistics, vessels
+from somatica.operators import distance, morphology, pixels, qa, regions, sholl, skeleton, statistics, thresholds, vessels
 
 
 def session(masks, events):
@@ -151,3 +151,46 @@ def test_vessels_by_ridges(spark):
     cells = spark.createDataFrame([("line", 1, 30, x) for x in range(10, 20)], "image string, cell int, y int, x int")
     e = vessels.exposure(cells, px, found, cells.where("x = 10"), 1.0, px.withColumn("v", F.col("v") * 3)).first()
     assert e.cd31_exposure_mean == 300 and e.dist_to_vessel_um == 0 and e.vessel_contact_fraction == 1
+
+
+def test_percentiles(spark):
+    rng = np.random.default_rng(4)
+    values = {"a": rng.integers(0, 65_536, 999), "b": rng.integers(0, 3, 10), "c": np.array([7])}
+    px = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "image string, v double")
+    shares = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    for r in thresholds.percentiles(px, shares).collect():
+        v = np.sort(values[r.image])
+        assert [r[n] for n in shares] == [int(v[max(1, math.ceil(round(q * len(v), 6))) - 1]) for q in shares.values()]
+    assert thresholds.percentiles(px.where("false"), shares).count() == 0
+
+
+def test_polynomial_fits(spark):
+    """Against numpy's fits, and the tail of F by summing its density."""
+    rng = np.random.default_rng(3)
+    profiles, rows = {}, []
+    for k, n in enumerate((25, 40, 5, 3, 2, 12)):
+        y = np.maximum(0, np.round(8 * np.exp(-(((np.arange(n) - n / 3) / (n / 5)) ** 2)) + rng.normal(0, 1, n))) if k < 5 else np.full(n, 3.0)
+        profiles[k] = (2.0 + np.arange(n), y)
+        rows += [(k, float(a), int(b)) for a, b in zip(*profiles[k], strict=True)]
+    d = spark.createDataFrame(rows, "image int, radius double, n long")
+    got = {(r.image, r.degree): (r.r2, r.p) for r in sholl.fit_quality(d, 12).collect()}
+    assert {k for k, _ in got} == {0, 1, 2, 3, 5} and max(g for k, g in got if k == 2) == 3
+    for (k, g), (r2, p) in got.items():
+        r, y = profiles[k]
+        spread = ((y - y.mean()) ** 2).sum()
+        want = 1 - ((y - np.polynomial.Polynomial.fit(r, y, g)(r)) ** 2).sum() / spread if spread else 0.0
+        assert r2 == pytest.approx(want, abs=1e-8)
+        a, b = (len(r) - g - 1) / 2, g / 2
+        t = (np.arange(200_001) + 0.5) / 200_001 * (1 - r2)
+        density = (t ** (a - 1) * (1 - t) ** (b - 1)).sum() * (1 - r2) / 200_001 / math.exp(math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
+        assert p == pytest.approx(min(density, 1.0), abs=3e-3)
+    best = {r.image: r for r in sholl.best_polynomial(d).collect()}
+    assert set(best) == set(profiles) and best[4].degree is None and best[5].degree is None
+    for k in (0, 1):
+        fits = [g for g in range(1, 13) if got[k, g][0] >= 0.7 and got[k, g][1] <= 0.05]
+        curve = np.polynomial.Polynomial.fit(*profiles[k], fits[0])
+        fine = np.linspace(profiles[k][0][0], profiles[k][0][-1], 1001)
+        assert best[k].degree == fits[0] and best[k].critical_value == pytest.approx(curve(fine).max()) and best[k].critical_radius == pytest.approx(fine[curve(fine).argmax()])
+    # a fit that explains enough, on too few radii to mean anything, does not count
+    few = spark.createDataFrame([(1, float(i), int(n)) for i, n in enumerate((1, 2, 2, 4))], "image int, radius double, n long")
+    assert sholl.fit_quality(few).where("r2 >= 0.7 and p > 0.05").count() > 0 and sholl.best_polynomial(few).first().degree is None
