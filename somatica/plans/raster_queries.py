@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from somatica.operators import background, distance, masks, morphology, pixels, qa, sheets, sholl, statistics, thresholds, tiles, vessels
 from somatica.plans import bindings as b
+from somatica.plans import stages
 from somatica.plans.cell_queries import classified, rounded
 from somatica.plans.pixel_queries import _BOXES, _EIGHT, _HULL, _RGB, BIG, SMALL, _centres, _off, _reach, _rgb, big_mask, small_mask
 from somatica.plans.source_queries import shared_folder
@@ -212,3 +213,19 @@ def px_percentiles(spark, sf_dir):
     """Percentiles by two rounds of histograms."""
     p = b.px_big(spark, sf_dir).withColumn("v", F.floor(F.col("v") / 2))
     return thresholds.percentiles(p, {"p25": 0.25, "p50": 0.5, "p99": 0.99, "p0": 0.0, "p100": 1.0})
+
+
+@query(f"""WITH {b.PX_BIG}, m AS (SELECT image, CAST(200 + 100 * k AS INTEGER) AS area, y, x FROM px, (VALUES (0), (1), (2)) a(k) WHERE v > 60000 + 10000 * k), l AS (SELECT image, max(area) AS area FROM m GROUP BY 1)
+ SELECT 'img' || image || '_soma_16_16_area' || area || '_mask.tif' AS image, count(*) AS n FROM m JOIN l USING (image, area) GROUP BY ALL""")
+def largest_stage(spark, sf_dir):
+    """The first stage of the combined analysis: of every cell the largest mask."""
+    p = b.px_big(spark, sf_dir).select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")).where(F.col("v") > 60000 + 10000 * F.col("k"))
+    m = p.select(F.concat(F.lit("img"), "image", F.lit("_soma_16_16_area"), (200 + 100 * F.col("k")).cast("int"), F.lit("_mask.tif")).alias("image"), "y", "x", F.lit(32).alias("height"), F.lit(32).alias("width"))
+    return stages.LargestMasks().transform(m).groupBy("image").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def combined_analysis(spark, sf_dir):
+    """Skeleton, Sholl and fractal sheets of every cell side by side, with the defaults of the separate scripts."""
+    m = big_mask(spark, sf_dir, 60000.0).select(F.concat(F.lit("img"), "image", F.lit("_soma_16_16_area400_mask.tif")).alias("image"), "y", "x", F.lit(32).alias("height"), F.lit(32).alias("width"))
+    return rounded(stages.Combined().transform(m), 4)
