@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from somatica.functions import names
-from somatica.operators import boxes, distance, hull, skeleton
+from somatica.operators import boxes, distance, hull, morphology, skeleton
 from somatica.operators.pixels import AT
 from somatica.sources.tables import FRACTAL_COLUMNS, SKELETON_COLUMNS, result_sheet
 
@@ -65,6 +65,6 @@ def process_shape(mask: DataFrame, height: int | Column, width: int | Column, pi
     outside = thin if soma is None else thin.join(soma.select(AT), AT, "left_anti")
     graph = skeleton.graph_metrics(outside, pixel_size)
     thick = outside.join(d, AT).groupBy("image").agg((2 * pixel_size * F.avg("d")).alias("mean_process_thickness"))
-    parts = skeleton.components(outside).groupBy("image").agg(F.count_distinct("label").alias("processes"))
+    parts = morphology.components(outside).groupBy("image").agg(F.count_distinct("label").alias("processes"))
     out = graph.join(thick, "image").join(parts, "image")
     return out.select("image", F.col("total_length").alias("process_length"), "mean_process_thickness", F.col("junctions").alias("branch_points"), F.col("end_points").alias("endpoints"), "processes", (F.col("end_points") / F.col("processes")).alias("ramification_index"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somatica.operators.morphology import EIGHT, component_roots, component_sizes, components, degrees, shifted, stride_of
+from somatica.operators.morphology import component_roots, degrees, hooked, stride_of
 from somatica.operators.pixels import AT
 
 
@@ -53,29 +53,62 @@ def points(skeleton: DataFrame) -> DataFrame:
     return degrees(skeleton).withColumn("kind", kind)
 
 
+def links(at, stride: int):
+    """Neighbouring pixels of a skeleton (sorted raster places): their indices, each pair once, and how far apart they are."""
+    import numpy as np
+
+    a, b, length = [], [], []
+    for dy, dx in [(0, 1), (1, -1), (1, 0), (1, 1)]:
+        i = np.searchsorted(at, at + dy * stride + dx)
+        i[i == len(at)] = 0
+        hit = np.flatnonzero(at[i] == at + dy * stride + dx)
+        a.append(hit)
+        b.append(i[hit])
+        length.append(np.full(len(hit), math.hypot(dy, dx)))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(length)
+
+
+def parts(at, stride: int):
+    """``links``, the number of neighbours of each pixel, and its part: the junction pixels that touch, or the branch between junctions, by
+    the first pixel."""
+    import numpy as np
+
+    a, b, length = links(at, stride)
+    degree = np.bincount(a, minlength=len(at)) + np.bincount(b, minlength=len(at))
+    own = (degree[a] > 2) == (degree[b] > 2)
+    return a, b, length, degree, hooked(a[own], b[own], len(at))
+
+
+GRAPH_METRICS = ("end_points", "slab_voxels", "junction_voxels", "junctions", "triple_points", "quadruple_points", "branches", "mean_branch_length", "max_branch_length", "total_length")
+
+
 def graph_metrics(skeleton: DataFrame, pixel_size: float = 1.0) -> DataFrame:
     """Metrics of each image's skeleton: pixel classes, junction clusters by how many branches meet, branches and lengths.
 
     A branch is a connected run of pixels that are not junctions; its length sums its steps (1 or root 2). Junction
-    pixels that touch are one junction.
+    pixels that touch are one junction. One group per image, which labels everything at once.
     """
-    p = points(skeleton)
-    junctions = components(p.where("kind = 'junction'").select(AT))
-    branches = components(p.where("kind <> 'junction'").select(AT))
-    counts = p.groupBy("image").agg(F.count_if(F.col("kind") == "end").alias("end_points"), F.count_if(F.col("kind") == "slab").alias("slab_voxels"), F.count_if(F.col("kind") == "junction").alias("junction_voxels"))
-    touch = shifted(branches, EIGHT, ["label"]).withColumnRenamed("label", "branch").join(junctions, AT).select("image", "label", "branch").distinct()
-    arms = touch.groupBy("image", "label").agg(F.count(F.lit(1)).alias("arms"))
-    meets = junctions.select("image", "label").distinct().join(arms, ["image", "label"], "left").groupBy("image").agg(F.count(F.lit(1)).alias("junctions"), F.count_if(F.col("arms") == 3).alias("triple_points"), F.count_if(F.col("arms") == 4).alias("quadruple_points"))
-    forward = [(0, 1), (1, 0), (1, 1), (1, -1)]
-    steps = []
-    for o in forward:
-        weight = math.sqrt(2) if o[0] and o[1] else 1.0
-        steps.append(shifted(branches, [o], ["label"]).join(branches, [*AT, "label"]).select("image", "label", F.lit(weight).alias("w")))
-    edges = steps[0].unionAll(steps[1]).unionAll(steps[2]).unionAll(steps[3]).groupBy("image", "label").agg(F.sum("w").alias("length"))
-    lengths = component_sizes(branches).join(edges, ["image", "label"], "left").na.fill(0.0, ["length"])
-    b = lengths.groupBy("image").agg(F.count(F.lit(1)).alias("branches"), (F.avg("length") * pixel_size).alias("mean_branch_length"), (F.max("length") * pixel_size).alias("max_branch_length"), (F.sum("length") * pixel_size).alias("total_length"))
-    out = counts.join(meets, "image", "left").join(b, "image", "left")
-    return out.na.fill(0, ["junctions", "triple_points", "quadruple_points", "branches"]).na.fill(0.0, ["mean_branch_length", "max_branch_length", "total_length"])
+
+    def run(pdf):
+        import numpy as np
+
+        stride = stride_of(pdf["x"])
+        at = np.unique(pdf["y"].to_numpy(np.int64) * stride + pdf["x"].to_numpy(np.int64))
+        a, b, length, degree, part = parts(at, stride)
+        knot = degree > 2
+        own = knot[a] == knot[b]
+        joints, branches = np.unique(part[knot]), np.unique(part[~knot])
+        meet = np.unique(np.stack([np.where(knot[a], part[a], part[b])[~own], np.where(knot[a], part[b], part[a])[~own]]), axis=1)
+        arms = np.bincount(meet[0], minlength=len(at))[joints]
+        lengths = np.bincount(part[a[own & ~knot[a]]], length[own & ~knot[a]], len(at))[branches] * pixel_size
+        n = {"end_points": degree <= 1, "slab_voxels": degree == 2, "junction_voxels": knot, "triple_points": arms == 3, "quadruple_points": arms == 4}
+        row = {k: [int(v.sum())] for k, v in n.items()} | {"junctions": [len(joints)], "branches": [len(branches)]}
+        some = len(branches) > 0
+        row |= {"mean_branch_length": [lengths.mean() if some else 0.0], "max_branch_length": [lengths.max() if some else 0.0], "total_length": [lengths.sum()]}
+        return type(pdf)({"image": [pdf["image"].iloc[0]], **row})[["image", *GRAPH_METRICS]]
+
+    kinds = ", ".join(f"{k} {'double' if 'length' in k else 'long'}" for k in GRAPH_METRICS)
+    return skeleton.select(AT).groupBy("image").applyInPandas(run, f"image {skeleton.schema['image'].dataType.simpleString()}, {kinds}")
 
 
 def longest_path(skeleton: DataFrame, pixel_size: float = 1.0) -> DataFrame:
@@ -105,17 +138,7 @@ def skeleton_graph(at, stride: int):
     """
     import numpy as np
 
-    from somatica.operators.morphology import hooked
-
-    a, b, length = [], [], []
-    for dy, dx in [(0, 1), (1, -1), (1, 0), (1, 1)]:
-        i = np.searchsorted(at, at + dy * stride + dx)
-        i[i == len(at)] = 0
-        hit = np.flatnonzero(at[i] == at + dy * stride + dx)
-        a.append(hit)
-        b.append(i[hit])
-        length.append(np.full(len(hit), math.hypot(dy, dx)))
-    a, b, length = np.concatenate(a), np.concatenate(b), np.concatenate(length)
+    a, b, length = links(at, stride)
     node = np.bincount(a, minlength=len(at)) + np.bincount(b, minlength=len(at)) != 2
     number = np.cumsum(node) - 1
     slab = ~node[a] & ~node[b]
@@ -159,37 +182,40 @@ def without_loops(skeleton: DataFrame) -> DataFrame:
     """``skeleton`` with every loop opened at its shortest branch.
 
     Branches are taken from the longest on; one whose junctions are linked already closes a loop and goes, as does one without an
-    end that meets a single junction. Only branches and their junctions, not pixels, reach the per-image group.
+    end that meets a single junction. One group per image, which labels junctions and branches at once.
     """
-    p = points(skeleton)
-    junctions = components(p.where("kind = 'junction'").select(AT))
-    branches = components(p.where("kind <> 'junction'").select(AT))
-    touch = shifted(branches, EIGHT, ["label"]).withColumnRenamed("label", "branch").join(junctions, AT)
-    met = touch.groupBy("image", "branch").agg(F.array_sort(F.collect_set("label")).alias("junctions"))
-    ends = p.where("kind = 'end'").join(branches, AT).groupBy("image", "label").agg(F.lit(True).alias("ended"))
-    size = component_sizes(branches).join(ends, ["image", "label"], "left").withColumnRenamed("label", "branch")
 
     def run(pdf):
+        import numpy as np
+
+        stride = stride_of(pdf["x"])
+        at = np.unique(pdf["y"].to_numpy(np.int64) * stride + pdf["x"].to_numpy(np.int64))
+        a, b, _, degree, part = parts(at, stride)
+        knot = degree > 2
+        mixed = knot[a] != knot[b]
+        met: dict[int, set[int]] = {}
+        for branch, joint in zip(np.where(knot[a], part[b], part[a])[mixed].tolist(), np.where(knot[a], part[a], part[b])[mixed].tolist(), strict=True):
+            met.setdefault(branch, set()).add(joint)
+        size, ended = np.bincount(part, minlength=len(at)), np.bincount(part, degree <= 1, len(at)) > 0
         root: dict[int, int] = {}
 
-        def top(k):
+        def top(k: int) -> int:
             while root.setdefault(k, k) != k:
                 k = root[k]
             return k
 
         gone = []
-        for row in pdf.sort_values(["size", "branch"], ascending=[False, True]).itertuples(index=False):
-            tops = [top(k) for k in row.junctions]
-            if len(set(tops)) < len(tops) or (len(tops) == 1 and not row.ended):
-                gone.append(row.branch)
+        for branch in sorted(met, key=lambda k: (-size[k], k)):
+            tops = [top(k) for k in sorted(met[branch])]
+            if len(set(tops)) < len(tops) or (len(tops) == 1 and not ended[branch]):
+                gone.append(branch)
             else:
                 root.update(dict.fromkeys(tops, min(tops)))
-        return pdf.loc[pdf["branch"].isin(gone), ["image", "branch"]].rename(columns={"branch": "label"})
+        kept = at[~np.isin(part, gone)]
+        return type(pdf)({"image": np.full(len(kept), pdf["image"].iloc[0], object), "y": kept // stride, "x": kept % stride})
 
     kind = skeleton.schema["image"].dataType.simpleString()
-    rows = size.join(met, ["image", "branch"]).select("image", "branch", "size", F.coalesce("ended", F.lit(False)).alias("ended"), "junctions")
-    gone = rows.groupBy("image").applyInPandas(run, f"image {kind}, label long")
-    return skeleton.select(AT).join(branches.join(gone, ["image", "label"]).select(AT), AT, "left_anti")
+    return skeleton.select(AT).groupBy("image").applyInPandas(run, f"image {kind}, y int, x int")
 
 
 def upscale(mask: DataFrame, k: int = 2) -> DataFrame:
