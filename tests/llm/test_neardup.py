@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from somatica.llm import neardup
+from somatica.llm import neardup, simhash
 
 from . import plain
 
@@ -48,3 +48,18 @@ def test_awkward(spark):
     d = spark.createDataFrame(plain.AWKWARD, plain.SCHEMA)
     kept = neardup.near_duplicates(d).collect()
     assert len({r.text or "" for r in kept}) == len(kept) and neardup.near_duplicates(d.where("false")).count() == 0
+
+
+def test_simhash_links(spark):
+    """Texts that fingerprints link stay one class, though their sets of shingles are not alike."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    body = " ".join(["spam"] * 400)
+    texts = [f"{body} {' '.join(word() for _ in range(12))}" for _ in range(6)] + [" ".join(word() for _ in range(60)) for _ in range(20)]
+    prints = [simhash.fingerprint_bytes(t.encode(), 5) for t in texts]
+    pairs = list(itertools.combinations(range(len(texts)), 2))
+    links = [(i, j) for i, j in pairs if (prints[i] ^ prints[j]).bit_count() <= 4]
+    assert len(links) == 15 and all(jaccard(texts[i], texts[j]) < 0.5 for i, j in links)
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], plain.SCHEMA).repartition(3)
+    got = dict(corpus_pipeline.STAGES)["near duplicates"](spark, d, "")
+    assert sorted(r.doc_id for r in got.collect()) == [0, *range(6, 26)]
