@@ -12,15 +12,15 @@ from somatica.operators.pixels import blurred
 
 
 def shifted_extreme(img, offsets, lift, least: bool):
-    """Least (or largest) of the image over offsets, each value raised by ``lift`` of the offset; outside does not count."""
+    """Least (or largest) of the image (or of each of a stack) over offsets, each value raised by ``lift`` of the offset; outside does not count."""
     import numpy as np
 
-    h, w = img.shape
+    h, w = img.shape[-2:]
     r = max(max(abs(a), abs(b)) for a, b in offsets)
-    frame = np.pad(img, r, constant_values=np.inf if least else -np.inf)
+    frame = np.pad(img, [*[(0, 0)] * (img.ndim - 2), (r, r), (r, r)], constant_values=np.inf if least else -np.inf)
     out = None
     for (dy, dx), up in zip(offsets, lift, strict=True):
-        seen = frame[r + dy : r + dy + h, r + dx : r + dx + w] + up
+        seen = frame[..., r + dy : r + dy + h, r + dx : r + dx + w] + up
         out = seen if out is None else (np.minimum if least else np.maximum)(out, seen)
     return out
 
@@ -60,9 +60,9 @@ def ridges(block, sigma: float):
     """Scaled negative smaller eigenvalue of the Hessian of the blurred array, 0 where it is negative."""
     import numpy as np
 
-    gy, gx = np.gradient(blurred(block, sigma))
-    yy, yx = np.gradient(gy)
-    xx = np.gradient(gx, axis=1)
+    gy, gx = np.gradient(blurred(block, sigma), axis=(-2, -1))
+    yy, yx = np.gradient(gy, axis=(-2, -1))
+    xx = np.gradient(gx, axis=-1)
     return np.maximum(0.0, -sigma * sigma * ((yy + xx) / 2 - np.sqrt(((yy - xx) / 2) ** 2 + yx**2)))
 
 

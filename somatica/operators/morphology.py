@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from somatica.operators import batches
 from somatica.operators.pixels import AT
 
 Offsets = list[tuple[int, int]]
@@ -97,20 +98,60 @@ def components(mask: DataFrame, diagonal: bool = True) -> DataFrame:
     """``mask`` with ``label``: the smallest raster place of its connected component (y * 65,536 + x; in an image with a pixel beyond
     column 65,534, y * 2**32 + x).
 
-    One group per image; inside, sparse min-label hooking with pointer jumping. ``tiles.components`` does the same tile by tile.
+    Many images a call; inside, sparse min-label hooking with pointer jumping. ``tiles.components`` does the same tile by tile.
     """
     steps = [(0, 1), (1, -1), (1, 0), (1, 1)] if diagonal else [(0, 1), (1, 0)]
 
-    def run(pdf):
+    def run(table, starts):
         import numpy as np
+        import pyarrow as pa
 
-        stride = stride_of(pdf["x"])
-        at = np.unique(pdf["y"].to_numpy(np.int64) * stride + pdf["x"].to_numpy(np.int64))
-        root = component_roots(at, [dy * stride + dx for dy, dx in steps])
-        return type(pdf)({"image": pdf["image"].iloc[0], "y": at // stride, "x": at % stride, "label": at[root]})
+        # images with a pixel in a far column have the wider stride
+        far = np.maximum.reduceat(batches.numbers(table, "x"), starts) >= NEAR - 1
+        group, at, row = raster_places(table, starts, FAR)
+        root = component_roots_of(group, at, [dy * FAR + dx for dy, dx in steps])
+        y, x = at // FAR, at % FAR
+        label = np.where(far[group], at[root], y[root] * NEAR + x[root])
+        return pa.RecordBatch.from_arrays([batches.chosen(table, "image", row), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(label)], ["image", "y", "x", "label"])
 
     kind = mask.schema["image"].dataType.simpleString()
-    return mask.select(AT).groupBy("image").applyInPandas(run, f"image {kind}, y int, x int, label long")
+    return batches.apply(mask.select(AT), ["image"], run, f"image {kind}, y int, x int, label long")
+
+
+def raster_places(table, starts, stride: int):
+    """Pixels (y, x) of groups of rows, each once and in raster order: their group, their raster place, and a row of their group."""
+    import numpy as np
+
+    group, _ = batches.places(np.diff(np.append(starts, table.num_rows)))
+    at = batches.numbers(table, "y").astype(np.int64) * stride + batches.numbers(table, "x").astype(np.int64)
+    order = np.lexsort((at, group))
+    group, at = group[order], at[order]
+    once = np.ones(len(at), bool)
+    once[1:] = (group[1:] != group[:-1]) | (at[1:] != at[:-1])
+    return group[once], at[once], starts[group[once]]
+
+
+def component_roots_of(group, at, steps: list[int]):
+    """``component_roots`` of many groups of pixels at once: index of the first pixel of each pixel's component in its group."""
+    import numpy as np
+
+    # the places that occur, numbered: a neighbour's place is looked up once for all groups, and pixels by group and number
+    every = np.unique(at)
+    own = np.searchsorted(every, at)
+    pixel = group * len(every) + own
+    a, b = [], []
+    for s in steps:
+        next_ = np.searchsorted(every, every + s)
+        next_[next_ == len(every)] = 0
+        there = every[next_] == every + s
+        want = np.flatnonzero(there[own])
+        key = group[want] * len(every) + next_[own[want]]
+        i = np.searchsorted(pixel, key)
+        i[i == len(pixel)] = 0
+        hit = pixel[i] == key
+        a.append(want[hit])
+        b.append(i[hit])
+    return hooked(np.concatenate(a), np.concatenate(b), len(at))
 
 
 def component_roots(at, steps: list[int]):

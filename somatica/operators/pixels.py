@@ -121,11 +121,13 @@ def median_filter(px: DataFrame, size: int, height: int | Column, width: int | C
     def work(block, inside):
         import numpy as np
 
-        seen = np.lib.stride_tricks.sliding_window_view(block, (2 * r + 1, 2 * r + 1))
+        seen = np.lib.stride_tricks.sliding_window_view(block, (2 * r + 1, 2 * r + 1), axis=(-2, -1))
         out = np.zeros_like(block)
-        some = max(1, 4_000_000 // (seen.shape[1] * (2 * r + 1) ** 2))
-        for k in range(0, len(seen), some):
-            out[r + k : r + k + len(seen[k : k + some]), r : r + seen.shape[1]] = np.median(seen[k : k + some], axis=(2, 3))
+        high, wide = seen.shape[-4:-2]
+        some = max(1, 4_000_000 // (seen[..., :1, :, :, :].size))
+        for k in range(0, high, some):
+            part = seen[..., k : k + some, :, :, :]
+            out[..., r + k : r + k + part.shape[-4], r : r + wide] = np.median(part, axis=(-2, -1))
         return out
 
     return tiles.filter_pixels(px, r, work, height, width, tile)
@@ -138,15 +140,15 @@ def _weights(sigma: float, reach: float) -> list[float]:
 
 
 def blurred(block, sigma: float, reach: float = 4.0):
-    """Separable Gaussian blur of an array; what lies within the kernel's reach of its border is not to be used."""
+    """Separable Gaussian blur of an array along its last two axes; what lies within the kernel's reach of its border is not to be used."""
     import numpy as np
 
     weights = _weights(sigma, reach)
     r = len(weights) // 2
-    for axis in (0, 1):
-        wide = np.pad(block, [(r, r) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+    for axis in (block.ndim - 2, block.ndim - 1):
+        wide = np.pad(block, [(r, r) if k == axis else (0, 0) for k in range(block.ndim)], mode="edge")
         n = block.shape[axis]
-        block = sum(w * np.take(wide, np.arange(k, k + n), axis) for k, w in enumerate(weights))
+        block = sum(w * (wide[..., k : k + n, :] if axis == block.ndim - 2 else wide[..., k : k + n]) for k, w in enumerate(weights))
     return block
 
 
