@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from somatica.functions import names
+from somatica.operators import batches
 
 #: Column orders of the written tables.
 ID_COLUMNS = ("image_name", "animal_id", "treatment", "soma_id", "soma_idx")
@@ -104,25 +105,30 @@ def raster_files(px: DataFrame, ending: str, kind: str = "u2", pixel_size: float
     Values are cut to the range of ``kind`` (u1, u2, or f4 as they are) and to whole numbers; pixels without a row are 0. ``height`` and
     ``width`` of the frame are numbers, or columns of ``px``; without them the picture ends at the last row and column that has a
     pixel, which suits dense rasters only. A pixel outside the frame is an error. Several channels (column ``c``) or planes become
-    pages. Processed rasters end in ``_processed.tif``, soma masks (image ``<image>_<soma>``) in ``_soma.tif``. One group per image.
+    pages. Processed rasters end in ``_processed.tif``, soma masks (image ``<image>_<soma>``) in ``_soma.tif``. Many images a call.
     """
 
-    def run(pdf):
+    def run(table, starts):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         from somatica.sources import tiff
 
-        frame = [int(pdf[a].iloc[0]) if pdf[a].notna().all() else int(pdf[b].max()) + 1 for a, b in (("_h", "y"), ("_w", "x"))]
-        image = np.zeros((int(pdf["c"].max()) + 1, *frame))
-        image[pdf["c"].to_numpy(), pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf["v"].to_numpy()
-        if kind != "f4":
-            image = np.floor(np.clip(image, 0, np.iinfo(kind).max))
-        return pd.DataFrame({"filename": [f"{pdf['image'].iloc[0]}{ending}"], "content": [tiff.encode(image.astype(kind), pixel_size)]})
+        c, y, x = (batches.numbers(table, n) for n in ("c", "y", "x"))
+        v, images, out = table.column("v").cast(pa.float64()).to_numpy(), batches.chosen(table, "image", starts).to_pylist(), []
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+            frame = [int(own[0].as_py()) if not (own := table.column(a).slice(i, j - i)).null_count else int(at[i:j].max()) + 1 for a, at in (("_h", y), ("_w", x))]
+            image = np.zeros((int(c[i:j].max()) + 1, *frame))
+            image[c[i:j], y[i:j], x[i:j]] = v[i:j]
+            if kind != "f4":
+                image = np.floor(np.clip(image, 0, np.iinfo(kind).max))
+            out.append(tiff.encode(image.astype(kind), pixel_size))
+        return pa.RecordBatch.from_arrays([pa.array([f"{n}{ending}" for n in images], pa.string()), pa.array(out, pa.binary())], ["filename", "content"])
 
     page = F.col("c").cast("int") if "c" in px.columns else F.lit(0)
     framed = [F.lit(n).cast("int").alias(a) for n, a in ((height, "_h"), (width, "_w"))]
-    return px.select(F.col("image").cast("string").alias("image"), page.alias("c"), "y", "x", F.col("v").cast("double").alias("v"), *framed).groupBy("image").applyInPandas(run, "filename string, content binary")
+    rows = px.select(F.col("image").cast("string").alias("image"), page.alias("c"), "y", "x", F.col("v").cast("double").alias("v"), *framed)
+    return batches.apply(rows, ["image"], run, "filename string, content binary")
 
 
 def mask_files(masks: DataFrame, pixel_size: float = 0.316) -> DataFrame:

@@ -29,11 +29,16 @@ def _opened(path: str):
 
 @dataclass
 class Run(InputPartition):
-    """Segments ``first`` up to ``last`` of a file, counted over its pages; None: all."""
+    """Segments ``first`` up to ``last`` of a file, counted over its pages; None: all, and all of the files ``more``."""
 
     path: str
     first: int | None = None
     last: int | None = None
+    more: tuple[str, ...] = ()
+
+
+#: Opening a file counts like reading so many bytes, where small files share a partition.
+OPENING = 1 << 20
 
 
 class TiffSource(DataSource):
@@ -69,7 +74,7 @@ class TiffReader(DataSourceReader):
         return not name.startswith(".") and fnmatch.fnmatch(name, self.pattern) and all(tests[type(f)](f) for f in self.wanted)
 
     def partitions(self) -> list[Run]:
-        """One for each file; of files over the split size the directories are read, and runs of segments of about that size."""
+        """Small files together up to the split size; of files over it the directories are read, and runs of segments of about that size."""
         from pyarrow import fs
 
         from somatica.sources import tiff
@@ -77,11 +82,15 @@ class TiffReader(DataSourceReader):
         system, where = _opened(self.folder)
         info = system.get_file_info(where)
         files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(where))
-        out = []
+        out, small, filled = [], [], 0
         for f in sorted((f for f in files if f.type == fs.FileType.File and self._named(f.base_name)), key=lambda f: f.path):
             path = self.folder if info.type == fs.FileType.File else f"{self.folder.rstrip('/')}/{f.base_name}"
             if f.size <= self.split:
-                out.append(Run(path))
+                if small and filled + f.size + OPENING > self.split:
+                    out.append(Run(small[0], more=tuple(small[1:])))
+                    small, filled = [], 0
+                small.append(path)
+                filled += f.size + OPENING
                 continue
             with system.open_input_file(f.path) as file:
                 sizes = [s.size for tags in tiff.directories(lambda at, n, file=file: file.read_at(n, at)) for s in tiff.segments(tags)]
@@ -91,13 +100,19 @@ class TiffReader(DataSourceReader):
                 if held >= self.split or k + 1 == len(sizes):
                     out.append(Run(path, first, k + 1))
                     first, held = k + 1, 0
+        if small:
+            out.append(Run(small[0], more=tuple(small[1:])))
         return out or [Run("", 0, 0)]
 
     def read(self, partition: Run) -> Iterator[tuple]:
+        if partition.path:
+            yield from self._read(partition)
+        for path in partition.more:
+            yield from self._read(Run(path))
+
+    def _read(self, partition: Run) -> Iterator[tuple]:
         from somatica.sources import tiff
 
-        if not partition.path:
-            return
         system, where = _opened(partition.path)
         name, k = partition.path.rsplit("/", 1)[-1], 0
         with system.open_input_file(where) as file:
