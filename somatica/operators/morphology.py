@@ -1,7 +1,9 @@
-"""Set morphology on masks (``image, y, x``): explode over offsets, count, compare. No Python on the way."""
+"""Set morphology on masks (``image, y, x``): rows as words of bits, moved, joined and compared. No Python on the way."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,28 +31,104 @@ def shifted(mask: DataFrame, offsets: Offsets, keep: list[str] | None = None) ->
     return mask.select(*AT, *rest, o.alias("_o")).select("image", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"), *rest)
 
 
+#: Columns of a word: a row of a mask is cut into words of so many pixels, each a long with as much room at both sides together.
+WORD, ROOM = 32, 16
+
+
+def words(mask: DataFrame, rest: list[str] | None = None) -> DataFrame:
+    """A mask as words: image, y, w and ``bits``, of which bit k is the pixel at column ``w`` * 32 + k - 16; the first and last 16 bits
+    repeat the neighbours' pixels. ``rest``: columns with one value an image, which stay."""
+    rest, w = rest or [], F.shiftright("x", 5)
+    k = F.col("x") - 32 * w
+    near = F.filter(F.array(F.struct(w.alias("w"), (k + ROOM).alias("k")), F.struct(F.when(k < ROOM, w - 1).when(k >= WORD - ROOM, w + 1).alias("w"), F.when(k < ROOM, k + ROOM + WORD).otherwise(k + ROOM - WORD).alias("k"))), lambda p: p["w"].isNotNull())
+    spread = mask.select("image", "y", *rest, F.explode(near).alias("p"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p.k").cast("int"))
+    return spread.groupBy("image", "y", F.col("p.w").alias("w")).agg(F.bit_or(bit).alias("bits"), *[F.first(c).alias(c) for c in rest])
+
+
+def pixels_of(rows: DataFrame) -> DataFrame:
+    """Pixels of words, without what they repeat of their neighbours."""
+    own = rows.withColumn("bits", F.shiftrightunsigned("bits", ROOM).bitwiseAND(F.lit((1 << WORD) - 1))).where("bits <> 0")
+    each = F.explode(F.filter(F.array(*[F.lit(k) for k in range(WORD)]), lambda k: F.call_function("getbit", F.col("bits"), k) == 1))
+    return own.select("image", "y", "w", each.alias("_k")).select("image", "y", (F.col("w") * WORD + F.col("_k")).cast("int").alias("x"))
+
+
+def _moved(bits: Column, dx: int) -> Column:
+    """Bits of a word moved by ``dx`` columns."""
+    return bits if dx == 0 else F.shiftleft(bits, dx) if dx > 0 else F.shiftrightunsigned(bits, -dx)
+
+
+def _by_row(offsets: Offsets) -> dict[int, list[int]]:
+    """Steps along the row for each step across rows."""
+    return {dy: sorted(dx for a, dx in offsets if a == dy) for dy in sorted({a for a, _ in offsets})}
+
+
+def _dilated(rows: DataFrame, offsets: Offsets, rest: list[str]) -> DataFrame:
+    """Words of a dilation. Bits within reach of a word's ends are not to be used."""
+    moved = F.array(*[F.struct(F.lit(dy).alias("dy"), reduce(lambda a, b: a.bitwiseOR(b), [_moved(F.col("bits"), dx) for dx in steps]).alias("bits")) for dy, steps in _by_row(offsets).items()])
+    spread = rows.select("image", "y", "w", *rest, F.explode(moved).alias("m")).select("image", (F.col("y") + F.col("m.dy")).alias("y"), "w", *rest, F.col("m.bits").alias("bits"))
+    return spread.groupBy("image", "y", "w").agg(F.bit_or("bits").alias("bits"), *[F.first(c).alias(c) for c in rest])
+
+
+def _eroded(rows: DataFrame, offsets: Offsets) -> DataFrame:
+    """Words of an erosion: a word that lacks one of the rows it needs is empty."""
+    by_row = _by_row(offsets)
+    moved = F.array(*[F.struct(F.lit(dy).alias("dy"), reduce(lambda a, b: a.bitwiseAND(b), [_moved(F.col("bits"), -dx) for dx in steps]).alias("bits")) for dy, steps in by_row.items()])
+    spread = rows.select("image", "y", "w", F.explode(moved).alias("m")).where("m.bits <> 0").select("image", (F.col("y") - F.col("m.dy")).alias("y"), "w", F.col("m.bits").alias("bits"))
+    return spread.groupBy("image", "y", "w").agg(F.bit_and("bits").alias("bits"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(by_row)).drop("n")
+
+
+def _framed(rows: DataFrame, height: str, width: str) -> DataFrame:
+    """Words without the pixels beyond the frame."""
+    first, last = F.greatest(F.lit(0), ROOM - WORD * F.col("w")), F.least(F.lit(63), F.col(width) - 1 - WORD * F.col("w") + ROOM)
+    ones = F.lit(-1).cast("long")
+    inside = F.call_function("shiftleft", F.call_function("shiftrightunsigned", ones, (63 - (last - first)).cast("int")), first.cast("int"))
+    return rows.where(F.col("y").between(0, F.col(height) - 1) & (first <= last)).withColumn("bits", F.col("bits").bitwiseAND(inside))
+
+
+def _reach(offsets: Offsets) -> int:
+    return max(abs(dx) for _, dx in offsets)
+
+
 def dilate(mask: DataFrame, offsets: Offsets, height: int | Column | None = None, width: int | Column | None = None) -> DataFrame:
-    """Pixels that some offset reaches; with a size (numbers, or columns of ``mask``) those inside the frame."""
-    if height is None or width is None:
-        return shifted(mask, offsets).distinct()
-    framed = mask.select(*AT, F.lit(height).alias("_h"), F.lit(width).alias("_w"))
-    inside = F.col("y").between(0, F.col("_h") - 1) & F.col("x").between(0, F.col("_w") - 1)
-    return shifted(framed, offsets, ["_h", "_w"]).where(inside).select(AT).distinct()
+    """Pixels that some offset reaches; with a size (numbers, or columns of ``mask``) those inside the frame.
+
+    Rows of 32 pixels are one number each (``words``), whose bits move together; so in erosion, closing and opening. Offsets that reach
+    further than words have room move pixels one by one.
+    """
+    framed = height is not None and width is not None
+    rest = ["_h", "_w"] if framed else []
+    sized = mask.select(*AT, *([F.lit(height).alias("_h"), F.lit(width).alias("_w")] if framed else []))
+    if _reach(offsets) > ROOM:
+        inside = F.col("y").between(0, F.col("_h") - 1) & F.col("x").between(0, F.col("_w") - 1) if framed else F.lit(True)
+        return shifted(sized, offsets, rest).where(inside).select(AT).distinct()
+    rows = _dilated(words(sized, rest), offsets, rest)
+    return pixels_of(_framed(rows, "_h", "_w") if framed else rows)
 
 
 def erode(mask: DataFrame, offsets: Offsets) -> DataFrame:
     """Pixels all of whose offsets are in the mask; beyond the frame counts as empty."""
-    back = [(-a, -b) for a, b in offsets]
-    n = shifted(mask, back).groupBy(AT).agg(F.count(F.lit(1)).alias("n"))
-    return n.where(F.col("n") == len(offsets)).select(AT)
+    if _reach(offsets) > ROOM:
+        back = [(-a, -b) for a, b in offsets]
+        n = shifted(mask.select(AT).distinct(), back).groupBy(AT).agg(F.count(F.lit(1)).alias("n"))
+        return n.where(F.col("n") == len(offsets)).select(AT)
+    return pixels_of(_eroded(words(mask), offsets))
 
 
 def close(mask: DataFrame, offsets: Offsets, height: int | Column | None = None, width: int | Column | None = None) -> DataFrame:
-    return erode(dilate(mask, offsets, height, width), offsets)
+    if 2 * _reach(offsets) > ROOM:
+        return erode(dilate(mask, offsets, height, width), offsets)
+    if height is None or width is None:
+        return pixels_of(_eroded(_dilated(words(mask), offsets, []), offsets))
+    rest = ["_h", "_w"]
+    rows = _dilated(words(mask.select(*AT, F.lit(height).alias("_h"), F.lit(width).alias("_w")), rest), offsets, rest)
+    return pixels_of(_eroded(_framed(rows, *rest), offsets))
 
 
 def open_(mask: DataFrame, offsets: Offsets) -> DataFrame:
-    return dilate(erode(mask, offsets), offsets)
+    if 2 * _reach(offsets) > ROOM:
+        return dilate(erode(mask, offsets), offsets)
+    return pixels_of(_dilated(_eroded(words(mask), offsets), offsets, []))
 
 
 def neighbour_sums(mask: DataFrame, weights: list[tuple[tuple[int, int], int]]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from somatica.operators import batches
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -49,9 +51,13 @@ PX_SMALL = """px AS (SELECT vec_id AS image, CAST((i - 1) // 8 AS INTEGER) AS y,
 
 
 def px_big(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """32 x 32 images from the line items: the largest value of all that fall on a pixel."""
-    li = read(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("image"), (F.col("l_partkey") % 32).cast("int").alias("y"), (F.col("l_orderkey") % 32).cast("int").alias("x")).agg(F.max("l_extendedprice").alias("v"))
+    """32 x 32 images from the line items: the largest value of all that fall on a pixel.
+
+    Images are small, so each is kept in one task from the start, and the tasks are as many as shuffles have: what groups or joins by
+    image and pixel moves nothing again, and a task's images stay few.
+    """
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), (F.col("l_partkey") % 32).cast("int").alias("y"), (F.col("l_orderkey") % 32).cast("int").alias("x"), F.col("l_extendedprice").alias("v"))
+    return li.repartition(batches.parts(li), "image").groupBy("image", "y", "x").agg(F.max("v").alias("v"))
 
 
 PX_BIG = """px AS (SELECT l_suppkey AS image, CAST(l_partkey % 32 AS INTEGER) AS y, CAST(l_orderkey % 32 AS INTEGER) AS x, max(l_extendedprice) AS v
