@@ -14,7 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Rows sorted by their keys, and where each group begins, to the rows of all groups' results.
-Run = Callable[[pa.Table, np.ndarray], pa.RecordBatch | pa.Table]
+Run = Callable[[pa.Table, np.ndarray], pa.RecordBatch | Iterator[pa.RecordBatch]]
+
+#: Pixels of a stack of small images that is worked on at a time; it should stay in a core's cache.
+STACK = 1 << 16
 
 
 def _differs(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -73,7 +76,7 @@ def apply(df: DataFrame, keys: list[str], run: Run, schema: str) -> DataFrame:
     def each(batches):
         for table, starts in whole_groups(batches, len(keys)):
             out = run(table, starts)
-            yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+            yield from [out] if isinstance(out, pa.RecordBatch) else out
 
     return sorted_by(df, keys).mapInArrow(each, schema)
 
@@ -114,3 +117,35 @@ def places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For runs of ``sizes`` elements: each element's run, and its place in it."""
     run = np.repeat(np.arange(len(sizes)), sizes)
     return run, np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def spans(table: pa.Table, starts: np.ndarray) -> list[tuple[int, int]]:
+    """First row and last row + 1 of each group."""
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True))
+
+
+def strips(table: pa.Table, starts: np.ndarray, gap: int = 1, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Masks (y, x) of groups below each other in boolean arrays of about ``most`` pixels, each on its bounding box with ``gap`` empty rows and a
+    column around it: the array, the groups in it, each one's first row there, and what its rows and columns are short of those of the mask."""
+    y, x = (numbers(table, c).astype(np.int64) for c in ("y", "x"))
+    y0, x0, y1, x1 = (f.reduceat(c, starts) for f, c in ((np.minimum, y), (np.minimum, x), (np.maximum, y), (np.maximum, x)))
+    high, wide = y1 - y0 + 1 + 2 * gap, x1 - x0 + 3
+    ends, first = np.append(starts, table.num_rows), 0
+    while first < len(starts):
+        area = np.cumsum(high[first:]) * np.maximum.accumulate(wide[first:])
+        last = first + max(1, int(np.searchsorted(area, most, "right")))
+        rows = np.cumsum(high[first:last]) - high[first:last]
+        on = np.zeros((int(high[first:last].sum()), int(wide[first:last].max())), bool)
+        i, j = ends[first], ends[last]
+        group, _ = places(np.diff(ends[first : last + 1]))
+        dy, dx = y0[first:last] - rows - gap, x0[first:last] - 1
+        on[y[i:j] - dy[group], x[i:j] - dx[group]] = True
+        yield on, np.arange(first, last), rows, dy, dx
+        first = last
+
+
+def from_strip(table: pa.Table, starts: np.ndarray, on: np.ndarray, groups: np.ndarray, rows: np.ndarray, dy: np.ndarray, dx: np.ndarray) -> pa.RecordBatch:
+    """Pixels (image, y, x) of an array like one of ``strips``."""
+    y, x = np.nonzero(on)
+    at = np.searchsorted(rows, y, "right") - 1
+    return pa.RecordBatch.from_arrays([chosen(table, "image", starts[groups[at]]), pa.array((y + dy[at]).astype(np.int32)), pa.array((x + dx[at]).astype(np.int32))], ["image", "y", "x"])

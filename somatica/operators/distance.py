@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from somatica.operators import batches
 from somatica.operators.pixels import AT
 
 
@@ -34,63 +35,87 @@ def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
 def to_background(mask: DataFrame, height: int | Column, width: int | Column) -> DataFrame:
     """``mask`` with ``d``: exact distance to the nearest pixel of the frame that is not in the mask (null: there is none).
 
-    ``height`` and ``width`` are numbers, or columns of ``mask`` where images differ in size. One group per image; the squared
-    distances along columns are widened row by row until nothing can become smaller.
+    ``height`` and ``width`` are numbers, or columns of ``mask`` where images differ in size. Many images a call, those of one size as a
+    stack; the squared distances along columns are widened row by row until nothing can become smaller.
     """
 
-    def run(pdf):
+    def run(table, starts):
         import numpy as np
-
-        on = np.zeros((pdf["_h"].iloc[0], pdf["_w"].iloc[0]), bool)
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        on[y, x] = True
-        d2 = squared_distances(~on)[y, x]
-        return type(pdf)({"image": pdf["image"].iloc[0], "y": y, "x": x, "d": np.where(np.isfinite(d2), np.sqrt(d2), np.nan)})
+        import pyarrow as pa
+
+        h, w = (batches.numbers(table, c)[starts].astype(np.int64) for c in ("_h", "_w"))
+        y, x = batches.numbers(table, "y"), batches.numbers(table, "x")
+        group, _ = batches.places(np.diff(np.append(starts, table.num_rows)))
+        d2 = np.zeros(table.num_rows)
+        for high, wide in sorted(set(zip(h.tolist(), w.tolist(), strict=True))):
+            same = np.flatnonzero((h == high) & (w == wide))
+            some = max(1, batches.STACK // (high * wide))
+            for k in range(0, len(same), some):
+                number = np.full(len(starts), -1)
+                number[same[k : k + some]] = np.arange(len(same[k : k + some]))
+                rows = np.flatnonzero(number[group] >= 0)
+                on = np.zeros((len(same[k : k + some]), high, wide), bool)
+                place = number[group[rows]], y[rows], x[rows]
+                on[place] = True
+                d2[rows] = squared_distances(~on)[place]
+        known = np.isfinite(d2)
+        return pa.RecordBatch.from_arrays([table.column("image").combine_chunks(), pa.array(y), pa.array(x), pa.array(np.sqrt(np.where(known, d2, 0.0)), mask=~known)], ["image", "y", "x", "d"])
 
     kind = mask.schema["image"].dataType.simpleString()
-    framed = mask.select(*AT, F.lit(height).alias("_h"), F.lit(width).alias("_w"))
-    out = framed.groupBy("image").applyInPandas(run, f"image {kind}, y int, x int, d double")
-    return out.withColumn("d", F.nanvl("d", F.lit(None).cast("double")))
+    framed = mask.select("image", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(height).cast("int").alias("_h"), F.lit(width).cast("int").alias("_w"))
+    return batches.apply(framed, ["image"], run, f"image {kind}, y int, x int, d double")
 
 
 def opened(mask: DataFrame, radius: int | Column) -> DataFrame:
     """``mask`` opened with a disk whose radius is a number or a column of ``mask`` (one value an image).
 
     A pixel stays in the erosion if nothing outside the mask is within the radius, and is in the dilation if something of the erosion
-    is: two exact distance transforms, whatever the radius. One group per image, on the mask's bounding box.
+    is: two exact distance transforms, whatever the radius. Many images a call, on their masks' bounding boxes.
     """
 
-    def run(pdf):
+    def run(table, starts):
         import numpy as np
 
-        y0, x0, r = pdf["y"].min(), pdf["x"].min(), int(pdf["_r"].iloc[0])
-        on = np.zeros((pdf["y"].max() - y0 + 3, pdf["x"].max() - x0 + 3), bool)
-        on[pdf["y"] - y0 + 1, pdf["x"] - x0 + 1] = True
-        y, x = np.nonzero(squared_distances(squared_distances(~on) > r * r) <= r * r)
-        return type(pdf)({"image": np.full(len(y), pdf["image"].iloc[0], object), "y": y + y0 - 1, "x": x + x0 - 1})
+        radius = batches.numbers(table, "_r")[starts].astype(np.int64)
+        for on, groups, rows, *rest in batches.strips(table, starts, int(radius.max()) + 1):
+            r2 = np.repeat(radius[groups] ** 2, np.diff(np.append(rows, len(on))))[:, None]
+            # masks lie further apart than any radius, so a mask's pixels are never within another's
+            stays = squared_distances(~on, int(radius.max())) > r2
+            yield batches.from_strip(table, starts, squared_distances(stays, int(radius.max())) <= r2, groups, rows, *rest)
 
     kind = mask.schema["image"].dataType.simpleString()
-    return mask.select(*AT, F.lit(radius).cast("int").alias("_r")).groupBy("image").applyInPandas(run, f"image {kind}, y int, x int")
+    return batches.apply(mask.select(*AT, F.lit(radius).cast("int").alias("_r")), ["image"], run, f"image {kind}, y int, x int")
 
 
-def squared_distances(targets):
-    """Squared distance of every cell of a boolean array to the nearest true one; infinite if there is none."""
+def squared_distances(targets, within: float | None = None):
+    """Squared distance of every cell of a boolean array (or of each of a stack) to the nearest true one of it; infinite if there is none.
+    Distances over ``within`` may come out larger than they are."""
     import numpy as np
 
-    h, w = targets.shape
+    h, w = targets.shape[-2:]
     steps = np.where(targets, 0.0, np.inf)
     for i in range(1, h):
-        steps[i] = np.minimum(steps[i], steps[i - 1] + 1)
+        steps[..., i, :] = np.minimum(steps[..., i, :], steps[..., i - 1, :] + 1)
     for i in range(h - 2, -1, -1):
-        steps[i] = np.minimum(steps[i], steps[i + 1] + 1)
-    column = steps * steps
-    best = column.copy()
-    reachable = column[:, column.min(axis=0) < np.inf]
-    for k in range(1, w if reachable.size else 0):
-        if k * k >= best.max():
+        steps[..., i, :] = np.minimum(steps[..., i, :], steps[..., i + 1, :] + 1)
+    best = steps * steps
+    if targets.ndim > 2:
+        some = targets.any(axis=(-2, -1))
+        best[some] = _widened(best[some], w if within is None else within + 1)
+        return best
+    return _widened(best, w if within is None else within + 1) if targets.any() else best
+
+
+def _widened(column, most: float):
+    """Squared distances from those along columns; steps of ``most`` or more along rows are left out."""
+    import numpy as np
+
+    best, w = column.copy(), column.shape[-1]
+    for k in range(1, w if best.size else 0):
+        if k * k >= best.max() or k >= most:
             break
-        best[:, k:] = np.minimum(best[:, k:], column[:, :-k] + k * k)
-        best[:, :-k] = np.minimum(best[:, :-k], column[:, k:] + k * k)
+        best[..., k:] = np.minimum(best[..., k:], column[..., :-k] + k * k)
+        best[..., :-k] = np.minimum(best[..., :-k], column[..., k:] + k * k)
     return best
 
 

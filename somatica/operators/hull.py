@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from somatica.operators import regions
+from somatica.operators import batches, regions
 
 
 def vertices(mask: DataFrame, pixel_corners: bool = False) -> DataFrame:
@@ -19,15 +19,22 @@ def vertices(mask: DataFrame, pixel_corners: bool = False) -> DataFrame:
     if pixel_corners:
         ends = ends.select("image", F.explode(F.array("y", F.col("y") + 1)).alias("y"), "a", (F.col("b") + 1).alias("b"))
 
-    def run(pdf):
-        import pandas as pd
+    def run(table, starts):
+        import numpy as np
+        import pyarrow as pa
 
-        points = sorted({(x, y) for c in ("a", "b") for x, y in zip(pdf[c].tolist(), pdf["y"].tolist(), strict=True)})
-        out = half_hull(points)[:-1] + half_hull(points[::-1])[:-1] if len(points) > 1 else points
-        return pd.DataFrame({"image": pdf["image"].iloc[0], "seq": range(len(out)), "y": [p[1] for p in out], "x": [p[0] for p in out]})
+        y, a, b = (batches.numbers(table, c).tolist() for c in ("y", "a", "b"))
+        found, rows = [], []
+        for i, j in batches.spans(table, starts):
+            points = sorted({*zip(a[i:j], y[i:j], strict=True), *zip(b[i:j], y[i:j], strict=True)})
+            out = half_hull(points)[:-1] + half_hull(points[::-1])[:-1] if len(points) > 1 else points
+            found += [(k, p[1], p[0]) for k, p in enumerate(out)]
+            rows += [i] * len(out)
+        columns = [pa.array([f[k] for f in found], pa.int32()) for k in (0, 1, 2)]
+        return pa.RecordBatch.from_arrays([batches.chosen(table, "image", np.array(rows, int)), *columns], ["image", "seq", "y", "x"])
 
     kind = mask.schema["image"].dataType.simpleString()
-    return ends.groupBy("image").applyInPandas(run, f"image {kind}, seq int, y int, x int")
+    return batches.apply(ends.select("image", "y", "a", "b"), ["image"], run, f"image {kind}, seq int, y int, x int")
 
 
 def half_hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from somatica.operators import batches
 from somatica.operators.morphology import component_roots, degrees, hooked, stride_of
 from somatica.operators.pixels import AT
 
@@ -14,37 +15,49 @@ from somatica.operators.pixels import AT
 def thin(mask: DataFrame) -> DataFrame:
     """Skeleton of each image's mask by thinning in two sub-steps (Zhang and Suen, 1984).
 
-    One group per image, which works on the mask's bounding box: what lies beyond a mask is empty, whatever the frame's size.
+    Many images a call, each on its mask's bounding box: what lies beyond a mask is empty, whatever the frame's size. An image that is done
+    does not change while others go on.
     """
 
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        y0, x0 = pdf["y"].min(), pdf["x"].min()
-        on = np.zeros((pdf["y"].max() - y0 + 3, pdf["x"].max() - x0 + 3), bool)
-        on[pdf["y"].to_numpy() - y0 + 1, pdf["x"].to_numpy() - x0 + 1] = True
-        while True:
-            size = on.sum()
-            for first in (True, False):
-                on[1:-1, 1:-1] &= ~removable(on, first)
-            if on.sum() == size:
-                break
-        y, x = np.nonzero(on[1:-1, 1:-1])
-        return pd.DataFrame({"image": np.full(len(y), pdf["image"].iloc[0], object), "y": y + y0, "x": x + x0})
+    def run(table, starts):
+        for on, *rest in batches.strips(table, starts):
+            changed = True
+            while changed:
+                changed = False
+                for first in (True, False):
+                    gone = removable(on, first)
+                    changed |= bool(gone.any())
+                    on[1:-1, 1:-1] &= ~gone
+            yield batches.from_strip(table, starts, on, *rest)
 
     kind = mask.schema["image"].dataType.simpleString()
-    return mask.select(AT).groupBy("image").applyInPandas(run, f"image {kind}, y int, x int")
+    return batches.apply(mask.select(AT), ["image"], run, f"image {kind}, y int, x int")
+
+
+def _rules() -> list[list[bool]]:
+    """For both sub-steps: whether a pixel goes, by its neighbours as the bits of a number, from north on clockwise."""
+    out = []
+    for first in (True, False):
+        n, e, s, w = ([bool(code >> k & 1) for code in range(256)] for k in (0, 2, 4, 6))
+        turns = [sum(not code >> k & 1 and code >> (k + 1) % 8 & 1 for k in range(8)) for code in range(256)]
+        sides = [not (a and b and c) and not (b and c and d) if first else not (a and b and d) and not (a and c and d) for a, b, c, d in zip(n, e, s, w, strict=True)]
+        out.append([2 <= code.bit_count() <= 6 and turns[code] == 1 and sides[code] for code in range(256)])
+    return out
+
+
+#: By sub-step, as ``removable`` needs them.
+_GOES = _rules()
 
 
 def removable(on, first: bool):
     """Pixels (without the frame of one) that a sub-step of the thinning deletes."""
+    import numpy as np
+
     n, ne, e, se, s, sw, w, nw = on[:-2, 1:-1], on[:-2, 2:], on[1:-1, 2:], on[2:, 2:], on[2:, 1:-1], on[2:, :-2], on[1:-1, :-2], on[:-2, :-2]
-    ring = [n, ne, e, se, s, sw, w, nw]
-    count = sum(p.astype(int) for p in ring)
-    turns = sum((~a & b).astype(int) for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
-    sides = ~(n & e & s) & ~(e & s & w) if first else ~(n & e & w) & ~(n & s & w)
-    return on[1:-1, 1:-1] & (count >= 2) & (count <= 6) & (turns == 1) & sides
+    code = np.zeros(n.shape, np.uint8)
+    for k, p in enumerate((n, ne, e, se, s, sw, w, nw)):
+        code |= p.view(np.uint8) << np.uint8(k)
+    return on[1:-1, 1:-1] & np.array(_GOES[0 if first else 1])[code]
 
 
 def points(skeleton: DataFrame) -> DataFrame:
@@ -86,14 +99,13 @@ def graph_metrics(skeleton: DataFrame, pixel_size: float = 1.0) -> DataFrame:
     """Metrics of each image's skeleton: pixel classes, junction clusters by how many branches meet, branches and lengths.
 
     A branch is a connected run of pixels that are not junctions; its length sums its steps (1 or root 2). Junction
-    pixels that touch are one junction. One group per image, which labels everything at once.
+    pixels that touch are one junction. Every image is labelled at once, many images a call.
     """
 
-    def run(pdf):
+    def row(y, x):
         import numpy as np
 
-        stride = stride_of(pdf["x"])
-        at = np.unique(pdf["y"].to_numpy(np.int64) * stride + pdf["x"].to_numpy(np.int64))
+        at, stride = raster(y, x)
         a, b, length, degree, part = parts(at, stride)
         knot = degree > 2
         own = knot[a] == knot[b]
@@ -102,32 +114,50 @@ def graph_metrics(skeleton: DataFrame, pixel_size: float = 1.0) -> DataFrame:
         arms = np.bincount(meet[0], minlength=len(at))[joints]
         lengths = np.bincount(part[a[own & ~knot[a]]], length[own & ~knot[a]], len(at))[branches] * pixel_size
         n = {"end_points": degree <= 1, "slab_voxels": degree == 2, "junction_voxels": knot, "triple_points": arms == 3, "quadruple_points": arms == 4}
-        row = {k: [int(v.sum())] for k, v in n.items()} | {"junctions": [len(joints)], "branches": [len(branches)]}
+        row = {k: int(v.sum()) for k, v in n.items()} | {"junctions": len(joints), "branches": len(branches)}
         some = len(branches) > 0
-        row |= {"mean_branch_length": [lengths.mean() if some else 0.0], "max_branch_length": [lengths.max() if some else 0.0], "total_length": [lengths.sum()]}
-        return type(pdf)({"image": [pdf["image"].iloc[0]], **row})[["image", *GRAPH_METRICS]]
+        row |= {"mean_branch_length": float(lengths.mean()) if some else 0.0, "max_branch_length": float(lengths.max()) if some else 0.0, "total_length": float(lengths.sum())}
+        return [row[k] for k in GRAPH_METRICS]
+
+    def run(table, starts):
+        import pyarrow as pa
+
+        y, x = batches.numbers(table, "y"), batches.numbers(table, "x")
+        columns = zip(*(row(y[i:j], x[i:j]) for i, j in batches.spans(table, starts)), strict=True)
+        arrays = [pa.array(c, pa.float64() if "length" in k else pa.int64()) for c, k in zip(columns, GRAPH_METRICS, strict=True)]
+        return pa.RecordBatch.from_arrays([batches.chosen(table, "image", starts), *arrays], ["image", *GRAPH_METRICS])
 
     kinds = ", ".join(f"{k} {'double' if 'length' in k else 'long'}" for k in GRAPH_METRICS)
-    return skeleton.select(AT).groupBy("image").applyInPandas(run, f"image {skeleton.schema['image'].dataType.simpleString()}, {kinds}")
+    return batches.apply(skeleton.select(AT), ["image"], run, f"image {skeleton.schema['image'].dataType.simpleString()}, {kinds}")
+
+
+def raster(y, x):
+    """Sorted raster places of pixels, each once, and their stride."""
+    import numpy as np
+
+    stride = stride_of(x)
+    return np.unique(y.astype(np.int64) * stride + x.astype(np.int64)), stride
 
 
 def longest_path(skeleton: DataFrame, pixel_size: float = 1.0) -> DataFrame:
     """Longest of the shortest ways between ends and junctions of each image's first skeleton, the one with the first pixel.
 
-    One group per image: runs of pixels with two neighbours become edges with a length, and the shortest ways are found on the small
-    graph of ends and junctions.
+    Runs of pixels with two neighbours become edges with a length, and the shortest ways are found on the small graph of ends and
+    junctions; many images a call.
     """
 
-    def run(pdf):
-        import numpy as np
+    def run(table, starts):
+        import pyarrow as pa
 
-        stride = stride_of(pdf["x"])
-        at = np.unique(pdf["y"].to_numpy(np.int64) * stride + pdf["x"].to_numpy(np.int64))
-        at = at[component_roots(at, [1, stride - 1, stride, stride + 1]) == 0]
-        return type(pdf)({"image": [pdf["image"].iloc[0]], "d": [longest_way(*skeleton_graph(at, stride)) * pixel_size]})
+        y, x, out = batches.numbers(table, "y"), batches.numbers(table, "x"), []
+        for i, j in batches.spans(table, starts):
+            at, stride = raster(y[i:j], x[i:j])
+            at = at[component_roots(at, [1, stride - 1, stride, stride + 1]) == 0]
+            out.append(float(longest_way(*skeleton_graph(at, stride)) * pixel_size))
+        return pa.RecordBatch.from_arrays([batches.chosen(table, "image", starts), pa.array(out, pa.float64())], ["image", "d"])
 
     kind = skeleton.schema["image"].dataType.simpleString()
-    return skeleton.select(AT).groupBy("image").applyInPandas(run, f"image {kind}, d double").withColumnRenamed("d", "longest_shortest_path")
+    return batches.apply(skeleton.select(AT), ["image"], run, f"image {kind}, d double").withColumnRenamed("d", "longest_shortest_path")
 
 
 def skeleton_graph(at, stride: int):
@@ -156,25 +186,38 @@ def skeleton_graph(at, stride: int):
 
 
 def longest_way(nodes: int, edges: list[tuple[int, int, float]]) -> float:
-    """Longest of the shortest ways between any two nodes of a graph that hangs together."""
+    """Longest of the shortest ways between any two nodes of a graph that hangs together.
+
+    Ways from one node bound those from every other: they reach at most as far as both together. Nodes that cannot reach further than the
+    longest way so far are not begun from, which leaves few of a skeleton's (Takes and Kosters, 2011).
+    """
     import heapq
 
     near: list[dict[int, float]] = [{} for _ in range(nodes)]
     for u, v, w in edges:
         if u != v and w < near[u].get(v, math.inf):
             near[u][v] = near[v][u] = w
-    longest = 0.0
-    for begin in range(nodes):
+    longest, most, left = 0.0, [math.inf] * nodes, list(range(nodes))
+    least, outward = [0.0] * nodes, True
+    while left:
+        # by turns the node that may reach furthest, and the one that is most in the middle
+        begin = max(left, key=most.__getitem__) if outward else min(left, key=least.__getitem__)
+        outward = not outward
         far, open_ = {begin: 0.0}, [(0.0, begin)]
         while open_:
             d, u = heapq.heappop(open_)
             if d > far[u]:
                 continue
-            longest = max(longest, d)
             for v, w in near[u].items():
                 if d + w < far.get(v, math.inf):
                     far[v] = d + w
                     heapq.heappush(open_, (d + w, v))
+        reach = max(far.values())
+        longest = max(longest, reach)
+        for v, d in far.items():
+            most[v] = min(most[v], reach + d)
+            least[v] = max(least[v], d, reach - d)
+        left = [v for v in left if v != begin and most[v] > longest]
     return longest
 
 
@@ -182,14 +225,13 @@ def without_loops(skeleton: DataFrame) -> DataFrame:
     """``skeleton`` with every loop opened at its shortest branch.
 
     Branches are taken from the longest on; one whose junctions are linked already closes a loop and goes, as does one without an
-    end that meets a single junction. One group per image, which labels junctions and branches at once.
+    end that meets a single junction. Junctions and branches of an image are labelled at once; many images a call.
     """
 
-    def run(pdf):
+    def kept(y, x):
         import numpy as np
 
-        stride = stride_of(pdf["x"])
-        at = np.unique(pdf["y"].to_numpy(np.int64) * stride + pdf["x"].to_numpy(np.int64))
+        at, stride = raster(y, x)
         a, b, _, degree, part = parts(at, stride)
         knot = degree > 2
         mixed = knot[a] != knot[b]
@@ -211,11 +253,20 @@ def without_loops(skeleton: DataFrame) -> DataFrame:
                 gone.append(branch)
             else:
                 root.update(dict.fromkeys(tops, min(tops)))
-        kept = at[~np.isin(part, gone)]
-        return type(pdf)({"image": np.full(len(kept), pdf["image"].iloc[0], object), "y": kept // stride, "x": kept % stride})
+        left = at[~np.isin(part, gone)]
+        return left // stride, left % stride
+
+    def run(table, starts):
+        import numpy as np
+        import pyarrow as pa
+
+        y, x = batches.numbers(table, "y"), batches.numbers(table, "x")
+        found = [kept(y[i:j], x[i:j]) for i, j in batches.spans(table, starts)]
+        rows = np.repeat(starts, [len(c[0]) for c in found])
+        return pa.RecordBatch.from_arrays([batches.chosen(table, "image", rows), *(pa.array(np.concatenate([c[k] for c in found]).astype(np.int32)) for k in (0, 1))], ["image", "y", "x"])
 
     kind = skeleton.schema["image"].dataType.simpleString()
-    return skeleton.select(AT).groupBy("image").applyInPandas(run, f"image {kind}, y int, x int")
+    return batches.apply(skeleton.select(AT), ["image"], run, f"image {kind}, y int, x int")
 
 
 def upscale(mask: DataFrame, k: int = 2) -> DataFrame:

@@ -156,10 +156,6 @@ def filtered(tiles: DataFrame, reach: int, work: Work, size: int = SIZE) -> Data
     return batches.apply(_pieces(tiles, reach, size), TILE, run, f"image {_kind(tiles)}, ty int, tx int, height int, width int, block binary")
 
 
-#: Pixels, mirrored ones too, of a stack of small images that is worked on at a time; it should stay in a core's cache.
-STACK = 1 << 16
-
-
 def _whole_images(tiles: DataFrame, reach: int, work: Work) -> DataFrame:
     """``filtered`` for tiles that are whole images: nothing moves, and images of one size are worked on as stacks."""
 
@@ -172,7 +168,7 @@ def _whole_images(tiles: DataFrame, reach: int, work: Work) -> DataFrame:
             values, first = raw.view(float).copy(), ends[:-1] // 8
             for high, wide in set(zip(h.tolist(), w.tolist(), strict=True)):
                 rows = np.flatnonzero((h == high) & (w == wide))
-                some = max(1, STACK // ((high + 2 * reach) * (wide + 2 * reach)))
+                some = max(1, batches.STACK // ((high + 2 * reach) * (wide + 2 * reach)))
                 for k in range(0, len(rows), some):
                     at = first[rows[k : k + some], None] + np.arange(high * wide)
                     seen = values[at].reshape(-1, high, wide)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from somatica.operators import batches, pixels, tiles
+from somatica.operators import batches, pixels, skeleton, tiles
 from somatica.plans import registry
 from somatica.sources import tables, tiff_source
 
@@ -53,3 +53,23 @@ def test_small_files_share_a_partition(spark, tmp_path):
     assert len(tiff_source.TiffReader({"path": folder, "splitBytes": str(10 << 20)}).partitions()) == 7
     back = tiles.to_pixels(tiff_source.read_tiles(spark, folder, size=8), 8).where("v > 0")
     assert {(r.image, r.y, r.x, r.v) for r in back.collect()} == {(f"i{i}.tif", y, 2, i + 1.0) for i in range(60) for y in range(3)}
+
+
+@pytest.mark.parametrize("name", ["skeleton_sheet", "terminal_bulbs", "vessel_network"])
+def test_masks_of_many_images_a_call(spark, name):
+    plan = steps(registry.QUERIES[name](spark, DATA))
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_longest_way_begins_from_few_nodes(monkeypatch):
+    """A path with side arms: the bounds leave few beginnings, and the length is that of all of them."""
+    import heapq
+
+    n, begun = 400, []
+    edges = [(i, i + 1, 1.0) for i in range(n - 1)] + [(i, n + i, 0.5) for i in range(0, n, 3)]
+    used = {u for e in edges for u in e[:2]}
+    number = {u: k for k, u in enumerate(sorted(used))}
+    pop = heapq.heappop
+    monkeypatch.setattr(heapq, "heappop", lambda h: begun.append(h[0][0] == 0.0) or pop(h))
+    assert skeleton.longest_way(len(used), [(number[u], number[v], w) for u, v, w in edges]) == n - 1 + 0.5 + 0.5
+    assert sum(begun) < 20
