@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from somatica.functions.cells import floor_scale
-from somatica.operators import thresholds, tiles
+from somatica.operators import batches, thresholds, tiles
 from somatica.operators.pixels import AT
 
 #: Target areas in square micrometres.
@@ -58,22 +58,32 @@ def cell_masks(
     kind, cell = raster.schema["image"].dataType.simpleString(), centres.schema["cell"].dataType.simpleString()
     scale = float(pixel_size) ** 2
 
-    def run(key, pdf):
+    def run(table, starts):
         import numpy as np
-        import pandas as pd
-
-        window, y0, x0 = tiles.whole_window(pdf)
-        search = thresholds.Window2D(window, int(pdf["cy"].iloc[0]) - y0, int(pdf["cx"].iloc[0]) - x0)
-        frames = []
-        for area in targets_um2:
-            floor = None if floor_percent is None or not len(search.values) else floor_percent / 100 * search.values[-1] * least_share(area)
-            y, x = search.mask(search.otsu() if len(search.values) else 0.0, area / scale, floor, rounds, tolerance)
-            frames.append(pd.DataFrame({"area": np.full(len(y), area), "y": y + y0, "x": x + x0}))
-        out = pd.concat(frames)
-        return out.assign(image=pd.Series([key[0]] * len(out), index=out.index, dtype=pdf["image"].dtype), cell=pd.Series([key[1]] * len(out), index=out.index, dtype=pdf["cell"].dtype))[["image", "cell", "area", "y", "x"]]
+        import pyarrow as pa
+
+        cy, cx, y, x, h, w = (batches.numbers(table, c).astype(np.int64) for c in ("cy", "cx", "y", "x", "h", "w"))
+        pieces, rows, areas, ys, xs = table.column("piece").to_pylist(), [], [], [], []
+        for i, j in batches.spans(table, starts):
+            y0, x0 = int(y[i:j].min()), int(x[i:j].min())
+            size_ = int((y[i:j] + h[i:j]).max()) - y0, int((x[i:j] + w[i:j]).max()) - x0
+            window = tiles.joined(zip(*(c[i:j].tolist() for c in (y, x, h, w)), pieces[i:j], strict=True), y0, x0, *size_)
+            search = thresholds.Window2D(window, int(cy[i]) - y0, int(cx[i]) - x0)
+            start = search.otsu() if len(search.values) else 0.0
+            for area in targets_um2:
+                floor = None if floor_percent is None or not len(search.values) else floor_percent / 100 * search.values[-1] * least_share(area)
+                found_y, found_x = search.mask(start, area / scale, floor, rounds, tolerance)
+                ys.append(found_y + y0)
+                xs.append(found_x + x0)
+                areas.append(area)
+                rows.append(i)
+        n = [len(c) for c in ys]
+        at = np.repeat(np.array(rows, int), n)
+        numbers = [np.repeat(np.array(areas), n), np.concatenate(ys), np.concatenate(xs)]
+        return pa.RecordBatch.from_arrays([batches.chosen(table, "image", at), batches.chosen(table, "cell", at), *(pa.array(c.astype(np.int32)) for c in numbers)], ["image", "cell", "area", "y", "x"])
 
     pieces = tiles.windows(raster, centres, half, size)
-    found = pieces.groupBy("image", "cell").applyInPandas(run, f"image {kind}, cell {cell}, area int, y int, x int")
+    found = batches.apply(pieces, ["image", "cell"], run, f"image {kind}, cell {cell}, area int, y int, x int")
     if not nested:
         return found
     if soma is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from somatica.operators.pixels import AT
+from somatica.operators import batches
 
 
 def otsu(px: DataFrame, bins: int = 256) -> DataFrame:
@@ -61,30 +61,45 @@ def area_targets(roi: DataFrame, targets: DataFrame, rounds: int = 30, tolerance
     floor (least threshold, may be null). In each round the pixels above the threshold are labelled (8 neighbours), the
     component at (cy, cx) is taken, or else the nearest one, and the threshold moves by its relative error in area, less and
     less. The first mask within ``tolerance`` pixels of the target wins, else the closest. Returns image, target, y, x.
-    One group per region of interest, which is bounded in size by its crop.
+    Many regions of interest a call; each is bounded in size by its crop.
     """
 
-    def run(key, left, right):
+    def run(table, starts):
         import numpy as np
-        import pandas as pd
-
-        frames = [left.assign(target=0.0)[["image", "target", "y", "x"]].iloc[:0]]
-        if len(left):
-            y0, x0 = left["y"].min(), left["x"].min()
-            window = np.full((left["y"].max() - y0 + 1, left["x"].max() - x0 + 1), np.nan)
-            window[left["y"] - y0, left["x"] - x0] = left["v"]
+        import pyarrow as pa
+
+        wanted = table.column("target").is_valid().to_numpy()
+        rows, targets_, ys, xs = [], [], [], []
+        for i, j in batches.spans(table, starts):
+            part, own = table.slice(i, j - i), wanted[i:j]
+            if own.all():
+                continue
+            y, x, v = (part.column(c).combine_chunks().filter(pa.array(~own)).to_numpy(zero_copy_only=False) for c in ("y", "x", "v"))
+            y0, x0 = int(y.min()), int(x.min())
+            window = np.full((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1), np.nan)
+            window[y.astype(int) - y0, x.astype(int) - x0] = v
             grown: dict = {}
-            for t in right.itertuples(index=False):
-                floor = None if t.floor is None or t.floor != t.floor else t.floor
-                if (t.cy, t.cx) not in grown:
-                    grown[t.cy, t.cx] = Window2D(window, int(t.cy) - y0, int(t.cx) - x0)
-                y, x = grown[t.cy, t.cx].mask(t.start, t.target, floor, rounds, tolerance)
-                frames.append(pd.DataFrame({"image": [left["image"].iloc[0]] * len(y), "target": t.target, "y": y + y0, "x": x + x0}))
-        return pd.concat(frames)[["image", "target", "y", "x"]]
+            for t in part.filter(pa.array(own)).select(["cy", "cx", "start", "target", "floor"]).to_pylist():
+                place = int(t["cy"]), int(t["cx"])
+                if place not in grown:
+                    grown[place] = Window2D(window, place[0] - y0, place[1] - x0)
+                floor = None if t["floor"] is None or t["floor"] != t["floor"] else t["floor"]
+                found_y, found_x = grown[place].mask(t["start"], t["target"], floor, rounds, tolerance)
+                ys.append(found_y + y0)
+                xs.append(found_x + x0)
+                targets_.append(t["target"])
+                rows.append(i)
+        n = [len(c) for c in ys]
+        none = np.zeros(0, int)
+        y, x = (np.concatenate([none, *c]).astype(np.int32) for c in (ys, xs))
+        at = np.repeat(np.array(rows, int), n)
+        return pa.RecordBatch.from_arrays([batches.chosen(table, "image", at), pa.array(np.repeat(np.array(targets_, float), n)), pa.array(y), pa.array(x)], ["image", "target", "y", "x"])
 
     kind = roi.schema["image"].dataType.simpleString()
-    wanted = targets.select(F.col("image").alias("_image"), "cy", "cx", "start", "target", "floor")
-    return roi.select(*AT, "v").groupBy("image").cogroup(wanted.groupBy("_image")).applyInPandas(run, f"image {kind}, target double, y int, x int")
+    names = ("cy", "cx", "start", "target", "floor")
+    pixels = roi.select("image", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"))
+    both = pixels.unionByName(targets.select("image", *[F.col(c).cast("double").alias(c) for c in names]), allowMissingColumns=True)
+    return batches.apply(both, ["image"], run, f"image {kind}, target double, y int, x int")
 
 
 #: Fixed value: a move of the threshold below this ends the search.

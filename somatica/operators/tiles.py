@@ -111,10 +111,11 @@ def _pieces(tiles: DataFrame, reach: int, size: int) -> DataFrame:
 
 def assembled(pdf: pd.DataFrame, y0: int, x0: int, h: int, w: int) -> np.ndarray:
     """The window at (y0, x0) from its pieces (y, x, h, w, piece); NaN where there is none."""
-    return _joined(zip(*(pdf[c].tolist() for c in ("y", "x", "h", "w", "piece")), strict=True), y0, x0, h, w)
+    return joined(zip(*(pdf[c].tolist() for c in ("y", "x", "h", "w", "piece")), strict=True), y0, x0, h, w)
 
 
-def _joined(pieces, y0: int, x0: int, h: int, w: int) -> np.ndarray:
+def joined(pieces, y0: int, x0: int, h: int, w: int) -> np.ndarray:
+    """``assembled`` of rows (y, x, h, w, piece)."""
     out = np.full((h, w), np.nan)
     for y, x, a, b, piece in pieces:
         out[y - y0 : y - y0 + a, x - x0 : x - x0 + b] = np.frombuffer(piece).reshape(a, b)
@@ -145,7 +146,7 @@ def filtered(tiles: DataFrame, reach: int, work: Work, size: int = SIZE) -> Data
             h, w, y0, x0 = height[k], width[k], ty[k] * size, tx[k] * size
             y1, x1 = min(h, y0 + size), min(w, x0 + size)
             a, b, c, d = max(0, y0 - reach), min(h, y1 + reach), max(0, x0 - reach), min(w, x1 + reach)
-            seen = _joined(pieces[i:j], a, c, b - a, d - c)
+            seen = joined(pieces[i:j], a, c, b - a, d - c)
             made = _worked(seen, ((a - y0 + reach, y1 + reach - b), (c - x0 + reach, x1 + reach - d)), work)
             shown = seen[y0 - a : y1 - a, x0 - c : x1 - c]
             out.append(np.where(np.isnan(shown), np.nan, made[reach : reach + y1 - y0, reach : reach + x1 - x0]).tobytes())

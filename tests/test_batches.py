@@ -55,7 +55,7 @@ def test_small_files_share_a_partition(spark, tmp_path):
     assert {(r.image, r.y, r.x, r.v) for r in back.collect()} == {(f"i{i}.tif", y, 2, i + 1.0) for i in range(60) for y in range(3)}
 
 
-@pytest.mark.parametrize("name", ["skeleton_sheet", "terminal_bulbs", "vessel_network"])
+@pytest.mark.parametrize("name", ["skeleton_sheet", "terminal_bulbs", "vessel_network", "nested_masks", "cell_masks"])
 def test_masks_of_many_images_a_call(spark, name):
     plan = steps(registry.QUERIES[name](spark, DATA))
     assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
