@@ -18,7 +18,8 @@ def vessel_mask(px: DataFrame, height: int | Column, width: int | Column, pixel_
     if tubes:
         top = px.groupBy("image").agg(F.max("v").alias("_top")).where("_top > 0")
         sized = px.join(top, "image").select(*AT, (F.col("v") / F.col("_top")).alias("v"), F.lit(height).alias("_h"), F.lit(width).alias("_w"))
-        base = background.tubeness(sized, F.col("_h"), F.col("_w"), sigmas)
+        numbers = isinstance(height, int) and isinstance(width, int)  # then whole images need no neighbours
+        base = background.tubeness(sized, height if numbers else F.col("_h"), width if numbers else F.col("_w"), sigmas)
     else:
         base = px
     level = thresholds.otsu(base.where("v > 0"))

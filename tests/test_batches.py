@@ -16,7 +16,7 @@ def steps(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["px_gaussian", "px_unsharp", "tubeness", "cell_windows", "components_tiled"])
+@pytest.mark.parametrize("name", ["px_gaussian", "px_unsharp", "tubeness", "cell_windows", "components_tiled", "vessel_tubes"])
 def test_no_call_for_each_group(spark, name):
     plan = steps(registry.QUERIES[name](spark, DATA))
     assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan and "FlatMapCoGroupsInPandas" not in plan
