@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from somatica.functions.arrays import dot, let, total
-from somatica.operators.statistics import ln_factorial
+from somatica.operators import batches
 
 
 def profile(mask: DataFrame, centres: DataFrame, step: float = 1.0) -> DataFrame:
@@ -96,81 +95,115 @@ def regressions(profiles: DataFrame, percentiles: tuple[float, float] | None = N
     return p.groupBy("image").agg(F.regr_slope(y, F.col("radius")).alias("semi_log_slope"), F.regr_intercept(y, F.col("radius")).alias("semi_log_intercept"), F.regr_slope(y, x).alias("log_log_slope"), F.regr_intercept(y, x).alias("log_log_intercept"))
 
 
-_FIT = "array<struct<degree:int,alpha:double,beta:double,c:double,r2:double>>"
+_FIT = "array<struct<degree:int,alpha:double,beta:double,c:double,r2:double,p:double>>"
+
+#: Radii of a stack of profiles that is worked on at a time, and points on which a curve's peak is looked for.
+_STACK, _FINE = 1 << 18, 1001
 
 
 def polynomial_fits(profiles: DataFrame, degrees: int = 30) -> DataFrame:
     """Least-squares polynomials of every degree up to ``degrees`` (two less than the radii at most): image, mean, lo, hi and ``fits``, an
-    array of degree, r2, p and the coefficients.
+    array of degree, r2, p and the coefficients; no row for profiles of fewer than three radii.
 
     The polynomials are built to be orthogonal over the profile's own radii (three-term recurrence, from sums over them), so each degree adds
-    one term and nothing is solved again. p is the tail of the F test of the fit against a constant. Array expressions only.
+    one term and nothing is solved again. p is the tail of the F test of the fit against a constant. Many profiles a call.
     """
-    point = F.struct(F.col("radius").cast("double").alias("r"), F.col("n").cast("double").alias("n"))
-    d = profiles.groupBy("image").agg(F.sort_array(F.collect_list(point)).alias("points")).where("size(points) >= 3")
-    d = d.select("image", "points", F.get("points", F.lit(0))["r"].alias("lo"), F.element_at("points", -1)["r"].alias("hi"), (total(F.transform("points", lambda p: p["n"])) / F.size("points")).alias("mean"))
-
-    def built(xy: Column) -> Column:
-        x, y = xy["x"], xy["y"]
-        spread = dot(y, y)
-        ones, zeros = F.transform(x, lambda _: F.lit(1.0)), F.transform(x, lambda _: F.lit(0.0))
-        begin = F.struct(zeros.alias("before"), ones.alias("now"), F.lit(0.0).alias("last"), F.size(x).cast("double").alias("norm"), F.lit(0.0).alias("explained"), F.array().cast(_FIT).alias("fits"))
-
-        def step(s: Column, k: Column) -> Column:
-            alpha = total(F.zip_with(x, s["now"], lambda u, p: u * p * p)) / s["norm"]
-            beta = F.when(s["last"] > 0, s["norm"] / s["last"]).otherwise(0.0)
-
-            def grown(ab: Column) -> Column:
-                after = F.zip_with(F.zip_with(x, s["now"], lambda u, p: (u - ab["a"]) * p), s["before"], lambda u, q: u - ab["b"] * q)
-                return let(after, lambda p: let(dot(p, p), lambda norm: let(dot(y, p) / norm, lambda c: F.struct(
-                    s["now"].alias("before"), p.alias("now"), s["norm"].alias("last"), norm.alias("norm"), (s["explained"] + c * c * norm).alias("explained"),
-                    F.concat(s["fits"], F.array(F.struct(k.cast("int").alias("degree"), ab["a"].alias("alpha"), ab["b"].alias("beta"), c.alias("c"), F.when(spread > 0, (s["explained"] + c * c * norm) / spread).otherwise(0.0).alias("r2")))).alias("fits"),
-                ))))
-
-            return let(F.struct(alpha.alias("a"), beta.alias("b")), grown)
-
-        most = F.least(F.lit(degrees), F.size(x) - 2)
-        return F.aggregate(F.sequence(F.lit(1), most), begin, step, lambda s: s["fits"])
-
-    scaled = F.struct(F.transform("points", lambda p: (2 * p["r"] - F.col("lo") - F.col("hi")) / (F.col("hi") - F.col("lo"))).alias("x"), F.transform("points", lambda p: p["n"] - F.col("mean")).alias("y"))
-    out = d.select("image", "lo", "hi", "mean", F.size("points").alias("radii"), F.when(F.size("points") >= 3, let(scaled, built)).alias("fits"))
-    tested = F.transform("fits", lambda f: F.struct(f["degree"].alias("degree"), f["alpha"].alias("alpha"), f["beta"].alias("beta"), f["c"].alias("c"), f["r2"].alias("r2"), beta_tail(F.greatest(1 - f["r2"], F.lit(0.0)), F.col("radii") - f["degree"] - 1, f["degree"]).alias("p")))
-    return out.withColumn("fits", tested)
-
-
-def _ln_gamma_half(m: Column) -> Column:
-    """ln of the gamma function at m / 2, for whole m of 1 or more."""
-    n = F.floor(m / 2)
-    odd = ln_factorial(2 * n) - n * math.log(4) - ln_factorial(n) + 0.5 * math.log(math.pi)
-    return F.when(m % 2 == 0, ln_factorial(F.greatest(n - 1, F.lit(0)))).otherwise(odd)
-
 
-def beta_tail(x: Column, m: Column, n: Column, terms: int = 200) -> Column:
-    """Regularised incomplete beta function at x with the parameters m / 2 and n / 2: the chance of an F statistic of n and m degrees of
-    freedom that explains a share of 1 - x or more. By its continued fraction, from the side on which that converges."""
-
-    def fraction(v: Column) -> Column:
-        a, b, z = v["a"], v["b"], v["z"]
-        tiny = lambda u: F.when(F.abs(u) < 1e-30, 1e-30).otherwise(u)
-        d0 = 1 / tiny(1 - (a + b) * z / (a + 1))
-
-        def step(s: Column, k: Column) -> Column:
-            def both(s: Column, c: Column) -> Column:
-                return let(F.struct((1 / tiny(1 + c * s["d"])).alias("d"), tiny(1 + c / s["c"]).alias("c")), lambda u: F.struct(u["c"].alias("c"), u["d"].alias("d"), (s["h"] * u["c"] * u["d"]).alias("h")))
-
-            even, odd = k * (b - k) * z / ((a + 2 * k - 1) * (a + 2 * k)), -(a + k) * (a + b + k) * z / ((a + 2 * k) * (a + 2 * k + 1))
-            return let(both(s, even), lambda t: both(t, odd))
-
-        begin = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
-        h = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda k: k.cast("double")), begin, step, lambda s: s["h"])
-        return F.exp(v["front"] + a * F.ln(z) + b * F.ln(1 - z)) * h / a
-
-    a, b = m / 2, n / 2
-    front = _ln_gamma_half(m + n) - _ln_gamma_half(m) - _ln_gamma_half(n)
-    straight = x < (a + 1) / (a + b + 2)
-    one = F.struct(F.when(straight, a).otherwise(b).cast("double").alias("a"), F.when(straight, b).otherwise(a).cast("double").alias("b"), F.when(straight, x).otherwise(1 - x).alias("z"), front.alias("front"))
-    tail = let(one, fraction)
-    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(straight, tail).otherwise(1 - tail)
+    def run(table, starts):
+        import numpy as np
+        import pyarrow as pa
+
+        for some, lo, hi, mean, size, fit in _stacks(table, starts, degrees):
+            k, i = np.nonzero(fit["on"])
+            k, i = k[order := np.lexsort((k, i))], i[order]
+            p = beta_tail(np.maximum(1 - fit["r2"][k, i], 0.0), size[i] - k - 2, k + 1)
+            fields = {"degree": pa.array((k + 1).astype(np.int32)), **{c: pa.array(fit[c][k, i]) for c in ("alpha", "beta", "c", "r2")}, "p": pa.array(p)}
+            ends = np.concatenate([[0], np.cumsum(fit["on"].sum(axis=0))]).astype(np.int32)
+            fits = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+            yield pa.RecordBatch.from_arrays([batches.chosen(table, "image", starts[some]), pa.array(lo), pa.array(hi), pa.array(mean), pa.array(size.astype(np.int32)), fits], ["image", "lo", "hi", "mean", "radii", "fits"])
+
+    return batches.apply(_points(profiles), ["image"], run, f"image {profiles.schema['image'].dataType.simpleString()}, lo double, hi double, mean double, radii int, fits {_FIT}")
+
+
+def _points(profiles: DataFrame) -> DataFrame:
+    return profiles.select("image", F.col("radius").cast("double").alias("r"), F.col("n").cast("double").alias("n"))
+
+
+def _stacks(table, starts, degrees: int):
+    """Fits of the groups of ``table`` (image, r, n) with three radii or more, in stacks of profiles of about one size: the groups, their first and
+    last radius, mean and size, and by degree and profile whether there is a fit (``on``), its coefficients and r2."""
+    import numpy as np
+
+    size = np.diff(np.append(starts, table.num_rows))
+    group, _ = batches.places(size)
+    r, n = batches.numbers(table, "r"), batches.numbers(table, "n")
+    order = np.lexsort((n, r, group))
+    r, n = r[order], n[order]
+    left = np.flatnonzero(size >= 3)
+    left = left[np.argsort(size[left], kind="stable")]
+    while len(left):
+        fits = np.arange(1, len(left) + 1) * size[left] <= _STACK  # padded to the largest
+        some, left = left[: max(1, int(fits.sum()))], left[max(1, int(fits.sum())) :]
+        inside = np.arange(size[some].max())[:, None] < size[some]
+        at = np.where(inside, starts[some] + np.arange(len(inside))[:, None], 0)
+        lo, hi = r[starts[some]], r[starts[some] + size[some] - 1]
+        mean = _sums(np.where(inside, n[at], 0.0)) / size[some]
+        with np.errstate(all="ignore"):
+            x = np.where(inside, (2 * r[at] - lo - hi) / (hi - lo), 0.0)
+            yield some, lo, hi, mean, size[some], _orthogonal(x, np.where(inside, n[at] - mean, 0.0), inside, degrees)
+
+
+def _sums(values):
+    """Sums of columns, added up in order, so that they do not depend on how many columns there are."""
+    import numpy as np
+
+    return np.add.accumulate(values, axis=0)[-1]
+
+
+def _orthogonal(x, y, inside, degrees: int) -> dict:
+    """Fits of every column of ``y`` over ``x``, one row a degree; what lies outside of a profile is 0."""
+    import numpy as np
+
+    size = inside.sum(axis=0)
+    most, spread = min(degrees, int(size.max()) - 2), _sums(y * y)
+    now, before, norm, last, explained = inside.astype(float), np.zeros(x.shape), size.astype(float), np.zeros(len(size)), np.zeros(len(size))
+    out = {k: np.zeros((most, len(size))) for k in ("alpha", "beta", "c", "r2")} | {"on": np.arange(1, most + 1)[:, None] <= size - 2}
+    for k in range(most):
+        alpha = _sums(x * now * now) / norm
+        beta = np.where(last > 0, norm / last, 0.0)
+        now, before, last = (x - alpha) * now - beta * before, now, norm
+        norm = _sums(now * now)
+        c = _sums(y * now) / norm
+        explained = explained + c * c * norm
+        for name, v in (("alpha", alpha), ("beta", beta), ("c", c), ("r2", np.where(spread > 0, explained / spread, 0.0))):
+            out[name][k] = v
+    return out
+
+
+def beta_tail(x, m, n, terms: int = 200):
+    """Regularised incomplete beta function at x with the parameters m / 2 and n / 2, arrays: the chance of an F statistic of n and m degrees
+    of freedom that explains a share of 1 - x or more. By its continued fraction, from the side on which that converges."""
+    import numpy as np
+
+    ln_gamma = np.array([math.inf, *(math.lgamma(k / 2) for k in range(1, int(np.max(m + n, initial=0)) + 1))])
+    straight = x < (m / 2 + 1) / ((m + n) / 2 + 2)
+    a, b, z = np.where(straight, m, n) / 2, np.where(straight, n, m) / 2, np.where(straight, x, 1 - x)
+
+    def tiny(u):
+        return np.where(np.abs(u) < 1e-30, 1e-30, u)
+
+    with np.errstate(all="ignore"):
+        front = np.exp(ln_gamma[m + n] - ln_gamma[m] - ln_gamma[n] + a * np.log(z) + b * np.log(1 - z)) / a
+        c, d = np.ones(len(z)), 1 / tiny(1 - (a + b) * z / (a + 1))
+        h = d
+        for k in range(1, terms + 1):
+            was = h
+            for step in (k * (b - k) * z / ((a + 2 * k - 1) * (a + 2 * k)), -(a + k) * (a + b + k) * z / ((a + 2 * k) * (a + 2 * k + 1))):
+                c, d = tiny(1 + step / c), 1 / tiny(1 + step * d)
+                h = h * c * d
+            if np.array_equal(h, was, equal_nan=True):
+                break
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(straight, front * h, 1 - front * h)))
 
 
 def fit_quality(profiles: DataFrame, degrees: int = 30) -> DataFrame:
@@ -181,22 +214,41 @@ def fit_quality(profiles: DataFrame, degrees: int = 30) -> DataFrame:
 def best_polynomial(profiles: DataFrame, degrees: int = 30, least_r2: float = 0.7, most_p: float = 0.05) -> DataFrame:
     """Lowest degree whose least-squares polynomial explains ``least_r2`` of the profile with an F test of ``most_p`` or less: image,
     degree, r2, p, and the peak of the curve on 1,001 radii (critical_value, critical_radius). Nulls if none does, also for
-    profiles of fewer than three radii."""
-    good = F.filter("fits", lambda f: (f["r2"] >= least_r2) & (f["p"] <= most_p))
-    d = polynomial_fits(profiles, degrees).withColumn("best", F.get(good, F.lit(0)))
-    fine = F.transform(F.sequence(F.lit(0), F.lit(1000)), lambda i: i / 500.0 - 1)
-
-    def curve(x: Column) -> Column:
-        begin = F.struct(F.transform(x, lambda _: F.lit(0.0)).alias("before"), F.transform(x, lambda _: F.lit(1.0)).alias("now"), F.transform(x, lambda _: F.col("mean")).alias("sum"))
-
-        def step(s: Column, f: Column) -> Column:
-            after = F.zip_with(F.zip_with(x, s["now"], lambda u, p: (u - f["alpha"]) * p), s["before"], lambda u, q: u - f["beta"] * q)
-            return let(after, lambda p: F.struct(s["now"].alias("before"), p.alias("now"), F.zip_with(s["sum"], p, lambda t, u: t + f["c"] * u).alias("sum")))
-
-        return F.aggregate(F.slice("fits", F.lit(1), F.col("best.degree")), begin, step, lambda s: s["sum"])
-
-    d = d.withColumn("curve", F.when(F.col("best").isNotNull(), let(fine, curve)))
-    top = F.array_max("curve")
-    at = F.col("lo") + (F.array_position("curve", top) - 1) / 1000.0 * (F.col("hi") - F.col("lo"))
-    found = d.select("image", "best.degree", "best.r2", "best.p", top.alias("critical_value"), at.alias("critical_radius"))
-    return profiles.select("image").distinct().join(found, "image", "left")
+    profiles of fewer than three radii. Many profiles a call; the test is made only where the share is enough."""
+    names = ("degree", "r2", "p", "critical_value", "critical_radius")
+
+    def run(table, starts):
+        import numpy as np
+        import pyarrow as pa
+
+        found = {c: np.zeros(len(starts)) for c in names}
+        known = np.zeros(len(starts), bool)
+        for some, lo, hi, mean, size, fit in _stacks(table, starts, degrees):
+            k, i = np.nonzero(fit["on"] & (fit["r2"] >= least_r2))
+            p = np.full(fit["r2"].shape, np.inf)
+            p[k, i] = beta_tail(np.maximum(1 - fit["r2"][k, i], 0.0), size[i] - k - 2, k + 1)
+            good = p <= most_p
+            has = np.flatnonzero(good.any(axis=0))
+            for i in np.array_split(has, -(-len(has) * _FINE // _STACK)) if len(has) else []:
+                first = good[:, i].argmax(axis=0)
+                value, at = _peaks({c: fit[c][: first.max() + 1, i] for c in ("alpha", "beta", "c")}, first, mean[i])
+                values = (first + 1, fit["r2"][first, i], p[first, i], value, lo[i] + at / 1000.0 * (hi[i] - lo[i]))
+                known[some[i]] = True
+                for c, v in zip(names, values, strict=True):
+                    found[c][some[i]] = v
+        columns = [pa.array(found[c].astype(np.int32 if c == "degree" else float), mask=~known) for c in names]
+        return pa.RecordBatch.from_arrays([batches.chosen(table, "image", starts), *columns], ["image", *names])
+
+    return batches.apply(_points(profiles), ["image"], run, f"image {profiles.schema['image'].dataType.simpleString()}, degree int, r2 double, p double, critical_value double, critical_radius double")
+
+
+def _peaks(fit: dict, first, mean):
+    """Largest value of each column's polynomial of the degree in row ``first``, and where it is first met of 1,001 places from -1 to 1."""
+    import numpy as np
+
+    x = (np.arange(_FINE) / 500.0 - 1)[:, None]
+    now, before, sum_ = np.ones((_FINE, len(mean))), np.zeros((_FINE, len(mean))), np.tile(mean, (_FINE, 1))
+    for k, (alpha, beta, c) in enumerate(zip(fit["alpha"], fit["beta"], fit["c"], strict=True)):
+        now, before = (x - alpha) * now - beta * before, now
+        sum_ += np.where(k <= first, c, 0.0) * now
+    return sum_.max(axis=0), sum_.argmax(axis=0)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from somatica.operators import batches, pixels, skeleton, tiles
+from somatica.operators import batches, pixels, sholl, skeleton, tiles
 from somatica.plans import registry
 from somatica.sources import tables, tiff_source
 
@@ -61,6 +61,18 @@ def test_masks_of_many_images_a_call(spark, name):
     assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
 
 
+def test_profiles_of_many_images_a_call(spark):
+    """No expression works through a profile's polynomials; profiles of several sizes in one stack, too short ones and one without a name."""
+    rng = np.random.default_rng(8)
+    rows = [(None if k == 5 else f"i{k}", 1.0 + i, int(rng.integers(0, 4)) + (9 if i < n // 2 else 0)) for k, n in enumerate((2, 3, 20, 21, 60, 33)) for i in range(n)]
+    d = spark.createDataFrame(rows, "image string, radius double, n long")
+    found = sholl.best_polynomial(d)
+    assert "MapInArrow" in steps(found) and "zip_with" not in steps(found) and "MapInArrow" in steps(sholl.fit_quality(d))
+    got = {r.image: r for r in found.collect()}
+    alone = {k: sholl.best_polynomial(d.where(F.col("image").eqNullSafe(k))).first() for k in ("i2", "i3", "i4", None)}
+    assert len(got) == 6 and all(got[k] == r and r.degree is not None for k, r in alone.items()) and got["i0"].degree is None
+
+
 def test_longest_way_begins_from_few_nodes(monkeypatch):
     """A path with side arms: the bounds leave few beginnings, and the length is that of all of them."""
     import heapq
