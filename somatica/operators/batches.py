@@ -7,6 +7,7 @@ before it is handed over, so tasks hold a batch or their largest group.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -70,14 +71,19 @@ def sorted_by(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, *rest).repartition(parts(df), *keys).sortWithinPartitions(*keys)
 
 
-def apply(df: DataFrame, keys: list[str], run: Run, schema: str) -> DataFrame:
-    """What ``run`` makes of the groups of ``df`` by ``keys`` (its columns come first), many groups a call."""
+def apply(df: DataFrame, keys: list[str], run: Run | list[Run], schema: str) -> DataFrame:
+    """What ``run`` makes of the groups of ``df`` by ``keys`` (its columns come first), many groups a call. Of several functions each gets the
+    last one's rows, which must have the keys first and keep groups together: one shuffle for all."""
+    runs = run if isinstance(run, list) else [run]
 
-    def each(batches):
+    def step(batches, f):
         for table, starts in whole_groups(batches, len(keys)):
-            out = run(table, starts)
+            out = f(table, starts)
             yield from [out] if isinstance(out, pa.RecordBatch) else out
 
+    def each(batches):
+        return reduce(step, runs, batches)
+
     return sorted_by(df, keys).mapInArrow(each, schema)
 
 
@@ -149,3 +155,16 @@ def from_strip(table: pa.Table, starts: np.ndarray, on: np.ndarray, groups: np.n
     y, x = np.nonzero(on)
     at = np.searchsorted(rows, y, "right") - 1
     return pa.RecordBatch.from_arrays([chosen(table, "image", starts[groups[at]]), pa.array((y + dy[at]).astype(np.int32)), pa.array((x + dx[at]).astype(np.int32))], ["image", "y", "x"])
+
+
+def in_strips(table: pa.Table, starts: np.ndarray, work: Callable, gap: int = 1) -> np.ndarray:
+    """Whether ``work`` leaves each row's pixel: it gets an array like those of ``strips``, the groups in it and how many rows each has there, and
+    returns such an array."""
+    y, x = (numbers(table, c).astype(np.int64) for c in ("y", "x"))
+    ends, out = np.append(starts, table.num_rows), np.zeros(table.num_rows, bool)
+    for on, groups, rows, dy, dx in strips(table, starts, gap):
+        left = work(on, groups, np.diff(np.append(rows, len(on))))
+        i, j = ends[groups[0]], ends[groups[-1] + 1]
+        group, _ = places(np.diff(ends[groups[0] : groups[-1] + 2]))
+        out[i:j] = left[y[i:j] - dy[group], x[i:j] - dx[group]]
+    return out

@@ -40,30 +40,41 @@ def to_background(mask: DataFrame, height: int | Column, width: int | Column) ->
     """
 
     def run(table, starts):
-        import numpy as np
         import pyarrow as pa
 
-        h, w = (batches.numbers(table, c)[starts].astype(np.int64) for c in ("_h", "_w"))
-        y, x = batches.numbers(table, "y"), batches.numbers(table, "x")
-        group, _ = batches.places(np.diff(np.append(starts, table.num_rows)))
-        d2 = np.zeros(table.num_rows)
-        for high, wide in sorted(set(zip(h.tolist(), w.tolist(), strict=True))):
-            same = np.flatnonzero((h == high) & (w == wide))
-            some = max(1, batches.STACK // (high * wide))
-            for k in range(0, len(same), some):
-                number = np.full(len(starts), -1)
-                number[same[k : k + some]] = np.arange(len(same[k : k + some]))
-                rows = np.flatnonzero(number[group] >= 0)
-                on = np.zeros((len(same[k : k + some]), high, wide), bool)
-                place = number[group[rows]], y[rows], x[rows]
-                on[place] = True
-                d2[rows] = squared_distances(~on)[place]
-        known = np.isfinite(d2)
-        return pa.RecordBatch.from_arrays([table.column("image").combine_chunks(), pa.array(y), pa.array(x), pa.array(np.sqrt(np.where(known, d2, 0.0)), mask=~known)], ["image", "y", "x", "d"])
+        return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in AT), background(table, starts)], [*AT, "d"])
 
     kind = mask.schema["image"].dataType.simpleString()
-    framed = mask.select("image", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(height).cast("int").alias("_h"), F.lit(width).cast("int").alias("_w"))
-    return batches.apply(framed, ["image"], run, f"image {kind}, y int, x int, d double")
+    return batches.apply(framed(mask, height, width), ["image"], run, f"image {kind}, y int, x int, d double")
+
+
+def framed(mask: DataFrame, height: int | Column, width: int | Column) -> DataFrame:
+    """``mask`` as ``background`` needs it."""
+    return mask.select("image", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(height).cast("int").alias("_h"), F.lit(width).cast("int").alias("_w"))
+
+
+def background(table, starts):
+    """Distances of ``to_background`` of every row of groups of ``framed`` rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    h, w = (batches.numbers(table, c)[starts].astype(np.int64) for c in ("_h", "_w"))
+    y, x = batches.numbers(table, "y"), batches.numbers(table, "x")
+    group, _ = batches.places(np.diff(np.append(starts, table.num_rows)))
+    d2 = np.zeros(table.num_rows)
+    for high, wide in sorted(set(zip(h.tolist(), w.tolist(), strict=True))):
+        same = np.flatnonzero((h == high) & (w == wide))
+        some = max(1, batches.STACK // (high * wide))
+        for k in range(0, len(same), some):
+            number = np.full(len(starts), -1)
+            number[same[k : k + some]] = np.arange(len(same[k : k + some]))
+            rows = np.flatnonzero(number[group] >= 0)
+            on = np.zeros((len(same[k : k + some]), high, wide), bool)
+            place = number[group[rows]], y[rows], x[rows]
+            on[place] = True
+            d2[rows] = squared_distances(~on)[place]
+    known = np.isfinite(d2)
+    return pa.array(np.sqrt(np.where(known, d2, 0.0)), mask=~known)
 
 
 def opened(mask: DataFrame, radius: int | Column) -> DataFrame:
@@ -78,15 +89,20 @@ def opened(mask: DataFrame, radius: int | Column) -> DataFrame:
 
         radius = batches.numbers(table, "_r")[starts].astype(np.int64)
         for on, groups, rows, *rest in batches.strips(table, starts, int(radius.max()) + 1):
-            r2 = np.repeat(radius[groups] ** 2, np.diff(np.append(rows, len(on))))[:, None]
-            # masks lie further apart than any radius, so a mask's pixels are never within another's
-            stays = squared_distances(~on, int(radius.max())) > r2
-            yield batches.from_strip(table, starts, squared_distances(stays, int(radius.max())) <= r2, groups, rows, *rest)
+            left = disk_opened(on, np.repeat(radius[groups], np.diff(np.append(rows, len(on)))))
+            yield batches.from_strip(table, starts, left, groups, rows, *rest)
 
     kind = mask.schema["image"].dataType.simpleString()
     return batches.apply(mask.select(*AT, F.lit(radius).cast("int").alias("_r")), ["image"], run, f"image {kind}, y int, x int")
 
 
+def disk_opened(on, radius):
+    """A boolean array opened with disks, by the radius of each row. Masks of different radii must lie further apart than the largest, so that
+    none is within reach of another."""
+    most, r2 = int(radius.max()), (radius**2)[:, None]
+    return squared_distances(squared_distances(~on, most) > r2, most) <= r2
+
+
 def squared_distances(targets, within: float | None = None):
     """Squared distance of every cell of a boolean array (or of each of a stack) to the nearest true one of it; infinite if there is none.
     Distances over ``within`` may come out larger than they are."""

@@ -209,6 +209,19 @@ def raster_places(table, starts, stride: int):
     return group[once], at[once], starts[group[once]]
 
 
+def labels_of(group, y, x):
+    """Labels of ``components`` (diagonal steps) of pixels, each once, of many groups."""
+    import numpy as np
+
+    at, far = y.astype(np.int64) * FAR + x, np.zeros(int(group.max(initial=0)) + 1, bool)
+    far[group[x >= NEAR - 1]] = True
+    order = np.lexsort((at, group))
+    label, place = np.empty(len(at), np.int64), at[order]
+    root = place[component_roots_of(group[order], place, [dy * FAR + dx for dy, dx in [(0, 1), (1, -1), (1, 0), (1, 1)]])]
+    label[order] = np.where(far[group[order]], root, root // FAR * NEAR + root % FAR)
+    return label
+
+
 def component_roots_of(group, at, steps: list[int]):
     """``component_roots`` of many groups of pixels at once: index of the first pixel of each pixel's component in its group."""
     import numpy as np

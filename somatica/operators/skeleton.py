@@ -19,19 +19,25 @@ def thin(mask: DataFrame) -> DataFrame:
     does not change while others go on.
     """
 
-    def run(table, starts):
-        for on, *rest in batches.strips(table, starts):
-            changed = True
-            while changed:
-                changed = False
-                for first in (True, False):
-                    gone = removable(on, first)
-                    changed |= bool(gone.any())
-                    on[1:-1, 1:-1] &= ~gone
-            yield batches.from_strip(table, starts, on, *rest)
-
     kind = mask.schema["image"].dataType.simpleString()
-    return batches.apply(mask.select(AT), ["image"], run, f"image {kind}, y int, x int")
+    return batches.apply(mask.select(AT), ["image"], thin_run, f"image {kind}, y int, x int")
+
+
+def thin_run(table, starts):
+    for on, *rest in batches.strips(table, starts):
+        yield batches.from_strip(table, starts, thinned(on), *rest)
+
+
+def thinned(on, *_):
+    """A boolean array, empty at its edges, thinned in place."""
+    changed = True
+    while changed:
+        changed = False
+        for first in (True, False):
+            gone = removable(on, first)
+            changed |= bool(gone.any())
+            on[1:-1, 1:-1] &= ~gone
+    return on
 
 
 def _rules() -> list[list[bool]]:

@@ -10,8 +10,8 @@ from somatica.plans import bindings as b
 from somatica.plans import stages
 from somatica.plans.cell_queries import classified, rounded
 from somatica.plans.pixel_queries import _BOXES, _EIGHT, _HULL, _RGB, BIG, SMALL, _centres, _off, _reach, _rgb, big_mask, small_mask
-from somatica.plans.source_queries import shared_folder
 from somatica.sources import tables, tiff_source
+from somatica.sources.scratch import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

@@ -5,9 +5,6 @@ They write to the shared folder that ``spark.checkpoint.dir`` names, or, in a lo
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +13,7 @@ from somatica.operators import phenotype, qa
 from somatica.plans import bindings as b
 from somatica.plans.cell_queries import _RANGES, UNDO_STATE, classified, rounded
 from somatica.sources import images, tables
+from somatica.sources.scratch import shared_folder
 from somatica.streaming import review
 
 QUERIES: dict = {}
@@ -32,14 +30,6 @@ def query(sql: str | None = None):
     return put
 
 
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-    base = base or "file://" + tempfile.mkdtemp(prefix="somatica-")
-    return f"{base.rstrip('/')}/queries-{uuid.uuid4().hex}"
-
-
 def _written_masks(spark: SparkSession, sf_dir: str) -> str:
     """Small masks as TIFF files in a folder of the local driver or cluster; returns the folder."""
     folder = shared_folder(spark)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from somatica.operators import batches, pixels, sholl, skeleton, tiles
+from somatica.operators import batches, morphology, pixels, sholl, skeleton, tiles
 from somatica.plans import registry
 from somatica.sources import tables, tiff_source
 
@@ -73,6 +73,28 @@ def test_profiles_of_many_images_a_call(spark):
     assert len(got) == 6 and all(got[k] == r and r.degree is not None for k, r in alone.items()) and got["i0"].degree is None
 
 
+@pytest.mark.parametrize("name", ["terminal_bulbs", "terminal_bulbs_traced"])
+def test_bulbs_work_out_pixels_once(spark, name):
+    """What is left to run reads written tables: no thinning, distance or opening, and no line items; contacts are the one step in Python."""
+    plan = steps(registry.QUERIES[name](spark, DATA))
+    assert plan.count("MapInArrow") == 1 and "lineitem" not in plan
+
+
+def test_labels_beside_rows():
+    """Labels of pixels in any order are those of ``components``; wide images keep their stride."""
+    rng = np.random.default_rng(5)
+    at = np.unique(rng.integers(0, (3, 12, 12), (200, 3)), axis=0)
+    at[at[:, 0] == 2, 2] += 65_530
+    at = rng.permutation(at)
+    group, y, x = at.T
+    label = morphology.labels_of(group, y, x)
+    for g in range(3):
+        stride = 1 << 32 if g == 2 else 1 << 16
+        place = np.sort(y[group == g] * stride + x[group == g])
+        root = place[morphology.component_roots(place, [1, stride - 1, stride, stride + 1])]
+        assert dict(zip(place.tolist(), root.tolist())) == dict(zip((y[group == g] * stride + x[group == g]).tolist(), label[group == g].tolist()))
+
+
 def test_longest_way_begins_from_few_nodes(monkeypatch):
     """A path with side arms: the bounds leave few beginnings, and the length is that of all of them."""
     import heapq
