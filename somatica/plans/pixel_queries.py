@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from somatica.operators import background, boxes, bulbs, distance, hull, masks, morphology, pixels, regions, sholl, skeleton, thresholds, vessels
 from somatica.plans import bindings as b
 from somatica.plans.cell_queries import rounded
+from somatica.sources import scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -461,7 +462,7 @@ def terminal_bulbs(spark, sf_dir):
 @query()
 def terminal_bulbs_traced(spark, sf_dir):
     """Bulbs of cells with a traced soma, or a known soma area where the outline is missing; automatic opening."""
-    m = morphology.close(big_mask(spark, sf_dir), morphology.disk(1), 32, 32)
+    m = scratch.written(morphology.close(big_mask(spark, sf_dir), morphology.disk(1), 32, 32))
     centre = (F.abs(F.col("y") - 16) <= 3) & (F.abs(F.col("x") - 16) <= 3)
     areas = m.groupBy("image").agg((F.count(F.lit(1)) / 20.0).alias("soma_area_um2"))
     return bulbs.detect(m, 32, 32, 0.3, outlines=m.where(centre & (F.col("image") % 2 == 0)), areas=areas)[1]
