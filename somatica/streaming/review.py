@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 OUTPUT = "cell long, seq long, area int, approved boolean"
 
 
+#: Decisions of a stack that are kept in one entry of the state.
+BLOCK = 64
+
+
 class Review(StatefulProcessor):
-    """State of a cell: its masks with their decision and the seq of the event that made it, and the stack of decisions that can be undone, one
-    entry each, so an event reads and writes the masks and the top of the stack only.
+    """State of a cell: its masks with their decision and the seq of the event that made it, and the stack of decisions that can be undone, in
+    blocks. A cell's events of a batch are folded in memory: its masks are read and written once, and of the stack the blocks that changed,
+    however many events there are.
 
     Emits the masks that an event changed, with their new decision (null: open again).
     """
@@ -22,37 +26,48 @@ class Review(StatefulProcessor):
         self.areas = areas
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        number = lambda name: StructType([StructField(name, LongType())])
-        self.masks = handle.getMapState("masks", number("area"), StructType([StructField("approved", BooleanType()), StructField("by", LongType())]))
-        self.stack, self.depth = handle.getMapState("stack", number("place"), number("seq")), handle.getValueState("depth", number("n"))
+        long = lambda *names: StructType([StructField(n, LongType()) for n in names])
+        self.masks = handle.getValueState("masks", StructType([StructField("depth", LongType()), StructField("approved", ArrayType(BooleanType())), StructField("by", ArrayType(LongType()))]))
+        self.stack = handle.getMapState("stack", long("block"), StructType([StructField("seqs", ArrayType(LongType()))]))
 
     def handleInputRows(self, key, rows, timer_values):  # noqa: N802  name set by Spark
-        held = {int(k[0]): (v[0], v[1]) for k, v in self.masks.iterator()}
-        state = {a: held.get(a, (None, None)) for a in self.areas}
-        depth, out = int(self.depth.get()[0]) if self.depth.exists() else 0, []
-        events = pd.concat(list(rows)).sort_values("seq")
-        for seq, area, op in events[["seq", "area", "op"]].itertuples(index=False, name=None):
+        held = self.masks.get()
+        depth, approved, by = held if held is not None else (0, [None] * len(self.areas), [None] * len(self.areas))
+        state = dict(zip(self.areas, zip(approved, by, strict=True), strict=True))
+        blocks: dict[int, list[int]] = {}
+        stored, dirty = -(-depth // BLOCK), set()
+
+        def block(k: int) -> list[int]:
+            if k not in blocks:
+                blocks[k] = list(self.stack.getValue((k,))[0]) if k < stored else []
+            dirty.add(k)
+            return blocks[k]
+
+        for seq, area, op in sorted(((r.seq, r.area, r.op) for r in rows), key=lambda e: e[0]):
             if op == "undo":
                 if not depth:
                     continue
-                taken = int(self.stack.getValue((depth - 1,))[0])
-                self.stack.removeKey((depth - 1,))
                 depth -= 1
+                taken = block(depth // BLOCK).pop()
                 changed = {a: (None, None) for a, (_, by) in state.items() if by == taken}
             elif area in state and op in ("approve", "reject"):
                 yes = op == "approve"
-                changed = {a: (yes, int(seq)) for a, (s, _) in state.items() if a == area or (s is None and (a < area if yes else a > area))}
-                self.stack.updateValue((depth,), (int(seq),))
+                changed = {a: (yes, seq) for a, (s, _) in state.items() if a == area or (s is None and (a < area if yes else a > area))}
+                block(depth // BLOCK).append(seq)
                 depth += 1
             else:
                 continue
-            out += [(key[0], seq, a, new[0]) for a, new in changed.items() if new[0] != state[a][0]]
-            state |= changed
             for a, new in changed.items():
-                self.masks.updateValue((a,), new)
-        self.depth.update((depth,))
-        frame = pd.DataFrame(out, columns=["cell", "seq", "area", "approved"])
-        yield frame.astype({"cell": "int64", "seq": "int64", "area": "int32"}).assign(approved=frame["approved"].astype("object"))
+                if new[0] != state[a][0]:
+                    yield Row(cell=key[0], seq=seq, area=a, approved=new[0])
+            state |= changed
+        for k in sorted(dirty):
+            if blocks[k]:
+                self.stack.updateValue((k,), (blocks[k],))
+            elif k < stored:
+                self.stack.removeKey((k,))
+        if dirty:
+            self.masks.update((depth, [state[a][0] for a in self.areas], [state[a][1] for a in self.areas]))
 
     def close(self) -> None:
         pass
@@ -63,7 +78,7 @@ EVENTS = StructType([StructField("seq", LongType()), StructField("cell", LongTyp
 
 def review_stream(events: DataFrame, areas: tuple[int, ...] = (200, 300, 400, 500, 600, 700, 800)) -> DataFrame:
     """Changed decisions of a stream of events (seq, cell, area, op), keyed by cell. Needs the RocksDB state store."""
-    return events.groupBy("cell").transformWithStateInPandas(Review(areas), OUTPUT, "append", "none")
+    return events.groupBy("cell").transformWithState(Review(areas), OUTPUT, "append", "none")
 
 
 def status_stream(events: DataFrame) -> DataFrame:
