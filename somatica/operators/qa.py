@@ -5,10 +5,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from somatica.operators import batches
+
 
 def replay(masks: DataFrame, events: DataFrame) -> DataFrame:
     """Decision on each mask from approve and reject events: cell, area, approved (null: not reviewed).
@@ -50,15 +51,26 @@ def apply_event(state: dict[int, bool | None], stack: list[list[int]], area: int
 
 
 def replay_with_undo(masks: DataFrame, events: DataFrame) -> DataFrame:
-    """As ``replay``, but undo events of a cell take its last decision back. One group per cell, its events in order."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        state, _ = fold(sorted(left["area"].unique().tolist()), list(right.sort_values("seq")[["seq", "area", "op"]].itertuples(index=False, name=None)))
-        cell = left["cell"].iloc[0] if len(left) else None
-        return pd.DataFrame({"cell": [cell] * len(state), "area": list(state), "approved": pd.array(list(state.values()), "boolean")})
-
-    kind = masks.schema["cell"].dataType.simpleString()
-    return masks.select("cell", "area").groupBy("cell").cogroup(events.select("cell", "seq", "area", "op").groupBy("cell")).applyInPandas(run, f"cell {kind}, area int, approved boolean")
+    """As ``replay``, but undo events of a cell take its last decision back. Many cells a call, each one's events in order."""
+
+    def run(table, starts):
+        import numpy as np
+        import pyarrow as pa
+
+        group, _ = batches.places(np.diff(np.append(starts, table.num_rows)))
+        order = np.lexsort((table.column("seq").fill_null(0).to_numpy(), group))
+        area, op, mask = (table.column(c).take(pa.array(order)).to_pylist() for c in ("area", "op", "mask"))
+        cells, areas, approved = [], [], []
+        for i, j in batches.spans(table, starts):
+            state, _ = fold(sorted({area[k] for k in range(i, j) if mask[k]}), [(k, area[k], op[k]) for k in range(i, j) if not mask[k]])
+            cells += [i] * len(state)
+            areas += state.keys()
+            approved += state.values()
+        return pa.RecordBatch.from_arrays([batches.chosen(table, "cell", np.array(cells, int)), pa.array(areas, pa.int32()), pa.array(approved, pa.bool_())], ["cell", "area", "approved"])
+
+    own = masks.select("cell", F.lit(None).cast("long").alias("seq"), F.col("area").cast("int").alias("area"), F.lit(None).cast("string").alias("op"), F.lit(True).alias("mask"))
+    each = events.select(F.col("cell").cast(masks.schema["cell"].dataType).alias("cell"), F.col("seq").cast("long").alias("seq"), F.col("area").cast("int").alias("area"), "op", F.lit(False).alias("mask"))
+    return batches.apply(own.unionByName(each), ["cell"], run, f"cell {masks.schema['cell'].dataType.simpleString()}, area int, approved boolean")
 
 
 def undone(events: DataFrame, block: int = 4096) -> DataFrame:
