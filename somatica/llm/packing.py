@@ -24,9 +24,26 @@ _WORDS = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_
 #: Words that a worker remembers before it forgets all.
 _MEMO = 600_000
 
+#: Byte-level files write byte b as this character: itself if it can be seen, else one of those from 256 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) if b in _SEEN else chr(256 + b - sum(v < b for v in _SEEN)) for b in range(256)}
+
 _loaded: dict = {}
 
 
+class _Ids(dict):
+    """Ids of words as byte strings, by the library's model where a word is met first."""
+
+    def __init__(self, tokenizer):
+        self.model = tokenizer.model
+
+    def __missing__(self, word: str) -> bytes:
+        plain = word.isascii() and word.isprintable()  # of such bytes only the blank is written otherwise
+        seen = word.replace(" ", _BYTES[32]) if plain else word.encode().decode("latin-1").translate(_BYTES)
+        out = self[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(seen)])
+        return out
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -36,8 +53,8 @@ def default_vocabulary() -> str:
 class Encoder:
     """Ids by ``tokenizers`` for the file at ``path``, without added special tokens, as byte strings of 4-byte numbers.
 
-    A plain byte-level BPE encodes the words of a text one by one, so each word need be encoded once: its ids are remembered
-    (``_MEMO`` words at most) and put together. Texts for which that may not hold, those with a special token or with
+    A plain byte-level BPE encodes the words of a text one by one, so the library's model is given each word once: its ids are remembered
+    (``_MEMO`` words at most, and those of one call) and put together. Texts for which that may not hold, those with a special token or with
     characters beyond Latin, and all texts where the file is of another kind, are encoded whole.
     """
 
@@ -45,7 +62,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of work
         from tokenizers import Tokenizer
 
-        self.own, self.memo = Tokenizer.from_file(path), {}
+        self.own = Tokenizer.from_file(path)
+        self.memo = _Ids(self.own)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec.get("model", {}), spec.get("pre_tokenizer") or {}
@@ -58,13 +76,10 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         plain = [self.by_word and _OLD.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        words = [_WORDS.findall(t) if p else () for t, p in zip(texts, plain, strict=True)]
         if len(self.memo) > _MEMO:
             self.memo.clear()
-        new = list(set().union(*words) - self.memo.keys())
-        self.memo.update(zip(new, self._whole(new), strict=True))
-        whole = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [b"".join(map(self.memo.__getitem__, w)) if p else next(whole) for w, p in zip(words, plain, strict=True)]
+        whole, ids = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p])), self.memo.__getitem__
+        return [b"".join(map(ids, _WORDS.findall(t))) if p else next(whole) for t, p in zip(texts, plain, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
