@@ -78,7 +78,7 @@ def csv_per_image(spark, sf_dir):
     path = shared_folder(spark)
     d = b.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image_name"), F.col("l_extendedprice").alias("mask_area")).repartition("image_name")
     tables.write_csv(d, path, "image_name")
-    back = tables.read_typed(spark, path)
+    back = tables.read_per_folder(spark, path, "image_name")
     return back.groupBy(F.col("image_name").cast("long").alias("image_name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mask_area"), 2).alias("mask_area"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from somatica.functions import names
 from somatica.operators import batches
+from somatica.sources import folders
 
 #: Column orders of the written tables.
 ID_COLUMNS = ("image_name", "animal_id", "treatment", "soma_id", "soma_idx")
@@ -37,6 +38,13 @@ def read_typed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).option("nullValue", "NA").csv(path)
 
 
+def read_per_folder(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """A sheet with one folder per value of ``by``, with inferred types; NA is null, ``by`` is text. Where Arrow knows the store, the driver lists no folders."""
+    if folders.reached(spark, path):
+        return folders.read(spark, path, by, nullValue="NA")
+    return read_typed(spark, path).withColumn(by, F.col(by).cast("string"))
+
+
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
     """First sheet as strings; needs the optional package openpyxl."""
     try:
@@ -72,7 +80,11 @@ def result_sheet(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """CSV with a header; missing values are empty. One folder per value of ``partition_by`` if given."""
+    """CSV with a header; missing values are empty. One folder per value of ``partition_by`` if given: tasks put them in place where Arrow
+    knows the store, otherwise the driver does, which then keeps all their names."""
+    if partition_by and folders.reached(df.sparkSession, path):
+        folders.write(df, path, partition_by)
+        return
     writer = df.write.mode("errorifexists").option("header", True).option("nullValue", "")
     (writer.partitionBy(partition_by) if partition_by else writer).csv(path)
 
